@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelforge.llm.quality_rules import op1_quality_rules
+from panelforge.llm.simhash import op2_simhash
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_simhash": op2_simhash}
 ORACLE_SQL: dict[str, str] = {}
