@@ -1 +1,114 @@
-"""Queries."""
+"""Queries L and F: ledgers and contract rolling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelforge.operators import ledger
+from panelforge.plans.registry import query
+from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, bars, contracts, flows, trades
+
+ORD = "trade_date, trade_time, id, price, quantity"
+
+
+@query("l01_fifo", f"""WITH {TRADES}, t AS (SELECT *, sum(quantity) OVER (PARTITION BY code, side ORDER BY {ORD}) AS e FROM trades), b AS (SELECT *, e - quantity AS s FROM t WHERE side = 'BUY'), x AS (SELECT *, e - quantity AS s FROM t WHERE side = 'SELL')
+  SELECT b.code, b.id AS buy_id, x.id AS sell_id, b.trade_date AS buy_date, x.trade_date AS sell_date, least(b.e, x.e) - greatest(b.s, x.s) AS matched, (x.price - b.price) * (least(b.e, x.e) - greatest(b.s, x.s)) AS pnl,
+         (least(b.e, x.e) - greatest(b.s, x.s)) / b.quantity * b.fee + (least(b.e, x.e) - greatest(b.s, x.s)) / x.quantity * x.fee AS fee FROM b JOIN x ON b.code = x.code AND b.s < x.e AND x.s < b.e""", "matched pnl fee", 7)
+def l01(spark, d):
+    return ledger.fifo(trades(spark, d))
+
+
+@query("l01_oversold", f"WITH {TRADES}, n AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net FROM trades) SELECT code, id, net FROM n WHERE net < 0", "net")
+def l01o(spark, d):
+    return ledger.oversold(trades(spark, d)).select("code", "id", "net")
+
+
+@query("l02_rounds", f"""WITH {TRADES}, n AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net FROM trades),
+  r AS (SELECT *, coalesce(sum((abs(net) < 1e-9)::INT) OVER (PARTITION BY code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rd FROM n)
+  SELECT code, rd::BIGINT AS round, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n_trades, sum(quantity * price) FILTER (side = 'BUY') AS bought, sum(quantity * price) FILTER (side = 'SELL') AS sold, sum(fee) AS fees, abs(last(net ORDER BY {ORD})) < 1e-9 AS closed FROM r GROUP BY code, rd""", "bought sold fees", 3)
+def l02(spark, d):
+    return ledger.rounds(trades(spark, d))
+
+
+@query("l03_cash", f"WITH {TRADES} SELECT account_id, id, code, sum(CASE WHEN side = 'BUY' THEN -quantity * price ELSE quantity * price END - fee) OVER (PARTITION BY account_id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash FROM trades", "cash", 3)
+def l03(spark, d):
+    return ledger.cash(trades(spark, d)).select("account_id", "id", "code", "cash")
+
+
+@query("l04_splits", f"""WITH {TRADES} SELECT code, id, trade_date, quantity * CASE WHEN code % 7 = 0 AND trade_date < DATE '1998-06-01' THEN 2 ELSE 1 END AS quantity, price / CASE WHEN code % 7 = 0 AND trade_date < DATE '1998-06-01' THEN 2 ELSE 1 END AS price FROM trades""", "quantity price")
+def l04(spark, d):
+    t = trades(spark, d)
+    actions = t.where("code % 7 = 0").select("code").distinct().select("code", F.lit("1998-06-01").cast("date").alias("effective_date"), F.lit(2.0).alias("ratio"))
+    return ledger.split_adjusted(t, actions).select("code", "id", "trade_date", "quantity", "price")
+
+
+@query("l05_initial_capital", f"WITH {TRADES}, c AS (SELECT account_id, sum(CASE WHEN side = 'BUY' THEN -quantity * price ELSE quantity * price END - fee) OVER (PARTITION BY account_id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash FROM trades) SELECT account_id, greatest(0, -min(cash)) AS capital FROM c GROUP BY account_id", "capital", 3)
+def l05(spark, d):
+    return ledger.initial_capital(ledger.cash(trades(spark, d)))
+
+
+@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT last_day(trade_date) AS d FROM trades), f AS (SELECT account_id, code, min(trade_date) AS f FROM trades GROUP BY ALL),
+  q AS (SELECT f.account_id, f.code, m.d AS trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS quantity FROM f JOIN m ON m.d >= f.f JOIN trades t ON t.account_id = f.account_id AND t.code = f.code AND t.trade_date <= m.d GROUP BY ALL),
+  p AS (SELECT code, trade_date, last(price ORDER BY id, price) AS close FROM trades GROUP BY code, trade_date)
+  SELECT q.account_id, q.code, q.trade_date, q.quantity, p.close, q.quantity * p.close AS value, datediff('day', p.trade_date, q.trade_date)::INT AS stale_days FROM q ASOF JOIN p ON q.code = p.code AND q.trade_date >= p.trade_date WHERE abs(q.quantity) > 1e-9 AND q.account_id < 10""", "quantity close value")
+def l07(spark, d):
+    t = trades(spark, d)
+    px = t.groupBy("code", "trade_date").agg(F.max_by("price", F.struct("id", "price")).alias("close"))
+    days = t.select(F.last_day("trade_date").alias("trade_date")).distinct()
+    return ledger.holdings(t, days, px).where("account_id < 10")
+
+
+@query("l08_period_returns", f"""WITH {FLOWS}, e AS (SELECT account_id, date_trunc('year', flow_date)::DATE AS trade_date, sum(amount) AS flow FROM flows GROUP BY ALL), q AS (SELECT *, sum(flow) OVER w * (1 + 0.01 * (account_id % 5)) AS equity FROM e WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)), g AS (SELECT *, lag(equity) OVER w AS b FROM q WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)),
+  r AS (SELECT *, CASE WHEN abs(b) > 1e-9 THEN (equity - b - flow) / b END AS twr, CASE WHEN abs(b + 0.5 * flow) > 1e-9 THEN (equity - b - flow) / (b + 0.5 * flow) END AS dietz FROM g) SELECT account_id, trade_date, twr, dietz, product(1 + coalesce(twr, 0)) OVER (PARTITION BY account_id ORDER BY trade_date) - 1 AS cumulative FROM r""", "twr dietz cumulative")
+def l08(spark, d):
+    from pyspark.sql import Window
+
+    e = flows(spark, d).groupBy("account_id", F.trunc("flow_date", "year").alias("trade_date")).agg(F.sum("amount").alias("flow"))
+    e = e.withColumn("equity", F.sum("flow").over(Window.partitionBy("account_id").orderBy("trade_date")) * (1 + 0.01 * (F.col("account_id") % 5)))
+    return ledger.period_returns(e).select("account_id", "trade_date", "twr", "dietz", "cumulative")
+
+
+@query("l10_fee_rollup", f"WITH {TRADES} SELECT side, year(trade_date) AS y, count(*) AS n, sum(fee) AS fees, sum(quantity * price) AS amount FROM trades GROUP BY ROLLUP (side, year(trade_date))", "fees amount", 3)
+def l10(spark, d):
+    t = trades(spark, d).withColumn("y", F.year("trade_date").cast("long"))
+    return t.rollup("side", "y").agg(F.count("*").alias("n"), F.sum("fee").alias("fees"), F.sum(F.col("quantity") * F.col("price")).alias("amount"))
+
+
+@query("l11_trade_page", f"WITH {TRADES} SELECT id, code, trade_date, side, quantity, price FROM trades WHERE account_id = 7 AND trade_date >= DATE '1997-01-01' ORDER BY trade_date DESC, id DESC, price, quantity LIMIT 50 OFFSET 50", "quantity price")
+def l11(spark, d):
+    t = trades(spark, d).where("account_id = 7 AND trade_date >= DATE '1997-01-01'")
+    return t.orderBy(F.desc("trade_date"), F.desc("id"), "price", "quantity").offset(50).limit(50).select("id", "code", "trade_date", "side", "quantity", "price")
+
+
+@query("f01_hold_table", f"WITH {CONTRACTS} SELECT root, trade_date, contract, hold FROM contracts")
+def f01(spark, d):
+    return contracts(spark, d).select("root", "trade_date", "contract", "hold")
+
+
+@query("f02_dominant")
+def f02(spark, d):
+    return ledger.dominant(contracts(spark, d))
+
+
+@query("f03_switches")
+def f03(spark, d):
+    return ledger.switches(ledger.dominant(contracts(spark, d)))
+
+
+@query("f05_continuous")
+def f05(spark, d):
+    c = contracts(spark, d)
+    return ledger.continuous(c, ledger.dominant(c))
+
+
+
+@query("f05_continuous_daily_best", f"""WITH {CONTRACTS}, ld AS (SELECT root, trade_date, first(contract ORDER BY hold DESC, contract) AS contract FROM contracts GROUP BY ALL), l2 AS (SELECT *, lag(contract) OVER w AS old, lag(trade_date) OVER w AS pd FROM ld WINDOW w AS (PARTITION BY root ORDER BY trade_date)),
+  j AS (SELECT l2.*, n.open, n.close, CASE WHEN old <> l2.contract THEN coalesce(nc.close - oc.close, 0) ELSE 0 END AS gc, CASE WHEN old <> l2.contract THEN coalesce(n.open - oo.open, 0) ELSE 0 END AS go FROM l2 JOIN contracts n ON n.root = l2.root AND n.contract = l2.contract AND n.trade_date = l2.trade_date
+    LEFT JOIN contracts oo ON oo.root = l2.root AND oo.contract = old AND oo.trade_date = l2.trade_date LEFT JOIN contracts oc ON oc.root = l2.root AND oc.contract = old AND oc.trade_date = pd LEFT JOIN contracts nc ON nc.root = l2.root AND nc.contract = l2.contract AND nc.trade_date = pd)
+  SELECT root, trade_date, contract, open, close, close + coalesce(sum(gc) OVER (PARTITION BY root ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS close_forward, close - sum(go) OVER (PARTITION BY root ORDER BY trade_date) AS close_backward FROM j""", "open close close_forward close_backward")
+def f05b(spark, d):
+    from pyspark.sql import Window
+
+    c = contracts(spark, d)
+    w = Window.partitionBy("root", "trade_date").orderBy(F.desc("hold"), "contract")
+    return ledger.continuous(c, c.withColumn("k", F.row_number().over(w)).where("k = 1").select("root", "trade_date", "contract"))

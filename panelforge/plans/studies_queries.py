@@ -1 +1,114 @@
-"""Queries."""
+"""Queries R and Z: tests, resampling, sweeps, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelforge.functions.frames import roll, series
+from panelforge.operators import indicators as ind
+from panelforge.operators import studies as st
+from panelforge.plans.indicators_queries import RET, W, frame
+from panelforge.plans.registry import query
+from panelforge.plans.views import BARS, bars, table
+from panelforge.streaming import feeds
+
+MKT = f"{RET}, mk AS (SELECT *, avg(r) OVER (PARTITION BY trade_date) AS m FROM r WHERE r IS NOT NULL)"
+
+
+def with_market(spark, d):
+    return ind.with_returns(bars(spark, d)).where("r IS NOT NULL").withColumn("m", F.avg("r").over(Window.partitionBy("trade_date")))
+
+
+LL = f"{MKT}, n AS (SELECT *, row_number() OVER w AS rn FROM mk {W}), ll AS (SELECT a.code, k AS lag, count(*) AS n, corr(a.r, b.m) AS corr FROM n a CROSS JOIN range(-5, 6) t(k) JOIN n b ON a.code = b.code AND b.rn = a.rn + k GROUP BY a.code, k)"
+
+
+@query("r01_lead_lag", f"WITH {LL} SELECT code, lag::INT AS lag, n, corr FROM ll", "corr")
+def r01(spark, d):
+    return st.lead_lag(with_market(spark, d), "r", "m", 5, ("code",))
+
+
+@query("r01_best_lag", f"WITH {LL} SELECT code, lag::INT AS lag, n, corr, CASE WHEN lag > 0 THEN 'leads' WHEN lag < 0 THEN 'lags' ELSE 'together' END AS relation FROM ll QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(corr) DESC, abs(lag), lag) = 1", "corr")
+def r01b(spark, d):
+    return st.best_lag(st.lead_lag(with_market(spark, d), "r", "m", 5, ("code",)), ("code",))
+
+
+@query("r02_granger")
+def r02(spark, d):
+    return st.granger(with_market(spark, d), "m", "r", 3, ("code",))
+
+
+def events(spark, d):
+    b = bars(spark, d)
+    up = F.col("close") > 1.3 * F.avg("close").over(roll(series(), 20))
+    return st.event_returns(b.withColumn("up", up), F.col("up"), 5)
+
+
+@query("r04_event_returns", f"WITH {BARS}, e AS (SELECT *, close > 1.3 * avg(close) OVER {frame(20)} AS up, lead(close, 5) OVER w / close - 1 AS fwd FROM bars {W}) SELECT code, trade_date, fwd FROM e WHERE up AND fwd IS NOT NULL", "fwd")
+def r04(spark, d):
+    return events(spark, d).select("code", "trade_date", "fwd")
+
+
+@query("r04_event_study")
+def r04s(spark, d):
+    pool = bars(spark, d).withColumn("fwd", F.lead("close", 5).over(series()) / F.col("close") - 1).where("fwd IS NOT NULL")
+    return st.event_study(events(spark, d), pool, 50)
+
+
+@query("r05_block_bootstrap")
+def r05(spark, d):
+    r = ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / 1000)
+    return st.bootstrap_summary(st.block_bootstrap(r, "r", 50, 20), "total")
+
+
+@query("r06_normal_fit", f"""WITH {RET}, g AS (SELECT code, count(lr) AS n, avg(lr) AS mu, stddev_pop(lr) AS sigma FROM r GROUP BY code), z AS (SELECT r.code, avg(pow((lr - mu) / sigma, 3)) AS skew, avg(pow((lr - mu) / sigma, 4)) - 3 AS kurtosis FROM r JOIN g ON r.code = g.code WHERE lr IS NOT NULL GROUP BY r.code)
+  SELECT g.code, n, mu, sigma, skew, kurtosis, -n / 2.0 * (ln(2 * pi()) + 2 * ln(sigma) + 1) AS log_likelihood, 2 * ln(n) + n * (ln(2 * pi()) + 2 * ln(sigma) + 1) AS bic FROM g JOIN z ON g.code = z.code""", "mu sigma skew kurtosis log_likelihood bic")
+def r06(spark, d):
+    return st.normal_fit(ind.with_returns(bars(spark, d)), "lr")
+
+
+@query("r08_sign_flip")
+def r08(spark, d):
+    return st.sign_flip(with_market(spark, d).withColumn("diff", F.col("r") - F.col("m")), "diff", "trade_date", 50)
+
+
+@query("r09_conditions", f"""WITH {MKT}, x AS (SELECT *, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS y FROM mk {W}), g AS (SELECT code, count(y) FILTER (f) AS n_in, count(y) FILTER (NOT f) AS n_out, avg((y > 0)::INT) FILTER (f) AS win_in, avg((y > 0)::INT) FILTER (NOT f) AS win_out, avg(y) FILTER (f) AS mean_in, avg(y) FILTER (NOT f) AS mean_out, var_samp(y) FILTER (f) AS vi, var_samp(y) FILTER (NOT f) AS vo FROM x WHERE y IS NOT NULL GROUP BY code),
+  p AS (SELECT *, (win_in * n_in + win_out * n_out) / (n_in + n_out) AS pl FROM g) SELECT code, n_in, n_out, win_in, win_out, mean_in, mean_out, (win_in - win_out) / sqrt(pl * (1 - pl) * (1.0 / n_in + 1.0 / n_out)) AS z, (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) AS t FROM p""", "win_in win_out mean_in mean_out z t")
+def r09(spark, d):
+    x = with_market(spark, d).withColumn("f", F.col("close") > F.avg("close").over(roll(series(), 20))).withColumn("y", F.lead("r").over(series()))
+    return st.two_samples(x, "y", F.col("f"), ("code",))
+
+
+@query("r10_style_exposure")
+def r10(spark, d):
+    r = with_market(spark, d)
+    piv = r.where("code IN ('AF', 'NO', 'RO')").groupBy("trade_date").pivot("code", ["AF", "NO", "RO"]).agg(F.first("r"))
+    return st.style_exposure(r.join(piv.hint("merge"), "trade_date"), "m", ["AF", "NO", "RO"], 120).select("code", "trade_date", F.round(F.get("exposure", 0), 6).alias("af"), F.round(F.get("exposure", 1), 6).alias("no"), F.round(F.get("exposure", 2), 6).alias("ro"), "r2")
+
+
+LOOKBACKS, EXITS = [5, 10, 20, 40, 60], [-0.1, 0.0, 0.05]
+
+
+@query("r14_parameter_sweep", f"""WITH {RET}, g AS (SELECT r.*, n AS lookback, x AS "exit", close / lag(close, n) OVER (PARTITION BY n, x, code ORDER BY trade_date) - 1 AS mom FROM r, (SELECT unnest([5, 10, 20, 40, 60]) AS n), (SELECT unnest([-0.1, 0.0, 0.05]::DOUBLE[]) AS x)),
+  p AS (SELECT *, coalesce(last_value(CASE WHEN mom > 0.1 THEN 1 WHEN mom IS NULL OR mom <= "exit" THEN 0 END IGNORE NULLS) OVER v, 0) AS pos FROM g WINDOW v AS (PARTITION BY lookback, "exit", code ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  q AS (SELECT *, coalesce(lag(pos) OVER v, 0) * coalesce(r, 0) AS x2 FROM p WINDOW v AS (PARTITION BY lookback, "exit", code ORDER BY trade_date)) SELECT lookback, "exit", code, avg(x2) AS mean, sum(pos)::BIGINT AS days, avg(x2) / stddev_samp(x2) * sqrt(252) AS sharpe FROM q GROUP BY lookback, "exit", code""", "mean sharpe")
+def r14(spark, d):
+    return st.sweep(ind.with_returns(bars(spark, d)), LOOKBACKS, EXITS)
+
+
+@query("r13_walk_forward", f"""WITH {RET}, g AS (SELECT code, n AS param, trade_date, CASE WHEN close > avg(close) OVER (PARTITION BY n, code ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) * (1 + n / 100.0) THEN 1 ELSE 0 END AS pos, r FROM r, range(0, 50, 10) t(n)),
+  x AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY param, code ORDER BY trade_date), 0) * coalesce(r, 0) AS x FROM g), y AS (SELECT param, year(trade_date) AS year, avg(x) AS score FROM x GROUP BY 1, 2), t AS (SELECT param, year, lag(score) OVER (PARTITION BY param ORDER BY year) AS train, score AS test FROM y)
+  SELECT param::INT AS param, year, train, test FROM t WHERE train IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year ORDER BY train DESC, param) = 1""", "train test")
+def r13(spark, d):
+    g = ind.with_returns(bars(spark, d)).withColumn("param", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(10))))
+    w = series(("param", "code"))
+    g = g.withColumn("pos", F.when(F.col("close") > F.avg("close").over(roll(w, 60)) * (1 + F.col("param") / 100), 1).otherwise(0))
+    g = g.withColumn("x", F.coalesce(F.lag("pos").over(w), F.lit(0)) * F.coalesce("r", F.lit(0.0)))
+    y = g.groupBy("param", F.year("trade_date").cast("long").alias("year")).agg(F.avg("x").alias("test"))
+    y = y.withColumn("train", F.lag("test").over(Window.partitionBy("param").orderBy("year")))
+    return st.walk_forward(y).select("param", "year", "train", "test")
+
+
+@query("z02_event_bars", "SELECT event_type AS code, time_bucket(INTERVAL 1 HOUR, ts) AS start, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)"), "open high low close")
+def z02(spark, d):
+    return feeds.tick_bars(table(spark, d, "events"))
