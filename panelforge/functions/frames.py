@@ -42,7 +42,7 @@ def clean(x: Column) -> Column:
 
 def ret(x: str | Column, w: WindowSpec, n: int = 1) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return x / F.lag(x, n).over(w) - 1
+    return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
 def run_id(state: Column, w: WindowSpec) -> Column:

@@ -10,7 +10,7 @@ from panelforge.functions.frames import KEYS, day, roll, series
 
 def momentum(n: int, skip: int = 0, x: str = "close", keys: tuple[str, ...] = KEYS) -> Column:
     w = series(keys)
-    return F.lag(x, skip).over(w) / F.lag(x, skip + n).over(w) - 1
+    return F.try_divide(F.lag(x, skip).over(w), F.lag(x, skip + n).over(w)) - 1
 
 
 def ratio_score(r: str, n: int, downside: bool = False, keys: tuple[str, ...] = KEYS) -> Column:
@@ -106,7 +106,7 @@ def momentum_significance(df: DataFrame, m: str, y: str) -> DataFrame:
     side = lambda f, c: f(F.when(c, F.col(y)))
     g = rows.groupBy("code").agg(side(F.count, up).alias("n_up"), side(F.count, ~up).alias("n_down"), side(F.avg, up).alias("mean_up"), side(F.avg, ~up).alias("mean_down"), side(F.var_samp, up).alias("_vu"), side(F.var_samp, ~up).alias("_vd"), F.corr(m, y).alias("ic"))
     spread = F.col("mean_up") - F.col("mean_down")
-    return g.select("code", "n_up", "n_down", "mean_up", "mean_down", spread.alias("spread"), (spread / F.sqrt(F.col("_vu") / F.col("n_up") + F.col("_vd") / F.col("n_down"))).alias("t"), "ic")
+    return g.select("code", "n_up", "n_down", "mean_up", "mean_down", spread.alias("spread"), F.try_divide(spread, F.sqrt(F.try_divide(F.col("_vu"), F.col("n_up")) + F.try_divide(F.col("_vd"), F.col("n_down")))).alias("t"), "ic")
 
 
 def screened(metrics: DataFrame, pairs: DataFrame, n: int, quota: int, most_corr: float) -> DataFrame:

@@ -28,7 +28,7 @@ def rolling_std(x: str, n: int, least: int = 2, ddof: int = 1, keys: tuple[str,
 
 def with_returns(df: DataFrame, x: str = "close", keys: tuple[str, ...] = KEYS) -> DataFrame:
     w = series(keys)
-    return df.withColumn("r", ret(x, w)).withColumn("lr", F.when((F.col(x) > 0) & (F.lag(x).over(w) > 0), F.ln(F.col(x) / F.lag(x).over(w))))
+    return df.withColumn("r", ret(x, w)).withColumn("lr", F.when((F.col(x) > 0) & (F.lag(x).over(w) > 0), F.ln(F.try_divide(F.col(x), F.lag(x).over(w)))))
 
 
 def donchian(n: int, keys: tuple[str, ...] = KEYS) -> tuple[Column, Column]:
@@ -70,7 +70,7 @@ def slope(x: Column, n: int, keys: tuple[str, ...] = KEYS) -> Column:
 
 
 def rolling_drawdown(x: str, n: int, keys: tuple[str, ...] = KEYS) -> Column:
-    return F.col(x) / F.max(x).over(roll(series(keys), n)) - 1
+    return F.try_divide(F.col(x), F.max(x).over(roll(series(keys), n))) - 1
 
 
 def window_drawdowns(x: str, n: int, keys: tuple[str, ...] = KEYS) -> tuple[Column, Column]:
@@ -286,7 +286,7 @@ def autocorrelation(df: DataFrame, x: str, lags: int = 20, keys: tuple[str, ...]
     b = rows.select(*keys, F.col("_rn").alias("_at"), F.col("_y").alias("_z"))
     top = a.join(b.hint("merge"), [*keys, "_at"]).groupBy(*keys, "lag").agg(F.sum(F.col("_y") * F.col("_z")).alias("_c"))
     var = rows.groupBy(*keys).agg(F.sum(F.col("_y") * F.col("_y")).alias("_v"), F.max("_n").alias("_n"))
-    out = top.join(var.hint("merge"), list(keys)).withColumn("acf", F.col("_c") / F.col("_v"))
+    out = top.join(var.hint("merge"), list(keys)).withColumn("acf", F.try_divide(F.col("_c"), F.col("_v")))
     q = F.sum(F.col("acf") * F.col("acf") / (F.col("_n") - F.col("lag"))).over(upto(Window.partitionBy(*keys).orderBy("lag")))
     return out.select(*keys, "lag", "acf", (1.96 / F.sqrt(F.col("_n"))).alias("bound"), (F.col("_n") * (F.col("_n") + 2) * q).alias("q"))
 
@@ -310,9 +310,9 @@ def deviations(df: DataFrame, n: int = 20, keys: tuple[str, ...] = KEYS) -> Data
     """Log return, log volatility and log activity minus their n-day means; volume relative to its mean."""
     w = series(keys)
     f = roll(w, n)
-    df = with_returns(df, keys=keys).withColumn("_lv", F.ln(F.greatest(F.col("high") / F.col("low") - 1, F.lit(1e-9)))).withColumn("_la", F.ln("amount"))
+    df = with_returns(df, keys=keys).withColumn("_lv", F.ln(F.greatest(F.try_divide(F.col("high"), F.col("low")) - 1, F.lit(1e-9)))).withColumn("_la", F.ln("amount"))
     dev = lambda c: F.when(F.count(c).over(f) >= n, F.col(c) - F.avg(c).over(f))
-    return df.withColumns({"ret_dev": dev("lr"), "vol_dev": dev("_lv"), "act_dev": dev("_la"), "rel_volume": F.when(F.count("volume").over(f) >= n, F.col("volume") / F.avg("volume").over(f))}).drop("_lv", "_la", "r", "lr")
+    return df.withColumns({"ret_dev": dev("lr"), "vol_dev": dev("_lv"), "act_dev": dev("_la"), "rel_volume": F.when(F.count("volume").over(f) >= n, F.try_divide(F.col("volume"), F.avg("volume").over(f)))}).drop("_lv", "_la", "r", "lr")
 
 
 def composite(df: DataFrame, features: list[str]) -> DataFrame:

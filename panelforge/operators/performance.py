@@ -15,7 +15,7 @@ QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 def with_drawdown(df: DataFrame, x: str = "nav", keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     w = series(keys)
-    df = df.withColumn("_peak", F.max(x).over(upto(w))).withColumn("drawdown", F.col(x) / F.col("_peak") - 1)
+    df = df.withColumn("_peak", F.max(x).over(upto(w))).withColumn("drawdown", F.try_divide(F.col(x), F.col("_peak")) - 1)
     df = df.withColumn("_at", F.last(F.when(F.col(x) >= F.col("_peak"), F.col("trade_date")), True).over(upto(w)))
     return df.withColumn("under_water", F.datediff("trade_date", "_at")).drop("_peak", "_at")
 
@@ -27,13 +27,13 @@ def safe(top: Column, bottom: Column) -> Column:
 def metrics(df: DataFrame, x: str = "nav", keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """Returns, volatility, Sharpe, Sortino, drawdown and its days, ulcer index and ratios of net values."""
     w = series(keys)
-    d = with_drawdown(df.withColumn("_r", F.col(x) / F.lag(x).over(w) - 1), x, keys)
+    d = with_drawdown(df.withColumn("_r", F.try_divide(F.col(x), F.lag(x).over(w)) - 1), x, keys)
     sq = F.sqrt(F.lit(float(YEAR)))
     g = d.groupBy(*keys).agg(
         F.count(x).alias("n"), F.min_by(x, "trade_date").alias("_a"), F.max_by(x, "trade_date").alias("_b"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),
         F.stddev_samp(F.least(F.col("_r"), F.when(F.col("_r").isNotNull(), 0.0))).alias("_d"), F.min("drawdown").alias("max_drawdown"), F.max("under_water").alias("max_under_water"), F.sqrt(F.avg(F.pow(F.col("drawdown") * 100, 2))).alias("ulcer"),
     )
-    total = F.col("_b") / F.col("_a")
+    total = F.try_divide(F.col("_b"), F.col("_a"))
     g = g.withColumn("total", total - 1).withColumn("annual", F.when(F.col("n") > 1, F.pow(total, F.lit(float(YEAR)) / (F.col("n") - 1)) - 1)).withColumn("vol", F.col("_s") * sq)
     g = g.withColumn("sharpe", safe(F.col("_m"), F.col("_s")) * sq).withColumn("sortino", safe(F.col("_m"), F.col("_d")) * sq)
     g = g.withColumn("calmar", safe(F.col("annual"), F.abs("max_drawdown"))).withColumn("ulcer_performance", safe(F.col("annual") * 100, F.col("ulcer")))
@@ -54,7 +54,7 @@ def win_stats(df: DataFrame, r: str, keys: tuple[str, ...]) -> DataFrame:
     )
     payoff = safe(F.col("_up"), F.col("_down"))
     g = g.withColumn("payoff", payoff)
-    g = g.withColumn("kelly", F.col("win_rate") - (1 - F.col("win_rate")) / F.col("payoff")).withColumn("kelly_nonzero", F.col("_p") - (1 - F.col("_p")) / F.col("payoff")).withColumn("kelly_mv", safe(F.col("mean"), F.col("_v")))
+    g = g.withColumn("kelly", F.col("win_rate") - F.try_divide(1 - F.col("win_rate"), F.col("payoff"))).withColumn("kelly_nonzero", F.col("_p") - F.try_divide(1 - F.col("_p"), F.col("payoff"))).withColumn("kelly_mv", safe(F.col("mean"), F.col("_v")))
     return g.drop("_up", "_down", "_p", "_v")
 
 
@@ -76,7 +76,7 @@ def histogram(df: DataFrame, x: str, keys: tuple[str, ...], bins: int = 20) -> D
 def rolling_pack(df: DataFrame, x: str, windows: dict[str, int], keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """(keys, trade_date, window, ret, drawdown) for each window of rows; all windows in one pass over one sort."""
     w = series(keys)
-    cells = [F.struct(F.lit(name).alias("window"), (F.col(x) / F.lag(x, n).over(w) - 1).alias("ret"), (F.col(x) / F.max(x).over(w.rowsBetween(-n, 0)) - 1).alias("drawdown")) for name, n in windows.items()]
+    cells = [F.struct(F.lit(name).alias("window"), (F.try_divide(F.col(x), F.lag(x, n).over(w)) - 1).alias("ret"), (F.col(x) / F.max(x).over(w.rowsBetween(-n, 0)) - 1).alias("drawdown")) for name, n in windows.items()]
     return df.withColumn("_c", F.array(*cells)).select(*keys, "trade_date", F.explode("_c").alias("c")).select(*keys, "trade_date", "c.*")
 
 
@@ -88,7 +88,7 @@ def attribution(df: DataFrame, w: str, r: str, keys: tuple[str, ...] = ()) -> Da
     all_codes = s.groupBy(*keys).agg(F.sum("_l").alias("_s"))
     ends = total.join(all_codes.hint("merge"), list(keys)) if keys else total.crossJoin(all_codes)  # one row each without keys
     j = s.join(ends.hint("merge"), list(keys)) if keys else s.crossJoin(F.broadcast(ends))
-    return j.select(*keys, "code", (F.col("_l") / F.col("_s") * F.col("_t")).alias("contribution"))
+    return j.select(*keys, "code", (F.try_divide(F.col("_l"), F.col("_s")) * F.col("_t")).alias("contribution"))
 
 
 def risk_contribution(df: DataFrame, w: str, r: str) -> DataFrame:
@@ -99,7 +99,7 @@ def risk_contribution(df: DataFrame, w: str, r: str) -> DataFrame:
     cov = a.join(b.hint("merge"), F.col("a.trade_date") == F.col("b.trade_date")).groupBy(F.col("a.code").alias("code"), F.col("b.code").alias("other")).agg(F.covar_samp("a.r", "b.r").alias("cov"))
     m2 = mean.select(F.col("code").alias("other"), F.col("mw").alias("mo"))
     j = cov.join(mean.hint("merge"), "code").join(m2.hint("merge"), "other").groupBy("code", "mw").agg(F.sum(F.col("mw") * F.col("mo") * F.col("cov")).alias("_c"))
-    return j.select("code", F.col("mw").alias("weight"), (F.col("_c") / F.sum("_c").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a code
+    return j.select("code", F.col("mw").alias("weight"), F.try_divide(F.col("_c"), F.sum("_c").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a code
 
 
 def xirr(flows: DataFrame, keys: tuple[str, ...] = ("account_id",), rounds: int = 60, low: float = -0.99, high: float = 10.0) -> DataFrame:
@@ -150,7 +150,7 @@ def trade_stats(trades: DataFrame, x: str, keys: tuple[str, ...], max_risk: floa
     g = win_stats(trades, x, keys)
     size = trades.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(x, 2))).alias("_a"))
     g = g.join(size.hint("merge"), list(keys))
-    p = 0.5 * (1 + F.col("mean") / F.col("_a"))
+    p = 0.5 * (1 + F.try_divide(F.col("mean"), F.col("_a")))
     ruin = F.when((p > 0.5) & (p < 1), F.pow((1 - p) / p, max_risk / F.col("_a"))).when(p <= 0.5, 1.0)
     return g.withColumn("risk_of_ruin", ruin).drop("_a")
 

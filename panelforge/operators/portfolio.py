@@ -39,7 +39,7 @@ def drifted(df: DataFrame, period: str, r: str = "r", weight: str = "w0", keys:
     """Weights that drift with returns inside a period and are reset to w0 at its start: w0 * growth so far, normalised a day."""
     w = Window.partitionBy(*keys, "code", period).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_g", F.col(weight) * F.coalesce(F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).over(w), F.lit(1.0)))
-    return df.withColumn("w", F.col("_g") / F.sum("_g").over(day(keys))).drop("_g")
+    return df.withColumn("w", F.try_divide(F.col("_g"), F.sum("_g").over(day(keys)))).drop("_g")
 
 
 def timed(w: str, how: str, keys: tuple[str, ...] = KEYS) -> Column:
@@ -51,9 +51,9 @@ def timed(w: str, how: str, keys: tuple[str, ...] = KEYS) -> Column:
 def with_fallback(none: DataFrame, hfq: DataFrame, far: float = 0.02, most: float = 1.2) -> DataFrame:
     """Returns on the raw basis; the adjusted ones on days on which the two disagree or the raw one leaps."""
     w = series()
-    a = none.withColumn("_rn", F.col("close") / F.lag("close").over(w)).select("code", "trade_date", "_rn")
-    b = hfq.withColumn("_rh", F.col("close") / F.lag("close").over(w)).select("code", "trade_date", "_rh")
-    off = (F.abs(F.col("_rn") / F.col("_rh") - 1) > far) | (F.col("_rn") > most) | (F.col("_rn") < 1 / most)
+    a = none.withColumn("_rn", F.try_divide(F.col("close"), F.lag("close").over(w))).select("code", "trade_date", "_rn")
+    b = hfq.withColumn("_rh", F.try_divide(F.col("close"), F.lag("close").over(w))).select("code", "trade_date", "_rh")
+    off = (F.abs(F.try_divide(F.col("_rn"), F.col("_rh")) - 1) > far) | (F.col("_rn") > most) | (F.col("_rn") < 1 / most)
     j = a.join(b.hint("merge"), ["code", "trade_date"], "left")
     return j.select("code", "trade_date", F.when(off, F.col("_rh")).otherwise(F.col("_rn")).alias("gross"), F.coalesce(off, F.lit(False)).alias("fallback"))
 
@@ -67,7 +67,7 @@ def daily_turnover(df: DataFrame, w: str = "w", r: str = "r", keys: tuple[str, .
     """Turnover against yesterday's weights after their drift."""
     df = df.withColumn("_pr", F.sum(F.col(w) * F.coalesce(F.col(r), F.lit(0.0))).over(day(keys)))
     s = series((*keys, "code"))
-    before = F.lag(w).over(s) * (1 + F.coalesce(F.lag(r).over(s), F.lit(0.0))) / (1 + F.lag("_pr").over(s))
+    before = F.lag(w).over(s) * (1 + F.coalesce(F.lag(r).over(s), F.lit(0.0))) / F.nullif(1 + F.lag("_pr").over(s), F.lit(0.0))
     return df.withColumn("_t", F.abs(F.col(w) - F.coalesce(before, F.lit(0.0))) / 2).groupBy(*keys, "trade_date").agg(F.sum("_t").alias("turnover"))
 
 
@@ -94,7 +94,7 @@ def with_cash(df: DataFrame, cash: DataFrame, keys: tuple[str, ...] = ()) -> Dat
 def decomposed(df: DataFrame, w: str = "w", keys: tuple[str, ...] = ()) -> DataFrame:
     """Overnight, intraday and interaction parts of the close-to-close return, summed over weights."""
     s = series((*keys, "code"))
-    on, intra = F.col("open") / F.lag("close").over(s) - 1, F.col("close") / F.col("open") - 1
+    on, intra = F.try_divide(F.col("open"), F.lag("close").over(s)) - 1, F.try_divide(F.col("close"), F.col("open")) - 1
     df = df.withColumn("_on", on).withColumn("_in", F.when(F.col("_on").isNotNull(), intra))
     part = lambda c: F.sum(F.col(w) * F.coalesce(c, F.lit(0.0)))
     return df.groupBy(*keys, "trade_date").agg(part(F.col("_on")).alias("overnight"), part(F.col("_in")).alias("intraday"), part(F.col("_on") * F.col("_in")).alias("interaction"))

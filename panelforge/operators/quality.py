@@ -21,9 +21,9 @@ def violations(df: DataFrame, max_return: float = 0.3, max_spread: float = 0.5,
         "not_positive": any_of(lambda c: F.coalesce(F.col(c) <= 0, F.lit(False))),
         "negative_volume": (F.col("volume") < 0) | (F.col("amount") < 0),
         "outside_range": (F.col("low") > low) | (F.col("high") < high),
-        "spread": F.col("high") / F.col("low") - 1 > max_spread,
+        "spread": F.try_divide(F.col("high"), F.col("low")) - 1 > max_spread,
         "gap": F.datediff("trade_date", F.lag("trade_date").over(w)) > max_gap,
-        "jump": F.abs(F.col("close") / known - 1) > max_return,
+        "jump": F.abs(F.try_divide(F.col("close"), known) - 1) > max_return,
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
     return df.select("code", "trade_date", found.alias("rules")).select("code", "trade_date", F.explode("rules").alias("rule"))
@@ -48,7 +48,7 @@ def inconsistent_ranges(df: DataFrame) -> DataFrame:
 def readiness(df: DataFrame, least: int, max_missing: float) -> DataFrame:
     """Points, largest absolute return, share of the union calendar that is missing, and the verdict."""
     w = series()
-    r = df.withColumn("_r", F.abs(F.col("close") / F.lag("close").over(w) - 1))
+    r = df.withColumn("_r", F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1))
     days = df.agg(F.count_distinct("trade_date").alias("_days"))  # one row
     out = r.groupBy("code").agg(F.count("close").alias("points"), F.max("_r").alias("max_abs_return")).crossJoin(F.broadcast(days))
     out = out.withColumn("missing", 1 - F.col("points") / F.col("_days"))
@@ -64,7 +64,7 @@ def shared_days(df: DataFrame) -> DataFrame:
 
 def repaired(df: DataFrame, value: str, by: str, far: float) -> DataFrame:
     """value, or `by` where it is missing, not positive or too far from it; fixed marks the rows."""
-    bad = F.col(value).isNull() | (F.col(value) <= 0) | (F.abs(F.col(value) / F.col(by) - 1) > far)
+    bad = F.col(value).isNull() | (F.col(value) <= 0) | F.coalesce(F.abs(F.try_divide(F.col(value), F.col(by)) - 1) > far, F.lit(False))
     return df.withColumn("fixed", bad).withColumn(value, F.when(bad, F.col(by)).otherwise(F.col(value)))
 
 
@@ -80,6 +80,6 @@ def errors(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
 def corrected(a: DataFrame, b: DataFrame, field: str, limit: float) -> DataFrame:
     """a with values that differ from b's by more than the limit replaced; was keeps what stood there."""
     right = b.select("code", "trade_date", F.col(field).alias("_y"))
-    far = F.abs(F.col(field) / F.col("_y") - 1) > limit
+    far = F.abs(F.try_divide(F.col(field), F.col("_y")) - 1) > limit
     out = a.join(right.hint("merge"), ["code", "trade_date"], "left")
     return out.withColumn("was", F.when(far, F.col(field))).withColumn(field, F.when(far, F.col("_y")).otherwise(F.col(field))).drop("_y")

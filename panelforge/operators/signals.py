@@ -199,7 +199,7 @@ def atr_stops(df: DataFrame, kind: str, k: float, atr: str = "atr", tighten: flo
     if kind == "static":
         df = df.withColumn("stop", F.col("entry") - k * F.col("_atr0"))
     else:
-        gain = F.greatest(F.lit(0.0), F.floor((F.max("close").over(upto(w)) - F.col("entry")) / F.col("_atr0")))
+        gain = F.greatest(F.lit(0.0), F.floor(F.try_divide(F.max("close").over(upto(w)) - F.col("entry"), F.col("_atr0"))))
         width = F.greatest(F.lit(0.5), k - tighten * gain) if kind == "tightening" else F.lit(k)
         df = df.withColumn("_c", F.col("close") - width * F.col(atr))
         df = df.withColumn("_m", F.max("_c").over(upto(w)))
@@ -218,10 +218,10 @@ def _first_exit(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def r_take_profit(df: DataFrame, risk: str, tiers: list[tuple[float, float]], arm: int = 2, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Exit when the profit falls back from its peak by the share of the highest tier (in R) reached; armed after `arm` sessions."""
     w = _position(keys)
-    df = df.withColumn("_peak", F.max(F.col("high") / F.col("entry") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_peak", F.max(F.try_divide(F.col("high"), F.col("entry")) - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     back = F.lit(None).cast("double")
     for r, share in sorted(tiers, reverse=False):
-        back = F.when(F.col("_peak") >= r * F.col(risk) / F.col("entry"), F.lit(share)).otherwise(back)
+        back = F.when(F.col("_peak") >= F.try_divide(r * F.col(risk), F.col("entry")), F.lit(share)).otherwise(back)
     df = df.withColumn("_back", back)
     line = F.col("entry") * (1 + F.col("_peak") * (1 - F.col("_back")))
     hit = (F.col("day") > arm) & F.col("_back").isNotNull() & (F.col("low") <= line)
@@ -231,7 +231,7 @@ def r_take_profit(df: DataFrame, risk: str, tiers: list[tuple[float, float]], ar
 def scale_out(df: DataFrame, risk: str, tiers: list[tuple[float, float]], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """size: share of the first position left after the tiers (in R) reached so far; after the first tier a low at the entry ends it."""
     w = _position(keys)
-    df = df.withColumn("_r", F.max((F.col("high") - F.col("entry")) / F.col(risk)).over(upto(w)))
+    df = df.withColumn("_r", F.max(F.try_divide(F.col("high") - F.col("entry"), F.col(risk))).over(upto(w)))
     cut = sum((F.when(F.col("_r") >= r, share).otherwise(0.0) for r, share in tiers), F.lit(0.0))
     first = min(r for r, _ in tiers)
     df = df.withColumn("_was", F.lag("_r").over(w))

@@ -65,7 +65,7 @@ def granger(df: DataFrame, x: str, y: str, p: int, keys: tuple[str, ...]) -> Dat
 def event_returns(df: DataFrame, event: Column, horizon: int, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """Events with the return of the `horizon` rows after them."""
     w = series(keys)
-    df = df.withColumn("_e", event).withColumn("fwd", F.lead("close", horizon).over(w) / F.col("close") - 1)
+    df = df.withColumn("_e", event).withColumn("fwd", F.try_divide(F.lead("close", horizon).over(w), F.col("close")) - 1)
     return df.where(F.col("_e") & F.col("fwd").isNotNull()).drop("_e")
 
 
@@ -131,9 +131,9 @@ def two_samples(df: DataFrame, x: str, flag: Column, keys: tuple[str, ...]) -> D
         F.count(inside).alias("n_in"), F.count(out).alias("n_out"), F.avg((inside > 0).cast("int")).alias("win_in"), F.avg((out > 0).cast("int")).alias("win_out"),
         F.avg(inside).alias("mean_in"), F.avg(out).alias("mean_out"), F.var_samp(inside).alias("_vi"), F.var_samp(out).alias("_vo"),
     )
-    pool = (F.col("win_in") * F.col("n_in") + F.col("win_out") * F.col("n_out")) / (F.col("n_in") + F.col("n_out"))
-    z = (F.col("win_in") - F.col("win_out")) / F.sqrt(pool * (1 - pool) * (1 / F.col("n_in") + 1 / F.col("n_out")))
-    t = (F.col("mean_in") - F.col("mean_out")) / F.sqrt(F.col("_vi") / F.col("n_in") + F.col("_vo") / F.col("n_out"))
+    pool = (F.coalesce("win_in", F.lit(0.0)) * F.col("n_in") + F.coalesce("win_out", F.lit(0.0)) * F.col("n_out")) / (F.col("n_in") + F.col("n_out"))
+    z = F.try_divide(F.col("win_in") - F.col("win_out"), F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("n_in")) + F.try_divide(F.lit(1.0), F.col("n_out")))))
+    t = F.try_divide(F.col("mean_in") - F.col("mean_out"), F.sqrt(F.try_divide(F.col("_vi"), F.col("n_in")) + F.try_divide(F.col("_vo"), F.col("n_out"))))
     return g.withColumn("z", z).withColumn("t", t).drop("_vi", "_vo")
 
 
@@ -151,7 +151,7 @@ def sweep(panel: DataFrame, lookbacks: list[int], exits: list[float], r: str = "
     exploded after it, so the panel is sorted once for all variants.
     """
     w = series()
-    moms = F.array(*[F.struct(F.lit(n).alias("lookback"), (F.col("close") / F.lag("close", n).over(w) - 1).alias("mom")) for n in lookbacks])
+    moms = F.array(*[F.struct(F.lit(n).alias("lookback"), (F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1).alias("mom")) for n in lookbacks])
     rows = panel.withColumn("_m", moms).select("code", "trade_date", r, F.explode("_m").alias("_m")).select("code", "trade_date", r, "_m.*")
     rows = rows.withColumn("exit", F.explode(F.array(*[F.lit(x) for x in exits])))
     v = Window.partitionBy("lookback", "exit", "code").orderBy("trade_date")

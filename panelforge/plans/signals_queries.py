@@ -104,7 +104,7 @@ def g12(spark, d):
 @query("g13_volatility_regime")
 def g13(spark, d):
     df = ind.atr(ind.atr(bars(spark, d), "fast", 10).drop("tr"), "slow", 60)
-    df = df.select("code", "trade_date", (F.col("fast") / F.col("slow")).alias("ratio"), (F.col("close") > F.avg("close").over(roll(series(), 60))).alias("on"))
+    df = df.select("code", "trade_date", F.try_divide(F.col("fast"), F.col("slow")).alias("ratio"), (F.col("close") > F.avg("close").over(roll(series(), 60))).alias("on"))
     return sig.volatility_regime(df, "ratio", "on")
 
 
@@ -169,7 +169,7 @@ def e04(spark, d):
     return sig.r_take_profit(positions(spark, d), "atr", [(1.0, 0.5), (2.0, 0.3)]).where("hold IS NOT NULL").select("code", "trade_date", "exit_price", "active")
 
 
-@query("e06_scale_out", f"""WITH {ATR}, r AS (SELECT *, max((high - entry) / atr) OVER {INPOS} AS r FROM a WHERE hold IS NOT NULL), w AS (SELECT *, lag(r) OVER (PARTITION BY code, hold ORDER BY trade_date) AS was FROM r), b AS (SELECT *, max((coalesce(was >= 1, false) AND low <= entry)::INT) OVER {INPOS} AS back FROM w)
+@query("e06_scale_out", f"""WITH {ATR}, r AS (SELECT *, max((high - entry) / nullif(atr, 0)) OVER {INPOS} AS r FROM a WHERE hold IS NOT NULL), w AS (SELECT *, lag(r) OVER (PARTITION BY code, hold ORDER BY trade_date) AS was FROM r), b AS (SELECT *, max((coalesce(was >= 1, false) AND low <= entry)::INT) OVER {INPOS} AS back FROM w)
   SELECT code, trade_date, CASE WHEN back = 1 THEN 0 ELSE greatest(0, 1 - CASE WHEN r >= 1 THEN 0.3 ELSE 0 END - CASE WHEN r >= 2 THEN 0.3 ELSE 0 END) END::DOUBLE AS size FROM b""", "size")
 def e06(spark, d):
     return sig.scale_out(positions(spark, d), "atr", [(1.0, 0.3), (2.0, 0.3)]).where("hold IS NOT NULL").select("code", "trade_date", "size")
@@ -194,7 +194,7 @@ def e08(spark, d):
 
 @query("e09_budget_gate")
 def e09(spark, d):
-    entries = positions(spark, d).where("day = 1").select(F.lit("s").alias("strategy"), "trade_date", "code", F.coalesce(2 * F.col("atr") / F.col("entry") / 20, F.lit(0.02)).alias("risk"))
+    entries = positions(spark, d).where("day = 1").select(F.lit("s").alias("strategy"), "trade_date", "code", F.coalesce(F.try_divide(2 * F.col("atr"), F.col("entry")) / 20, F.lit(0.02)).alias("risk"))
     return sig.budget_gate(entries)
 
 
