@@ -18,6 +18,7 @@ empty table gives no piece.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,72 +35,83 @@ from panelforge.llm.common import table, written
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker keeps, and documents that it takes at once.
+CACHE_WORDS = 400_000
+STEP_DOCS = 1000
+#: How byte-level BPE cuts a text before merging (a fixed value of that kind of vocabulary).
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    import os
+class ByteBpe:
+    """Ids of texts by a byte-level BPE of the tokenizers library, each distinct word merged once.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    What stands before a single space between two visible characters never
+    merges with what follows, and the space belongs to the word after it. So
+    texts are cut at such spaces, column-wise; texts with other runs of gaps
+    are cut by the pattern. The library's model merges the pieces.
+    """
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path).model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.known: dict[str, bytes] = {}
+
+    def piece(self, x: str) -> bytes:
+        found = self.model.tokenize(x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def word(self, x: str) -> bytes:
+        if (x[1:] if x[:1] == " " else x).isalpha():
+            return self.piece(x)
+        return b"".join([self.known.get(p) or self.piece(p) for p in _CUT.findall(x)])
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = self.word(w)
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (no null)."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        odd = pc.or_(pc.match_substring_regex(texts, rf"^{_GAPS}|{_GAPS}$|{_GAPS}{_GAPS}"), pc.equal(pc.utf8_length(texts), 0)).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd):
+            out[i] = np.frombuffer(b"".join(self.ids(_CUT.findall(texts[int(i)].as_py()))), "<u4")
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        words = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        offsets = words.offsets.to_numpy()
+        flat = words.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        coded = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar(" "), flat, "")).dictionary_encode()
+        ids = self.ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        tokens = pool[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])]
+        edge = np.concatenate([[0], ends])[offsets]
+        for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
+            out[i] = tokens[a:b]
+        return out
 
 
-_known: dict[str, np.ndarray] = {}
-#: White space in Unicode and in Python, for RE2.
-_GAPS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
-def encode_batch(texts: pa.Array, path: str) -> list[np.ndarray]:
-    """Ids of each text of a batch (no null).
 
-    The tokenizer's own splitting never joins what stands before a single space
-    between two visible characters with what follows, and gives the space to the
-    word after it. So such texts are cut at their spaces, each distinct word is
-    encoded once, and ids are put together by place. Texts with other runs of
-    gaps are encoded whole.
-    """
-    t = _tokenizer(path)
-    out: list[np.ndarray | None] = [None] * len(texts)
-    odd = pc.or_(pc.match_substring_regex(texts, rf"^$|^{_GAPS}|{_GAPS}$|{_GAPS}{_GAPS}"), pc.equal(pc.utf8_length(texts), 0)).to_numpy(zero_copy_only=False)
-    whole = np.flatnonzero(odd)
-    for k in range(0, len(whole), 64):
-        at = whole[k : k + 64]
-        for i, e in zip(at, t.encode_batch([texts[int(i)].as_py() for i in at], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-    plain = np.flatnonzero(~odd)
-    if not len(plain):
-        return out
-    words = pc.split_pattern(texts.take(pa.array(plain)), " ")
-    offsets = words.offsets.to_numpy()
-    flat = words.flatten()
-    first = np.zeros(len(flat), bool)
-    first[offsets[:-1]] = True
-    spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar(" "), flat, "")) if len(flat) else flat
-    coded = spaced.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    new = [w for w in names if w not in _known]
-    for k in range(0, len(new), 4096):
-        for w, e in zip(new[k : k + 4096], t.encode_batch(new[k : k + 4096], add_special_tokens=False), strict=True):
-            _known[w] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65536 else np.uint32)
-    ids = [_known[w] for w in names]
-    sizes = np.array([len(x) for x in ids], np.int64)
-    pool, starts = np.concatenate(ids).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    code = coded.indices.to_numpy()
-    n = sizes[code]
-    ends = np.cumsum(n)
-    tokens = pool[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-    edge = np.concatenate([[0], ends])[offsets]
-    for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
-        out[i] = tokens[a:b]
-    return out
+#: White space in Unicode and in Python, for RE2.
+_GAPS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -106,9 +119,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        bpe = tokenizer_of(tokenizer)
+        for b in (b.slice(k, STEP_DOCS) for b in batches for k in range(0, max(1, b.num_rows), STEP_DOCS)):
             doc, piece, start, length, crc, own = [], [], [], [], [], []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode_batch(b.column(1), tokenizer), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 cut = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
                 for k, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
