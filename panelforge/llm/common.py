@@ -62,5 +62,10 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
     return big.join(side, on, how)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The rows as one struct column _row, so that no column added beside it can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BROADCAST_ROWS, GAP, n_words_of, table, written
+from panelforge.llm.common import BROADCAST_ROWS, GAP, n_words_of, table, whole_rows, written
+
+#: The most line places that are broadcast in all.
+BROADCAST_PLACES = 2_000_000
 
 
 def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -131,26 +134,31 @@ def removals(docs: DataFrame, rare_words: int = 5, block_words: int = 40) -> Dat
 
 
 def with_removals(docs: DataFrame, rare_words: int = 5, block_words: int = 40) -> DataFrame:
-    """docs plus _gone: places of its lines to delete, or null."""
+    """(_row, _gone): the rows of docs and the places of their lines to delete, or null."""
     gone = written(removals(docs, rare_words, block_words), "lines-gone")
     side = gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone"))
-    side = F.broadcast(side) if gone.count() <= BROADCAST_ROWS else side.hint("merge")
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+    rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    side = F.broadcast(side) if rows <= BROADCAST_ROWS and places <= BROADCAST_PLACES else side.hint("merge")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash"))
+    return whole_rows(docs).join(side, same, "left").drop("_id", "_hash")
+
+
+def text_left() -> Column:
+    """The text of a row of with_removals() without the lines to delete."""
+    lines = F.filter(F.split("_row.text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
+    return F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(lines, "\n"))
 
 
 def deduplicated(docs: DataFrame, rare_words: int = 5, block_words: int = 40) -> DataFrame:
     """docs with the repeated blocks deleted from later documents; every row stays."""
     left = with_removals(docs, rare_words, block_words)
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return left.withColumn("text", text).select(docs.columns)
+    return left.select(F.col("_row").withField("text", text_left()).alias("_row")).select("_row.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines deleted, words left, and the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = with_removals(docs)
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     gone = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
-    return left.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), n_words_of(text).alias("n_words_left"), text.alias("text"))
+    text = F.col("_row.text")
+    out = with_removals(docs).select("_row.doc_id", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), text_left().alias("text"))
+    return out.select("doc_id", "n_lines", "n_deleted", n_words_of(F.col("text")).alias("n_words_left"), "text")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import BROADCAST_ROWS, n_words_of, table, written
+from panelforge.llm.common import BROADCAST_ROWS, n_words_of, table, whole_rows, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -70,9 +70,9 @@ def with_copies(docs: DataFrame, sizes: DataFrame, seed: int = 17, weights: tupl
 def mixed(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix: rows of docs with its own columns, each as often as it is taken."""
     sizes = written(docs.select("source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
-    out = with_copies(docs, sizes, seed, weights)
+    out = with_copies(whole_rows(docs).select("_row", "_row.doc_id", "_row.source"), sizes, seed, weights)
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<long>"))
-    return out.withColumn("_copy", F.explode(times)).select(docs.columns)
+    return out.withColumn("_copy", F.explode(times)).select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

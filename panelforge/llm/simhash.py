@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import BROADCAST_ROWS, checked_join, table, written
+from panelforge.llm.common import BROADCAST_ROWS, checked_join, table, whole_rows, written
 from panelforge.llm.components import components
 
 LEAF = 32
@@ -69,14 +69,14 @@ def _lower(text: str) -> str:
 
 
 def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) of each row; the words of whole texts are read."""
+    """(doc_id, hash, fp) of each row: a hash of the text, and the fingerprint; whole texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def gray_rank(c: Column) -> Column:
@@ -237,31 +237,29 @@ def _run_pairs(hot: DataFrame, most: int, group_rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, group_rows: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of docs."""
+    """(doc_id, hash, fp, label, component_id) of each row of docs; label: the component's smallest fingerprint."""
     prints = written(with_fingerprint(docs, width), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = components(links(distinct.select("fp"), most, group_rows))
     labelled = distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    member = written(labelled.join(tops.hint("merge"), "label").select("fp", "component_id"), "simhash-members")
+    member = written(labelled.join(tops.hint("merge"), "label").select("fp", "label", "component_id"), "simhash-members")
     # a hot fingerprint is one row on this side; AQE splits its rows on the other
-    return checked_join(prints, member, ["fp"], "inner", member.count()).select("doc_id", "fp", "component_id")
+    return checked_join(prints, member, ["fp"], "inner", member.count()).select("doc_id", "hash", "fp", "label", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: the row whose doc_id is the component's; other rows go.
-
-    Of several rows with that doc_id one stays, the one with the smallest text.
-    """
-    member = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    member = written(member.select(F.col("doc_id").alias("_kept"), F.col("count").alias("_rows")), "simhash-kept")
+    """One row of each group: that with the smallest doc_id (null last), of several the one with the smallest text hash."""
+    texts = near_duplicates(docs).groupBy("label", "doc_id", "hash").count()
+    first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "count")).alias("k"))
+    member = written(first.select(F.col("k.doc_id").alias("_kept"), F.col("k.hash").alias("_hash"), F.col("k.count").alias("_rows")), "simhash-kept")
     rows = member.count()
     side = F.broadcast(member) if rows <= BROADCAST_ROWS else member.hint("merge")
-    kept = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_kept")), "inner")
-    out = kept.where("_rows = 1").select(docs.columns)
+    kept = whole_rows(docs).join(side, F.col("_row.doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("_row.text") == F.col("_hash")), "inner")
+    out = kept.where("_rows = 1").select("_row.*")
     if member.where("_rows > 1").limit(1).count():  # only these are shuffled with their texts
-        one = kept.where("_rows > 1").groupBy("_kept").agg(F.min_by(F.struct(docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("d"))
-        out = out.unionByName(one.select("d.*"))
+        one = kept.where("_rows > 1").groupBy("_kept", "_hash").agg(F.first("_row").alias("_row"))
+        out = out.unionByName(one.select("_row.*"))
     return out
 
 
