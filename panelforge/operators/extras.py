@@ -133,3 +133,109 @@ def mode_or_median(draws: DataFrame, value: str, how: str, keys: tuple[str, ...]
     mid = F.percentile(value, 0.5).over(Window.partitionBy(*keys))
     near = draws.withColumn("_d", F.abs(F.col(value) - mid))
     return near.groupBy(*keys).agg(F.min(F.struct("_d", value)).alias("m")).select(*keys, f"m.{value}")
+
+
+def bias_take_profit(df: DataFrame, ma: str, atr: str, tiers: list[tuple[float, float]], keys: tuple[str, ...] = ("code",)) -> DataFrame:
+    """size and fill of a position (columns hold, entry) that sells shares at lines of tiers above a mean.
+
+    A tier's line is mean + k * ATR of the day before and never falls inside a
+    position; it is reached when the high touches it, at the better of line and
+    open; each tier takes its share of the first size once.
+    """
+    w = Window.partitionBy(*keys, "hold").orderBy("trade_date")
+    df = df.withColumn("_ma", F.lag(ma).over(w)).withColumn("_atr", F.lag(atr).over(w))
+    for k, (level, _) in enumerate(tiers):
+        df = df.withColumn(f"_l{k}", F.max(F.col("_ma") + level * F.col("_atr")).over(upto(w)))
+        df = df.withColumn(f"_h{k}", F.max((F.col("high") >= F.col(f"_l{k}")).cast("int")).over(upto(w)))
+        df = df.withColumn(f"_n{k}", (F.col(f"_h{k}") == 1) & (F.coalesce(F.lag(f"_h{k}").over(w), F.lit(0)) == 0))
+    gone = sum((F.coalesce(F.col(f"_h{k}"), F.lit(0)) * share for k, (_, share) in enumerate(tiers)), F.lit(0.0))
+    fills = [F.when(F.col(f"_n{k}"), F.greatest(F.col(f"_l{k}"), F.col("open"))) for k in range(len(tiers))]
+    df = df.withColumn("size", F.greatest(F.lit(0.0), 1 - gone)).withColumn("fill", F.greatest(*fills) if len(fills) > 1 else fills[0])
+    return df.drop("_ma", "_atr", *[f"_{c}{k}" for c in "lhn" for k in range(len(tiers))])
+
+
+def stop_plan(df: DataFrame, stop: str, slippage: float) -> DataFrame:
+    """Each code's last row if it is held: the stop for the next day and the fill that it expects."""
+    last = df.groupBy("code").agg(F.max_by(F.struct("trade_date", "hold", stop, "close"), "trade_date").alias("l")).select("code", "l.*")
+    return last.where("hold IS NOT NULL").select("code", "trade_date", stop, "close", (F.col(stop) * (1 - slippage)).alias("expected_fill"))
+
+
+def own_return_sizing(df: DataFrame, r: str, n: int, cuts: list[float], exposures: list[float], keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """Exposure by the strategy's own return over its last n sessions, itself scaled: feedback, so a loop; a group is one strategy."""
+
+    def walk(pdf):
+        pdf = pdf.sort_values("trade_date")
+        navs, out = [1.0], []
+        for x in pdf[r].fillna(0.0):
+            past = navs[-1] / navs[max(0, len(navs) - 1 - n)] - 1
+            e = exposures[sum(past > c for c in cuts)]
+            out.append(e)
+            navs.append(navs[-1] * (1 + e * x))
+        return pdf.assign(exposure=out, nav=navs[1:])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", exposure double, nav double"
+    return df.groupBy(*keys).applyInPandas(walk, schema)
+
+
+def correlation_gate(decisions: DataFrame, pairs: DataFrame, limit: float, k: int) -> DataFrame:
+    """Held codes by decision: a new code enters only if no correlation with the held ones passes the limit.
+
+    Rows (strategy, trade_date, code, place) of candidates and (a, b, corr); a group is one strategy's candidates.
+    """
+    both = pairs.select("a", "b", "corr").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).where(F.abs("corr") > limit)
+    near = both.groupBy(F.col("a").alias("code")).agg(F.collect_set("b").alias("near"))
+    rows = decisions.join(near.hint("merge"), "code", "left").select("strategy", "trade_date", "code", "place", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+
+    def walk(pdf):
+        import pandas as pd
+
+        held, out = [], []
+        for date, g in pdf.sort_values(["trade_date", "place"]).groupby("trade_date", sort=True):
+            there = set(g["code"])
+            held = [c for c in held if c in there]
+            for c, close in zip(g["code"], g["near"], strict=True):
+                if len(held) < k and c not in held and not set(held) & set(close):
+                    held.append(c)
+            out += [(g["strategy"].iloc[0], date, c) for c in held]
+        return pd.DataFrame(out, columns=["strategy", "trade_date", "code"])
+
+    return rows.groupBy("strategy").applyInPandas(walk, "strategy string, trade_date date, code string")
+
+
+def marked(positions: DataFrame, prices: DataFrame, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
+    """Equity, peak and drawdown of stored positions (cash, JSON map of code to quantity) at the day's prices."""
+    held = positions.select(*keys, "trade_date", "cash", F.explode_outer(F.from_json("positions", "map<string,double>")).alias("code", "quantity"))
+    j = held.join(prices.select("code", "trade_date", "close").hint("merge"), ["code", "trade_date"], "left")
+    e = j.groupBy(*keys, "trade_date").agg((F.first("cash") + F.coalesce(F.sum(F.col("quantity") * F.col("close")), F.lit(0.0))).alias("equity"))
+    peak = F.max("equity").over(upto(Window.partitionBy(*keys).orderBy("trade_date")))
+    return e.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col("equity"), F.col("peak")) - 1)
+
+
+def attributed(days: DataFrame) -> DataFrame:
+    """Daily parts of a return: selection (w - wb) * (r - rb), position wb-weighted, cost, cash drag, and timing as what is left.
+
+    Rows (trade_date, code, w, wb, r, cost, total), total being the account's return of the day.
+    """
+    b = F.sum(F.col("wb") * F.coalesce("r", F.lit(0.0))).over(Window.partitionBy("trade_date"))
+    g = days.withColumn("_b", b).groupBy("trade_date").agg(
+        F.sum((F.col("w") - F.col("wb")) * (F.coalesce("r", F.lit(0.0)) - F.col("_b"))).alias("selection"), F.first("_b").alias("position"), (-F.sum("cost")).alias("cost"),
+        ((F.sum("w") - 1) * F.first("_b")).alias("cash_drag"), F.first("total").alias("total"),
+    )
+    return g.withColumn("timing", F.col("total") - F.col("selection") - F.col("position") - F.col("cost") - F.col("cash_drag"))
+
+
+def missing_references(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
+    """Values of a column that the known keys lack, with their number of rows."""
+    return rows.where(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct().hint("merge"), column, "left_anti").groupBy(column).agg(F.count("*").alias("n"))
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def r_multiples(trades: DataFrame, bars: DataFrame, k: float, buffer: float) -> DataFrame:
+    """Trades with the first risk (k ATR of the entry day over the entry price, plus a buffer) and the result in its units."""
+    at = bars.select("code", F.col("trade_date").alias("entry_date"), F.col("open").alias("entry"), "atr")
+    j = trades.join(at.hint("merge"), ["code", "entry_date"])
+    risk = k * F.try_divide(F.col("atr"), F.col("entry")) + buffer
+    return j.withColumn("risk", risk).withColumn("r_multiple", F.try_divide(F.col("ret"), F.col("risk")))

@@ -1,11 +1,10 @@
 """Statistical tests, resampling and parameter sweeps; draws come from hashes, so reruns agree."""
 
-from __future__ import annotations
-
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +136,12 @@ def two_samples(df: DataFrame, x: str, flag: Column, keys: tuple[str, ...]) -> D
     return g.withColumn("z", z).withColumn("t", t).drop("_vi", "_vo")
 
 
+@F.pandas_udf("double")
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided tail of the normal law; Spark has no error function."""
+    return z.map(lambda x: None if x != x else math.erfc(abs(x) / math.sqrt(2)))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """q-values: the smallest p * n / rank among ranks from the row's on; one family is small."""
     fam = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

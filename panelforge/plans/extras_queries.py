@@ -231,3 +231,97 @@ def r11(spark, d):
 def z03(spark, d):
     w = Window.partitionBy("account_id").orderBy("flow_date", "id").rowsBetween(Window.unboundedPreceding, 0)
     return flows(spark, d).select("account_id", "id", F.sum("amount").over(w).alias("cash"))
+
+
+@query("e05_bias_take_profit", f"""WITH {ATR}, m AS (SELECT *, avg(close) OVER {frame(20)} AS ma FROM a), l AS (SELECT *, lag(ma) OVER p AS pm, lag(atr) OVER p AS pa FROM m WHERE hold IS NOT NULL WINDOW p AS (PARTITION BY code, hold ORDER BY trade_date)), ln AS (SELECT *, max(pm + pa) OVER q AS l0, max(pm + 2 * pa) OVER q AS l1 FROM l WINDOW q AS (PARTITION BY code, hold ORDER BY trade_date)),
+  ht AS (SELECT *, coalesce(max((high >= l0)::INT) OVER q, 0) AS h0, coalesce(max((high >= l1)::INT) OVER q, 0) AS h1 FROM ln WINDOW q AS (PARTITION BY code, hold ORDER BY trade_date)) SELECT code, trade_date, greatest(0, 1 - h0 * 0.4 - h1 * 0.4)::DOUBLE AS size FROM ht""", "size")
+def e05(spark, d):
+    p = positions(spark, d).withColumn("ma", F.avg("close").over(series().rowsBetween(-19, 0))).where("hold IS NOT NULL")
+    return ex.bias_take_profit(p, "ma", "atr", [(1.0, 0.4), (2.0, 0.4)]).select("code", "trade_date", "size")
+
+
+@query("e10_stop_plan", f"WITH {ATR}, l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1) SELECT code, trade_date, entry * 0.9 AS stop, close, entry * 0.9 * 0.998 AS expected_fill FROM l WHERE hold IS NOT NULL", "stop close expected_fill")
+def e10(spark, d):
+    return ex.stop_plan(positions(spark, d).withColumn("stop", F.col("entry") * 0.9), "stop", 0.002)
+
+
+@query("e12_own_return_sizing")
+def e12(spark, d):
+    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").groupBy("trade_date").agg((F.avg("r") / 100).alias("r")).withColumn("strategy", F.lit("s"))
+    return ex.own_return_sizing(r, "r", 20, [0.0, 0.1], [0.3, 0.7, 1.0])
+
+
+@query("e13_composite_cap")
+def e13(spark, d):
+    c = ind.composite(ind.deviations(bars(spark, d)), ["ret_dev", "vol_dev", "act_dev"])
+    return c.select("trade_date", sig.tiered("composite", [F.lit(0.8), F.lit(0.95)], [1.0, 0.6, 0.3]).alias("cap"))
+
+
+@query("x13_correlation_gate")
+def x13(spark, d):
+    from panelforge.operators import cross_section as xs
+
+    b = ind.with_returns(brand_bars(spark, d)).withColumn("mom", xs.momentum(20))
+    days = cal.period_ends(cal.sessions(b), "M").select(F.col("decision_date").alias("trade_date"))
+    c = xs.picks(b.join(days.hint("merge"), "trade_date"), "mom", 12).select(F.lit("s").alias("strategy"), "trade_date", "code", "place")
+    return ex.correlation_gate(c, xs.correlations(b), 0.05, 4)
+
+
+@query("l09_attribution", f"""WITH {RET}, x AS (SELECT code, trade_date, coalesce(r, 0) / 1000 AS r, 0.12 AS w, 1.0 / count(*) OVER (PARTITION BY trade_date) AS wb FROM r), b AS (SELECT *, sum(wb * r) OVER (PARTITION BY trade_date) AS b, sum(w * r) OVER (PARTITION BY trade_date) - 0.0001 AS total FROM x),
+  g AS (SELECT trade_date, sum((w - wb) * (r - b)) AS selection, any_value(b) AS position, -sum(0.00001) AS cost, (sum(w) - 1) * any_value(b) AS cash_drag, any_value(total) AS total FROM b GROUP BY trade_date) SELECT *, total - selection - position - cost - cash_drag AS timing FROM g""", "selection position cost cash_drag total timing", 9)
+def l09(spark, d):
+    xs_day = Window.partitionBy("trade_date")
+    x = ind.with_returns(bars(spark, d)).select("code", "trade_date", (F.coalesce("r", F.lit(0.0)) / 1000).alias("r"), F.lit(0.12).alias("w"), F.lit(0.00001).alias("cost"))
+    x = x.withColumn("wb", 1.0 / F.count("*").over(xs_day)).withColumn("total", F.sum(F.col("w") * F.col("r")).over(xs_day) - 0.0001)
+    return ex.attributed(x)
+
+
+@query("l12_marked_positions", f"WITH {BARS}, p AS (SELECT trade_date, 100.0 AS cash, sum(close * CASE code WHEN 'AF' THEN 2 WHEN 'RO' THEN 3 END) AS v FROM bars WHERE code IN ('AF', 'RO') GROUP BY trade_date), e AS (SELECT trade_date, cash + v AS equity FROM p) SELECT 1::BIGINT AS account_id, trade_date, equity, max(equity) OVER (ORDER BY trade_date) AS peak, equity / max(equity) OVER (ORDER BY trade_date) - 1 AS drawdown FROM e", "equity peak drawdown")
+def l12(spark, d):
+    b = bars(spark, d)
+    held = b.where("code IN ('AF', 'RO')").select("trade_date").distinct().select(F.lit(1).cast("long").alias("account_id"), "trade_date", F.lit(100.0).alias("cash"), F.lit('{"AF": 2, "RO": 3}').alias("positions"))
+    return ex.marked(held, b)
+
+
+@query("s21_reference_checks", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey")
+def s21(spark, d):
+    return ex.missing_references(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_size > 5"), "p_partkey")
+
+
+@query("s21_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def s21k(spark, d):
+    return ex.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("t03_r_multiples")
+def t03(spark, d):
+    b = bars(spark, d).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(series().rowsBetween(-13, 0)))
+    return ex.r_multiples(all_trades(spark, d), b, 2.0, 0.001).select("code", "trade", "risk", "r_multiple")
+
+
+@query("t07_entry_conditions")
+def t07(spark, d):
+    """Entry conditions inside and out: two samples of each condition, q-values over the family."""
+    from panelforge.operators import studies as st
+
+    b = bars(spark, d).select("code", F.col("trade_date").alias("entry_date"), F.col("close").alias("px"), "volume", "high", "low")
+    t = all_trades(spark, d).join(b.hint("merge"), ["code", "entry_date"])
+    conds = {"heavy": F.col("volume") > 60, "wide": F.col("high") > 2 * F.col("low"), "dear": F.col("px") > 1000}
+    cells = F.array(*[F.struct(F.lit(k).alias("condition"), c.alias("inside")) for k, c in conds.items()])
+    rows = t.withColumn("c", F.explode(cells)).select("ret", "c.*")
+    out = st.two_samples(rows, "ret", F.col("inside"), ("condition",))
+    return st.benjamini_hochberg(out.withColumn("p", st.normal_p("t")), "p")
+
+
+@query("r07_grid_under_bootstrap")
+def r07(spark, d):
+    """Best lookback of each resample by total return, and the lookback that most resamples choose."""
+    from panelforge.operators import studies as st
+
+    b = ind.with_returns(bars(spark, d)).withColumn("lookback", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))))
+    w = series(("lookback", "code"))
+    rule = F.when(F.col("lookback") == 5, F.lag("close", 5).over(w)).when(F.col("lookback") == 20, F.lag("close", 20).over(w)).otherwise(F.lag("close", 60).over(w))
+    x = b.withColumn("_p", (F.col("close") > rule).cast("int")).withColumn("x", F.coalesce(F.lag("_p").over(w), F.lit(0)) * F.col("r") / 1000)
+    sims = st.block_bootstrap(x, "x", 20, 20, keys=("code", "lookback"))
+    best = sims.groupBy("code", "sim").agg(F.max_by("lookback", "total").alias("lookback"))
+    return ex.mode_or_median(best, "lookback", "mode", ("code",))
