@@ -239,3 +239,15 @@ def r_multiples(trades: DataFrame, bars: DataFrame, k: float, buffer: float) ->
     j = trades.join(at.hint("merge"), ["code", "entry_date"])
     risk = k * F.try_divide(F.col("atr"), F.col("entry")) + buffer
     return j.withColumn("risk", risk).withColumn("r_multiple", F.try_divide(F.col("ret"), F.col("risk")))
+
+
+def continuous_of(pool: DataFrame, prices: DataFrame, suffix: str = "889") -> DataFrame:
+    """Rows of each pool code's continuous series: the letters of the code and the suffix name the series."""
+    named = pool.select("code", F.concat(F.regexp_extract("code", r"^([A-Za-z]+)", 1), F.lit(suffix)).alias("_series"))
+    return named.join(prices.withColumnRenamed("code", "_series").hint("merge"), "_series").drop("_series")
+
+
+def signal_and_execution(adjusted: DataFrame, raw: DataFrame) -> DataFrame:
+    """Adjusted bars for signals beside raw bars for execution, on the dates that both have."""
+    ex = raw.select("code", "trade_date", *[F.col(c).alias(f"exec_{c}") for c in ("open", "close")])
+    return adjusted.join(ex.hint("merge"), ["code", "trade_date"])

@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.frames import series
 
@@ -136,7 +137,7 @@ def two_samples(df: DataFrame, x: str, flag: Column, keys: tuple[str, ...]) -> D
     return g.withColumn("z", z).withColumn("t", t).drop("_vi", "_vo")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided tail of the normal law; Spark has no error function."""
     return z.map(lambda x: None if x != x else math.erfc(abs(x) / math.sqrt(2)))

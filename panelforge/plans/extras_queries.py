@@ -325,3 +325,29 @@ def r07(spark, d):
     sims = st.block_bootstrap(x, "x", 20, 20, keys=("code", "lookback"))
     best = sims.groupBy("code", "sim").agg(F.max_by("lookback", "total").alias("lookback"))
     return ex.mode_or_median(best, "lookback", "mode", ("code",))
+
+
+@query("s06_continuous_close", f"WITH {CONTRACTS}, c AS (SELECT root, trade_date, first(close ORDER BY hold DESC, contract) AS close FROM contracts GROUP BY ALL), p AS (SELECT DISTINCT c_mktsegment AS root, c_mktsegment || '01' AS code FROM customer) SELECT p.code, trade_date, close FROM p JOIN c ON p.root = c.root", "close")
+def s06(spark, d):
+    w = Window.partitionBy("root", "trade_date").orderBy(F.desc("hold"), "contract")
+    series_rows = contracts(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select(F.concat("root", F.lit("889")).alias("code"), "trade_date", "close")
+    pool = table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("01")).alias("code")).distinct()
+    return ex.continuous_of(pool, series_rows)
+
+
+@query("s07_signal_and_execution", f"WITH {BARS} SELECT a.code, a.trade_date, a.close + 5 AS close, a.open AS exec_open, a.close AS exec_close FROM bars a WHERE a.volume > 60", "close exec_open exec_close")
+def s07(spark, d):
+    b = bars(spark, d)
+    return ex.signal_and_execution(b.select("code", "trade_date", (F.col("close") + 5).alias("close")), b.where("volume > 60"))
+
+
+@query("s20_run_table", f"WITH {BARS} SELECT code, year(trade_date) AS run, count(*) AS n, avg(close) AS mean FROM bars GROUP BY ALL", "mean")
+def s20(spark, d):
+    """A result table written by run and read back, as exports are."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/panelforge"
+    path = f"{folder.rstrip('/')}/export-{uuid.uuid4().hex}"
+    g = bars(spark, d).groupBy("code", F.year("trade_date").alias("run")).agg(F.count("*").alias("n"), F.avg("close").alias("mean"))
+    g.write.partitionBy("run").parquet(path)
+    return spark.read.parquet(path).select("code", F.col("run").cast("long").alias("run"), "n", "mean")
