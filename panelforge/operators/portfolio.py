@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.frames import KEYS, day, run_id, series, upto
+from panelforge.functions.frames import KEYS, day, series, upto
 
 
 def equal(keys: tuple[str, ...] = ()) -> Column:

@@ -7,7 +7,7 @@ neither can say are loops in Python, one group a series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import KEYS, latch, prior, roll, run_id, series, upto
@@ -177,7 +177,7 @@ def with_positions(df: DataFrame, pos: str = "pos", keys: tuple[str, ...] = KEYS
     return df.withColumn("entry", F.when(F.col("_on"), F.first("open").over(upto(w)))).drop("_on", "_run")
 
 
-def _position(keys: tuple[str, ...]) -> Window:
+def _position(keys: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*keys, "hold").orderBy("trade_date")
 
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from panelforge.functions.frames import prior, ret, roll, series, upto
+from panelforge.functions.frames import ret, roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import scan
 from panelforge.plans.registry import query

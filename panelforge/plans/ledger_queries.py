@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import ledger
 from panelforge.plans.registry import query
-from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, bars, contracts, flows, trades
+from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, contracts, flows, trades
 
 ORD = "trade_date, trade_time, id, price, quantity"
 

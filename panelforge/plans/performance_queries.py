@@ -8,7 +8,6 @@ from panelforge.functions.frames import roll, series
 from panelforge.operators import calendar as cal
 from panelforge.operators import indicators as ind
 from panelforge.operators import performance as perf
-from panelforge.operators import portfolio as pf
 from panelforge.plans.indicators_queries import RET, W, frame
 from panelforge.plans.portfolio_queries import DRIFT, all_trades, drift
 from panelforge.plans.registry import query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.frames import run_id, series, upto
+from panelforge.functions.frames import run_id, series
 from panelforge.operators import calendar as cal
 from panelforge.operators import quality
 from panelforge.plans.registry import query
