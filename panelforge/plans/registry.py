@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", places: int = 6)
 
         QUERIES[name] = run
         if sql:
-            rounded = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in names)
+            rounded = ", ".join(f"round({c}::DOUBLE, {places}) + 0.0::DOUBLE AS {c}" for c in names)
             ORACLE_SQL[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
         return f
 
