@@ -249,16 +249,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, group_rows:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group: that with the smallest doc_id (null last), of several the one with the smallest text hash."""
-    texts = near_duplicates(docs).groupBy("label", "doc_id", "hash").count()
-    first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "count")).alias("k"))
-    member = written(first.select(F.col("k.doc_id").alias("_kept"), F.col("k.hash").alias("_hash"), F.col("k.count").alias("_rows")), "simhash-kept")
-    rows = member.count()
-    side = F.broadcast(member) if rows <= BROADCAST_ROWS else member.hint("merge")
-    kept = whole_rows(docs).join(side, F.col("_row.doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("_row.text") == F.col("_hash")), "inner")
-    out = kept.where("_rows = 1").select("_row.*")
-    if member.where("_rows > 1").limit(1).count():  # only these are shuffled with their texts
-        one = kept.where("_rows > 1").groupBy("_kept", "_hash").agg(F.first("_row").alias("_row"))
+    """One row of each group: that with the smallest doc_id (null last), of several the one with the smallest text hash.
+
+    What goes is named, not what stays: that is the smaller set, and while it
+    is small enough to be broadcast no text is shuffled.
+    """
+    texts = written(near_duplicates(docs).groupBy("label", "doc_id", "hash").count(), "simhash-texts")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
+    first = texts.groupBy("label").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("count").alias("most"))
+    first = first.where("first <> last OR most > 1").select("label", "first")
+    gone = texts.join(first.hint("merge"), "label").withColumn("stays", key == F.col("first")).where("NOT stays OR count > 1")
+    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays"), "simhash-gone")
+    rows = gone.count()
+    side = F.broadcast(gone) if rows <= BROADCAST_ROWS else gone.hint("merge")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash"))
+    out = whole_rows(docs).join(side, same, "left_anti").select("_row.*")
+    again = gone.where("stays")
+    if again.limit(1).count():  # rows that repeat both doc_id and text: one of them stays
+        side = F.broadcast(again) if rows <= BROADCAST_ROWS else again.hint("merge")
+        one = whole_rows(docs).join(side, same).groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
         out = out.unionByName(one.select("_row.*"))
     return out
 
