@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,14 @@ def n_words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of so many rows; Arrow's free memory goes back to the system at the end."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
     """Join with a written side of `rows` rows: broadcast while that is small, else a sort-merge join (AQE splits skew)."""
     side = F.broadcast(small) if rows <= BROADCAST_ROWS else small.hint("merge")

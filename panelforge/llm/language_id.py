@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table, written
+from panelforge.llm.common import slices, table, written
 
 BITS = 12
 _LETTER = re.compile(r"[^\W\d_]")
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, per_lang: int = 300, most: int = 3000, clusters: int =
         share = F.when(F.col("lang") == lang, F.lit(int(1_000_003 * min(1.0, per / n)))).otherwise(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             keep = [k for k, t in enumerate(texts) if _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([counts(texts[k]).astype("<i4").tobytes() for k in keep], pa.binary()), b.column(2).take(pa.array(keep, pa.int64()))], ["lang", "tf", "u"])
@@ -146,7 +146,7 @@ def identified(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs))  # a fixed size: features x centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score, rejected = judged(b.column(2).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -159,7 +159,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(~judged(b.column(at).to_pylist(), sent.value)[2]))
 
     return docs.mapInArrow(run, docs.schema)

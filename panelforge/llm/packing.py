@@ -31,13 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import table, written
+from panelforge.llm.common import slices, table, written
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker keeps, and documents that it takes at once.
-CACHE_WORDS = 400_000
-STEP_DOCS = 1000
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 120_000
 #: How byte-level BPE cuts a text before merging (a fixed value of that kind of vocabulary).
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -120,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer_of(tokenizer)
-        for b in (b.slice(k, STEP_DOCS) for b in batches for k in range(0, max(1, b.num_rows), STEP_DOCS)):
+        for b in slices(batches):
             doc, piece, start, length, crc, own = [], [], [], [], [], []
             for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")

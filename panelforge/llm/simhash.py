@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import BROADCAST_ROWS, checked_join, table, whole_rows, written
+from panelforge.llm.common import BROADCAST_ROWS, checked_join, slices, table, whole_rows, written
 from panelforge.llm.components import components
 
 LEAF = 32
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, hash, fp) of each row: a hash of the text, and the fingerprint; whole texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "hash", "fp"])
 
