@@ -248,13 +248,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, group_rows:
     return checked_join(prints, member, ["fp"], "inner", member.count()).select("doc_id", "hash", "fp", "label", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group: that with the smallest doc_id (null last), of several the one with the smallest text hash.
+def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row of each group (doc_id, hash, label; by default those of the fingerprints): that with the smallest doc_id (null last), of several the one with the smallest text hash.
 
     What goes is named, not what stays: that is the smaller set, and while it
     is small enough to be broadcast no text is shuffled.
     """
-    texts = written(near_duplicates(docs).groupBy("label", "doc_id", "hash").count(), "simhash-texts")
+    texts = written((near_duplicates(docs) if groups is None else groups).groupBy("label", "doc_id", "hash").count(), "simhash-texts")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
     first = texts.groupBy("label").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("count").alias("most"))
     first = first.where("first <> last OR most > 1").select("label", "first")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from panelforge.llm import chat, language_id, line_dedup, mixing, nearest, packing, quality_rules, quality_trees, simhash, template, text_stats, warc
+from panelforge.llm import chat, language_id, line_dedup, mixing, near_texts, nearest, packing, quality_rules, quality_trees, simhash, template, text_stats, warc
 from panelforge.llm.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -147,6 +147,34 @@ def test_simhash_edges(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def test_near_dedup_stage_against_all_pairs(spark, docs):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    cut = [words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in docs.text]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cut]
+    alone = [f"w{k}" for k in range(60)]
+    near = [alone, alone[:57], alone[3:], ["other", *alone[:30]]]  # 3 of 56 shingles gone; the last is under 0.8
+    extra = [(10**6 + k, " ".join(w)) for k, w in enumerate(near)]
+    sets += [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in near]
+    ids = [*docs.doc_id, *(k for k, _ in extra)]
+    label = list(range(len(ids)))
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in ids:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {min(ids[k] for k in range(len(ids)) if label[k] == own) for own in set(label)}
+    more = df.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = corpus_pipeline.near_dedup(spark, more, DATA)
+    assert {r["doc_id"] for r in got.collect()} == want and pairs
+
+
+def test_near_groups_edges(spark, edge, empty):
+    rows = near_texts.near_groups(edge).collect()
+    assert len(rows) == edge.count() and near_texts.near_groups(empty).count() == 0
+    assert len({r["label"] for r in rows if r["doc_id"] in (0, 2)}) == 1
+    kept = simhash.keep_first(edge, near_texts.near_groups(edge))
+    assert kept.columns == edge.columns and kept.count() == len({r["label"] for r in rows})
+
+
 def test_nearest_edges(spark):
     v = [0.5, 0.25]
     rows = [(0, v), (1, v), (2, [float("nan"), 1.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, []), (7, [3.0, 4.0]), (None, v), (1, v), (8, [1.0, 2.0, 3.0])]
