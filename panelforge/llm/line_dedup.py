@@ -3,7 +3,11 @@
 Lines of at least `rare_words` words propose pairs: each document that holds
 such a line is paired with the first document (smallest id) that holds it, so a
 line that n documents share gives n - 1 pairs, never all pairs, and the first
-copy of every line stays somewhere. Each pair is aligned by patience diff:
+copy of every line stays somewhere. Every shortest run of consecutive lines that
+holds `block_words` words, from each of its first and each of its last lines,
+proposes the same way: those runs cover each block that an earlier document has,
+whichever documents hold its lines first and however short they are. Each pair
+is aligned by patience diff:
 lines that are unique in both, in their longest common order, are anchors, and
 equal neighbours grow from them. Runs of aligned lines with at least
 `block_words` words are deleted from the later document. Shorter lines between
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import BROADCAST_ROWS, GAP, n_words_of, table, whole_rows, written
 
+#: An odd factor for the hashes of runs, modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
 #: The most line places that are broadcast in all.
 BROADCAST_PLACES = 2_000_000
 
@@ -91,6 +97,20 @@ def common_blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, blo
     return out
 
 
+def run_keys(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, key) of the shortest runs with block_words words, from each first and from each last line that has any."""
+    total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
+    at = np.flatnonzero(words > 0)
+    ahead = np.searchsorted(total, total[at] + block_words)
+    back = np.searchsorted(total, total[at + 1] - block_words, "right") - 1
+    start, end = np.concatenate([at[ahead < len(total)], back[back >= 0]]), np.concatenate([ahead[ahead < len(total)], (at + 1)[back >= 0]])
+    power, turn = np.full(len(lines) + 1, _BASE, np.uint64), np.full(len(lines) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    power[0] = turn[0] = 1
+    power, turn = np.multiply.accumulate(power), np.multiply.accumulate(turn)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * power[:-1], dtype=np.uint64)])
+    return start, end, ((sums[end] - sums[start]) * turn[start]).view(np.int64)  # the same wherever the run stands
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(id, hash, lines, words) of each document: 64-bit hashes of its lines without outer gaps, and their words."""
     split = F.split(F.col("text"), "\n", -1)
@@ -103,11 +123,25 @@ def _order(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}id").isNull().alias("none"), F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}hash").alias("hash"))
 
 
+def _proposing_runs(rows: DataFrame, block_words: int) -> DataFrame:
+    """(doc, line): the distinct run keys of each document, as further lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keys = [np.unique(run_keys(*(t.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3)), block_words)[2]) for k in range(t.num_rows)]
+            sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+            own = pa.array(np.repeat(np.arange(t.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([t.column(0).take(own), t.column(1).take(own), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], ["id", "hash", "line"])
+
+    found = rows.select("id", "hash", "lines", "words").mapInArrow(run, "id long, hash long, line long")
+    return found.select(_order().alias("doc"), "line")
+
+
 def removals(docs: DataFrame, rare_words: int = 5, block_words: int = 40) -> DataFrame:
     """(id, hash, gone): places of the lines to delete, for each document that loses some."""
     rows = written(line_rows(docs), "lines-docs").where(F.exists("words", lambda x: x > 0))
     long = rows.select(_order().alias("doc"), F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= rare_words), lambda x: x["lines"]))).alias("line"))
-    long = written(long, "lines-long")
+    long = written(long.unionByName(_proposing_runs(rows, block_words)), "lines-long")
     first = written(long.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("line", "first"), "lines-first")
     n = first.count()
     side = F.broadcast(first) if n <= BROADCAST_ROWS else first.hint("merge")

@@ -323,6 +323,33 @@ def test_line_dedup_keeps_one_copy_of_every_line(spark, docs):
             assert x == "" or earlier[x] < r.doc_id
 
 
+def test_line_dedup_finds_blocks_of_any_first_holder(spark):
+    block = [f"line {k} of ten words in a block that two documents share" for k in range(6)]
+    own = lambda k: [f"document {k} has its own line {j}" for j in range(3)]
+    short = [f"{k} item" for k in range(30)]
+    texts = {1: own(1) + block[:3], 2: own(2) + block[3:], 3: own(3) + block, 4: own(4) + block, 5: own(5) + short, 6: short + own(6)}
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.deduplicated(df).collect()}
+    assert got == texts | {4: own(4), 6: own(6)}
+
+
+def test_run_keys_cover_every_block():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        lines, words_ = rng.integers(-(2**63), 2**63 - 1, 30), rng.integers(0, 20, 30).astype(np.int32)
+        s, e = np.sort(rng.choice(31, 2, replace=False))
+        s, e = int(s), int(e)
+        while s < e and not words_[s]:
+            s += 1
+        while s < e and not words_[e - 1]:
+            e -= 1
+        a, b, key = line_dedup.run_keys(lines, words_, 40)
+        inside = {p for x, y in zip(a, b, strict=True) if s <= x and y <= e for p in range(x, y)}
+        assert inside == (set(range(s, e)) if words_[s:e].sum() >= 40 else set())
+        shifted = line_dedup.run_keys(np.concatenate([lines[:3], lines[s:e]]), np.concatenate([words_[:3], words_[s:e]]), 40)[2]
+        assert set(key[(a >= s) & (b <= e)]) <= set(shifted)
+
+
 def test_patience():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([7, 1, 2, 3, 4, 5, 8])
     assert line_dedup.aligned(a, b) == [(0, 1, 3), (4, 4, 2)]
