@@ -11,7 +11,9 @@ is aligned by patience diff:
 lines that are unique in both, in their longest common order, are anchors, and
 equal neighbours grow from them. Runs of aligned lines with at least
 `block_words` words are deleted from the later document. Shorter lines between
-a run's ends count if they are equal too.
+a run's ends count if they are equal too. An alignment finds no anchor among lines
+that all repeat, and no block that stands in another order: so what it leaves is
+searched for shortest runs that the earlier document holds at any place.
 
 Edge cases: null and empty texts have no lines and stay as they are; a text
 that was a copy throughout becomes empty; rows with equal doc_id and text are
@@ -88,13 +90,36 @@ def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(runs)
 
 
-def common_blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, block_words: int) -> list[tuple[int, int]]:
+def held_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, words_earlier: np.ndarray, block_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs that the earlier document holds at any place, but for those inside `found`."""
+    start, end, key = run_keys(later, words, block_words)
+    known = np.zeros(len(later) + 1, np.int64)
+    for s, e in found:
+        known[s + 1 : e + 1] = 1
+    known = np.cumsum(known)
+    at = np.flatnonzero(known[end] - known[start] < end - start)
+    if not len(at):
+        return []
+    place, _, keys = run_keys(earlier, words_earlier, block_words)
+    order = np.argsort(keys, kind="stable")
+    near = np.searchsorted(keys[order], key[at])
+    out = []
+    for k, i in zip(at, near, strict=True):
+        if i == len(keys) or keys[order[i]] != key[k]:
+            continue
+        s, e, p = int(start[k]), int(end[k]), int(place[order[i]])
+        if np.array_equal(later[s:e], earlier[p : p + e - s]):
+            out.append((s, e))
+    return out
+
+
+def common_blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, words_earlier: np.ndarray, block_words: int) -> list[tuple[int, int]]:
     """[start, end) of the later document's lines to delete."""
     out = []
     for s, _, n in aligned(later, earlier):
         if words[s : s + n].sum() >= block_words:
             out.append((s, s + n))
-    return out
+    return sorted(out + held_runs(later, words, earlier, words_earlier, block_words, out))
 
 
 def run_keys(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,16 +173,16 @@ def removals(docs: DataFrame, rare_words: int = 5, block_words: int = 40) -> Dat
     pairs = written(long.join(side, "line").where("doc <> first").select("doc", "first").distinct(), "lines-pairs")
     own = rows.withColumn("doc", _order()).dropDuplicates(["doc"])
     a = own.select("doc", F.col("lines").alias("a"), F.col("words").alias("w"))
-    b = own.select(F.col("doc").alias("first"), F.col("lines").alias("b"))
-    met = pairs.join(b.hint("merge"), "first").join(a.hint("merge"), "doc").select("doc.id", "doc.hash", "a", "w", "b")
+    b = own.select(F.col("doc").alias("first"), F.col("lines").alias("b"), F.col("words").alias("v"))
+    met = pairs.join(b.hint("merge"), "first").join(a.hint("merge"), "doc").select("doc.id", "doc.hash", "a", "w", "b", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             out: dict[str, list] = {"id": [], "hash": [], "gone": []}
-            lists = [t.column(k) for k in (2, 3, 4)]
+            lists = [t.column(k) for k in (2, 3, 4, 5)]
             for k in range(t.num_rows):
-                a_, w_, b_ = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
-                gone = [p for s, e in common_blocks(a_, w_, b_, block_words) for p in range(s, e)]
+                a_, w_, b_, v_ = (x[k].values.to_numpy(zero_copy_only=False) for x in lists)
+                gone = [p for s, e in common_blocks(a_, w_, b_, v_, block_words) for p in range(s, e)]
                 if gone:
                     for name, x in zip(out, (t.column(0)[k].as_py(), t.column(1)[k].as_py(), gone), strict=True):
                         out[name].append(x)

@@ -333,6 +333,32 @@ def test_line_dedup_finds_blocks_of_any_first_holder(spark):
     assert got == texts | {4: own(4), 6: own(6)}
 
 
+def test_line_dedup_of_repeated_passages(spark):
+    a, b = ([f"{name} line {k} of the ten words in the passage here" for k in range(5)] for name in "ab")
+    poem = ["one line that a document repeats"] * 12
+    texts = {1: a + a, 2: a + a, 3: ["own line of three"] + a, 4: b, 5: b + ["x"] + b, 6: poem, 7: poem + ["y"], 8: a + b, 9: b + a}
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.deduplicated(df).collect()}
+    assert got == {1: a + a, 2: [""], 3: ["own line of three"], 4: b, 5: ["x"], 6: poem, 7: ["y"], 8: [""], 9: [""]}
+
+
+def test_common_blocks_against_brute_force():
+    rng = np.random.default_rng(8)
+    size = rng.integers(0, 20, 6)
+    for _ in range(300):
+        x, y = rng.integers(0, 6, 14), rng.integers(0, 6, 14)
+        want = set()
+        for i in range(14):
+            for j in range(14):
+                n = 0
+                while i + n < 14 and j + n < 14 and x[i + n] == y[j + n]:
+                    n += 1
+                if size[x[i : i + n]].sum() >= 40:
+                    want |= {i + k for k in range(n) if size[x[i + k]]}
+        got = {p for s, e in line_dedup.common_blocks(x, size[x], y, size[y], 40) for p in range(s, e)}
+        assert {p for p in got if size[x[p]]} == want
+
+
 def test_run_keys_cover_every_block():
     rng = np.random.default_rng(6)
     for _ in range(200):
