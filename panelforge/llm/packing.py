@@ -3,10 +3,14 @@
 Documents are tokenised and cut into pieces. The lengths of all pieces form a
 histogram (at most `capacity` counts, whatever the input). A covering linear
 program over configurations (multisets of lengths that fit a sequence) is
-solved by multiplicative weights: weights of the lengths are prices, a
-knapsack dynamic program finds the configuration worth most, and lengths that
-it covers lose weight. The solution is rounded down; what is left is filled
-by best-fit configurations, each applied as often as the histogram allows.
+covered by multiplicative weights: prices are the lengths' shares of a sequence
+(the dual solution behind the bound tokens / capacity), a little more for long
+ones, times weights; a knapsack dynamic program finds the configuration worth
+most, which is taken as often as the histogram allows, and lengths that it
+covers lose weight. That uses up a length each round and ends when all are
+covered, in whole numbers; where a configuration holds more of a length than
+there are, best fit fills its room. Best fit alone is the plan where it takes
+fewer sequences.
 Pieces get their place by their rank within their length, counted in buckets
 so that a common length is no hot group.
 
@@ -145,6 +149,7 @@ class Plan:
 
     configs: list[dict[int, int]]
     times: list[int]
+    dealt: int  # pieces below capacity that stand in configurations as priced
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -169,30 +174,6 @@ def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     return out
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, rate: float = 0.3) -> list[tuple[dict[int, int], float]]:
-    """Configurations and real multiplicities that cover the counts, by multiplicative weights."""
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[int(n)] for n in lengths], float)
-    weight = np.ones(len(lengths))
-    used: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
-        config = knapsack(weight / need, lengths, capacity)
-        if not config:
-            break
-        at = np.searchsorted(lengths, list(config))
-        gain = np.array(list(config.values())) / need[at]
-        step = 1.0 / gain.max()  # so many sequences that one length is covered once more
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
-        covered[at] += gain * step
-        weight[at] *= np.exp(-rate * gain * step)
-        weight /= weight.max()
-    least = covered.min() if len(covered) else 0.0
-    scale = 1.0 / least if least > 0 else 1.0 / max(1.0, covered.mean() if len(covered) else 1.0)
-    return [(dict(k), x * scale) for k, x in used.items()]
-
-
 def best_fit(left: dict[int, int], capacity: int) -> dict[int, int]:
     """One sequence: the longest piece, then again and again the longest that fits; the last one fills best."""
     out: dict[int, int] = {}
@@ -205,35 +186,61 @@ def best_fit(left: dict[int, int], capacity: int) -> dict[int, int]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> Plan:
-    """Whole configurations that hold exactly the counted pieces."""
+def greedy(counts: dict[int, int], capacity: int) -> Plan:
+    """Best-fit configurations alone."""
     left = dict(counts)
     configs, times = [], []
+    while left:
+        config = best_fit(left, capacity)
+        m = min(left[n] // k for n, k in config.items())
+        configs.append(config)
+        times.append(m)
+        left = {n: r for n in left if (r := left[n] - m * config.get(n, 0))}
+    return Plan(configs, times, 0)
 
-    def use(config: dict[int, int], most: int) -> None:
-        m = min([most, *(left.get(n, 0) // k for n, k in config.items())])
-        if m > 0:
-            configs.append(config)
-            times.append(m)
-            for n, k in config.items():
-                left[n] -= m * k
-                if not left[n]:
-                    del left[n]
 
-    if capacity in left:
-        use({capacity: 1}, left[capacity])
-    if left:
-        for config, x in sorted(fractional(left, capacity, rounds), key=lambda c: -c[1]):
-            use(config, int(x))
-    while left:  # ends: each step uses a length up, or the room of a sequence
-        use(best_fit(left, capacity), max(left.values()))
-    return Plan(configs, times)
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Whole configurations that hold exactly the counted pieces: those by prices, or best fit where it takes fewer sequences."""
+    return min(by_prices(counts, capacity), greedy(counts, capacity), key=lambda p: sum(p.times))
+
 
+def by_prices(counts: dict[int, int], capacity: int, rate: float = 0.02, long: float = 0.05) -> Plan:
+    """Configurations by weights and prices until all lengths are covered; every round uses one up, so there are few."""
+    left = dict(counts)
+    configs, times = [], []
+    dealt = 0
+
+    def use(config: dict[int, int], m: int) -> None:
+        configs.append(config)
+        times.append(m)
+        for n, k in config.items():
+            left[n] -= m * k
+            if not left[n]:
+                del left[n]
 
-def placed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 400) -> DataFrame:
+    if capacity in left:
+        use({capacity: 1}, left[capacity])
+    while left:
+        lengths = np.array(sorted(left))
+        rest = np.array([left[int(n)] / counts[int(n)] for n in lengths])
+        price = lengths / capacity * (1 + long * lengths / capacity) * np.exp(rate * (rest - 1))
+        config = knapsack(price, lengths, capacity)
+        m = min(left[n] // k for n, k in config.items())
+        if m:
+            dealt += m * sum(config.values())
+        else:  # it holds more of a length than there are: what there is, and best fit for the room
+            config = {n: min(k, left[n]) for n, k in config.items()}
+            more = best_fit({n: m for n in left if (m := left[n] - config.get(n, 0))}, capacity - sum(n * k for n, k in config.items()))
+            config = {n: config.get(n, 0) + more.get(n, 0) for n in config | more}
+            m = min(left[n] // k for n, k in config.items())
+        use(config, m)
+    return Plan(configs, times, dealt)
+
+
+def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces."""
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
-    made = plan(counts, capacity, rounds)
+    made = plan(counts, capacity)
     buckets = max(8, -(-sum(counts.values()) // 1_000_000))
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: dict[int, int] = {}

@@ -439,6 +439,29 @@ def test_plan_is_tight():
     assert sum(made.times) <= 1.03 * sum(n * k for n, k in counts.items()) / 1024 + 1
 
 
+@pytest.mark.parametrize("skewed", [True, False])
+def test_plan_covers_every_length_at_scale(skewed):
+    rng = np.random.default_rng(9)
+    counts = Counter(int(x) for x in (1 + rng.exponential(250, 10_000) % 1023 if skewed else rng.integers(1, 1024, 10_000)))
+    counts = {n: 300 * k for n, k in counts.items()}
+    made = packing.plan(counts)
+    used = Counter()
+    for config, m in zip(made.configs, made.times, strict=True):
+        assert m > 0 and 0 < sum(n * k for n, k in config.items()) <= 1024
+        for n, k in config.items():
+            used[n] += k * m
+    assert used == counts
+    alone, left = 0, dict(counts)
+    while left:
+        config = packing.best_fit(left, 1024)
+        m = min(left[n] // k for n, k in config.items())
+        alone += m
+        left = {n: r for n in left if (r := left[n] - m * config.get(n, 0))}
+    assert sum(made.times) <= alone
+    if skewed:  # as documents are
+        assert sum(made.times) <= 1.0005 * sum(n * k for n, k in counts.items()) / 1024 + 1 and made.dealt > 0.95 * sum(counts.values())
+
+
 def test_quality_trees(spark, edge, empty):
     out = QUERIES["op10_quality_trees"](spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
     held = out[out.held_out]
