@@ -39,72 +39,122 @@ from panelforge.llm.common import slices, table, written
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 120_000
+#: Pieces of text whose ids a worker keeps, in two halves: the older half goes when the younger is full.
+CACHE_WORDS = 400_000
 #: How byte-level BPE cuts a text before merging (a fixed value of that kind of vocabulary).
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+def _bytes(*ranges: range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for r in ranges:
+        out[r.start : r.stop] = True
+    return out
+
+
+_LETTER, _VISIBLE, _GAP = _bytes(range(65, 91), range(97, 123)), _bytes(range(33, 127)), _bytes(range(9, 14), range(32, 33))
+
+
+def cuts(data: np.ndarray, edges: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """Places in UTF-8 bytes where the pattern _CUT certainly begins a new match, the texts' edges among them.
+
+    The last gap before a visible character is apart from the gaps before it; a
+    space then belongs to what follows, any other gap stands alone. Letters end
+    at ASCII that is no letter. Other places are left to the pattern.
+    """
+    found = []
+    for s in range(0, len(data), step):  # a very long text in bounded memory
+        lo = max(0, s - 2)
+        x = data[lo : s + step + 2]
+        visible, letter = _VISIBLE[x], _LETTER[x]
+        last = _GAP[x]
+        last[:-1] &= visible[1:]
+        last[-1:] = False
+        edge = edges[(edges > lo) & (edges < lo + len(x))] - lo
+        last[edge - 1] = False
+        cut = last.copy()
+        cut[1:] |= (x[1:] == 32) & visible[:-1]
+        cut[1:] |= last[:-1] & (x[:-1] != 32)
+        plain = (x < 128) & ~letter
+        letter[1:] |= (x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] != 0x97) & (x[1:] != 0xB7)  # Latin-1 letters
+        cut[1:] |= letter[:-1] & plain[1:]
+        cut[edge] = True
+        found.append(np.flatnonzero(cut[s - lo : s - lo + step]) + s)
+    every = np.concatenate([[0], *found, [len(data)]])
+    return every[np.concatenate([every[1:] > every[:-1], [True]])]
+
+
 class ByteBpe:
-    """Ids of texts by a byte-level BPE of the tokenizers library, each distinct word merged once.
+    """Ids of texts by a byte-level BPE of the tokenizers library, each distinct piece merged once.
 
-    What stands before a single space between two visible characters never
-    merges with what follows, and the space belongs to the word after it. So
-    texts are cut at such spaces, column-wise; texts with other runs of gaps
-    are cut by the pattern. The library's model merges the pieces.
+    Texts are cut column-wise where the pattern certainly cuts, and what is left
+    by the pattern itself; the library's model merges the pieces. Texts that hold
+    an added token's string go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
         self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.space = chr(self.letters[32])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def piece(self, x: str) -> bytes:
-        found = self.model.tokenize(x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in found]).tobytes()
+    def merged(self, x: str) -> bytes:
+        if x.isascii() and x[1:].isalnum():
+            shown = self.space + x[1:] if x[0] == " " else x.translate(self.letters)
+        else:
+            shown = x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def word(self, x: str) -> bytes:
-        if (x[1:] if x[:1] == " " else x).isalpha():
-            return self.piece(x)
-        return b"".join([self.known.get(p) or self.piece(p) for p in _CUT.findall(x)])
+        if (x[1:] if x[0] == " " else x).isalpha():
+            return self.merged(x)
+        return b"".join([self.merged(p) for p in _CUT.findall(x)])
 
     def ids(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+        out = []
         for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        return [known[w] for w in words]
+            found = self.known.get(w)
+            if found is None:
+                found = self.older.get(w)
+                if found is None:
+                    found = self.word(w)
+                if len(w) <= 64:
+                    self.known[w] = found
+            out.append(found)
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (no null)."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        odd = pc.or_(pc.match_substring_regex(texts, rf"^{_GAPS}|{_GAPS}$|{_GAPS}{_GAPS}"), pc.equal(pc.utf8_length(texts), 0)).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(odd):
-            out[i] = np.frombuffer(b"".join(self.ids(_CUT.findall(texts[int(i)].as_py()))), "<u4")
-        plain = np.flatnonzero(~odd)
-        if not len(plain):
-            return out
-        words = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        offsets = words.offsets.to_numpy()
-        flat = words.flatten()
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        coded = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar(" "), flat, "")).dictionary_encode()
+        source, held = texts, np.zeros(len(texts), bool)
+        for token in self.added:
+            held |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if held.any():
+            texts = pc.if_else(pa.array(held), "", texts)
+        texts = pa.concat_arrays([texts.cast(pa.utf8())])
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        at = cuts(data, edges)
+        coded = pa.Array.from_buffers(pa.utf8(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         ids = self.ids(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         code = coded.indices.to_numpy()
         n = sizes[code]
         ends = np.cumsum(n)
-        tokens = pool[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])]
-        edge = np.concatenate([[0], ends])[offsets]
-        for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
-            out[i] = tokens[a:b]
+        tokens = pool[np.repeat(starts[code] - (ends - n), n) + np.arange(n.sum())]
+        edge = np.concatenate([[0], ends])[np.searchsorted(at, edges)]
+        out = [tokens[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for i in np.flatnonzero(held):
+            out[i] = np.array(self.whole.encode(source[int(i)].as_py(), add_special_tokens=False).ids, "<u4")
         return out
 
 
@@ -113,10 +163,6 @@ def tokenizer_of(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-#: White space in Unicode and in Python, for RE2.
-_GAPS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's pieces; whole texts are read."""
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")

@@ -386,7 +386,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -424,6 +423,21 @@ def test_encode_odd_texts():
     odd = ["", " ", "  a  b\n\n c ", "x y z w", "it's they'll 'S 12ab34  ..", "\n", "\x1c a \x1d", "é ̀x ²³ ٣٤", " \n \n", "a\x85b c", "日本語 🙂🙂 a", "<|endoftext|> a<|endoftext|>"]
     got = packing.tokenizer_of(packing.default_tokenizer()).encode(pa.array(odd))
     assert [x.tolist() for x in got] == ids_of(odd)
+    assert got[-1][0] == got[-1][-1] == 50256  # an added token's string is that token
+
+
+def test_encode_random_texts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    signs = [*"abcXYZ''sstrevml019 ....  \n\n\t\r,-_#²½ñÑß×÷é", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "̀", "日", "🙂", "ٱ", "Ⅷ", " the", "ing"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)]
+    bpe = packing.tokenizer_of(packing.default_tokenizer())
+    assert [x.tolist() for x in bpe.encode(pa.array(texts))] == ids_of(texts)
+    joined = "\n".join(texts)
+    data = np.frombuffer(joined.encode(), np.uint8)
+    edges = np.array([0, len(data)])
+    assert (packing.cuts(data, edges, 7) == packing.cuts(data, edges)).all()
 
 
 def test_plan_is_tight():
