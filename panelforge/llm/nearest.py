@@ -1,22 +1,30 @@
 """Exact nearest neighbours by a block matrix join of int8 product tiles.
 
-Vectors are packed into blocks: one row of the block table holds the ids and
-float values of up to some thousand vectors. Blocks of queries meet blocks of
-candidates in tiles. A tile quantises both sides to int8 with one scale a
-vector; the int8 products give each distance with an error bound. Candidates
-whose lower bound passes a query's k-th smallest upper bound are out, the rest
-are computed again in float64 from the original vectors. Each task keeps heaps
-of k for the queries it has seen; the heaps meet in a last ranking.
+Vectors are packed into blocks: one row of the block table holds the ids of up
+to some thousand vectors, their float values, and their values as int8 with a
+scale and the length of the rounding error. Candidate blocks are dealt into
+parts that stay together; every query block goes to every part, so that what
+moves is the query set (by contract a hundredth of the rows) once a part, and
+the candidates once. A tile of a query and a candidate block multiplies the
+int8 values (in float32, which is exact for such whole numbers) and so gives
+each distance with an error bound. Candidates whose lower bound passes a
+query's k-th smallest upper bound are out, the rest are computed again in
+float64 from the original vectors; their k best merge into the query's heap.
+A task holds the heaps of one query block at a time; the heaps of all parts
+meet in a last ranking.
 
 Edge cases: vectors that are null, empty, zero, or hold nulls or non-finite
 components take no part, as query or candidate; so do rows with a null id.
 Vectors of other lengths than a query's are no candidates of it. Repeated
-vectors tie by id; the same id twice counts twice. An empty table gives none.
+vectors tie by id; the same id twice counts twice. Other columns are not read,
+whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import merge
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +42,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & ~bad & F.exists(e, lambda x: x != 0))
 
 
+BLOCK = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary()), ("low", pa.binary()), ("scale", pa.binary()), ("off", pa.binary())])
+
+
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks (dim, ids, values) of up to `rows` vectors of equal length."""
+    """Blocks (dim, ids, vals, low, scale, off) of up to `rows` vectors of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,97 +58,107 @@ def packed(vectors: DataFrame, rows: int) -> DataFrame:
                 for k in range(0, len(at), rows):
                     own = at[k : k + rows]
                     values = flat[starts[own][:, None] + np.arange(dim)]
-                    yield pa.RecordBatch.from_pydict({"dim": [int(dim)], "ids": [ids[own].astype("<i8").tobytes()], "vals": [values.astype("<f8").tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())]))
+                    parts = ids[own].astype("<i8"), values.astype("<f8"), *quantised(values)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], schema=BLOCK)
 
-    return vectors.mapInArrow(run, "dim int, ids binary, vals binary")
+    return vectors.mapInArrow(run, "dim int, ids binary, vals binary, low binary, scale binary, off binary")
 
 
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (as float32, whose products of int8 are exact up to 1,040 dimensions a slice), scale, length of the error."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 values, scale and length of the rounding error of each vector."""
     scale = np.abs(x).max(axis=1) / 127
-    q = np.rint(x / scale[:, None])
-    return q.astype(np.float32), scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
+    low = np.rint(x / scale[:, None]).astype(np.int8)
+    return low, scale, np.sqrt(((x - low * scale[:, None]) ** 2).sum(axis=1))
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """int8 tile product; slices of 1,024 dimensions stay below 2**24 and so exact in float32."""
     out = np.zeros((len(a), len(b)))
     for k in range(0, a.shape[1], 1024):
-        out += a[:, k : k + 1024] @ b[:, k : k + 1024].T
+        out += a[:, k : k + 1024].astype(np.float32) @ b[:, k : k + 1024].astype(np.float32).T
     return out
 
 
+class Block:
+    """A block as arrays over its row's buffers."""
+
+    def __init__(self, dim: int, ids, vals, low, scale, off):
+        self.ids, self.values = np.frombuffer(ids, "<i8"), np.frombuffer(vals, "<f8").reshape(-1, dim)
+        self.low, self.scale, self.off = np.frombuffer(low, np.int8).reshape(-1, dim), np.frombuffer(scale, "<f8"), np.frombuffer(off, "<f8")
+
+    def norms(self) -> np.ndarray:
+        return (self.low.astype(np.float64) ** 2).sum(axis=1) * self.scale**2
+
+
 class Heaps:
-    """The k smallest (score, id) of each query so far."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
-        self.ids, self.values, self.k = ids, values, k
-        self.quantised = _quantised(values)
-        self.score = np.full((len(ids), k), np.inf)
-        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def tile(self, ids: np.ndarray, values: np.ndarray) -> None:
-        (q, qs, qe), (c, cs, ce) = self.quantised, _quantised(values)
-        approx = q * qs[:, None], c * cs[:, None]
-        norm = (approx[0].astype(np.float64) ** 2).sum(1)[:, None] + (approx[1].astype(np.float64) ** 2).sum(1)[None, :]
-        dist = np.sqrt(np.maximum(norm - 2 * _products(q, c) * qs[:, None] * cs[None, :], 0))
-        slack = qe[:, None] + ce[None, :] + 1e-5 * np.sqrt(norm)
-        upper = dist + slack
-        other = ids[None, :] != self.ids[:, None]
-        most = self.score[:, -1]
-        if upper.shape[1] >= self.k:
-            most = np.minimum(most, np.partition(np.where(other, upper, np.inf), self.k - 1, axis=1)[:, self.k - 1])
+    """The k smallest (score, id) of each query of a block so far."""
+
+    def __init__(self, asked: Block, k: int):
+        self.asked, self.k, self.norms = asked, k, asked.norms()
+        self.best: list[list[tuple[float, int]]] = [[] for _ in asked.ids]
+        self.most = np.full(len(asked.ids), np.inf)
+
+    def tile(self, c: Block) -> None:
+        q, k = self.asked, self.k
+        norm = self.norms[:, None] + c.norms()[None, :]
+        dist = np.sqrt(np.maximum(norm - 2 * products(q.low, c.low) * q.scale[:, None] * c.scale[None, :], 0))
+        slack = q.off[:, None] + c.off[None, :] + 1e-7 * np.sqrt(norm)
+        other = c.ids[None, :] != q.ids[:, None]
+        most = self.most
+        if len(c.ids) >= k:
+            most = np.minimum(most, np.partition(np.where(other, dist + slack, np.inf), k - 1, axis=1)[:, k - 1])
         at, near = np.nonzero((dist - slack <= most[:, None]) & other)
         exact = np.empty(len(at))
-        for k in range(0, len(at), 100_000):
-            s = slice(k, k + 100_000)
-            exact[s] = np.sqrt(((self.values[at[s]] - values[near[s]]) ** 2).sum(axis=1))
-        all_at = np.concatenate([np.repeat(np.arange(len(q)), self.k), at])
-        all_score = np.concatenate([self.score.ravel(), exact])
-        all_vec = np.concatenate([self.vec.ravel(), ids[near]])
-        order = np.lexsort((all_vec, all_score, all_at))
-        first = np.searchsorted(all_at[order], np.arange(len(q)))
-        own = order[first[:, None] + np.arange(self.k)]
-        self.score, self.vec = all_score[own], all_vec[own]
+        for j in range(0, len(at), 100_000):
+            s = slice(j, j + 100_000)
+            exact[s] = np.sqrt(((q.values[at[s]] - c.values[near[s]]) ** 2).sum(axis=1))
+        order = np.lexsort((c.ids[near], exact, at))
+        at, score, ids = at[order], exact[order], c.ids[near][order]
+        first = np.searchsorted(at, np.arange(len(q.ids) + 1))
+        for i in np.flatnonzero(np.diff(first)):
+            s = slice(first[i], min(first[i] + k, first[i + 1]))
+            own = self.best[i] = list(islice(merge(self.best[i], zip(score[s].tolist(), ids[s].tolist(), strict=True)), k))
+            if len(own) == k:
+                self.most[i] = own[-1][0]
 
     def rows(self) -> pa.RecordBatch:
-        keep = np.isfinite(self.score)
-        at = np.nonzero(keep)[0]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.vec[keep]), pa.array(self.score[keep])], ["query_id", "vec_id", "score"])
+        sizes = [len(x) for x in self.best]
+        flat = [x for own in self.best for x in own]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.asked.ids, sizes)), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[0] for x in flat], pa.float64())], ["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 1024, block_rows: int = 4096, spread: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 1024, block_rows: int = 4096, part_blocks: int = 64, spread: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest candidates by Euclidean distance.
 
-    Query blocks are repeated `spread` times (by default as many as there are
-    shuffle partitions), so that the tiles of one query block are dealt out
-    over many tasks; candidate blocks go once to each query block.
+    A part holds up to `part_blocks` candidate blocks, fewer while there are
+    fewer parts than `spread` (by default the number of shuffle partitions).
     """
     spark = vectors.sparkSession
     spread = spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(packed(usable(vectors), block_rows).withColumn("block", F.monotonically_increasing_id()), "nn-blocks")
+    blocks = written(packed(usable(vectors), block_rows).withColumn("block", F.xxhash64("ids", F.monotonically_increasing_id())), "nn-blocks")
     asked = usable(queries)
     groups = max(1, -(-asked.count() // query_rows))
     grouped = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).repartition(groups, "group").drop("group")
     asked = written(packed(grouped, query_rows).withColumn("asked", F.monotonically_increasing_id()), "nn-queries")
-    count = asked.count()
-    if not count:
+    n = blocks.count()
+    if not n or not asked.limit(1).count():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    names = written(asked.select("asked", F.col("dim").alias("of_dim")), "nn-names")
-    left = blocks.join(names.hint("merge"), F.col("dim") == F.col("of_dim")).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(spread)))
-    right = asked.select(F.col("asked").alias("asked_"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")).withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    tiles = left.join(right.hint("merge"), (F.col("asked") == F.col("asked_")) & (F.col("salt") == F.col("salt_")))
-    tiles = tiles.select("asked", "dim", "ids", "vals", "q_ids", "q_vals")
+    parts = max(1, -(-n // max(1, min(part_blocks, n // spread))))
+    held = blocks.withColumn("part", F.pmod("block", F.lit(parts))).select("part", "dim", *[F.col(c).alias(f"c_{c}") for c in BLOCK.names[1:]])
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    # the streamed side is that of the queries: all candidates of a part pass by one query block, then by the next
+    tiles = sent.join(held.hint("merge"), ["part", "dim"]).select("asked", "part", "dim", *BLOCK.names[1:], *[f"c_{c}" for c in BLOCK.names[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heaps = None, None
         for b in batches:
             for i in range(b.num_rows):
-                asked_, dim, ids, vals, q_ids, q_vals = (b.column(c)[i].as_py() for c in range(6))
-                if asked_ != now:
+                key, dim = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
+                if key != now:
                     if heaps:
                         yield heaps.rows()
-                    now, heaps = asked_, Heaps(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vals, "<f8").reshape(-1, dim), k)
-                heaps.tile(np.frombuffer(ids, "<i8"), np.frombuffer(vals, "<f8").reshape(-1, dim))
+                    now, heaps = key, Heaps(Block(dim, *(b.column(c)[i].as_py() for c in range(3, 8))), k)
+                heaps.tile(Block(dim, *(b.column(c)[i].as_buffer() for c in range(8, 13))))
         if heaps:
             yield heaps.rows()
 
@@ -147,6 +168,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every row of embeddings whose vec_id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
