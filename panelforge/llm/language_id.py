@@ -7,12 +7,16 @@ the language of the centroid with the largest cosine. A text that lies further
 from it than texts of its length did in training, with a margin, is rejected.
 
 The model is fitted on at most `per_lang` labelled texts a language (whole
-texts, picked by a hash of the id) and at most `most` in all. All texts are
-then scored, in batches, by one product with the centroids.
+texts, the first by a hash of the id) and at most `most` in all, but on one of
+each language, however many languages there are. All texts are then scored, in
+batches, by one product with the centroids.
+
+A letter is what str.isalpha() says it is, so numbers of any script are none.
 
 Edge cases: null text and text without a letter are `und`, score 0, rejected;
-without any labelled text every text is; very long texts are counted in
-slices; repeated rows get the same answer.
+without any labelled text every text is; null lang is not learned from; very
+long texts are counted in slices; repeated rows get the same answer; other
+columns are not read by op6 and carried whole by keep_identified.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, table, written
+from panelforge.llm.common import forget, slices, table, written
 
 BITS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")  # letters, and numbers that are no decimal digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _MAYBE.finditer(text))
 
 
 @dataclass(frozen=True)
@@ -73,23 +81,23 @@ def _length(tf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_lang: int = 300, most: int = 3000, clusters: int = 3, rounds: int = 12, margin: float = 0.7) -> Model:
-    """A model from rows (doc_id, text, lang); at most `most` whole texts come to the driver, as counts."""
-    have = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 10).collect()}
+    """A model from rows (doc_id, text, lang); the sample comes to the driver as counts."""
+    have = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["count"] for r in have.groupBy("lang").count().collect()}  # one row a language
     per = max(1, min(per_lang, most // max(1, len(sizes))))
     u = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_003))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_003 * min(1.0, per / n)))).otherwise(share)
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_003 * min(1.0, (4 * per + 20) / n)))]), F.col("lang")) if sizes else F.lit(0)
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", F.xxhash64("text"))  # over some times `per` texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            keep = [k for k, t in enumerate(texts) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([counts(texts[k]).astype("<i4").tobytes() for k in keep], pa.binary()), b.column(2).take(pa.array(keep, pa.int64()))], ["lang", "tf", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counts(t).astype("<i4").tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["lang", "tf", "u"])
 
-    sample = have.where(u < share).select("lang", "text", u.alias("u")).mapInArrow(run, "lang string, tf binary, u long")
-    rows = written(sample, "lang-sample").orderBy("u", "lang", "tf").limit(2 * most).collect()
+    drawn = have.withColumn("u", u).where(F.col("u") < share).where(F.col("text").rlike(r"\p{L}"))
+    drawn = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per)
+    sample = written(drawn.select("lang", "text", "u").mapInArrow(run, "lang string, tf binary, u long"), "lang-sample")
+    rows = sample.orderBy("u", "lang", "tf").collect()  # at most `most`, or one a language
+    forget(docs.sparkSession, sample)
     langs = sorted({r["lang"] for r in rows})
     tf = np.stack([np.frombuffer(r["tf"], "<i4") for r in rows]) if rows else np.zeros((0, 1 << BITS), "<i4")
     y = np.array([langs.index(r["lang"]) for r in rows], int)
@@ -119,7 +127,7 @@ def fit(docs: DataFrame, per_lang: int = 300, most: int = 3000, clusters: int =
 def judged(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
     lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    read = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if m.langs else []
+    read = [k for k, t in enumerate(texts) if t and has_letter(t)] if m.langs else []
     for k in range(0, len(read), 256):
         at = read[k : k + 256]
         tf = np.stack([counts(texts[i]) for i in at])
@@ -166,4 +174,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text of documents."""
     return identified(table(spark, sf_dir, "documents"))
