@@ -2,14 +2,16 @@
 
 Sequential covering: rules that reject are grown one threshold at a time by
 information gain on two thirds of the labelled rows, pruned on the rest, and
-kept while they are precise there. Every count that growing and pruning use is
+kept while they are precise on that rest, of which they must cover some. Every count that growing and pruning use is
 one Spark aggregation over the binned statistics of all labelled rows; the
 driver sees a table of at most features x bins x 4 counts. The finished list
 is one ordered Spark CASE expression.
 
 Edge cases: null or empty text has zero words and fails the base rule; labels
 that are null are left out; without labels the list is empty and the base rule
-alone decides; repeated rows are judged one by one.
+alone decides; repeated rows are judged one by one; several labels of a
+document count as its lowest; columns of documents and labels other than
+doc_id, text and quality are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,14 +131,15 @@ def _one_rule(df: DataFrame, cuts: dict[str, list[float]], max_conditions: int,
         if best[2][0] == 0:
             break
         now = now.where(best[1].column())
-    # prune: the prefix with the best worth on the held part, the shorter one among equals
+    # prune: the prefix with the best worth on the held part, the shorter one among equals; it must be precise there
     worth = lambda c: (c[3] - c[2]) / max(1, c[2] + c[3])
-    ends = sorted(range(len(conditions)), key=lambda k: (-worth(steps[k]), k))
-    for k in ends[:1]:
-        good, bad = steps[k][0] + steps[k][2], steps[k][1] + steps[k][3]
-        if bad >= min_precision * (good + bad):
-            return Rule(tuple(conditions[: k + 1]), bad, good + bad)
-    return None
+    if not conditions:
+        return None
+    k = min(range(len(conditions)), key=lambda k: (-worth(steps[k]), k))
+    good, bad = steps[k][2], steps[k][3]
+    if not bad or bad < min_precision * (good + bad):
+        return None
+    return Rule(tuple(conditions[: k + 1]), steps[k][1] + bad, sum(steps[k]))
 
 
 def base_failed() -> Column:
@@ -157,5 +160,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row of documents, by rules learned from all labels."""
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(*BASE, "base_failed", "kept", "symbol_ratio", "upper_ratio", "dup_line_ratio")
