@@ -19,10 +19,21 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, one is set here.
+    A local session that names none, as in tests, gets one here; on a cluster
+    it has to be set, as no local folder would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:///tmp/checkpoints/panelforge").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file:///tmp/checkpoints/panelforge"
+    return f"{found.rstrip('/')}/panelforge-{spark.sparkContext.applicationId}"
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """What an application has written to the shared folder goes when its driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -30,13 +41,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_exit(spark, shared_dir(spark))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     jvm = spark._jvm
-    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    root = shared_dir(spark).rpartition("/")[2]
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if root in folder:
             p = jvm.org.apache.hadoop.fs.Path(folder)
