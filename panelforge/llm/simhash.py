@@ -252,7 +252,8 @@ def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row of each group (doc_id, hash, label; by default those of the fingerprints): that with the smallest doc_id (null last), of several the one with the smallest text hash.
 
     What goes is named, not what stays: that is the smaller set, and while it
-    is small enough to be broadcast no text is shuffled.
+    is small enough to be broadcast no text is shuffled. Of rows with equal
+    doc_id and text the first by their other columns (as JSON) stays.
     """
     texts = written((near_duplicates(docs) if groups is None else groups).groupBy("label", "doc_id", "hash").count(), "simhash-texts")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
@@ -267,7 +268,7 @@ def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     again = gone.where("stays")
     if again.limit(1).count():  # rows that repeat both doc_id and text: one of them stays
         side = F.broadcast(again) if rows <= BROADCAST_ROWS else again.hint("merge")
-        one = whole_rows(docs).join(side, same).groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+        one = whole_rows(docs).join(side, same).groupBy("_id", "_hash").agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row"))
         out = out.unionByName(one.select("_row.*"))
     return out
 
