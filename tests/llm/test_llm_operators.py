@@ -97,6 +97,63 @@ def test_rules_find_a_threshold(spark):
     assert sum(r["kept"] == r["bad"] for r in kept) <= 0.03 * len(kept)
 
 
+def test_rules_against_a_plain_learner(spark):
+    import math
+
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 9, (1500, 3)).astype(float)
+    bad = ((x[:, 0] >= 7) & (x[:, 1] < 4)) | ((x[:, 2] == 0) & (rng.random(1500) < 0.97)) | (rng.random(1500) < 0.02)
+    df = spark.createDataFrame([(*map(float, r), bool(y)) for r, y in zip(x, bad, strict=True)], "a double, b double, c double, bad boolean")
+    from pyspark.sql import functions as F
+
+    part = np.array([r[0] for r in df.select(F.pmod(F.xxhash64("a", "b", "c", "bad"), F.lit(3)) == 0).collect()])  # the held rows
+    want, left = [], np.ones(1500, bool)
+    while len(want) < 8:
+        conds, held, now = [], [], left.copy()
+        while len(conds) < 3:
+            grow = now & ~part
+            if (grow & bad).sum() < 4:
+                break
+            base, best = math.log2((grow & bad).sum() / grow.sum()), None
+            for f in range(3):
+                for t in range(9):
+                    for above in (True, False):
+                        hit = x[:, f] > t if above else x[:, f] <= t
+                        p, n = (grow & bad & hit).sum(), (grow & ~bad & hit).sum()
+                        if p >= 4 and (best is None or p * (math.log2(p / (p + n)) - base) > best[0] + 1e-12):
+                            best = p * (math.log2(p / (p + n)) - base), (f, above, t), hit, n
+            if best is None or best[0] <= 1e-9:
+                break
+            conds.append(best[1])
+            now = now & best[2]
+            p, n = (now & part & bad).sum(), (now & part & ~bad).sum()
+            held.append(((p - n) / max(1, p + n), p, n, now.copy()))
+            if best[3] == 0:
+                break
+        if not conds:
+            break
+        k = min(range(len(conds)), key=lambda k: (-held[k][0], k))
+        if not held[k][1] or held[k][1] < 0.9 * (held[k][1] + held[k][2]):
+            break
+        want.append((conds[: k + 1], int((held[k][3] & bad).sum()), int(held[k][3].sum())))
+        left &= ~held[k][3]
+    got = quality_rules.fit(df, ["a", "b", "c"])
+    assert [([("abc".index(c.feature), c.above, c.threshold) for c in r.conditions], r.rejects, r.covered) for r in got] == want and len(want) >= 2
+
+
+def test_rules_with_repeated_labels_and_clashing_columns(spark, docs):
+    df = spark.createDataFrame(docs[["doc_id", "text"]]).withColumn("bad", F_lit("x")).withColumn("quality", F_lit("y"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").withColumn("text", F_lit("z"))
+    order = lambda d: sorted(map(tuple, d.collect()))
+    assert order(quality_rules.quality_rules(df, labels.union(labels))) == order(quality_rules.quality_rules(df.select("doc_id", "text"), labels))
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def fingerprint(t):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -260,6 +317,35 @@ def test_language_id(spark, edge, empty, docs):
     assert language_id.identified(empty).count() == 0 and language_id.keep_identified(empty).count() == 0
 
 
+def test_language_id_letters_and_sample(spark):
+    assert language_id.judged(["² ½ Ⅷ", "² ² ²", "_12"], language_id.Model(["en"], np.ones(1 << language_id.BITS), np.ones((1, 1 << language_id.BITS)), np.zeros(1, int), np.zeros(21)))[0] == ["und"] * 3
+    rows = [(k, "abcd efgh"[k % 5 :] + chr(97 + k % 20), f"l{k % 400}") for k in range(1200)]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=2, most=40, clusters=3)
+    assert len(m.langs) == 400 and len(m.lang_of) == 400  # one text a language where there are more languages than `most`
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang < 'l11'"), per_lang=2, most=4000, clusters=3)
+    assert (np.bincount(m.lang_of) == 2).all()
+
+
+def test_language_id_against_plain_code(spark, docs):
+    m = language_id._fitted(spark.read.parquet(f"{DATA}/documents.parquet"))
+    text = next(t for t in docs.text if t and len(t) > 300)
+    tf = Counter()
+    letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    for n, odd in ((1, 2654435761), (2, 2246822519), (3, 3266489917)):
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = h * 31 + ord(c)
+            tf[(h * odd & 0xFFFFFFFF) >> 20] += 1
+    assert {k: v for k, v in enumerate(language_id.counts(text)) if v} == tf
+    vec = np.zeros(1 << language_id.BITS)
+    for k, v in tf.items():
+        vec[k] = (1 + np.log(v)) * m.idf[k]
+    cos = m.centroids @ (vec / np.sqrt((vec**2).sum()))
+    (lang,), (score,), _ = language_id.judged([text], m)
+    assert (lang, score) == (m.langs[m.lang_of[int(cos.argmax())]], pytest.approx(cos.max(), rel=1e-5))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 70_000 + "WARC/1.1\r\n" * 50
     pages = [(1, "http://a\r\nX: y", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "WARC/1.1", big), (6, "u", big), (7, "u", "WARC/1.1"), (None, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (8, "u", "\r\n\r\n0\r\n\r\n")]
@@ -376,6 +462,47 @@ def test_run_keys_cover_every_block():
         assert set(key[(a >= s) & (b <= e)]) <= set(shifted)
 
 
+def test_line_dedup_against_all_pairs(spark, docs):
+    """Every line inside a block of 40 or more words that any earlier text holds goes, and no other line."""
+    rows = sorted({(r.doc_id, r.text) for r in docs.itertuples() if r.text is not None})
+    cut = [[" ".join(words(x)) for x in t.split("\n")] for _, t in rows]
+    names = {x: k for k, x in enumerate(sorted({x for c in cut for x in c}))}
+    size = np.array([len(x.split()) for x in sorted(names)])
+    coded = [np.array([names[x] for x in c]) for c in cut]
+    want = {}
+    for j in range(len(rows)):
+        gone = set()
+        for i in range(j):
+            same = coded[j][:, None] == coded[i][None, :]
+            for a, b in zip(*np.nonzero(same), strict=True):
+                n = 0
+                while a + n < len(coded[j]) and b + n < len(coded[i]) and same[a + n, b + n]:
+                    n += 1
+                if size[coded[j][a : a + n]].sum() >= 40:
+                    gone |= {a + k for k in range(n) if cut[j][a + k]}
+        want[rows[j][0]] = gone
+    got = {r["doc_id"]: {k for k in r["_gone"] or () if cut_of(r["text"])[k]} for r in line_dedup.with_removals(spark.read.parquet(f"{DATA}/documents.parquet")).selectExpr("_row.doc_id", "_row.text", "_gone").collect() if r["text"] is not None}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def cut_of(t):
+    return [" ".join(words(x)) for x in t.split("\n")]
+
+
+def test_line_dedup_of_three_blocks_held_together(spark):
+    block = {x: " ".join(f"{x}{k}" for k in range(17)) for x in "ABC"}
+    texts = {1: [block["A"]], 2: [block["B"]], 3: [block["C"]], 4: ["four", *block.values()], 5: [*block.values(), "five"]}
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.deduplicated(df).collect()}
+    assert got == texts | {5: ["five"]}
+
+
+def test_line_dedup_of_equal_ids(spark):
+    texts = [PASSAGE + ["x"], PASSAGE + ["y"]]
+    df = spark.createDataFrame([(1, "\n".join(t)) for t in texts], "doc_id long, text string")
+    assert sorted(len(r["text"].split("\n")) for r in line_dedup.deduplicated(df).collect()) == [1, 6]
+
+
 def test_patience():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([7, 1, 2, 3, 4, 5, 8])
     assert line_dedup.aligned(a, b) == [(0, 1, 3), (4, 4, 2)]
