@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import series, upto
 
 ANCHORS = ("MON", "TUE", "WED", "THU", "FRI")
+#: The most sessions that are broadcast, after having been counted.
+MOST_DAYS = 100_000
 
 
 def label(d: str, period: str, anchor: str = "FRI") -> Column:
@@ -70,14 +72,44 @@ def as_of(left: DataFrame, right: DataFrame, value: str, keys: list[str], order:
     return out.where("_side = 1").drop("_v", "_vd", "_side")
 
 
+def on_days(intervals: DataFrame, days: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of intervals [start, end) once for each of `days` (trade_date) inside; an open end is the last day's.
+
+    Intervals are cut into their months, days meet them by month; so only what
+    is kept (and the ends' months) is made. `days` has a row a session, and is
+    broadcast only after that is counted.
+    """
+    n, last = days.agg(F.count("*"), F.max("trade_date")).first()
+    until = F.coalesce(F.date_sub(end, 1), F.lit(last).cast("date"))
+    months = F.when(until >= F.col(start), F.sequence(F.trunc(start, "month"), F.trunc(until, "month"), F.expr("interval 1 month")))
+    cut = intervals.withColumn("_until", until).withColumn("_month", F.explode(months))
+    by_month = days.select("trade_date", F.trunc("trade_date", "month").alias("_month"))
+    side = F.broadcast(by_month) if n <= MOST_DAYS else by_month.hint("merge")
+    return cut.join(side, "_month").where((F.col("trade_date") >= F.col(start)) & (F.col("trade_date") <= F.col("_until"))).drop("_month", "_until")
+
+
 def reindexed(df: DataFrame, days: DataFrame, values: list[str]) -> DataFrame:
     """Every code on every session from its first row on, values carried forward."""
-    first = df.groupBy("code").agg(F.min("trade_date").alias("_first"))
-    grid = first.join(F.broadcast(days.withColumnRenamed("trade_date", "_d")), F.col("_d") >= F.col("_first")).select("code", F.col("_d").alias("trade_date"))
+    first = df.groupBy("code").agg(F.min("trade_date").alias("_first")).withColumn("_end", F.lit(None).cast("date"))
+    grid = on_days(first, days, "_first", "_end").select("code", "trade_date")
     w = upto(series())
     return grid.join(df.hint("merge"), ["code", "trade_date"], "left").select("code", "trade_date", *[F.last(v, True).over(w).alias(v) for v in values])
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], days: int = 32) -> DataFrame:
+    """Pairs of closed intervals (start, end) of left and right with a day in common, inside keys: `start`, `end` and `right_*`.
+
+    Intervals are dealt into spans of `days`; a pair meets in the span in which
+    the later of its two starts lies, and so once. No range join, no window over all.
+    """
+    span = lambda c: F.floor(F.unix_date(c) / days)
+    r = right.select(*keys, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in keys])
+    a = left.withColumn("_span", F.explode(F.sequence(span("start"), span("end"))))
+    b = r.withColumn("_span", F.explode(F.sequence(span("right_start"), span("right_end"))))
+    late = F.greatest("start", "right_start")
+    return a.join(b.hint("merge"), [*keys, "_span"]).where((late <= F.least("end", "right_end")) & (F.col("_span") == span(late))).drop("_span")
+
+
 def resampled(df: DataFrame, period: str, anchor: str = "FRI") -> DataFrame:
     """Bars of a period."""
     return df.groupBy("code", label("trade_date", period, anchor).alias("label")).agg(

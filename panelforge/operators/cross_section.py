@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import KEYS, day, roll, series
+from panelforge.functions.storage import cut
 
 
-def momentum(n: int, skip: int = 0, x: str = "close", keys: tuple[str, ...] = KEYS) -> Column:
+def trailing_return(n: int, skip: int = 0, x: str = "close", keys: tuple[str, ...] = KEYS) -> Column:
     w = series(keys)
     return F.try_divide(F.lag(x, skip).over(w), F.lag(x, skip + n).over(w)) - 1
 
@@ -84,23 +85,27 @@ def mean_correlation(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).groupBy(F.col("a").alias("code")).agg(F.avg("corr").alias("mean_corr"), F.avg(F.abs("corr")).alias("mean_abs_corr"))
 
 
-def groups(pairs: DataFrame, codes: DataFrame, limit: float, rounds: int = 30) -> DataFrame:
-    """(code, group): connected by |corr| >= limit; the smallest label spreads until nothing changes (one row a code)."""
-    near = both_ways(pairs.where(F.abs("corr") >= limit)).select("a", "b")
+def groups(pairs: DataFrame, codes: DataFrame, limit: float, most_rounds: int = 60) -> DataFrame:
+    """(code, group): connected by |corr| >= limit; group is the smallest code reachable.
+
+    Each round takes the smallest label among the neighbours and then that
+    label's label, so a chain of n codes takes about log n rounds.
+    """
+    near = cut(both_ways(pairs.where(F.abs("corr") >= limit)).select("a", "b"))
     label = codes.select("code", F.col("code").alias("group"))
-    spark = codes.sparkSession
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         best = near.join(label.hint("merge"), F.col("b") == F.col("code")).groupBy("a").agg(F.min("group").alias("_g"))
-        new = label.join(best.hint("merge"), F.col("code") == F.col("a"), "left").select("code", F.least("group", "_g").alias("group"), F.col("group").alias("_was"))
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
-        if not new.where("`group` <> _was").limit(1).count():
-            return new.select("code", "group")
+        step = label.join(best.hint("merge"), F.col("code") == F.col("a"), "left").select("code", F.least("group", "_g").alias("group"), F.col("group").alias("_was"))
+        up = step.select(F.col("code").alias("_up"), F.col("group").alias("_top"))
+        new = cut(step.join(up.hint("merge"), F.col("group") == F.col("_up"), "left").select("code", F.least("group", "_top").alias("group"), "_was"))
         label = new.select("code", "group")
-    return label
+        if not new.where("`group` <> _was").limit(1).count():
+            return label
+    raise RuntimeError(f"groups still change after {most_rounds} rounds")
 
 
-def momentum_significance(df: DataFrame, m: str, y: str) -> DataFrame:
-    """Forward return where momentum is above zero against the rest: means, spread, Welch t, information coefficient."""
+def trailing_significance(df: DataFrame, m: str, y: str) -> DataFrame:
+    """Forward return where the trailing one is above zero against the rest: means, spread, Welch t, information coefficient."""
     up = F.col(m) > 0
     rows = df.where(F.col(m).isNotNull() & F.col(y).isNotNull())
     side = lambda f, c: f(F.when(c, F.col(y)))

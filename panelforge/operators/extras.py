@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import series, upto
+from panelforge.functions.ordered import ordered_scan
+from panelforge.operators.calendar import on_days
 
 #: Names of comparisons and what they mean (fixed values).
 COMPARISONS = {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "=", "ne": "<>"}
@@ -80,7 +84,7 @@ def next_session_signal(us: DataFrame, days: DataFrame, value: str) -> DataFrame
 def repo_interest(details: DataFrame, days: DataFrame) -> DataFrame:
     """Daily accrual of lending (id, principal, rate_pct, start, interest_days, basis): principal * rate / basis on each day held."""
     d = details.withColumn("_end", F.date_add("start", F.col("interest_days").cast("int")))
-    j = d.join(F.broadcast(days.select(F.col("trade_date").alias("_d"))), (F.col("_d") >= F.col("start")) & (F.col("_d") < F.col("_end")))
+    j = on_days(d, days, "start", "_end").withColumnRenamed("trade_date", "_d")
     gap = F.least(F.coalesce(F.lead("_d").over(Window.partitionBy("id").orderBy("_d")), F.col("_end")), F.col("_end"))
     return j.select("id", F.col("_d").alias("trade_date"), (F.col("principal") * F.col("rate_pct") / 100 * F.datediff(gap, F.col("_d")) / F.col("basis")).alias("interest"))
 
@@ -92,10 +96,10 @@ def money_weighted(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return p.crossJoin(F.broadcast(invested)).select("code", "pnl", F.try_divide(F.col("pnl"), F.col("_i")).alias("share"))
 
 
-def excursions(trades: DataFrame, bars: DataFrame, risk: float) -> DataFrame:
-    """Trades (code, trade, entry_date, last_date, entry) with the highest high while held, in units of risk * entry."""
-    j = trades.join(bars.select("code", F.col("trade_date").alias("_d"), "high").hint("merge"), "code").where("_d BETWEEN entry_date AND last_date")
-    return j.groupBy("code", "trade").agg((F.max("high") / F.first("entry") - 1).alias("mfe")).withColumn("mfe_r", F.col("mfe") / risk)
+def excursions(rows: DataFrame, risk: float) -> DataFrame:
+    """(code, trade, mfe, mfe_r) of bars numbered by trade (with_trades): highest high while held over the open of the first day, and in units of risk."""
+    g = rows.where("held").groupBy("code", "trade").agg((F.max("high") / F.min_by("open", "trade_date") - 1).alias("mfe"))
+    return g.withColumn("mfe_r", F.col("mfe") / risk)
 
 
 def roll_metadata(contracts: DataFrame, switches: DataFrame) -> DataFrame:
@@ -161,20 +165,20 @@ def stop_plan(df: DataFrame, stop: str, slippage: float) -> DataFrame:
 
 
 def own_return_sizing(df: DataFrame, r: str, n: int, cuts: list[float], exposures: list[float], keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
-    """Exposure by the strategy's own return over its last n sessions, itself scaled: feedback, so a loop; a group is one strategy."""
+    """Exposure by the strategy's own return over its last n sessions, itself scaled; a task keeps n values."""
 
-    def walk(pdf):
-        pdf = pdf.sort_values("trade_date")
-        navs, out = [1.0], []
-        for x in pdf[r].fillna(0.0):
-            past = navs[-1] / navs[max(0, len(navs) - 1 - n)] - 1
+    def begin():
+        navs = deque([1.0], maxlen=n + 1)
+
+        def step(x):
+            past = navs[-1] / navs[0] - 1
             e = exposures[sum(past > c for c in cuts)]
-            out.append(e)
-            navs.append(navs[-1] * (1 + e * x))
-        return pdf.assign(exposure=out, nav=navs[1:])
+            navs.append(navs[-1] * (1 + e * (x or 0.0)))
+            return e, navs[-1]
+
+        return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", exposure double, nav double"
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+    return ordered_scan(df, [r], {"exposure": "double", "nav": "double"}, begin, keys)
 
 
 def correlation_gate(decisions: DataFrame, pairs: DataFrame, limit: float, k: int) -> DataFrame:
@@ -224,7 +228,7 @@ def attributed(days: DataFrame) -> DataFrame:
     return g.withColumn("timing", F.col("total") - F.col("selection") - F.col("position") - F.col("cost") - F.col("cash_drag"))
 
 
-def missing_references(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
+def missing_keys(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Values of a column that the known keys lack, with their number of rows."""
     return rows.where(F.col(column).isNotNull()).join(known.select(F.col(key).alias(column)).distinct().hint("merge"), column, "left_anti").groupBy(column).agg(F.count("*").alias("n"))
 

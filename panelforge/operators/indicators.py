@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import KEYS, enough, prior, ret, roll, series, upto
+from panelforge.functions.ordered import ordered_scan
 from panelforge.operators import scan
 
 YEAR = 252
@@ -43,23 +46,54 @@ def compounded(r: str, n: int, keys: tuple[str, ...] = KEYS) -> Column:
     return enough(F.col(r), F.product(1 + F.col(r)).over(f) - 1, f, n)
 
 
-def quantile_yesterday(x: str, q: float, n: int | None, least: int, keys: tuple[str, ...] = KEYS) -> Column:
-    """Quantile known yesterday: of the n rows before today, or of all before today."""
-    w = series(keys)
-    f = prior(w, n) if n else w.rowsBetween(Window.unboundedPreceding, -1)
-    return enough(F.col(x), F.percentile(x, q).over(f), f, least)
+def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float, int | None, int]], keys: tuple[str, ...] = KEYS, order: str = "trade_date") -> DataFrame:
+    """df plus quantiles known yesterday: name -> (x, q, n, least), of the n rows before today or (None) of all before.
+
+    Null where fewer than `least` values lie in that window. The values seen stay
+    in a sorted list, so a row costs a search, not a sort of its window.
+    """
+
+    names = list(wanted)
+
+    def begin() -> Callable:
+        held: list[list[float]] = [[] for _ in names]
+        rows = [deque() for _ in names]
+
+        def step(*xs: float | None) -> tuple:
+            out = []
+            for name, x, own, late in zip(names, xs, held, rows, strict=True):
+                _, q, n, least = wanted[name]
+                place = q * (len(own) - 1)
+                low = int(place)
+                out.append(own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (place - low) if len(own) >= max(1, least) else None)
+                if n:
+                    late.append(x)
+                    if len(late) > n and (old := late.popleft()) is not None:
+                        del own[bisect_left(own, old)]
+                if x is not None:
+                    insort(own, x)
+            return tuple(out)
+
+        return step
+
+    return ordered_scan(df, [v[0] for v in wanted.values()], dict.fromkeys(names, "double"), begin, keys, (order,))
 
 
 def midrank(df: DataFrame, x: str, out: str, keys: tuple[str, ...] = KEYS, order: str = "trade_date") -> DataFrame:
-    """(less + half of equal) / n over the history including today; by counts, joined inside each series."""
-    names = [F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys]
-    a, b = df.where(F.col(x).isNotNull()).select(*keys, order, x).alias("a"), df.where(F.col(x).isNotNull()).select(*keys, order, x).alias("b")
-    cond = F.col(f"b.{order}") <= F.col(f"a.{order}")
-    for c in names:
-        cond = cond & c
-    less, same = F.col(f"b.{x}") < F.col(f"a.{x}"), F.col(f"b.{x}") == F.col(f"a.{x}")
-    counted = a.join(b.hint("merge"), cond).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{order}").alias(order)).agg(((F.sum(less.cast("long")) + 0.5 * F.sum(same.cast("long"))) / F.count("*")).alias(out))
-    return df.join(counted.hint("merge"), [*keys, order], "left")
+    """(less + half of equal) / n over the history including today, from a sorted list of the values seen."""
+
+    def begin() -> Callable:
+        own: list[float] = []
+
+        def step(v: float | None) -> tuple:
+            if v is None:
+                return (None,)
+            insort(own, v)
+            return ((bisect_left(own, v) + bisect_right(own, v)) / 2 / len(own),)
+
+        return step
+
+    return ordered_scan(df, [x], {out: "double"}, begin, keys, (order,))
 
 
 def slope(x: Column, n: int, keys: tuple[str, ...] = KEYS) -> Column:
@@ -121,7 +155,7 @@ def kama(df: DataFrame, out: str, x: str = "close", n: int = 10, fast: int = 2,
 
 
 def vma(df: DataFrame, out: str, x: str = "close", n: int = 9, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Variable mean: smoothing of span n times the absolute momentum oscillator."""
+    """Variable mean: smoothing of span n times the share of net in gross moves."""
     w = series(keys)
     df = df.withColumn("_d", F.col(x) - F.lag(x).over(w))
     f = roll(w, n)
@@ -316,8 +350,8 @@ def deviations(df: DataFrame, n: int = 20, keys: tuple[str, ...] = KEYS) -> Data
 
 
 def composite(df: DataFrame, features: list[str]) -> DataFrame:
-    """(trade_date, composite): median over codes a day, its percentile in history for each feature, their mean, its percentile again."""
+    """(trade_date, composite): median over codes a day (to 9 places), its percentile in history for each feature, their mean (to 12 places), its percentile again."""
     long = df.select("trade_date", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])).alias("v")).select("trade_date", "v.feature", "v.x")
-    daily = long.where(F.col("x").isNotNull()).groupBy("feature", "trade_date").agg(F.percentile("x", 0.5).alias("x"))
-    ranked = midrank(daily, "x", "p", ("feature",)).groupBy("trade_date").agg(F.avg("p").alias("x")).withColumn("feature", F.lit("mean"))
+    daily = long.where(F.col("x").isNotNull()).groupBy("feature", "trade_date").agg(F.round(F.percentile("x", 0.5), 9).alias("x"))
+    ranked = midrank(daily, "x", "p", ("feature",)).groupBy("trade_date").agg(F.round(F.avg("p"), 12).alias("x")).withColumn("feature", F.lit("mean"))
     return midrank(ranked, "x", "composite", ("feature",)).select("trade_date", "composite")

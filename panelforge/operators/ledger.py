@@ -2,42 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import upto
+from panelforge.operators.calendar import as_of, on_days
 
 ORDER = ("trade_date", "trade_time", "id", "price", "quantity")
 
 
-def fifo(trades: DataFrame, book: tuple[str, ...] = ("code",)) -> DataFrame:
-    """(book, buy_id, sell_id, matched, pnl, fee): each sell's quantity against the oldest buys.
+#: Running quantities are exact: they are grouped and compared.
+EXACT = "decimal(28,6)"
+BOOK = ("account_id", "code")
 
-    Buys and sells become intervals of running quantity; two intervals match
-    where they overlap. Both sides are sorted once; a merge of the two interval
-    ends (one union, one window) finds each overlap, so that a book of n trades
-    gives at most n pieces and is never joined with itself.
+
+def _net(book: tuple[str, ...]) -> Column:
+    """Running quantity bought less sold after each trade."""
+    q = F.col("quantity").cast(EXACT)
+    w = Window.partitionBy(*book).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.when(F.col("side") == "BUY", q).otherwise(-q)).over(w).cast(EXACT)
+
+
+def fifo(trades: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
+    """(book, buy_id, sell_id, matched, pnl, fee): each sell's quantity against the oldest stock held at its time.
+
+    What a sell asks beyond the stock held then is matched with nothing (see
+    oversold()), so no sell meets a later buy: the oversold part so far is how
+    far the running quantity has been below zero. Buys and the rest of the sells
+    become intervals of running quantity; two intervals match where they
+    overlap. A merge of the interval ends of both sides (one union, one window)
+    finds each overlap, so that a book of n trades gives at most n pieces and is
+    never joined with itself.
     """
-    w = Window.partitionBy(*book, "side").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("_end", F.sum("quantity").over(w)).withColumn("_start", F.col("_end") - F.col("quantity"))
+    w = Window.partitionBy(*book).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.col("quantity").cast(EXACT)
+    t = trades.withColumn("_net", _net(book)).withColumn("_over", F.greatest(F.lit(0).cast(EXACT), -F.min("_net").over(w)))
+    t = t.withColumn("_new_over", F.col("_over") - F.coalesce(F.lag("_over").over(Window.partitionBy(*book).orderBy(*ORDER)), F.lit(0).cast(EXACT)))
+    t = t.withColumn("_q", F.when(F.col("side") == "BUY", q).otherwise(q - F.col("_new_over")).cast(EXACT)).where("_q > 0")
+    own = Window.partitionBy(*book, "side").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_end", F.sum("_q").over(own).cast(EXACT))
     info = F.struct("id", "price", "fee", "quantity", "trade_date", "_end")
-    buys, sells = F.when(F.col("side") == "BUY", info), F.when(F.col("side") == "SELL", info)
     # every interval end cuts the line of quantities; the piece before it belongs to the next end of either side
+    pieces = t.groupBy(*book, "_end").agg(F.first(F.when(F.col("side") == "BUY", info), True).alias("_b"), F.first(F.when(F.col("side") != "BUY", info), True).alias("_s"))
     cut = Window.partitionBy(*book).orderBy("_end")
-    ends = t.withColumn("_b", buys).withColumn("_s", sells)
-    ahead = cut.rangeBetween(0, Window.unboundedFollowing)
-    pieces = ends.groupBy(*book, "_end").agg(F.first("_b", True).alias("_b"), F.first("_s", True).alias("_s"))
-    pieces = pieces.withColumn("_from", F.coalesce(F.lag("_end").over(cut), F.lit(0.0))).withColumn("buy", F.first("_b", True).over(ahead)).withColumn("sell", F.first("_s", True).over(ahead))
-    p = pieces.where("buy IS NOT NULL AND sell IS NOT NULL").withColumn("matched", F.col("_end") - F.col("_from"))
+    ahead = cut.rowsBetween(0, Window.unboundedFollowing)
+    pieces = pieces.withColumn("_from", F.coalesce(F.lag("_end").over(cut), F.lit(0).cast(EXACT))).withColumn("buy", F.first("_b", True).over(ahead)).withColumn("sell", F.first("_s", True).over(ahead))
+    p = pieces.where("buy IS NOT NULL AND sell IS NOT NULL").withColumn("matched", (F.col("_end") - F.col("_from")).cast("double"))
     fee = F.col("matched") / F.col("buy.quantity") * F.col("buy.fee") + F.col("matched") / F.col("sell.quantity") * F.col("sell.fee")
     return p.select(*book, F.col("buy.id").alias("buy_id"), F.col("sell.id").alias("sell_id"), F.col("buy.trade_date").alias("buy_date"), F.col("sell.trade_date").alias("sell_date"), "matched", ((F.col("sell.price") - F.col("buy.price")) * F.col("matched")).alias("pnl"), fee.alias("fee"))
 
 
-def oversold(trades: DataFrame, book: tuple[str, ...] = ("code",)) -> DataFrame:
+def oversold(trades: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
     """Trades after which more has been sold than bought."""
-    w = Window.partitionBy(*book).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    return trades.withColumn("net", F.sum(signed).over(w)).where("net < 0")
+    return trades.withColumn("net", _net(book).cast("double")).where("net < 0")
 
 
 def rounds(trades: DataFrame, book: tuple[str, ...] = ("code",)) -> DataFrame:
@@ -80,16 +97,16 @@ def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def holdings(trades: DataFrame, days: DataFrame, prices: DataFrame, book: tuple[str, ...] = ("account_id", "code")) -> DataFrame:
-    """Quantity of each book on each of `days` from its first trade on, with the last price on or before and its age; flat days left out."""
-    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    daily = trades.groupBy(*book, "trade_date").agg(F.sum(signed).alias("_q"))
-    first = daily.groupBy(*book).agg(F.min("trade_date").alias("_first"))
-    marks = first.join(F.broadcast(days.select(F.col("trade_date").alias("_d"))), F.col("_d") >= F.col("_first")).select(*book, F.col("_d").alias("trade_date"), F.lit(1).alias("_mark"))
-    rows = daily.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*book).orderBy("trade_date").rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("quantity", F.sum("_q").over(w)).where("_mark = 1 AND abs(quantity) > 1e-9").select(*book, "trade_date", "quantity")
-    from panelforge.operators.calendar import as_of
+    """Quantity of each book on each of `days` from its first trade on, with the last price on or before and its age; flat days left out.
 
+    Trades become intervals of constant quantity; flat ones are dropped before
+    the others are spread over days, so closed books make no rows.
+    """
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    daily = trades.groupBy(*book, F.col("trade_date").alias("_from")).agg(F.sum(signed).alias("_q"))
+    w = Window.partitionBy(*book).orderBy("_from")
+    held = daily.withColumn("quantity", F.sum("_q").over(upto(w))).withColumn("_to", F.lead("_from").over(w)).where("abs(quantity) > 1e-9")
+    rows = on_days(held.select(*book, "quantity", "_from", "_to"), days, "_from", "_to").select(*book, "trade_date", "quantity")
     out = as_of(rows, prices, "close", ["code"])
     return out.withColumn("value", F.col("quantity") * F.col("close")).withColumn("stale_days", F.datediff("trade_date", "close_date")).drop("close_date")
 

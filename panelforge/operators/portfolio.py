@@ -149,13 +149,19 @@ def admitted(df: DataFrame, share: float, limit: int, keys: tuple[str, ...] = ("
     return df.groupBy(*keys).applyInPandas(walk, "strategy string, trade_date date, code string, w double, event string")
 
 
-def trades(df: DataFrame, w: str = "w", r: str = "r", keys: tuple[str, ...] = ("code",)) -> DataFrame:
-    """Round trips from weights: a run of w > 0 and the day after it, whose costs count; the last run of a series may be open."""
+def with_trades(df: DataFrame, w: str = "w", keys: tuple[str, ...] = ("code",)) -> DataFrame:
+    """Rows of round trips with their number: a run of w > 0 (held), and the day after it (_tail)."""
     s = series(keys)
     df = df.withColumn("_on", F.coalesce(F.col(w), F.lit(0.0)) > 0)
     df = df.withColumn("_new", F.col("_on") & ~F.coalesce(F.lag("_on").over(s), F.lit(False))).withColumn("_tail", ~F.col("_on") & F.coalesce(F.lag("_on").over(s), F.lit(False)))
     df = df.withColumn("trade", F.sum(F.col("_new").cast("int")).over(upto(s))).where("_on OR _tail")
+    return df.withColumnRenamed("_on", "held").drop("_new")
+
+
+def trades(df: DataFrame, w: str = "w", r: str = "r", keys: tuple[str, ...] = ("code",)) -> DataFrame:
+    """Round trips from weights: a run of w > 0 and the day after it, whose costs count; the last run of a series may be open."""
+    df = with_trades(df, w, keys)
     return df.groupBy(*keys, "trade").agg(
-        F.min("trade_date").alias("entry_date"), F.max(F.when(F.col("_on"), F.col("trade_date"))).alias("last_date"), F.sum(F.col("_on").cast("int")).alias("days"),
+        F.min("trade_date").alias("entry_date"), F.max(F.when(F.col("held"), F.col("trade_date"))).alias("last_date"), F.sum(F.col("held").cast("int")).alias("days"),
         (F.product(1 + F.coalesce(F.col(r), F.lit(0.0))) - 1).alias("ret"), F.max("_tail").alias("closed"),
     )

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.frames import prior, series
+from panelforge.functions.frames import series
 
 
 def violations(df: DataFrame, max_return: float = 0.3, max_spread: float = 0.5, max_gap: int = 20) -> DataFrame:
     """(code, trade_date, rule) of each broken rule, null prices aside."""
     w = series()
-    known = F.last("close", ignorenulls=True).over(prior(w, 1_000_000))
+    known = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     low, high = F.least("open", "close"), F.greatest("open", "close")
     any_of = lambda f: f("open") | f("high") | f("low") | f("close")

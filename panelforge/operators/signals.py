@@ -2,7 +2,7 @@
 
 Native forms first: latches (two thresholds with memory) and runs (islands of
 equal state). Rules whose next state depends on their last one in a way that
-neither can say are loops in Python, one group a series.
+neither can say pass their sorted rows through a step that keeps that state.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import KEYS, latch, prior, roll, run_id, series, upto
+from panelforge.functions.ordered import ordered_scan
 from panelforge.operators import indicators as ind
+from panelforge.operators.draws import uniform
 
 
 def donchian_position(df: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -22,7 +24,7 @@ def donchian_position(df: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> Da
     return df.withColumn("pos", latch(F.col("close") > F.col("_hi"), F.col("close") < F.col("_lo"), series(keys))).drop("_hi", "_lo")
 
 
-def momentum_position(df: DataFrame, m: str, enter: float, leave: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def trailing_position(df: DataFrame, m: str, enter: float, leave: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """1 once m > enter until m <= leave or m is null (enter >= leave)."""
     if enter < leave:
         raise ValueError("enter must not lie below leave")
@@ -44,29 +46,26 @@ def signed_position(df: DataFrame, up: Column, down: Column, direction: str = "b
 
 def bias_position(df: DataFrame, bias: str, enter: float, hot: float, cold: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """1 once bias > enter until bias >= hot or <= cold; an entry may hold above hot on its own day, so this is a loop."""
-    types = df.schema
 
-    def walk(pdf):
-        pdf = pdf.sort_values("trade_date")
-        state, out = 0.0, []
-        for b in pdf[bias]:
-            if b is None or b != b:
-                state = 0.0
-            elif state and (b >= hot or b <= cold):
+    def begin():
+        state = 0.0
+
+        def step(b):
+            nonlocal state
+            if b is None or b != b or (state and (b >= hot or b <= cold)):
                 state = 0.0
             elif not state and b > enter:
                 state = 1.0
-            out.append(state)
-        return pdf.assign(pos=out)
+            return (state,)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types) + ", pos double"
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+        return step
+
+    return ordered_scan(df, [bias], {"pos": "double"}, begin, keys)
 
 
 def random_entry(df: DataFrame, seed: int, chance: float, hold: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Entries drawn by a hash of seed, code and date; each holds `hold` days."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys, "trade_date"), F.lit(1_000_000)) / 1_000_000
-    df = df.withColumn("_e", (u < chance).cast("int"))
+    df = df.withColumn("_e", (uniform(seed, *keys, "trade_date") < chance).cast("int"))
     return df.withColumn("pos", F.max("_e").over(roll(series(keys), hold))).drop("_e")
 
 
@@ -114,19 +113,20 @@ def range_state(df: DataFrame, er: str, adx: str, low: tuple[float, float] = (0.
 
 def market_regime(df: DataFrame, slope: str, vol: str, q: float = 0.7, least: int = 60, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Direction of the slope and calm or wild volatility against its expanding quantile."""
-    cut = ind.quantile_yesterday(vol, q, None, least, keys)
+    df = ind.with_quantiles(df, {"_cut": (vol, q, None, least)}, keys)
     direction = F.when(F.col(slope) > 0, "UP").when(F.col(slope) < 0, "DOWN").otherwise("FLAT")
-    return df.withColumn("_cut", cut).withColumn("regime", F.when(F.col("_cut").isNotNull() & F.col(slope).isNotNull(), F.concat_ws("_", direction, F.when(F.col(vol) > F.col("_cut"), "WILD").otherwise("CALM")))).drop("_cut")
+    return df.withColumn("regime", F.when(F.col("_cut").isNotNull() & F.col(slope).isNotNull(), F.concat_ws("_", direction, F.when(F.col(vol) > F.col("_cut"), "WILD").otherwise("CALM")))).drop("_cut")
 
 
 def volatility_regime(df: DataFrame, ratio: str, signal: str, keys: tuple[str, ...] = KEYS, reduce: float = 1.3, extreme: float = 2.0, back: float = 1.1, increase: float = 0.8) -> DataFrame:
     """FLAT, NORMAL, REDUCED, INCREASED or EXTREME; leaving a state needs another level than entering it, so this is a loop."""
 
-    def walk(pdf):
-        pdf = pdf.sort_values("trade_date")
-        state, out = "FLAT", []
-        for x, on in zip(pdf[ratio], pdf[signal], strict=True):
-            if not on or on != on:
+    def begin():
+        state = "FLAT"
+
+        def step(x, on):
+            nonlocal state
+            if not on:
                 state = "FLAT"
             elif x is None or x != x:
                 state = "NORMAL" if state == "FLAT" else state
@@ -138,17 +138,16 @@ def volatility_regime(df: DataFrame, ratio: str, signal: str, keys: tuple[str, .
                 state = "INCREASED"
             else:
                 state = "NORMAL"
-            out.append(state)
-        return pdf.assign(vol_state=out)
+            return (state,)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vol_state string"
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+        return step
+
+    return ordered_scan(df, [ratio, signal], {"vol_state": "string"}, begin, keys)
 
 
 def index_position(df: DataFrame, move: str, q: float, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Long after a rise beyond the rolling quantile of absolute moves, flat after such a fall; the last one holds."""
-    df = df.withColumn("_abs", F.abs(F.col(move)))
-    df = df.withColumn("_cut", ind.quantile_yesterday("_abs", q, n, n, keys))
+    df = ind.with_quantiles(df.withColumn("_abs", F.abs(F.col(move))), {"_cut": ("_abs", q, n, n)}, keys)
     return df.withColumn("pos", latch(F.col(move) > F.col("_cut"), F.col(move) < -F.col("_cut"), series(keys))).drop("_abs", "_cut")
 
 
@@ -256,39 +255,51 @@ def arbitrated(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def budget_gate(entries: DataFrame, budget: float = 0.06, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
-    """Entries (trade_date, code, risk) admitted in order while the month's risk stays within the budget; one small group a strategy and month."""
+    """Entries (trade_date, code, risk) admitted in order while the month's risk stays within the budget."""
+
+    def begin():
+        used = 0.0
+
+        def step(risk):
+            nonlocal used
+            ok = risk is not None and used + risk <= budget + 1e-12
+            used += risk if ok else 0.0
+            return (ok,)
 
-    def walk(pdf):
-        used, out = 0.0, []
-        pdf = pdf.sort_values(["trade_date", "code"])
-        for r in pdf["risk"]:
-            ok = used + r <= budget + 1e-12
-            used += r if ok else 0.0
-            out.append(ok)
-        return pdf.assign(admitted=out)
+        return step
 
-    rows = entries.withColumn("month", F.trunc("trade_date", "month"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", admitted boolean"
-    return rows.groupBy(*keys, "month").applyInPandas(walk, schema)
+    return ordered_scan(entries.withColumn("month", F.trunc("trade_date", "month")), ["risk"], {"admitted": "boolean"}, begin, (*keys, "month"), ("trade_date", "code"))
 
 
 def drawdown_sleep(df: DataFrame, r: str, limit: float, sleep: int, scale: float = 0.0, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """Exposure and net value when a drawdown of the value itself beyond the limit cuts exposure for so many sessions."""
 
-    def walk(pdf):
-        pdf = pdf.sort_values("trade_date")
+    def begin():
         nav = peak = 1.0
-        left, exposure, values = 0, [], []
-        for x in pdf[r].fillna(0.0):
+        left = 0
+
+        def step(x):
+            nonlocal nav, peak, left
             e = scale if left else 1.0
-            nav *= 1 + e * x
+            nav *= 1 + e * (x or 0.0)
             left = max(0, left - 1)
             peak = nav if e < 1 and not left else max(peak, nav)
             if not left and nav / peak - 1 <= -limit:
                 left, peak = sleep, nav
-            exposure.append(e)
-            values.append(nav)
-        return pdf.assign(exposure=exposure, nav=values)
+            return e, nav
+
+        return step
+
+    return ordered_scan(df, [r], {"exposure": "double", "nav": "double"}, begin, keys)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", exposure double, nav double"
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+
+def equity_budget_stop(df: DataFrame, share: float, w: str = "w", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """stop, exit_price and active of positions whose loss may take `share` of the equity.
+
+    The room is share / weight of the entry price, both of the day of entry; it
+    stays for the position. Without a weight at entry there is no stop.
+    """
+    v = _position(keys)
+    first = F.first(w).over(upto(v))
+    df = df.withColumn("stop", F.when(F.col("hold").isNotNull() & (first > 0), F.col("entry") * (1 - share / first)))
+    return _first_exit(df.withColumn("_fill", F.when(F.col("hold").isNotNull(), stop_fill(F.col("stop"), keys=keys))), keys)

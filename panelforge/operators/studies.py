@@ -11,15 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions.frames import series
-
-SCALE = 1_000_003
-
-
-def uniform(*parts: Column | str | int) -> Column:
-    """A number in [0, 1) from a hash of the parts."""
-    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.pmod(F.xxhash64(*cols), F.lit(SCALE)) / F.lit(float(SCALE))
-
+from panelforge.operators.draws import uniform
 
 def lead_lag(df: DataFrame, x: str, y: str, lags: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, lag, n, corr): correlation of x with y `lag` rows later, for lags -L..L."""
@@ -70,31 +62,74 @@ def event_returns(df: DataFrame, event: Column, horizon: int, keys: tuple[str, .
 
 
 def event_study(events: DataFrame, pool: DataFrame, trials: int, seed: int = 5, keys: tuple[str, ...] = ("code",)) -> DataFrame:
-    """Mean and win rate of events' fwd, and p: the share of random draws of as many dates (by hash order) with a mean as large."""
+    """Mean and win rate of events' fwd, and p: the share of draws of exactly as many dates of the pool with a mean as large.
+
+    A draw is the n dates with the smallest hashes. Only hashes below a cut that
+    nearly always leaves n of them are sorted; a trial with fewer is drawn again
+    from the whole pool, so the cut changes no result.
+    """
     real = events.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.avg((F.col("fwd") > 0).cast("int")).alias("win_rate"))
     size = pool.groupBy(*keys).agg(F.count("*").alias("_pool"))
-    share = real.join(size.hint("merge"), list(keys)).select(*keys, "n", "mean", (F.col("n") / F.col("_pool")).alias("_p"))
-    draws = pool.select(*keys, "trade_date", "fwd").join(share.hint("merge"), list(keys)).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    w = Window.partitionBy(*keys, "trial").orderBy(uniform(seed, "trial", "trade_date"), "trade_date")
-    drawn = draws.where(uniform(seed, "trial", "trade_date") <= F.least(F.lit(1.0), F.col("_p") * 1.5 + 0.05)).withColumn("_k", F.row_number().over(w)).where("_k <= n")
-    means = drawn.groupBy(*keys, "trial").agg(F.avg("fwd").alias("_m"), F.first("mean").alias("_real"))
+    share = real.join(size.hint("merge"), list(keys)).select(*keys, "n", "mean", (F.col("n") / F.col("_pool") * 1.5 + 0.05).alias("_cut"))
+    asked = share.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    rows = pool.select(*keys, "trade_date", "fwd")
+    w = Window.partitionBy(*keys, "trial").orderBy("_u", "trade_date")
+
+    def drawn(trials_of: DataFrame, all_dates: bool) -> DataFrame:
+        draws = rows.join(trials_of.hint("merge"), list(keys)).withColumn("_u", uniform(seed, *keys, "trial", "trade_date"))
+        draws = draws if all_dates else draws.where(F.col("_u") <= F.col("_cut"))
+        top = draws.withColumn("_k", F.row_number().over(w)).where("_k <= n")
+        return top.groupBy(*keys, "trial").agg(F.count("*").alias("_got"), F.avg("fwd").alias("_m"), F.first("mean").alias("_real"), F.first("n").alias("n"))
+
+    first = drawn(asked, False)
+    full = first.where("_got = n").select(*keys, "trial", "_m", "_real")
+    short = asked.join(full.select(*keys, "trial").hint("merge"), [*keys, "trial"], "left_anti")
+    means = full.unionByName(drawn(short, True).select(*keys, "trial", "_m", "_real"))
     p = means.groupBy(*keys).agg(((F.sum((F.col("_m") >= F.col("_real")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
     return real.join(p.hint("merge"), list(keys))
 
 
-def block_bootstrap(df: DataFrame, r: str, sims: int, block: int, seed: int = 9, keys: tuple[str, ...] = ("code",)) -> DataFrame:
-    """(keys, sim, total, vol, max_drawdown): circular blocks with hashed starts, joined by place; metrics grouped by sim."""
-    w = series(keys)
-    rows = df.where(F.col(r).isNotNull()).withColumn("_at", F.row_number().over(w) - 1).select(*keys, "_at", F.col(r).alias("_r"))
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+def _block(values: Column) -> Column:
+    """What a path needs to know of a block of returns: value at its end, lowest and highest value, worst fall inside, sums."""
+    start = F.struct(*[F.lit(x).alias(n) for n, x in (("nav", 1.0), ("low", math.inf), ("high", -math.inf), ("worst", 0.0), ("s1", 0.0), ("s2", 0.0))])
+
+    def step(acc: Column, r: Column) -> Column:
+        nav = acc["nav"] * (1 + r)
+        high = F.greatest(acc["high"], nav)
+        return F.struct(nav.alias("nav"), F.least(acc["low"], nav).alias("low"), high.alias("high"), F.least(acc["worst"], nav / high - 1).alias("worst"), (acc["s1"] + r).alias("s1"), (acc["s2"] + r * r).alias("s2"))
+
+    return F.aggregate(values, start, step)
+
+
+def block_bootstrap(df: DataFrame, r: str, sims: int, block: int, seed: int = 9, keys: tuple[str, ...] = ("code",), draw: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys, sim, total, vol, max_drawdown) of circular blocks with hashed starts.
+
+    The starts depend on `draw` (by default the keys) alone: variants of one
+    series among the keys meet the same resamples. Each place is summed up once
+    as the block that starts there; a path is a fold over its blocks, so work is
+    series + sims x blocks, not sims x rows.
+    """
+    own = Window.partitionBy(*keys)
+    rows = df.where(F.col(r).isNotNull()).withColumn("_at", F.row_number().over(own.orderBy("trade_date")) - 1).withColumn("_n", F.count("*").over(own)).select(*keys, *[k for k in draw or () if k not in keys], "_at", "_n", F.col(r).alias("_r"))
+    around = rows.withColumn("_at", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.floor((block - 1) / F.col("_n")).cast("int") + 1), lambda k: F.col("_at") + k * F.col("_n")), lambda at: at < F.col("_n") + block - 1)))
+    ahead = F.collect_list("_r").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(0, block - 1))
+    starts = around.withColumn("_v", ahead).where("_at < _n").select(*keys, "_at", _block(F.col("_v")).alias("_full"), _block(F.slice("_v", 1, F.pmod(F.col("_n"), F.lit(block)))).alias("_part"))
+    size = rows.groupBy(*dict.fromkeys([*keys, *(draw or ())])).agg(F.count("*").alias("_n"))
     blocks = size.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("int"))))
-    blocks = blocks.withColumn("_s", F.floor(uniform(seed, "sim", "_b", F.concat_ws("|", *keys)) * F.col("_n")))
-    steps = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("t", F.col("_b") * block + F.col("_o")).where("t < _n").withColumn("_at", F.pmod(F.col("_s") + F.col("_o"), F.col("_n")).cast("int"))
-    path = steps.join(rows.hint("merge"), [*keys, "_at"])
-    own = Window.partitionBy(*keys, "sim").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("_nav", F.product(1 + F.col("_r")).over(own))
-    path = path.withColumn("_dd", F.col("_nav") / F.greatest(F.lit(1.0), F.max("_nav").over(own)) - 1)
-    return path.groupBy(*keys, "sim").agg((F.max_by("_nav", "t") - 1).alias("total"), (F.stddev_samp("_r") * math.sqrt(252)).alias("vol"), F.min("_dd").alias("max_drawdown"))
+    blocks = blocks.withColumn("_at", F.floor(uniform(seed, *(draw or keys), "sim", "_b") * F.col("_n")).cast("int"))
+    part = (F.col("_b") + 1) * block > F.col("_n")
+    met = blocks.join(starts.hint("merge"), [*keys, "_at"]).select(*keys, "sim", "_n", F.struct("_b", F.when(part, F.col("_part")).otherwise(F.col("_full")).alias("x")).alias("_x"))
+    paths = met.groupBy(*keys, "sim", "_n").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    begin = F.struct(*[F.lit(x).alias(n) for n, x in (("nav", 1.0), ("peak", 1.0), ("worst", 0.0), ("s1", 0.0), ("s2", 0.0))])
+
+    def fold(acc: Column, item: Column) -> Column:
+        x = item["x"]
+        worst = F.least(acc["worst"], x["worst"], acc["nav"] * x["low"] / acc["peak"] - 1)
+        return F.struct((acc["nav"] * x["nav"]).alias("nav"), F.greatest(acc["peak"], acc["nav"] * x["high"]).alias("peak"), worst.alias("worst"), (acc["s1"] + x["s1"]).alias("s1"), (acc["s2"] + x["s2"]).alias("s2"))
+
+    end = paths.withColumn("_e", F.aggregate("_x", begin, fold))
+    var = F.when(F.col("_n") > 1, F.greatest(F.lit(0.0), F.col("_e.s2") - F.col("_e.s1") * F.col("_e.s1") / F.col("_n")) / (F.col("_n") - 1))
+    return end.select(*keys, "sim", (F.col("_e.nav") - 1).alias("total"), (F.sqrt(var) * math.sqrt(252)).alias("vol"), F.col("_e.worst").alias("max_drawdown"))
 
 
 def bootstrap_summary(sims: DataFrame, metric: str, keys: tuple[str, ...] = ("code",)) -> DataFrame:
@@ -114,7 +149,8 @@ def sign_flip(df: DataFrame, d: str, unit: str, trials: int, seed: int = 3, keys
     """Paired differences: mean, sign-flip permutation p, signed-rank sum."""
     rows = df.where(F.col(d).isNotNull())
     real = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("mean"))
-    flips = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_v", F.col(d) * F.when(uniform(seed, "trial", unit) < 0.5, -1).otherwise(1))
+    signs = F.transform(F.sequence(F.lit(1), F.lit(trials)), lambda k: F.when(uniform(seed, k, unit) < 0.5, -F.col(d)).otherwise(F.col(d)))
+    flips = rows.select(*keys, F.posexplode(signs).alias("trial", "_v"))
     means = flips.groupBy(*keys, "trial").agg(F.avg("_v").alias("_m"))
     p = means.join(real.hint("merge"), list(keys)).groupBy(*keys).agg(((F.sum((F.abs("_m") >= F.abs("mean")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
     w = Window.partitionBy(*keys).orderBy("_abs")
@@ -153,7 +189,7 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> Dat
 def sweep(panel: DataFrame, lookbacks: list[int], exits: list[float], r: str = "r") -> DataFrame:
     """(lookback, exit, code, ...): trend rules over a whole grid as rows of one job.
 
-    Momentum of every lookback is one projection over one sort; the grid is
+    The trailing return of every lookback is one projection over one sort; the grid is
     exploded after it, so the panel is sorted once for all variants.
     """
     w = series()

@@ -18,14 +18,14 @@ BMOM = f"{BRANDS}, m AS (SELECT *, close / lag(close, 20) OVER w - 1 AS mom FROM
 
 
 def scored(spark, d):
-    return bars(spark, d).withColumn("mom", xs.momentum(20, 5))
+    return bars(spark, d).withColumn("mom", xs.trailing_return(20, 5))
 
 
 def brands_scored(spark, d):
-    return brand_bars(spark, d).withColumn("mom", xs.momentum(20))
+    return brand_bars(spark, d).withColumn("mom", xs.trailing_return(20))
 
 
-@query("x01_momentum", f"WITH {MOM} SELECT code, trade_date, mom FROM m", "mom")
+@query("x01_trailing_return", f"WITH {MOM} SELECT code, trade_date, mom FROM m", "mom")
 def x01(spark, d):
     return scored(spark, d).select("code", "trade_date", "mom")
 
@@ -122,12 +122,12 @@ def x15(spark, d):
     return xs.screened(m, xs.correlations(r), 8, 3, 0.2)
 
 
-@query("x16_momentum_significance", f"""WITH {MOM}, y AS (SELECT *, lead(close, 5) OVER w / close - 1 AS y FROM m {W}), k AS (SELECT * FROM y WHERE mom IS NOT NULL AND y IS NOT NULL),
+@query("x16_trailing_significance", f"""WITH {MOM}, y AS (SELECT *, lead(close, 5) OVER w / close - 1 AS y FROM m {W}), k AS (SELECT * FROM y WHERE mom IS NOT NULL AND y IS NOT NULL),
   g AS (SELECT code, count(*) FILTER (mom > 0) AS n_up, count(*) FILTER (mom <= 0) AS n_down, avg(y) FILTER (mom > 0) AS mean_up, avg(y) FILTER (mom <= 0) AS mean_down, var_samp(y) FILTER (mom > 0) AS vu, var_samp(y) FILTER (mom <= 0) AS vd, corr(mom, y) AS ic FROM k GROUP BY code)
   SELECT code, n_up, n_down, mean_up, mean_down, mean_up - mean_down AS spread, (mean_up - mean_down) / sqrt(vu / n_up + vd / n_down) AS t, ic FROM g""", "mean_up mean_down spread t ic")
 def x16(spark, d):
     df = scored(spark, d).withColumn("y", F.lead("close", 5).over(series()) / F.col("close") - 1)
-    return xs.momentum_significance(df, "mom", "y")
+    return xs.trailing_significance(df, "mom", "y")
 
 
 CORR = f"{RET}, p AS (SELECT a.code AS a, b.code AS b, count(*) AS n, corr(a.r, b.r) AS corr FROM r a JOIN r b ON a.trade_date = b.trade_date AND a.code < b.code WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL)"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import clean, series
+from panelforge.functions.storage import shared_dir
 from panelforge.operators import calendar as cal
 from panelforge.operators import extras as ex
 from panelforge.operators import indicators as ind
@@ -13,10 +14,12 @@ from panelforge.operators import ledger
 from panelforge.operators import performance as perf
 from panelforge.operators import portfolio as pf
 from panelforge.operators import signals as sig
-from panelforge.plans.indicators_queries import RET, W, frame
-from panelforge.plans.portfolio_queries import all_trades
+from panelforge.plans.indicators_queries import COMPOSITE, RET, W, frame
+from panelforge.plans.ledger_queries import LEAD, SWITCH
+from panelforge.plans.portfolio_queries import TRADE, TRADES_OF, all_trades, weighted
 from panelforge.plans.registry import query
 from panelforge.plans.signals_queries import ATR, positions
+from panelforge.plans.studies_queries import bootstrap_sql
 from panelforge.plans.views import BARS, BRANDS, CONTRACTS, FLOWS, TRADES, bars, brand_bars, contracts, flows, table, trades
 
 
@@ -171,12 +174,9 @@ def m20(spark, d):
     return perf.metrics(pf.nav(n, keys=("anchor",)), keys=("anchor",))
 
 
-@query("t06_excursions")
+@query("t06_excursions", f"WITH {TRADE}, g AS (SELECT code, trade::BIGINT AS trade, max(high) / arg_min(open, trade_date) - 1 AS mfe FROM q WHERE o GROUP BY code, trade) SELECT code, trade, mfe, mfe / 0.1 AS mfe_r FROM g", "mfe mfe_r")
 def t06(spark, d):
-    b = bars(spark, d)
-    t = all_trades(spark, d)
-    first = b.select("code", F.col("trade_date").alias("entry_date"), F.col("open").alias("entry"))
-    return ex.excursions(t.join(first.hint("merge"), ["code", "entry_date"]), b, 0.1)
+    return ex.excursions(pf.with_trades(weighted(spark, d)), 0.1)
 
 
 @query("t09_groups", f"WITH {TRADES} SELECT side, code % 10 AS grp, count(*) AS n, avg(price) AS mean FROM trades GROUP BY GROUPING SETS ((side, code % 10), (side), ())", "mean")
@@ -191,7 +191,7 @@ def t10(spark, d):
     return k.groupBy("code").agg(F.count("kelly").alias("n"), F.avg("kelly").alias("mean"), F.stddev_samp("kelly").alias("sd"), F.min("kelly").alias("low"), F.max("kelly").alias("high"))
 
 
-@query("f06_roll_metadata")
+@query("f06_roll_metadata", f"WITH RECURSIVE {LEAD}, {SWITCH} SELECT sw.*, a.open AS from_open, a.close AS from_close, b.open AS to_open, b.close AS to_close FROM sw LEFT JOIN contracts a ON a.root = sw.root AND a.contract = from_contract AND a.trade_date = sw.trade_date LEFT JOIN contracts b ON b.root = sw.root AND b.contract = to_contract AND b.trade_date = sw.trade_date", "from_open from_close to_open to_close")
 def f06(spark, d):
     c = contracts(spark, d)
     return ex.roll_metadata(c, ledger.switches(ledger.dominant(c)))
@@ -205,10 +205,10 @@ def f08(spark, d):
     return m.withColumn("k", k).where("k <= 3 AND fwd IS NOT NULL").groupBy("root", "trade_date").agg(F.avg("fwd").alias("r"))
 
 
-@query("l06_repo_interest", f"""WITH f AS (SELECT o_orderkey AS id, floor(o_totalprice) AS principal, o_orderdate::DATE AS start, (1 + o_orderkey % 14)::INT AS n FROM orders WHERE o_orderkey % 10 = 0), s AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem),
+@query("l06_repo_interest", f"""WITH f AS (SELECT o_orderkey AS id, floor(o_totalprice) AS principal, o_orderdate::DATE AS start, (1 + o_orderkey % 14)::INT AS n FROM orders), s AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem),
   j AS (SELECT f.*, d, start + n AS e FROM f JOIN s ON d >= start AND d < start + n), g AS (SELECT *, least(coalesce(lead(d) OVER (PARTITION BY id ORDER BY d), e), e) AS nx FROM j) SELECT id, d AS trade_date, principal * 2.5 / 100 * datediff('day', d, nx) / 365 AS interest FROM g""", "interest")
 def l06(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     details = o.select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").cast("double").alias("principal"), F.lit(2.5).alias("rate_pct"), F.to_date("o_orderdate").alias("start"), (1 + F.col("o_orderkey") % 14).alias("interest_days"), F.lit(365).alias("basis"))
     return ex.repo_interest(details, cal.sessions(bars(spark, d)))
 
@@ -222,7 +222,7 @@ def q03(spark, d):
   x AS (SELECT *, CASE WHEN coalesce(vol > cut, false) THEN 0.5 ELSE 1.0 END AS ex FROM q), n AS (SELECT code, r / 1000 AS bh, coalesce(lag(ex) OVER w, 0) * r / 1000 AS t FROM x {W}) SELECT code, product(1 + t) - 1 AS timed, product(1 + bh) - 1 AS held FROM n WHERE bh IS NOT NULL GROUP BY code""", "timed held")
 def r11(spark, d):
     v = ind.with_returns(bars(spark, d)).withColumn("vol", ind.rolling_std("lr", 20, 20))
-    v = v.withColumn("cut", ind.quantile_yesterday("vol", 0.8, None, 60)).withColumn("ex", sig.tiered("vol", [F.col("cut")], [1.0, 0.5]))
+    v = ind.with_quantiles(v.select("code", "trade_date", "r", "vol"), {"cut": ("vol", 0.8, None, 60)}).withColumn("ex", sig.tiered("vol", [F.col("cut")], [1.0, 0.5]))
     n = v.withColumn("bh", F.col("r") / 1000).withColumn("t", F.coalesce(F.lag("ex").over(series()), F.lit(0.0)) * F.col("bh")).where("bh IS NOT NULL")
     return n.groupBy("code").agg((F.product(1 + F.col("t")) - 1).alias("timed"), (F.product(1 + F.col("bh")) - 1).alias("held"))
 
@@ -245,13 +245,16 @@ def e10(spark, d):
     return ex.stop_plan(positions(spark, d).withColumn("stop", F.col("entry") * 0.9), "stop", 0.002)
 
 
-@query("e12_own_return_sizing")
+@query("e12_own_return_sizing", f"""WITH RECURSIVE {RET}, q AS MATERIALIZED (SELECT code, trade_date, r / 1000 AS r, row_number() OVER w AS rn FROM r WHERE r IS NOT NULL {W}), s AS (SELECT DISTINCT code, 0::BIGINT AS rn, [1.0::DOUBLE] AS navs, 0.0::DOUBLE AS e FROM q
+  UNION ALL SELECT code, rn, list_append(navs, navs[-1] * (1 + e * x))[-21:], e FROM (SELECT q.code, q.rn, q.r AS x, navs, CASE WHEN navs[-1] / navs[1] - 1 > 0.01 THEN 1.0 WHEN navs[-1] / navs[1] - 1 > 0.0 THEN 0.7 ELSE 0.3 END::DOUBLE AS e FROM s JOIN q ON q.code = s.code AND q.rn = s.rn + 1))
+  SELECT q.code AS strategy, trade_date, r, e AS exposure, navs[-1] AS nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav")
 def e12(spark, d):
-    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").groupBy("trade_date").agg((F.avg("r") / 100).alias("r")).withColumn("strategy", F.lit("s"))
-    return ex.own_return_sizing(r, "r", 20, [0.0, 0.1], [0.3, 0.7, 1.0])
+    """Each instrument held alone, as a strategy of its own."""
+    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").select(F.col("code").alias("strategy"), "trade_date", (F.col("r") / 1000).alias("r"))
+    return ex.own_return_sizing(r, "r", 20, [0.0, 0.01], [0.3, 0.7, 1.0])
 
 
-@query("e13_composite_cap")
+@query("e13_composite_cap", f"WITH {COMPOSITE} SELECT trade_date, CASE WHEN composite > 0.95 THEN 0.3 WHEN composite > 0.8 THEN 0.6 ELSE 1.0 END AS cap FROM cp", "cap")
 def e13(spark, d):
     c = ind.composite(ind.deviations(bars(spark, d)), ["ret_dev", "vol_dev", "act_dev"])
     return c.select("trade_date", sig.tiered("composite", [F.lit(0.8), F.lit(0.95)], [1.0, 0.6, 0.3]).alias("cap"))
@@ -261,7 +264,7 @@ def e13(spark, d):
 def x13(spark, d):
     from panelforge.operators import cross_section as xs
 
-    b = ind.with_returns(brand_bars(spark, d)).withColumn("mom", xs.momentum(20))
+    b = ind.with_returns(brand_bars(spark, d)).withColumn("mom", xs.trailing_return(20))
     days = cal.period_ends(cal.sessions(b), "M").select(F.col("decision_date").alias("trade_date"))
     c = xs.picks(b.join(days.hint("merge"), "trade_date"), "mom", 12).select(F.lit("s").alias("strategy"), "trade_date", "code", "place")
     return ex.correlation_gate(c, xs.correlations(b), 0.05, 4)
@@ -283,9 +286,9 @@ def l12(spark, d):
     return ex.marked(held, b)
 
 
-@query("s21_reference_checks", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey")
+@query("s21_missing_keys", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey")
 def s21(spark, d):
-    return ex.missing_references(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_size > 5"), "p_partkey")
+    return ex.missing_keys(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_size > 5"), "p_partkey")
 
 
 @query("s21_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -293,15 +296,29 @@ def s21k(spark, d):
     return ex.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("t03_r_multiples")
+@query("t03_r_multiples", f"WITH {TRADE}, {TRADES_OF}, b AS (SELECT code, trade_date, open, avg(high - low) OVER {frame(14)} AS atr FROM bars), k AS (SELECT tr.code, trade, ret, 2.0 * atr / open + 0.001 AS risk FROM tr JOIN b ON tr.code = b.code AND entry_date = b.trade_date) SELECT code, trade, risk, ret / risk AS r_multiple FROM k", "risk r_multiple")
 def t03(spark, d):
     b = bars(spark, d).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(series().rowsBetween(-13, 0)))
     return ex.r_multiples(all_trades(spark, d), b, 2.0, 0.001).select("code", "trade", "risk", "r_multiple")
 
 
-@query("t07_entry_conditions")
+@query("t07_entry_conditions", f"""WITH {TRADE}, {TRADES_OF}, j AS (SELECT ret, b.volume > 60 AS heavy, b.high > 2 * b.low AS wide, b.close > 1000 AS dear FROM tr JOIN bars b ON tr.code = b.code AND entry_date = b.trade_date), u AS (SELECT ret, unnest(['heavy', 'wide', 'dear']) AS condition, unnest([heavy, wide, dear]) AS i FROM j),
+  g AS (SELECT condition, count(*) FILTER (i) AS n_in, count(*) FILTER (NOT i) AS n_out, avg((ret > 0)::INT) FILTER (i) AS win_in, avg((ret > 0)::INT) FILTER (NOT i) AS win_out, avg(ret) FILTER (i) AS mean_in, avg(ret) FILTER (NOT i) AS mean_out, var_samp(ret) FILTER (i) AS vi, var_samp(ret) FILTER (NOT i) AS vo FROM u GROUP BY condition),
+  p AS (SELECT *, (coalesce(win_in, 0) * n_in + coalesce(win_out, 0) * n_out) / (n_in + n_out) AS pl FROM g) SELECT condition, n_in, n_out, win_in, win_out, mean_in, mean_out, CASE WHEN n_in > 0 AND n_out > 0 AND pl > 0 AND pl < 1 THEN (win_in - win_out) / sqrt(pl * (1 - pl) * (1.0 / n_in + 1.0 / n_out)) END AS z, CASE WHEN n_in > 1 AND n_out > 1 THEN (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) END AS t FROM p""", "win_in win_out mean_in mean_out z t")
 def t07(spark, d):
-    """Entry conditions inside and out: two samples of each condition, q-values over the family."""
+    """Trades whose entry meets a condition against those whose does not."""
+    return entry_conditions(spark, d)
+
+
+@query("t07_q_values")
+def t07q(spark, d):
+    """The same with normal p and q-values over the family of conditions; SQL has no error function."""
+    from panelforge.operators import studies as st
+
+    return st.benjamini_hochberg(entry_conditions(spark, d).withColumn("p", st.normal_p("t")), "p")
+
+
+def entry_conditions(spark, d):
     from panelforge.operators import studies as st
 
     b = bars(spark, d).select("code", F.col("trade_date").alias("entry_date"), F.col("close").alias("px"), "volume", "high", "low")
@@ -309,11 +326,11 @@ def t07(spark, d):
     conds = {"heavy": F.col("volume") > 60, "wide": F.col("high") > 2 * F.col("low"), "dear": F.col("px") > 1000}
     cells = F.array(*[F.struct(F.lit(k).alias("condition"), c.alias("inside")) for k, c in conds.items()])
     rows = t.withColumn("c", F.explode(cells)).select("ret", "c.*")
-    out = st.two_samples(rows, "ret", F.col("inside"), ("condition",))
-    return st.benjamini_hochberg(out.withColumn("p", st.normal_p("t")), "p")
+    return st.two_samples(rows, "ret", F.col("inside"), ("condition",))
 
 
-@query("r07_grid_under_bootstrap")
+@query("r07_grid_under_bootstrap", f"""WITH {RET}, lb AS (SELECT code, trade_date, r, n AS lookback, coalesce((close > lag(close, n) OVER (PARTITION BY n, code ORDER BY trade_date))::INT, 0) AS p FROM r, (SELECT unnest([5, 20, 60]) AS n)), sr AS (SELECT code, lookback, trade_date, coalesce(lag(p) OVER (PARTITION BY lookback, code ORDER BY trade_date), 0) * r / 1000 AS x FROM lb), {bootstrap_sql('sr', 100, 'code, lookback')},
+  si AS (SELECT code, lookback, sim, product(1 + x) - 1 AS total FROM path GROUP BY ALL), be AS (SELECT code, sim, lookback FROM si QUALIFY row_number() OVER (PARTITION BY code, sim ORDER BY round(total, 12) DESC, lookback) = 1), ct AS (SELECT code, lookback, count(*) AS c FROM be GROUP BY ALL) SELECT code, lookback FROM ct QUALIFY row_number() OVER (PARTITION BY code ORDER BY c DESC, lookback) = 1""")
 def r07(spark, d):
     """Best lookback of each resample by total return, and the lookback that most resamples choose."""
     from panelforge.operators import studies as st
@@ -321,9 +338,9 @@ def r07(spark, d):
     b = ind.with_returns(bars(spark, d)).withColumn("lookback", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))))
     w = series(("lookback", "code"))
     rule = F.when(F.col("lookback") == 5, F.lag("close", 5).over(w)).when(F.col("lookback") == 20, F.lag("close", 20).over(w)).otherwise(F.lag("close", 60).over(w))
-    x = b.withColumn("_p", (F.col("close") > rule).cast("int")).withColumn("x", F.coalesce(F.lag("_p").over(w), F.lit(0)) * F.col("r") / 1000)
-    sims = st.block_bootstrap(x, "x", 20, 20, keys=("code", "lookback"))
-    best = sims.groupBy("code", "sim").agg(F.max_by("lookback", "total").alias("lookback"))
+    x = b.withColumn("_p", F.coalesce((F.col("close") > rule).cast("int"), F.lit(0))).withColumn("x", F.coalesce(F.lag("_p").over(w), F.lit(0)) * F.col("r") / 1000)
+    sims = st.block_bootstrap(x, "x", 100, 20, keys=("code", "lookback"), draw=("code",))
+    best = sims.groupBy("code", "sim").agg(F.max_by("lookback", F.struct(F.round("total", 12), -F.col("lookback"))).alias("lookback"))
     return ex.mode_or_median(best, "lookback", "mode", ("code",))
 
 
@@ -346,8 +363,7 @@ def s20(spark, d):
     """A result table written by run and read back, as exports are."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/panelforge"
-    path = f"{folder.rstrip('/')}/export-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     g = bars(spark, d).groupBy("code", F.year("trade_date").alias("run")).agg(F.count("*").alias("n"), F.avg("close").alias("mean"))
     g.write.partitionBy("run").parquet(path)
     return spark.read.parquet(path).select("code", F.col("run").cast("long").alias("run"), "n", "mean")

@@ -49,13 +49,13 @@ def w04(spark, d):
   CASE WHEN count(r) OVER p >= 60 THEN quantile_cont(r, 0.8) OVER p END AS q_roll, CASE WHEN count(r) OVER e >= 60 THEN quantile_cont(r, 0.8) OVER e END AS q_all FROM r
   WINDOW p AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), e AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "q_roll q_all")
 def w05(spark, d):
-    df = ind.with_returns(bars(spark, d))
-    return df.select("code", "trade_date", ind.quantile_yesterday("r", 0.8, 60, 60).alias("q_roll"), ind.quantile_yesterday("r", 0.8, None, 60).alias("q_all"))
+    df = ind.with_returns(bars(spark, d)).select("code", "trade_date", "r")
+    return ind.with_quantiles(df, {"q_roll": ("r", 0.8, 60, 60), "q_all": ("r", 0.8, None, 60)}).drop("r")
 
 
 @query("w06_midrank", f"WITH {BARS} SELECT a.code, a.trade_date, (sum((b.close < a.close)::INT) + 0.5 * sum((b.close = a.close)::INT)) / count(*) AS pct FROM bars a JOIN bars b ON a.code = b.code AND b.trade_date <= a.trade_date GROUP BY a.code, a.trade_date", "pct", 9)
 def w06(spark, d):
-    return ind.midrank(bars(spark, d), "close", "pct").select("code", "trade_date", "pct")
+    return ind.midrank(bars(spark, d).select("code", "trade_date", "close"), "close", "pct").drop("close")
 
 
 @query("w07_slope", f"WITH {BARS}, x AS (SELECT *, row_number() OVER w AS rn FROM bars {W}) SELECT code, trade_date, CASE WHEN count(close) OVER {frame(20)} >= 20 THEN regr_slope(ln(close), rn) OVER {frame(20)} END AS slope FROM x", "slope", 9)
@@ -111,7 +111,8 @@ def w12(spark, d):
     return ind.kama(bars(spark, d), "kama").select("code", "trade_date", "kama")
 
 
-@query("w13_vma")
+@query("w13_vma", f"""WITH RECURSIVE {NUMBERED}, m AS (SELECT *, close - lag(close) OVER w AS d FROM x {W}), g AS (SELECT *, sum(greatest(d, 0)) OVER {frame(9)} AS up, sum(greatest(-d, 0)) OVER {frame(9)} AS dn FROM m),
+  a AS MATERIALIZED (SELECT *, coalesce(CASE WHEN up + dn > 0 THEN abs(up - dn) / (up + dn) END, 0) * 0.2 AS al FROM g), {ema_sql('e', 'a', 'close', 's.al')} SELECT x.code, trade_date, e.y AS vma FROM x JOIN e ON x.code = e.code AND x.rn = e.rn""", "vma")
 def w13(spark, d):
     return ind.vma(bars(spark, d), "vma").select("code", "trade_date", "vma")
 
@@ -142,7 +143,15 @@ def w17(spark, d):
     return ind.rsi(bars(spark, d)).select("code", "trade_date", "rsi")
 
 
-@query("w18_adx")
+#: Directional indices of bars as a CTE `adx`, from `x` (NUMBERED); after WITH RECURSIVE.
+ADX = f"""{NUMBERED}, mv AS (SELECT *, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM x {W}),
+  dm AS MATERIALIZED (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS m FROM mv), {ema_sql('et', 'dm', 'tr', '(1.0 / 14)')}, {ema_sql('ep', 'dm', 'p', '(1.0 / 14)')}, {ema_sql('em', 'dm', 'm', '(1.0 / 14)')},
+  di AS (SELECT dm.*, CASE WHEN et.y > 0 THEN 100 * ep.y / et.y END AS plus_di, CASE WHEN et.y > 0 THEN 100 * em.y / et.y END AS minus_di FROM dm JOIN et ON dm.code = et.code AND dm.rn = et.rn JOIN ep ON dm.code = ep.code AND dm.rn = ep.rn JOIN em ON dm.code = em.code AND dm.rn = em.rn),
+  dx AS MATERIALIZED (SELECT *, coalesce(CASE WHEN plus_di + minus_di > 0 THEN 100 * abs(plus_di - minus_di) / (plus_di + minus_di) END, 0) AS dx FROM di), {ema_sql('ex', 'dx', 'dx', '(1.0 / 14)')},
+  ax AS (SELECT dx.*, CASE WHEN dx.rn >= 14 THEN ex.y END AS adx FROM dx JOIN ex ON dx.code = ex.code AND dx.rn = ex.rn), adx AS (SELECT *, (adx + lag(adx, 14) OVER w) / 2 AS adxr FROM ax {W})"""
+
+
+@query("w18_adx", f"WITH RECURSIVE {ADX} SELECT code, trade_date, plus_di, minus_di, adx, adxr FROM adx", "plus_di minus_di adx adxr")
 def w18(spark, d):
     return ind.adx(bars(spark, d)).select("code", "trade_date", "plus_di", "minus_di", "adx", "adxr")
 
@@ -177,13 +186,44 @@ def w22(spark, d):
     return ind.ewma_volatility(ind.with_returns(bars(spark, d))).select("code", "trade_date", "ewma_vol")
 
 
-@query("w23_har")
+def eliminated(source: str, keep: str, rows: list[list[str]], pivots: list[int]) -> tuple[str, list[str]]:
+    """CTEs that eliminate a bordered matrix of SQL expressions pivot by pivot, and the corner's column after each of `pivots`.
+
+    With [G v; u 0] the corner after all pivots is -u G^-1 v; with [G v; v' yy] it is what a regression leaves of yy.
+    """
+    n = len(rows)
+    cell = lambda k, i, j: f"c{k}_{i}_{j}"
+    parts = [f"g0 AS (SELECT {keep}, " + ", ".join(f"{rows[i][j]} AS {cell(0, i, j)}" for i in range(n) for j in range(n)) + f" FROM {source})"]
+    for k in range(n - 1):
+        left = ", ".join(f"{cell(k, i, j)} - {cell(k, i, k)} / {cell(k, k, k)} * {cell(k, k, j)} AS {cell(k + 1, i, j)}" for i in range(k + 1, n) for j in range(k + 1, n))
+        kept = ", ".join([keep, *(cell(p, n - 1, n - 1) for p in pivots if p <= k)])
+        parts.append(f"g{k + 1} AS (SELECT {kept}, {left} FROM g{k})")
+    return ", ".join(parts), [cell(p, n - 1, n - 1) for p in pivots]
+
+
+def har_sql() -> str:
+    names, asked = ["1.0", "l1", "l5", "l22"], ["1.0", "l1", "l5", "l22"]
+    sums = [[f"sum(CASE WHEN ok THEN {a} * {b} END) OVER p" for b in (*names, "rv")] for a in names]
+    steps, (corner,) = eliminated("sm", "code, trade_date", [[f"s_{i}_{j}" for j in range(5)] for i in range(4)] + [[*asked, "0.0"]], [4])
+    flat = ", ".join(f"{sums[i][j]} AS s_{i}_{j}" for i in range(4) for j in range(5))
+    return f"""WITH {BARS}, v AS (SELECT code, trade_date, pow(ln(high / low), 2) AS rv FROM bars), f AS (SELECT *, lag(rv) OVER w AS l1, avg(rv) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l5,
+      CASE WHEN count(rv) OVER q >= 22 THEN avg(rv) OVER q END AS l22 FROM v WINDOW w AS (PARTITION BY code ORDER BY trade_date), q AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING)),
+      k AS (SELECT *, l22 IS NOT NULL AND rv IS NOT NULL AS ok FROM f), z AS (SELECT *, count(CASE WHEN ok THEN 1 END) OVER p AS n, {flat} FROM k WINDOW p AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
+      sm AS (SELECT * FROM z WHERE ok AND n >= 20), {steps} SELECT v.code, v.trade_date, CASE WHEN {corner} IS NOT NULL THEN greatest(-{corner}, 0) END AS har FROM v LEFT JOIN g4 ON v.code = g4.code AND v.trade_date = g4.trade_date"""
+
+
+@query("w23_har", har_sql(), "har")
 def w23(spark, d):
     df = bars(spark, d).withColumn("rv", F.pow(F.ln(F.col("high") / F.col("low")), 2))
     return ind.har_forecast(df, "rv").select("code", "trade_date", "har")
 
 
-@query("w24_volatility_by_name")
+@query("w24_volatility_by_name", f"""WITH RECURSIVE {RET}, x AS MATERIALIZED (SELECT code, trade_date, lr * lr AS sq, row_number() OVER w AS rn FROM r WHERE lr IS NOT NULL {W}), {ema_sql('e', 'x', 'sq', '(1 - 0.94)')},
+  l AS (SELECT *, ln(high / low) AS hl, ln(close / open) AS co, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs, ln(open / lag(close) OVER w) AS ov FROM r {W})
+  SELECT code, trade_date, 'close' AS estimator, CASE WHEN count(lr) OVER {frame(20)} >= 20 THEN stddev_samp(lr) OVER {frame(20)} * sqrt(252) END AS vol FROM r
+  UNION ALL SELECT r.code, r.trade_date, 'ewma', sqrt(e.y * 252) FROM r LEFT JOIN x ON r.code = x.code AND r.trade_date = x.trade_date LEFT JOIN e ON x.code = e.code AND x.rn = e.rn
+  UNION ALL SELECT code, trade_date, 'parkinson', CASE WHEN count(*) OVER {frame(20)} >= 20 THEN sqrt(greatest(avg(hl * hl / (4 * ln(2))) OVER {frame(20)}, 0) * 252) END FROM l
+  UNION ALL SELECT code, trade_date, 'yang_zhang', CASE WHEN count(ov) OVER {frame(20)} >= 20 THEN sqrt(greatest(var_samp(ov) OVER {frame(20)} + 0.34 / (1.34 + 21.0 / 19) * var_samp(co) OVER {frame(20)} + (1 - 0.34 / (1.34 + 21.0 / 19)) * avg(rs) OVER {frame(20)}, 0) * 252) END FROM l""", "vol")
 def w24(spark, d):
     b = bars(spark, d)
     kinds = ("close", "ewma", "parkinson", "yang_zhang")
@@ -191,7 +231,10 @@ def w24(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("w25_impulse")
+@query("w25_impulse", f"""WITH RECURSIVE {NUMBERED}, {ema_sql('f', 'x', 'close', '(2.0 / 13)')}, {ema_sql('g', 'x', 'close', '(2.0 / 27)')}, {ema_sql('k', 'x', 'close', '(2.0 / 14)')},
+  mm AS MATERIALIZED (SELECT f.code, f.rn, f.y - g.y AS macd FROM f JOIN g ON f.code = g.code AND f.rn = g.rn), {ema_sql('sg', 'mm', 'macd', '0.2')},
+  h AS (SELECT x.code, trade_date, k.y - lag(k.y) OVER w AS e, macd - sg.y - lag(macd - sg.y) OVER w AS h FROM x JOIN mm ON x.code = mm.code AND x.rn = mm.rn JOIN sg ON x.code = sg.code AND x.rn = sg.rn JOIN k ON x.code = k.code AND x.rn = k.rn WINDOW w AS (PARTITION BY x.code ORDER BY trade_date))
+  SELECT code, trade_date, CASE WHEN e > 0 AND h > 0 THEN 'BULL' WHEN e < 0 AND h < 0 THEN 'BEAR' ELSE 'NEUTRAL' END AS impulse FROM h""")
 def w25(spark, d):
     return ind.impulse(bars(spark, d)).select("code", "trade_date", "impulse")
 
@@ -226,6 +269,13 @@ def w29(spark, d):
     return ind.deviations(bars(spark, d)).select("code", "trade_date", "ret_dev", "vol_dev", "act_dev", "rel_volume")
 
 
-@query("w30_composite")
+COMPOSITE = f"""{RET}, l AS (SELECT *, ln(greatest(high / low - 1, 1e-9)) AS lv, ln(amount) AS la FROM r), dv AS (SELECT trade_date, CASE WHEN count(lr) OVER {frame(20)} >= 20 THEN lr - avg(lr) OVER {frame(20)} END AS ret_dev,
+  CASE WHEN count(lv) OVER {frame(20)} >= 20 THEN lv - avg(lv) OVER {frame(20)} END AS vol_dev, CASE WHEN count(la) OVER {frame(20)} >= 20 THEN la - avg(la) OVER {frame(20)} END AS act_dev FROM l),
+  lg AS (SELECT trade_date, unnest(['ret_dev', 'vol_dev', 'act_dev']) AS feature, unnest([ret_dev, vol_dev, act_dev]) AS v FROM dv), dy AS (SELECT feature, trade_date, round(quantile_cont(v, 0.5), 9) AS v FROM lg WHERE v IS NOT NULL GROUP BY ALL),
+  p1 AS (SELECT a.feature, a.trade_date, (sum((b.v < a.v)::INT) + 0.5 * sum((b.v = a.v)::INT)) / count(*) AS p FROM dy a JOIN dy b ON a.feature = b.feature AND b.trade_date <= a.trade_date GROUP BY ALL), mn AS (SELECT trade_date, round(avg(p), 12) AS v FROM p1 GROUP BY trade_date),
+  cp AS (SELECT a.trade_date, (sum((b.v < a.v)::INT) + 0.5 * sum((b.v = a.v)::INT)) / count(*) AS composite FROM mn a JOIN mn b ON b.trade_date <= a.trade_date GROUP BY ALL)"""
+
+
+@query("w30_composite", f"WITH {COMPOSITE} SELECT trade_date, composite FROM cp", "composite")
 def w30(spark, d):
     return ind.composite(ind.deviations(bars(spark, d)), ["ret_dev", "vol_dev", "act_dev"])

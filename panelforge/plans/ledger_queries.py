@@ -11,16 +11,26 @@ from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, contracts, flows, t
 ORD = "trade_date, trade_time, id, price, quantity"
 
 
-@query("l01_fifo", f"""WITH {TRADES}, t AS (SELECT *, sum(quantity) OVER (PARTITION BY code, side ORDER BY {ORD}) AS e FROM trades), b AS (SELECT *, e - quantity AS s FROM t WHERE side = 'BUY'), x AS (SELECT *, e - quantity AS s FROM t WHERE side = 'SELL')
-  SELECT b.code, b.id AS buy_id, x.id AS sell_id, b.trade_date AS buy_date, x.trade_date AS sell_date, least(b.e, x.e) - greatest(b.s, x.s) AS matched, (x.price - b.price) * (least(b.e, x.e) - greatest(b.s, x.s)) AS pnl,
-         (least(b.e, x.e) - greatest(b.s, x.s)) / b.quantity * b.fee + (least(b.e, x.e) - greatest(b.s, x.s)) / x.quantity * x.fee AS fee FROM b JOIN x ON b.code = x.code AND b.s < x.e AND x.s < b.e""", "matched pnl fee", 7)
+#: Trades one after the other: a buy adds a lot, a sell takes from the oldest lots that are there; what they lack is sold short and matched with nothing.
+FIFO = f"""WITH RECURSIVE {TRADES}, t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account_id, code ORDER BY {ORD}) AS rn FROM trades),
+  f AS (SELECT account_id, code, 0::BIGINT AS rn, []::STRUCT(rn BIGINT, remains DOUBLE)[] AS lots, []::STRUCT(rn BIGINT, matched DOUBLE)[] AS pieces FROM (SELECT DISTINCT account_id, code FROM trades)
+    UNION ALL SELECT account_id, code, rn, CASE WHEN side = 'BUY' THEN lots || CASE WHEN quantity > 0 THEN [{{'rn': rn, 'remains': quantity}}] ELSE [] END
+        ELSE list_filter(list_transform(list_zip(lots, used), lambda z: {{'rn': z[1].rn, 'remains': z[1].remains - z[2]}}), lambda x: x.remains > 0) END,
+      CASE WHEN side = 'BUY' THEN [] ELSE list_filter(list_transform(list_zip(lots, used), lambda z: {{'rn': z[1].rn, 'matched': z[2]}}), lambda x: x.matched > 0) END
+    FROM (SELECT t.account_id, t.code, t.rn, t.side, t.quantity, f.lots, list_transform(range(1, len(f.lots) + 1), lambda i: greatest(0, least(f.lots[i].remains, t.quantity - coalesce(list_sum(list_transform(f.lots[1:i - 1], lambda x: x.remains)), 0)))) AS used
+          FROM f JOIN t ON t.account_id = f.account_id AND t.code = f.code AND t.rn = f.rn + 1)),
+  p AS (SELECT account_id, code, rn, unnest(pieces) AS p FROM f)"""
+
+
+@query("l01_fifo", f"""{FIFO} SELECT p.account_id, p.code, b.id AS buy_id, x.id AS sell_id, b.trade_date AS buy_date, x.trade_date AS sell_date, p.p.matched AS matched, (x.price - b.price) * p.p.matched AS pnl, p.p.matched / b.quantity * b.fee + p.p.matched / x.quantity * x.fee AS fee
+  FROM p JOIN t b ON b.account_id = p.account_id AND b.code = p.code AND b.rn = p.p.rn JOIN t x ON x.account_id = p.account_id AND x.code = p.code AND x.rn = p.rn""", "matched pnl fee", 6)
 def l01(spark, d):
     return ledger.fifo(trades(spark, d))
 
 
-@query("l01_oversold", f"WITH {TRADES}, n AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net FROM trades) SELECT code, id, net FROM n WHERE net < 0", "net")
+@query("l01_oversold", f"WITH {TRADES}, n AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY account_id, code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net FROM trades) SELECT account_id, code, id, net FROM n WHERE net < 0", "net")
 def l01o(spark, d):
-    return ledger.oversold(trades(spark, d)).select("code", "id", "net")
+    return ledger.oversold(trades(spark, d)).select("account_id", "code", "id", "net")
 
 
 @query("l02_rounds", f"""WITH {TRADES}, n AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY code ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS net FROM trades),
@@ -47,15 +57,14 @@ def l05(spark, d):
     return ledger.initial_capital(ledger.cash(trades(spark, d)))
 
 
-@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT last_day(trade_date) AS d FROM trades), f AS (SELECT account_id, code, min(trade_date) AS f FROM trades GROUP BY ALL),
-  q AS (SELECT f.account_id, f.code, m.d AS trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS quantity FROM f JOIN m ON m.d >= f.f JOIN trades t ON t.account_id = f.account_id AND t.code = f.code AND t.trade_date <= m.d GROUP BY ALL),
+@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT last_day(trade_date) AS d FROM trades), dq AS (SELECT account_id, code, trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q FROM trades GROUP BY ALL),
+  h AS (SELECT account_id, code, trade_date AS a, sum(q) OVER w AS quantity, lead(trade_date) OVER w AS b FROM dq WINDOW w AS (PARTITION BY account_id, code ORDER BY trade_date)), k AS (SELECT account_id, code, d AS trade_date, quantity FROM h JOIN m ON d >= a AND d < coalesce(b, DATE '9999-12-31') WHERE abs(quantity) > 1e-9),
   p AS (SELECT code, trade_date, last(price ORDER BY id, price) AS close FROM trades GROUP BY code, trade_date)
-  SELECT q.account_id, q.code, q.trade_date, q.quantity, p.close, q.quantity * p.close AS value, datediff('day', p.trade_date, q.trade_date)::INT AS stale_days FROM q ASOF JOIN p ON q.code = p.code AND q.trade_date >= p.trade_date WHERE abs(q.quantity) > 1e-9 AND q.account_id < 10""", "quantity close value")
+  SELECT k.account_id, k.code, k.trade_date, k.quantity, p.close, k.quantity * p.close AS value, datediff('day', p.trade_date, k.trade_date)::INT AS stale_days FROM k ASOF JOIN p ON k.code = p.code AND k.trade_date >= p.trade_date""", "quantity close value")
 def l07(spark, d):
     t = trades(spark, d)
     px = t.groupBy("code", "trade_date").agg(F.max_by("price", F.struct("id", "price")).alias("close"))
-    days = t.select(F.last_day("trade_date").alias("trade_date")).distinct()
-    return ledger.holdings(t, days, px).where("account_id < 10")
+    return ledger.holdings(t, t.select(F.last_day("trade_date").alias("trade_date")).distinct(), px)
 
 
 @query("l08_period_returns", f"""WITH {FLOWS}, e AS (SELECT account_id, date_trunc('year', flow_date)::DATE AS trade_date, sum(amount) AS flow FROM flows GROUP BY ALL), q AS (SELECT *, sum(flow) OVER w * (1 + 0.01 * (account_id % 5)) AS equity FROM e WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)), g AS (SELECT *, lag(equity) OVER w AS b FROM q WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)),
@@ -85,27 +94,35 @@ def f01(spark, d):
     return contracts(spark, d).select("root", "trade_date", "contract", "hold")
 
 
-@query("f02_dominant")
+#: The leading contract, day after day: state is the leader and all that have led.
+LEAD = f"""{CONTRACTS}, dy AS (SELECT root, trade_date, list({{'c': contract, 'h': hold}} ORDER BY hold DESC, contract) AS today FROM contracts GROUP BY root, trade_date), dn AS MATERIALIZED (SELECT *, list_transform(today, lambda x: x.c) AS there, lag(today) OVER w AS prev, row_number() OVER w AS rn FROM dy WINDOW w AS (PARTITION BY root ORDER BY trade_date)),
+  ld AS (SELECT root, trade_date, rn, today[1].c AS contract, [today[1].c] AS led FROM dn WHERE rn = 1 UNION ALL SELECT root, trade_date, rn, contract, list_append(led, contract) FROM (
+    SELECT dn.root, dn.trade_date, dn.rn, ld.led, CASE WHEN rival IS NOT NULL AND rival.h > 1.1 * coalesce(own, 0) THEN rival.c WHEN NOT list_contains(there, contract) THEN coalesce(next, today[1].c) ELSE contract END AS contract
+    FROM ld JOIN dn ON dn.root = ld.root AND dn.rn = ld.rn + 1, LATERAL (SELECT list_filter(dn.prev, lambda x: NOT list_contains(ld.led, x.c) AND list_contains(dn.there, x.c))[1] AS rival, list_filter(dn.prev, lambda x: x.c = ld.contract)[1].h AS own, list_filter(dn.today, lambda x: NOT list_contains(ld.led, x.c))[1].c AS next)))"""
+SWITCH = "sw AS (SELECT root, trade_date, lag(contract) OVER w AS from_contract, contract AS to_contract FROM ld WINDOW w AS (PARTITION BY root ORDER BY trade_date) QUALIFY from_contract <> to_contract)"
+CONT = """l2 AS (SELECT *, lag(contract) OVER w AS old, lag(trade_date) OVER w AS pd FROM ld WINDOW w AS (PARTITION BY root ORDER BY trade_date)),
+  j AS (SELECT l2.*, n.open, n.close, CASE WHEN old <> l2.contract THEN coalesce(nc.close - oc.close, 0) ELSE 0 END AS gc, CASE WHEN old <> l2.contract THEN coalesce(n.open - oo.open, 0) ELSE 0 END AS go FROM l2 JOIN contracts n ON n.root = l2.root AND n.contract = l2.contract AND n.trade_date = l2.trade_date
+    LEFT JOIN contracts oo ON oo.root = l2.root AND oo.contract = old AND oo.trade_date = l2.trade_date LEFT JOIN contracts oc ON oc.root = l2.root AND oc.contract = old AND oc.trade_date = pd LEFT JOIN contracts nc ON nc.root = l2.root AND nc.contract = l2.contract AND nc.trade_date = pd)
+  SELECT root, trade_date, contract, open, close, close + coalesce(sum(gc) OVER (PARTITION BY root ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS close_forward, close - sum(go) OVER (PARTITION BY root ORDER BY trade_date) AS close_backward FROM j"""
+
+
+@query("f02_dominant", f"WITH RECURSIVE {LEAD} SELECT root, trade_date, contract FROM ld")
 def f02(spark, d):
     return ledger.dominant(contracts(spark, d))
 
 
-@query("f03_switches")
+@query("f03_switches", f"WITH RECURSIVE {LEAD}, {SWITCH} SELECT * FROM sw")
 def f03(spark, d):
     return ledger.switches(ledger.dominant(contracts(spark, d)))
 
 
-@query("f05_continuous")
+@query("f05_continuous", f"WITH RECURSIVE {LEAD}, {CONT}", "open close close_forward close_backward")
 def f05(spark, d):
     c = contracts(spark, d)
     return ledger.continuous(c, ledger.dominant(c))
 
 
-
-@query("f05_continuous_daily_best", f"""WITH {CONTRACTS}, ld AS (SELECT root, trade_date, first(contract ORDER BY hold DESC, contract) AS contract FROM contracts GROUP BY ALL), l2 AS (SELECT *, lag(contract) OVER w AS old, lag(trade_date) OVER w AS pd FROM ld WINDOW w AS (PARTITION BY root ORDER BY trade_date)),
-  j AS (SELECT l2.*, n.open, n.close, CASE WHEN old <> l2.contract THEN coalesce(nc.close - oc.close, 0) ELSE 0 END AS gc, CASE WHEN old <> l2.contract THEN coalesce(n.open - oo.open, 0) ELSE 0 END AS go FROM l2 JOIN contracts n ON n.root = l2.root AND n.contract = l2.contract AND n.trade_date = l2.trade_date
-    LEFT JOIN contracts oo ON oo.root = l2.root AND oo.contract = old AND oo.trade_date = l2.trade_date LEFT JOIN contracts oc ON oc.root = l2.root AND oc.contract = old AND oc.trade_date = pd LEFT JOIN contracts nc ON nc.root = l2.root AND nc.contract = l2.contract AND nc.trade_date = pd)
-  SELECT root, trade_date, contract, open, close, close + coalesce(sum(gc) OVER (PARTITION BY root ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS close_forward, close - sum(go) OVER (PARTITION BY root ORDER BY trade_date) AS close_backward FROM j""", "open close close_forward close_backward")
+@query("f05_continuous_daily_best", f"WITH {CONTRACTS}, ld AS (SELECT root, trade_date, first(contract ORDER BY hold DESC, contract) AS contract FROM contracts GROUP BY ALL), {CONT}", "open close close_forward close_backward")
 def f05b(spark, d):
     from pyspark.sql import Window
 

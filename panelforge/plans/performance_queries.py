@@ -9,7 +9,7 @@ from panelforge.operators import calendar as cal
 from panelforge.operators import indicators as ind
 from panelforge.operators import performance as perf
 from panelforge.plans.indicators_queries import RET, W, frame
-from panelforge.plans.portfolio_queries import DRIFT, all_trades, drift
+from panelforge.plans.portfolio_queries import DRIFT, TRADE, TRADES_OF, all_trades, drift
 from panelforge.plans.registry import query
 from panelforge.plans.views import BARS, bars
 
@@ -100,16 +100,18 @@ def m19(spark, d):
     return perf.semi_variance(ind.with_returns(bars(spark, d)), "r")
 
 
-@query("t02_trade_stats")
+@query("t02_trade_stats", f"""WITH {TRADE}, {TRADES_OF}, g AS (SELECT code, count(ret) AS n, avg((ret > 0)::INT) AS win_rate, avg(ret) FILTER (ret > 0) / avg(-ret) FILTER (ret < 0) AS payoff, avg((ret > 0)::INT) FILTER (ret <> 0) AS p, avg(ret) AS mean, var_samp(ret) AS v, exp(avg(ln(1 + ret)) FILTER (ret > -1)) - 1 AS geometric, sqrt(avg(ret * ret)) AS a FROM tr GROUP BY code)
+  SELECT code, n, win_rate, payoff, mean, geometric, win_rate - (1 - win_rate) / payoff AS kelly, p - (1 - p) / payoff AS kelly_nonzero, mean / v AS kelly_mv, CASE WHEN mean / a > 0 AND mean / a < 1 THEN pow((1 - 0.5 * (1 + mean / a)) / (0.5 * (1 + mean / a)), 0.2 / a) WHEN mean / a <= 0 THEN 1.0 END AS risk_of_ruin FROM g""", "win_rate payoff mean geometric kelly kelly_nonzero kelly_mv risk_of_ruin")
 def t02(spark, d):
     return perf.trade_stats(all_trades(spark, d), "ret", ("code",))
 
 
-@query("t04_sqn")
+@query("t04_sqn", f"""WITH {TRADE}, {TRADES_OF}, l AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY code ORDER BY entry_date DESC) <= 100), g AS (SELECT code, count(ret) AS n, avg(ret) AS m, stddev_pop(ret) AS s FROM l GROUP BY code), v AS (SELECT code, n, CASE WHEN n >= 30 AND s > 1e-12 THEN m / s * sqrt(n) END AS sqn FROM g)
+  SELECT *, CASE WHEN sqn IS NULL THEN 'none' WHEN sqn < 1.6 THEN 'poor' WHEN sqn < 2.0 THEN 'average' WHEN sqn < 2.5 THEN 'good' WHEN sqn < 3.0 THEN 'very good' ELSE 'excellent' END AS grade FROM v""", "sqn")
 def t04(spark, d):
     return perf.sqn(all_trades(spark, d), "ret", "entry_date", ("code",))
 
 
-@query("t05_rolling_sqn")
+@query("t05_rolling_sqn", f"WITH {TRADE}, {TRADES_OF} SELECT code, trade, CASE WHEN count(ret) OVER f >= 30 AND stddev_pop(ret) OVER f > 1e-12 THEN avg(ret) OVER f / stddev_pop(ret) OVER f * sqrt(30) END AS sqn FROM tr WINDOW f AS (PARTITION BY code ORDER BY entry_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "sqn")
 def t05(spark, d):
     return perf.rolling_sqn(all_trades(spark, d), "ret", "entry_date", ("code",), 30).select("code", "trade", "sqn")

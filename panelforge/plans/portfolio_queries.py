@@ -155,7 +155,7 @@ ROT = f"""{RET}, sc AS (SELECT *, lag(close, 5) OVER w / lag(close, 25) OVER w -
 @query("k20_rotation", f"""WITH {ROT}, nv AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY trade_date) = 1 THEN 1 ELSE product(1 + r) OVER (ORDER BY trade_date) END AS nav FROM nt)
   SELECT trade_date, gross, turnover, r, nav, nav / max(nav) OVER (ORDER BY trade_date) - 1 AS drawdown FROM nv""", "gross turnover r nav drawdown")
 def k20(spark, d):
-    b = ind.with_returns(bars(spark, d)).withColumn("mom", xs.momentum(20, 5))
+    b = ind.with_returns(bars(spark, d)).withColumn("mom", xs.trailing_return(20, 5))
     n = rotation(b.withColumn("r", F.col("r") / DAMP), cal.sessions(b), "mom", 2).withColumn("strategy", F.lit("rotation"))
     return perf.with_drawdown(pf.nav(n)).select("trade_date", "gross", "turnover", "r", "nav", "drawdown")
 
@@ -168,10 +168,10 @@ def k21(spark, d):
     return pf.net(x.withColumn("w", F.when(F.col("held") > 0, 1.0 / F.sum("held").over(day())).otherwise(0.0)))
 
 
-@query("k22_contributions", f"""WITH {RET}, m AS (SELECT code, trade_date, r, CASE WHEN date_trunc('month', trade_date) IS DISTINCT FROM date_trunc('month', lag(trade_date) OVER w) THEN 1000.0 ELSE 0 END AS c FROM r WHERE r IS NOT NULL AND trade_date >= DATE '2001-01-01' {W}), g AS (SELECT *, product(1 + r / 1000) OVER w AS g FROM m {W}), h AS (SELECT *, coalesce(lag(g) OVER w, 1) AS g0 FROM g {W})
+@query("k22_contributions", f"""WITH {RET}, m AS (SELECT code, trade_date, r, CASE WHEN date_trunc('month', trade_date) IS DISTINCT FROM date_trunc('month', lag(trade_date) OVER w) THEN 1000.0 ELSE 0 END AS c FROM r WHERE r IS NOT NULL {W}), g AS (SELECT *, product(1 + r / 1000) OVER w AS g FROM m {W}), h AS (SELECT *, coalesce(lag(g) OVER w, 1) AS g0 FROM g {W})
   SELECT code, trade_date, g * sum(c / g0) OVER w AS account, sum(c) OVER w AS invested, g - 1 AS twr FROM h {W}""", "account invested twr")
 def k22(spark, d):
-    m = ind.with_returns(bars(spark, d)).where("r IS NOT NULL AND trade_date >= DATE '2001-01-01'")
+    m = ind.with_returns(bars(spark, d)).where("r IS NOT NULL")
     new = ~F.trunc("trade_date", "month").eqNullSafe(F.lag(F.trunc("trade_date", "month")).over(series()))
     m = m.withColumn("c", F.when(new, 1000.0).otherwise(0.0)).withColumn("r", F.col("r") / DAMP)
     return pf.contributions(m, "c", "r", ("code",)).select("code", "trade_date", "account", "invested", "twr")
@@ -183,29 +183,43 @@ def k23(spark, d):
     return pf.admitted(x, 0.3, 3)
 
 
-@query("k24_calendar_timing", f"""WITH {BARS}, s AS (SELECT DISTINCT trade_date FROM bars WHERE code = 'AF'), t AS (SELECT DISTINCT date_trunc('month', trade_date)::DATE + 9 AS td FROM s), e AS (SELECT min(s.trade_date) AS entry_date FROM t JOIN s ON s.trade_date >= td GROUP BY td),
-  n AS (SELECT trade_date, close, lead(trade_date, 5) OVER (ORDER BY trade_date) AS exit_date, lead(close, 5) OVER (ORDER BY trade_date) AS exit_close FROM bars WHERE code = 'AF') SELECT entry_date, exit_date, exit_close / close - 1 AS ret FROM e JOIN n ON entry_date = trade_date""", "ret")
+@query("k24_calendar_timing", f"""WITH {BARS}, s AS (SELECT DISTINCT trade_date FROM bars), t AS (SELECT DISTINCT date_trunc('month', trade_date)::DATE + 9 AS td FROM s), e AS (SELECT DISTINCT min(s.trade_date) AS entry_date FROM t JOIN s ON s.trade_date >= td GROUP BY td),
+  n AS (SELECT code, trade_date, close, lead(trade_date, 5) OVER w AS exit_date, lead(close, 5) OVER w AS exit_close FROM bars {W}) SELECT code, entry_date, exit_date, exit_close / close - 1 AS ret FROM e JOIN n ON entry_date = trade_date""", "ret")
 def k24(spark, d):
-    b = bars(spark, d).where("code = 'AF'")
+    b = bars(spark, d)
     w = series()
     n = b.select("code", F.col("trade_date").alias("session"), "trade_date", "close").withColumn("exit_date", F.lead("trade_date", 5).over(w)).withColumn("ret", F.lead("close", 5).over(w) / F.col("close") - 1)
     days = cal.sessions(b)
-    return cal.snapped(cal.month_anchor(days, 10), days, "next").select("session").distinct().join(n.hint("merge"), "session").select(F.col("session").alias("entry_date"), "exit_date", "ret")
+    return cal.snapped(cal.month_anchor(days, 10), days, "next").select("session").distinct().join(n.hint("merge"), "session").select("code", F.col("session").alias("entry_date"), "exit_date", "ret")
 
 
-@query("t01_trades", f"""WITH {DON}, x AS (SELECT *, close / lag(close) OVER w - 1 AS dr, coalesce(lag(pos) OVER w, 0) AS wt FROM d {W}), y AS (SELECT *, wt > 0 AS o, wt * coalesce(dr, 0) AS r FROM x), z AS (SELECT *, o AND NOT coalesce(lag(o) OVER w, false) AS nw, NOT o AND coalesce(lag(o) OVER w, false) AS tl FROM y {W}),
-  q AS (SELECT *, sum(nw::INT) OVER w AS trade FROM z {W}) SELECT code, trade::BIGINT AS trade, min(trade_date) AS entry_date, max(CASE WHEN o THEN trade_date END) AS last_date, sum(o::INT)::BIGINT AS days, product(1 + r) - 1 AS ret, bool_or(tl) AS closed FROM q WHERE o OR tl GROUP BY code, trade""", "ret")
+#: Rows of round trips of the channel positions, numbered.
+TRADE = f"""{DON}, x AS (SELECT *, close / lag(close) OVER w - 1 AS dr, coalesce(lag(pos) OVER w, 0) AS wt FROM d {W}), y AS (SELECT *, wt > 0 AS o, wt * coalesce(dr, 0) AS r FROM x), z AS (SELECT *, o AND NOT coalesce(lag(o) OVER w, false) AS nw, NOT o AND coalesce(lag(o) OVER w, false) AS tl FROM y {W}),
+  q AS (SELECT *, sum(nw::INT) OVER w AS trade FROM z {W})"""
+TRADES_OF = "tr AS (SELECT code, trade::BIGINT AS trade, min(trade_date) AS entry_date, max(CASE WHEN o THEN trade_date END) AS last_date, sum(o::INT)::BIGINT AS days, product(1 + r) - 1 AS ret, bool_or(tl) AS closed FROM q WHERE o OR tl GROUP BY code, trade)"
+
+
+@query("t01_trades", f"WITH {TRADE}, {TRADES_OF} SELECT * FROM tr", "ret")
 def t01(spark, d):
     return all_trades(spark, d)
 
 
-def all_trades(spark, d):
+def weighted(spark, d):
+    """Channel positions as weights from the day after, and what they earn."""
     w = series()
-    x = donchian(spark, d).withColumn("w", F.coalesce(F.lag("pos").over(w), F.lit(0))).withColumn("r", F.col("w") * F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
-    return pf.trades(x)
+    return donchian(spark, d).withColumn("w", F.coalesce(F.lag("pos").over(w), F.lit(0))).withColumn("r", F.col("w") * F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
+
+
+def all_trades(spark, d):
+    return pf.trades(weighted(spark, d))
+
+
+NPV = "list_sum(list_transform(f, lambda x: x.amount / pow(1 + {0}, x.t)))"
 
 
-@query("m16_xirr")
+@query("m16_xirr", f"""WITH RECURSIVE {FLOWS}, dl AS (SELECT account_id, flow_date, sum(amount) AS amount FROM flows GROUP BY ALL), ft AS (SELECT account_id, flow_date, amount, datediff('day', min(flow_date) OVER (PARTITION BY account_id), flow_date) / 365.2425 AS t FROM dl), fl AS MATERIALIZED (SELECT account_id, list({{'t': t::DOUBLE, 'amount': amount}} ORDER BY t) AS f FROM ft GROUP BY account_id),
+  b AS (SELECT account_id, 0 AS k, -0.99::DOUBLE AS a, 10.0::DOUBLE AS b FROM fl UNION ALL SELECT account_id, k, CASE WHEN same THEN mid ELSE a END, CASE WHEN same THEN b ELSE mid END FROM (SELECT b.account_id, k + 1 AS k, a, b, (a + b) / 2 AS mid, sign({NPV.format('((a + b) / 2)')}) = sign({NPV.format('(-0.99::DOUBLE)')}) AS same FROM b JOIN fl ON b.account_id = fl.account_id WHERE k < 60))
+  SELECT fl.account_id, CASE WHEN sign({NPV.format('(-0.99::DOUBLE)')}) * sign({NPV.format('10.0::DOUBLE')}) < 0 THEN (a + b) / 2 END AS xirr FROM fl JOIN b ON fl.account_id = b.account_id AND k = 60""", "xirr")
 def m16(spark, d):
     return perf.xirr(flows(spark, d))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import signals as sig
-from panelforge.plans.indicators_queries import RET, W, frame
+from panelforge.operators.draws import uniform_sql
+from panelforge.plans.indicators_queries import ADX, NUMBERED, RET, W, ema_sql, frame
 from panelforge.plans.registry import query
 from panelforge.plans.views import BARS, bars
 
@@ -31,10 +32,10 @@ def g02(spark, d):
     return donchian(spark, d).select("code", "trade_date", "pos")
 
 
-@query("g03_momentum_position", f"WITH {BARS}, m AS (SELECT *, close / lag(close, 20) OVER w - 1 AS mom FROM bars {W}) SELECT code, trade_date, coalesce(last_value(CASE WHEN mom > 0.1 THEN 1 WHEN mom IS NULL OR mom <= -0.05 THEN 0 END IGNORE NULLS) OVER {UPTO}, 0)::INT AS pos FROM m")
+@query("g03_trailing_position", f"WITH {BARS}, m AS (SELECT *, close / lag(close, 20) OVER w - 1 AS mom FROM bars {W}) SELECT code, trade_date, coalesce(last_value(CASE WHEN mom > 0.1 THEN 1 WHEN mom IS NULL OR mom <= -0.05 THEN 0 END IGNORE NULLS) OVER {UPTO}, 0)::INT AS pos FROM m")
 def g03(spark, d):
     m = bars(spark, d).withColumn("mom", F.col("close") / F.lag("close", 20).over(series()) - 1)
-    return sig.momentum_position(m, "mom", 0.1, -0.05).select("code", "trade_date", "pos")
+    return sig.trailing_position(m, "mom", 0.1, -0.05).select("code", "trade_date", "pos")
 
 
 @query("g04_band_position", f"WITH {BARS}, m AS (SELECT *, avg(close) OVER {frame(20)} AS c, stddev_pop(close) OVER {frame(20)} AS s FROM bars) SELECT code, trade_date, coalesce(last_value(CASE WHEN close > c + s THEN 1 WHEN close < c - s THEN 0 END IGNORE NULLS) OVER {UPTO}, 0)::INT AS pos FROM m")
@@ -44,7 +45,9 @@ def g04(spark, d):
     return sig.band_position(df, "centre", F.col("sd")).select("code", "trade_date", "pos")
 
 
-@query("g05_bias_position")
+@query("g05_bias_position", f"""WITH RECURSIVE {BARS}, x AS MATERIALIZED (SELECT code, trade_date, close, close / avg(close) OVER {frame(20)} - 1 AS bias, row_number() OVER w AS rn FROM bars {W}), s AS (SELECT code, rn, CASE WHEN bias > 0.1 THEN 1 ELSE 0 END AS st FROM x WHERE rn = 1
+  UNION ALL SELECT x.code, x.rn, CASE WHEN bias IS NULL OR (st = 1 AND (bias >= 0.5 OR bias <= -0.1)) THEN 0 WHEN st = 0 AND bias > 0.1 THEN 1 ELSE st END FROM s JOIN x ON x.code = s.code AND x.rn = s.rn + 1)
+  SELECT x.code, trade_date, close, bias, st AS pos FROM x JOIN s ON x.code = s.code AND x.rn = s.rn""", "close bias pos")
 def g05(spark, d):
     df = bars(spark, d).select("code", "trade_date", "close").withColumn("bias", F.col("close") / F.avg("close").over(roll(series(), 20)) - 1)
     return sig.bias_position(df, "bias", 0.1, 0.5, -0.1)
@@ -58,7 +61,7 @@ def g06(spark, d):
     return sig.signed_position(df, F.col("up"), F.col("dn")).select("code", "trade_date", "pos")
 
 
-@query("g07_random_entry")
+@query("g07_random_entry", f"WITH {BARS}, e AS (SELECT code, trade_date, ({uniform_sql(7, 'code', 'trade_date')} < 0.02)::INT AS e FROM bars) SELECT code, trade_date, max(e) OVER {frame(10)} AS pos FROM e")
 def g07(spark, d):
     return sig.random_entry(bars(spark, d), 7, 0.02, 10).select("code", "trade_date", "pos")
 
@@ -86,7 +89,10 @@ def g10(spark, d):
     return sig.confirmed_side(df, "side", F.col("ok")).select("code", "trade_date", "pos")
 
 
-@query("g11_range_state")
+@query("g11_range_state", f"""WITH RECURSIVE {ADX}, st AS (SELECT *, abs(close - lag(close) OVER w) AS step FROM adx {W}), er AS (SELECT *, CASE WHEN count(step) OVER {frame(10)} >= 10 AND sum(step) OVER {frame(10)} > 0 THEN abs(close - lag(close, 10) OVER w) / sum(step) OVER {frame(10)} END AS er FROM st {W}),
+  kn AS (SELECT *, er IS NOT NULL AND adx IS NOT NULL AS known, CASE WHEN er >= 0.45 AND adx >= 25 THEN 'TREND' WHEN er <= 0.3 AND adx <= 20 THEN 'RANGE' END AS e FROM er), sg AS (SELECT *, sum(ch) OVER {UPTO} AS seg FROM (SELECT *, (known IS DISTINCT FROM lag(known) OVER w)::INT AS ch FROM kn {W})),
+  ss AS (SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' ELSE coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY code, seg ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'TRANSITION') END AS state FROM sg), rr AS (SELECT *, sum(c2) OVER {UPTO} AS run FROM (SELECT *, (state IS DISTINCT FROM lag(state) OVER w)::INT AS c2 FROM ss {W}))
+  SELECT code, trade_date, state, greatest(0, least(1, (0.45 - er) / (0.45 - 0.3))) AS range_score, row_number() OVER (PARTITION BY code, run ORDER BY trade_date)::INT AS days FROM rr""", "range_score")
 def g11(spark, d):
     df = ind.adx(bars(spark, d))
     df = ind.with_steps(df).withColumn("er", ind.efficiency_ratio("close", 10))
@@ -101,7 +107,11 @@ def g12(spark, d):
     return sig.market_regime(df.withColumn("slope", ind.slope(F.ln("close"), 20)), "slope", "v").select("code", "trade_date", "regime")
 
 
-@query("g13_volatility_regime")
+@query("g13_volatility_regime", f"""WITH RECURSIVE {NUMBERED}, t AS MATERIALIZED (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM x {W}), {ema_sql('f', 't', 'tr', '(1.0 / 10)')}, {ema_sql('g', 't', 'tr', '(1.0 / 60)')},
+  q AS MATERIALIZED (SELECT x.code, x.trade_date, x.rn, CASE WHEN x.rn >= 60 THEN f.y / g.y END AS ratio, close > avg(close) OVER (PARTITION BY x.code ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS "on" FROM x JOIN f ON x.code = f.code AND x.rn = f.rn JOIN g ON x.code = g.code AND x.rn = g.rn),
+  s AS (SELECT DISTINCT code, 0::BIGINT AS rn, 'FLAT' AS st FROM q
+  UNION ALL SELECT q.code, q.rn, CASE WHEN NOT "on" THEN 'FLAT' WHEN ratio IS NULL THEN CASE WHEN st = 'FLAT' THEN 'NORMAL' ELSE st END WHEN ratio >= 2.0 THEN 'EXTREME' WHEN ratio >= 1.3 OR (st IN ('REDUCED', 'EXTREME') AND ratio > 1.1) THEN 'REDUCED' WHEN ratio <= 0.8 THEN 'INCREASED' ELSE 'NORMAL' END FROM s JOIN q ON q.code = s.code AND q.rn = s.rn + 1)
+  SELECT q.code, trade_date, ratio, "on", st AS vol_state FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "ratio")
 def g13(spark, d):
     df = ind.atr(ind.atr(bars(spark, d), "fast", 10).drop("tr"), "slow", 60)
     df = df.select("code", "trade_date", F.try_divide(F.col("fast"), F.col("slow")).alias("ratio"), (F.col("close") > F.avg("close").over(roll(series(), 60))).alias("on"))
@@ -124,7 +134,7 @@ def g15(spark, d):
   SELECT code, trade_date, [1.0, 0.5, 0.2][(1 + coalesce((vol > c1)::INT, 0) + coalesce((vol > c2)::INT, 0))::INT]::DOUBLE AS exposure FROM q""", "exposure")
 def g16(spark, d):
     df = ind.with_returns(bars(spark, d)).withColumn("vol", ind.rolling_std("lr", 20, 20))
-    df = df.withColumn("c1", ind.quantile_yesterday("vol", 0.5, None, 60)).withColumn("c2", ind.quantile_yesterday("vol", 0.9, None, 60))
+    df = ind.with_quantiles(df.select("code", "trade_date", "vol"), {"c1": ("vol", 0.5, None, 60), "c2": ("vol", 0.9, None, 60)})
     return df.select("code", "trade_date", sig.tiered("vol", [F.col("c1"), F.col("c2")], [1.0, 0.5, 0.2]).alias("exposure"))
 
 
@@ -159,12 +169,14 @@ def e02t(spark, d):
     return sig.atr_stops(positions(spark, d), "trailing", 2.0).where("hold IS NOT NULL").select("code", "trade_date", "stop", "exit_price", "active")
 
 
-@query("e02_tightening_stop")
+@query("e02_tightening_stop", f"""WITH {ATR}, z AS (SELECT *, first(atr) OVER {INPOS} AS a0, max(close) OVER {INPOS} AS top FROM a WHERE hold IS NOT NULL), c AS (SELECT *, close - greatest(0.5, 3 - 0.5 * greatest(0, floor((top - entry) / nullif(a0, 0)))) * atr AS c FROM z), m AS (SELECT *, max(c) OVER {INPOS} AS mx FROM c),
+  s AS (SELECT *, coalesce(lag(mx) OVER (PARTITION BY code, hold ORDER BY trade_date), entry - 3 * a0) AS stop FROM m), f AS (SELECT *, CASE WHEN low < stop THEN least(stop, open) END AS fill FROM s), g AS (SELECT *, count(fill) OVER {BEFORE} AS bef FROM f) SELECT code, trade_date, stop, CASE WHEN bef = 0 THEN fill END AS exit_price, bef = 0 AS active FROM g""", "stop exit_price")
 def e02g(spark, d):
     return sig.atr_stops(positions(spark, d), "tightening", 3.0, tighten=0.5).where("hold IS NOT NULL").select("code", "trade_date", "stop", "exit_price", "active")
 
 
-@query("e04_r_take_profit")
+@query("e04_r_take_profit", f"""WITH {ATR}, p AS (SELECT *, max(high / entry - 1) OVER {BEFORE} AS peak FROM a WHERE hold IS NOT NULL), b AS (SELECT *, CASE WHEN peak >= 2 * atr / entry THEN 0.3 WHEN peak >= atr / entry THEN 0.5 END AS back FROM p), l AS (SELECT *, entry * (1 + peak * (1 - back)) AS line FROM b),
+  f AS (SELECT *, CASE WHEN k > 2 AND back IS NOT NULL AND low <= line THEN least(line, open) END AS fill FROM l), g AS (SELECT *, count(fill) OVER {BEFORE} AS bef FROM f) SELECT code, trade_date, CASE WHEN bef = 0 THEN fill END AS exit_price, bef = 0 AS active FROM g""", "exit_price")
 def e04(spark, d):
     return sig.r_take_profit(positions(spark, d), "atr", [(1.0, 0.5), (2.0, 0.3)]).where("hold IS NOT NULL").select("code", "trade_date", "exit_price", "active")
 
@@ -192,16 +204,30 @@ def e08(spark, d):
     return sig.arbitrated(full.unionByName(part))
 
 
-@query("e09_budget_gate")
+@query("e03_equity_budget_stop", f"""WITH {ATR}, s AS (SELECT *, entry * (1 - 0.05 / first(0.1 + 0.02 * day(trade_date)) OVER {INPOS}) AS stop FROM a WHERE hold IS NOT NULL), f AS (SELECT *, CASE WHEN low < stop THEN least(stop, open) END AS fill FROM s), g AS (SELECT *, count(fill) OVER {BEFORE} AS bef FROM f)
+  SELECT code, trade_date, stop, CASE WHEN bef = 0 THEN fill END AS exit_price, bef = 0 AS active FROM g""", "stop exit_price")
+def e03(spark, d):
+    p = positions(spark, d).withColumn("w", 0.1 + 0.02 * F.dayofmonth("trade_date"))
+    return sig.equity_budget_stop(p, 0.05).where("hold IS NOT NULL").select("code", "trade_date", "stop", "exit_price", "active")
+
+
+@query("e09_budget_gate", f"""WITH RECURSIVE {ATR}, en AS MATERIALIZED (SELECT substr(code, 1, 1) AS strategy, trade_date, code, coalesce(2 * atr / entry / 20, 0.02) AS risk, date_trunc('month', trade_date)::DATE AS month, row_number() OVER (PARTITION BY substr(code, 1, 1), date_trunc('month', trade_date) ORDER BY trade_date, code) AS rn FROM a WHERE hold IS NOT NULL AND k = 1),
+  g AS (SELECT strategy, month, 0::BIGINT AS rn, 0.0::DOUBLE AS used, false AS ok FROM (SELECT DISTINCT strategy, month FROM en) UNION ALL SELECT en.strategy, en.month, en.rn, CASE WHEN used + risk <= 0.06 + 1e-12 THEN used + risk ELSE used END, used + risk <= 0.06 + 1e-12 FROM g JOIN en ON en.strategy = g.strategy AND en.month = g.month AND en.rn = g.rn + 1)
+  SELECT en.strategy, trade_date, code, risk, en.month, ok AS admitted FROM en JOIN g ON en.strategy = g.strategy AND en.month = g.month AND en.rn = g.rn""", "risk")
 def e09(spark, d):
-    entries = positions(spark, d).where("day = 1").select(F.lit("s").alias("strategy"), "trade_date", "code", F.coalesce(F.try_divide(2 * F.col("atr"), F.col("entry")) / 20, F.lit(0.02)).alias("risk"))
+    """Entries of each class of instruments under that class's monthly budget."""
+    entries = positions(spark, d).where("day = 1").select(F.substring("code", 1, 1).alias("strategy"), "trade_date", "code", F.coalesce(F.try_divide(2 * F.col("atr"), F.col("entry")) / 20, F.lit(0.02)).alias("risk"))
     return sig.budget_gate(entries)
 
 
-@query("e11_drawdown_sleep")
+@query("e11_drawdown_sleep", f"""WITH RECURSIVE {RET}, q AS MATERIALIZED (SELECT code, trade_date, r / 200 AS r, row_number() OVER w AS rn FROM r WHERE r IS NOT NULL {W}), s AS (SELECT DISTINCT code, 0::BIGINT AS rn, 1.0::DOUBLE AS nav, 1.0::DOUBLE AS peak, 0 AS lft, 1.0::DOUBLE AS ex FROM q
+  UNION ALL SELECT code, rn, nav, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.01 THEN nav ELSE peak END, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.01 THEN 10 ELSE lft END, ex FROM (SELECT code, rn, nav, lft, ex, CASE WHEN ex < 1 AND lft = 0 THEN nav ELSE greatest(peak, nav) END AS peak
+    FROM (SELECT q.code, q.rn, nav * (1 + CASE WHEN lft > 0 THEN 0 ELSE 1 END * q.r) AS nav, peak, greatest(0, lft - 1) AS lft, CASE WHEN lft > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS ex FROM s JOIN q ON q.code = s.code AND q.rn = s.rn + 1)))
+  SELECT q.code AS strategy, trade_date, r, ex AS exposure, nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav")
 def e11(spark, d):
-    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").groupBy("trade_date").agg(F.avg("r").alias("r")).withColumn("strategy", F.lit("s"))
-    return sig.drawdown_sleep(r.withColumn("r", F.col("r") / 20), "r", 0.1, 10)
+    """Each instrument held alone, as a strategy of its own."""
+    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").select(F.col("code").alias("strategy"), "trade_date", (F.col("r") / 200).alias("r"))
+    return sig.drawdown_sleep(r, "r", 0.01, 10)
 
 
 @query("e14_hit_counts", f"WITH {HOLD} SELECT code, hold::BIGINT AS hold, count(*) AS days, sum((high > entry * 1.1)::INT)::BIGINT AS hits FROM hd WHERE hold IS NOT NULL GROUP BY code, hold")

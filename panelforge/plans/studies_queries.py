@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import studies as st
-from panelforge.plans.indicators_queries import RET, W, frame
+from panelforge.operators.draws import uniform_sql
+from panelforge.plans.indicators_queries import RET, W, eliminated, frame
 from panelforge.plans.registry import query
 from panelforge.plans.views import BARS, bars, table
 from panelforge.streaming import feeds
@@ -33,7 +34,18 @@ def r01b(spark, d):
     return st.best_lag(st.lead_lag(with_market(spark, d), "r", "m", 5, ("code",)), ("code",))
 
 
-@query("r02_granger")
+def granger_sql(p: int) -> str:
+    """Gram sums of y, its lags and x's lags; what is left of yy after the own lags and after all gives F."""
+    names = ["1.0", *[f"y{k}" for k in range(1, p + 1)], *[f"x{k}" for k in range(1, p + 1)], "r"]
+    m = len(names) - 1
+    steps, (rss0, rss1) = eliminated("gs", "code, n", [[f"s_{min(i, j)}_{max(i, j)}" for j in range(m + 1)] for i in range(m + 1)], [p + 1, m])
+    lags = ", ".join([f"lag(r, {k}) OVER w AS y{k}" for k in range(1, p + 1)] + [f"lag(m, {k}) OVER w AS x{k}" for k in range(1, p + 1)])
+    sums = ", ".join(f"sum({names[i]} * {names[j]}) AS s_{i}_{j}" for i in range(m + 1) for j in range(i, m + 1))
+    have = " AND ".join(f"{c} IS NOT NULL" for c in names[1:])
+    return f"WITH {MKT}, lg AS (SELECT code, r, {lags} FROM mk {W}), gs AS (SELECT code, count(*) AS n, {sums} FROM lg WHERE {have} GROUP BY code), {steps} SELECT code, n, (({rss0} - {rss1}) / {p}) / ({rss1} / (n - {m})) AS f FROM g{m}"
+
+
+@query("r02_granger", granger_sql(3), "f")
 def r02(spark, d):
     return st.granger(with_market(spark, d), "m", "r", 3, ("code",))
 
@@ -49,16 +61,36 @@ def r04(spark, d):
     return events(spark, d).select("code", "trade_date", "fwd")
 
 
-@query("r04_event_study")
+TRIALS, SIMS = 1000, 2000
+
+
+@query("r04_event_study", f"""WITH {BARS}, e AS (SELECT *, close > 1.3 * avg(close) OVER {frame(20)} AS up, lead(close, 5) OVER w / close - 1 AS fwd FROM bars {W}), po AS (SELECT code, trade_date, fwd FROM e WHERE fwd IS NOT NULL), re AS (SELECT code, count(*) AS n, avg(fwd) AS mean, avg((fwd > 0)::INT) AS win_rate FROM e WHERE up AND fwd IS NOT NULL GROUP BY code),
+  dr AS (SELECT po.code, trial, fwd, n, mean, row_number() OVER (PARTITION BY po.code, trial ORDER BY {uniform_sql(5, 'po.code', 'trial', 'trade_date')}, trade_date) AS k FROM po JOIN re ON po.code = re.code, range(1, {TRIALS + 1}) t(trial)), me AS (SELECT code, trial, avg(fwd) AS m, any_value(mean) AS mean FROM dr WHERE k <= n GROUP BY code, trial),
+  pv AS (SELECT code, (sum((m >= mean)::INT) + 1) / (count(*) + 1) AS p FROM me GROUP BY code) SELECT re.code, n, mean, win_rate, p FROM re JOIN pv ON re.code = pv.code""", "mean win_rate p")
 def r04s(spark, d):
     pool = bars(spark, d).withColumn("fwd", F.lead("close", 5).over(series()) / F.col("close") - 1).where("fwd IS NOT NULL")
-    return st.event_study(events(spark, d), pool, 50)
+    return st.event_study(events(spark, d), pool, TRIALS)
 
 
-@query("r05_block_bootstrap")
+def bootstrap_sql(source: str, sims: int, keys: str = "code", draw: str = "code") -> str:
+    """Paths (keys, sim, t, x) of circular blocks of 20 over rows (keys, trade_date, x) as a CTE, `path`."""
+    part = f"PARTITION BY {keys}"
+    return f"""bn AS (SELECT {keys}, x, row_number() OVER ({part} ORDER BY trade_date) - 1 AS place, count(*) OVER ({part}) AS n FROM {source} WHERE x IS NOT NULL), bz AS (SELECT DISTINCT {keys}, n FROM bn),
+      bs AS (SELECT {keys}, n, sim, b, floor({uniform_sql(9, *draw.split(', '), 'sim', 'b')} * n)::BIGINT AS s FROM bz, range(1, {sims + 1}) q(sim), LATERAL (SELECT unnest(range(0, (n - 1) // 20 + 1)) AS b)),
+      bp AS (SELECT *, b * 20 + o AS t, (s + o) % n AS place FROM bs, range(0, 20) z(o) WHERE b * 20 + o < n), path AS (SELECT bp.*, bn.x FROM bp JOIN bn USING ({keys}, place))"""
+
+
+@query("r05_block_bootstrap", f"""WITH {RET}, sr AS (SELECT code, trade_date, r / 1000 AS x FROM r), {bootstrap_sql('sr', SIMS)}, si AS (SELECT code, sim, product(1 + x) - 1 AS total FROM path GROUP BY code, sim)
+  SELECT code, quantile_cont(total, 0.05) AS p05, quantile_cont(total, 0.5) AS p50, quantile_cont(total, 0.95) AS p95, avg((total <= 0)::INT) AS p_below_zero, count(*) AS sims FROM si GROUP BY code""", "p05 p50 p95 p_below_zero")
 def r05(spark, d):
     r = ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / 1000)
-    return st.bootstrap_summary(st.block_bootstrap(r, "r", 50, 20), "total")
+    return st.bootstrap_summary(st.block_bootstrap(r, "r", SIMS, 20), "total")
+
+
+@query("r05_bootstrap_paths", f"""WITH {RET}, sr AS (SELECT code, trade_date, r / 1000 AS x FROM r), {bootstrap_sql('sr', 50)}, nv AS (SELECT code, sim, t, x, product(1 + x) OVER w AS nav FROM path WINDOW w AS (PARTITION BY code, sim ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  dd AS (SELECT *, nav / greatest(1, max(nav) OVER (PARTITION BY code, sim ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS dd FROM nv) SELECT code, sim::INT AS sim, arg_max(nav, t) - 1 AS total, stddev_samp(x) * sqrt(252) AS vol, min(dd) AS max_drawdown FROM dd GROUP BY code, sim""", "total vol max_drawdown")
+def r05p(spark, d):
+    return st.block_bootstrap(ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / 1000), "r", 50, 20)
 
 
 @query("r06_normal_fit", f"""WITH {RET}, g AS (SELECT code, count(lr) AS n, avg(lr) AS mu, stddev_pop(lr) AS sigma FROM r GROUP BY code), z AS (SELECT r.code, avg(pow((lr - mu) / sigma, 3)) AS skew, avg(pow((lr - mu) / sigma, 4)) - 3 AS kurtosis FROM r JOIN g ON r.code = g.code WHERE lr IS NOT NULL GROUP BY r.code)
@@ -67,9 +99,11 @@ def r06(spark, d):
     return st.normal_fit(ind.with_returns(bars(spark, d)), "lr")
 
 
-@query("r08_sign_flip")
+@query("r08_sign_flip", f"""WITH {MKT}, df AS (SELECT code, trade_date, round(r - m, 12) AS d FROM mk), re AS (SELECT code, count(*) AS n, avg(d) AS mean FROM df GROUP BY code), fl AS (SELECT code, trial, avg(CASE WHEN {uniform_sql(3, 'trial', 'trade_date')} < 0.5 THEN -d ELSE d END) AS m FROM df, range(1, {TRIALS + 1}) t(trial) GROUP BY code, trial),
+  pv AS (SELECT re.code, (sum((abs(m) >= abs(mean))::INT) + 1) / (count(*) + 1) AS p FROM fl JOIN re ON fl.code = re.code GROUP BY re.code), rk AS (SELECT code, d, rank() OVER (PARTITION BY code ORDER BY abs(d)) + (count(*) OVER (PARTITION BY code, abs(d)) - 1) / 2 AS rk FROM df WHERE d <> 0),
+  pl AS (SELECT code, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rank_sum FROM rk GROUP BY code) SELECT re.code, n, mean, p, rank_sum FROM re JOIN pv ON re.code = pv.code JOIN pl ON re.code = pl.code""", "mean p rank_sum")
 def r08(spark, d):
-    return st.sign_flip(with_market(spark, d).withColumn("diff", F.col("r") - F.col("m")), "diff", "trade_date", 50)
+    return st.sign_flip(with_market(spark, d).withColumn("diff", F.round(F.col("r") - F.col("m"), 12)), "diff", "trade_date", TRIALS)
 
 
 @query("r09_conditions", f"""WITH {MKT}, x AS (SELECT *, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS y FROM mk {W}), g AS (SELECT code, count(y) FILTER (f) AS n_in, count(y) FILTER (NOT f) AS n_out, avg((y > 0)::INT) FILTER (f) AS win_in, avg((y > 0)::INT) FILTER (NOT f) AS win_out, avg(y) FILTER (f) AS mean_in, avg(y) FILTER (NOT f) AS mean_out, var_samp(y) FILTER (f) AS vi, var_samp(y) FILTER (NOT f) AS vo FROM x WHERE y IS NOT NULL GROUP BY code),

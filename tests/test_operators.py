@@ -85,18 +85,18 @@ def test_look_ahead(spark):
         b = panel(spark, v)
         b = ind.atr(ind.macd(b), n=5)
         b = signals.donchian_position(b, 10)
-        return b.withColumn("q", ind.quantile_yesterday("close", 0.8, 20, 5)).select("trade_date", "macd_hist", "atr", "pos", "q")
+        return ind.with_quantiles(b, {"q": ("close", 0.8, 20, 5)}).select("trade_date", "macd_hist", "atr", "pos", "q")
     a, b = (run(v).orderBy("trade_date").limit(60).toPandas() for v in (x, y))
     pd.testing.assert_frame_equal(a, b)
 
 
-def test_donchian_and_momentum_position(spark):
+def test_donchian_and_trailing_position(spark):
     x = [1, 2, 3, 4, 3, 2, 1, 2, 5]
     assert column(signals.donchian_position(panel(spark, x), 3), "pos") == [0, 0, 0, 1, 1, 0, 0, 0, 1]
     df = panel(spark, [0, 5, 3, 1, 0, 2, 5]).withColumn("m", F.col("close"))
-    assert column(signals.momentum_position(df, "m", 4, 0), "pos") == [0, 1, 1, 1, 0, 0, 1]
+    assert column(signals.trailing_position(df, "m", 4, 0), "pos") == [0, 1, 1, 1, 0, 0, 1]
     with pytest.raises(ValueError):
-        signals.momentum_position(df, "m", 0, 1)
+        signals.trailing_position(df, "m", 0, 1)
 
 
 def test_bias_position(spark):
