@@ -68,11 +68,18 @@ def cash_rule(above: Column, keys: tuple[str, ...] = ()) -> Column:
     return ~F.max(F.coalesce(above, F.lit(False))).over(day(keys))
 
 
-def correlations(df: DataFrame, r: str = "r", least: int = 20) -> DataFrame:
-    """(a, b, n, corr) of all pairs of codes on common dates: one row a pair."""
-    rows = df.where(F.col(r).isNotNull()).select("trade_date", "code", F.col(r).alias("r"))
+def correlations(df: DataFrame, r: str = "r", least: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, n, corr) of all pairs of codes on common dates (inside keys): one row a pair.
+
+    The pairs are the output: c codes a date give c (c - 1) / 2 rows before they
+    are summed up, so this is for universes of some thousand codes.
+    """
+    rows = df.where(F.col(r).isNotNull()).select(*keys, "trade_date", "code", F.col(r).alias("r"))
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b.hint("merge"), (F.col("a.trade_date") == F.col("b.trade_date")) & (F.col("a.code") < F.col("b.code")))
+    same = (F.col("a.trade_date") == F.col("b.trade_date")) & (F.col("a.code") < F.col("b.code"))
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    pairs = a.join(b.hint("merge"), same)
     out = pairs.groupBy(F.col("a.code").alias("a"), F.col("b.code").alias("b")).agg(F.count("*").alias("n"), F.corr("a.r", "b.r").alias("corr"))
     return out.where(F.col("n") >= least)
 
@@ -161,13 +168,15 @@ def gated(decisions: DataFrame, gap: float, least_periods: int, keys: tuple[str,
 
 
 def best_parameters(scores: DataFrame, by: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*by) if keys else Window.partitionBy(F.lit(0)).orderBy(*by)
+    if not keys:
+        return scores.orderBy(*by).limit(1)
+    w = Window.partitionBy(*keys).orderBy(*by)
     return scores.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def min_max(x: str, keys: tuple[str, ...] = (), low_is_good: bool = False) -> Column:
-    """Scaled to 0..1 inside a run; a constant metric gives 0.5."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def min_max(x: str, keys: tuple[str, ...], low_is_good: bool = False) -> Column:
+    """Scaled to 0..1 inside a run (keys); a constant metric gives 0.5."""
+    w = Window.partitionBy(*keys)
     lo, hi = F.min(x).over(w), F.max(x).over(w)
     v = F.when(hi > lo, (F.col(x) - lo) / (hi - lo)).otherwise(0.5)
     return 1 - v if low_is_good else v

@@ -99,7 +99,8 @@ def risk_contribution(df: DataFrame, w: str, r: str) -> DataFrame:
     cov = a.join(b.hint("merge"), F.col("a.trade_date") == F.col("b.trade_date")).groupBy(F.col("a.code").alias("code"), F.col("b.code").alias("other")).agg(F.covar_samp("a.r", "b.r").alias("cov"))
     m2 = mean.select(F.col("code").alias("other"), F.col("mw").alias("mo"))
     j = cov.join(mean.hint("merge"), "code").join(m2.hint("merge"), "other").groupBy("code", "mw").agg(F.sum(F.col("mw") * F.col("mo") * F.col("cov")).alias("_c"))
-    return j.select("code", F.col("mw").alias("weight"), F.try_divide(F.col("_c"), F.sum("_c").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a code
+    total = j.agg(F.sum("_c").alias("_t"))  # one row
+    return j.crossJoin(F.broadcast(total)).select("code", F.col("mw").alias("weight"), F.try_divide(F.col("_c"), F.col("_t")).alias("share"))
 
 
 def xirr(flows: DataFrame, keys: tuple[str, ...] = ("account_id",), rounds: int = 60, low: float = -0.99, high: float = 10.0) -> DataFrame:
@@ -123,7 +124,8 @@ def xirr(flows: DataFrame, keys: tuple[str, ...] = ("account_id",), rounds: int
 def by_state(df: DataFrame, state: str, r: str) -> DataFrame:
     """Share of days, summed log return, win rate and mean of each state."""
     g = df.where(F.col(r).isNotNull() & F.col(state).isNotNull()).groupBy(state).agg(F.count("*").alias("days"), F.sum(F.log1p(r)).alias("log_return"), F.avg((F.col(r) > 0).cast("int")).alias("win_rate"), F.avg(r).alias("mean"))
-    return g.withColumn("share", F.col("days") / F.sum("days").over(Window.partitionBy(F.lit(0))))  # a row a state
+    total = g.agg(F.sum("days").alias("_t"))  # one row
+    return g.crossJoin(F.broadcast(total)).withColumn("share", F.col("days") / F.col("_t")).drop("_t")
 
 
 def confusion(df: DataFrame, p: str, y: str, keys: tuple[str, ...]) -> DataFrame:

@@ -180,7 +180,7 @@ def normal_p(z: pd.Series) -> pd.Series:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """q-values: the smallest p * n / rank among ranks from the row's on; one family is small."""
+    """q-values: the smallest p * n / rank among ranks from the row's on. A family (keys; without keys all rows) has one row a hypothesis and is sorted in one task."""
     fam = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     df = df.withColumn("_k", F.row_number().over(fam.orderBy(p))).withColumn("_q", F.col(p) * F.count("*").over(fam) / F.col("_k"))
     return df.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(fam.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))).drop("_k", "_q")

@@ -105,23 +105,6 @@ def x12(spark, d):
     return brands_scored(spark, d).select("code", "trade_date", (flags >= 2).alias("pass"))
 
 
-@query("x14_inertia")
-def x14(spark, d):
-    b = scored(spark, d)
-    days = cal.period_ends(cal.sessions(b), "W").select(F.col("decision_date").alias("trade_date"))
-    return xs.gated(xs.picks(b.join(days.hint("merge"), "trade_date"), "mom", 10).select(F.lit("s").alias("strategy"), "trade_date", "code", F.col("mom").alias("score"), "place"), 0.05, 4)
-
-
-@query("x15_screening")
-def x15(spark, d):
-    r = ind.with_returns(brand_bars(spark, d))
-    m = r.groupBy("code").agg(F.avg("r").alias("mean"), F.avg((F.col("r") > 0).cast("int")).alias("win"), F.avg("amount").alias("liquidity"))
-    one = Window.partitionBy(F.lit(0))
-    m = m.withColumn("score", (F.percent_rank().over(one.orderBy("mean")) + F.percent_rank().over(one.orderBy("win")) + F.percent_rank().over(one.orderBy("liquidity"))) / 3)  # a row a candidate
-    m = m.select(F.lit("s").alias("screen"), "code", F.substring("code", 7, 1).alias("category"), "score")
-    return xs.screened(m, xs.correlations(r), 8, 3, 0.2)
-
-
 @query("x16_trailing_significance", f"""WITH {MOM}, y AS (SELECT *, lead(close, 5) OVER w / close - 1 AS y FROM m {W}), k AS (SELECT * FROM y WHERE mom IS NOT NULL AND y IS NOT NULL),
   g AS (SELECT code, count(*) FILTER (mom > 0) AS n_up, count(*) FILTER (mom <= 0) AS n_down, avg(y) FILTER (mom > 0) AS mean_up, avg(y) FILTER (mom <= 0) AS mean_down, var_samp(y) FILTER (mom > 0) AS vu, var_samp(y) FILTER (mom <= 0) AS vd, corr(mom, y) AS ic FROM k GROUP BY code)
   SELECT code, n_up, n_down, mean_up, mean_down, mean_up - mean_down AS spread, (mean_up - mean_down) / sqrt(vu / n_up + vd / n_down) AS t, ic FROM g""", "mean_up mean_down spread t ic")

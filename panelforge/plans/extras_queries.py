@@ -164,16 +164,6 @@ def m21(spark, d):
     return g.groupBy("anchor", "px").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")).withColumn("sharpe", perf.safe(F.col("mean"), F.col("sd")) * 252**0.5)
 
 
-@query("m20_dashboard")
-def m20(spark, d):
-    """Equal weights with monthly reset: net value metrics of each anchor weekday's sleeve, all sleeves in one job."""
-    b = ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / 1000).withColumn("anchor", F.explode(F.array(*[F.lit(a) for a in cal.ANCHORS])))
-    label = F.coalesce(*[F.when(F.col("anchor") == a, cal.label("trade_date", "W", a)) for a in cal.ANCHORS])
-    b = b.withColumn("period", label).withColumn("w0", 1.0 / F.count("*").over(Window.partitionBy("anchor", "trade_date")))
-    n = pf.net(pf.drifted(b, "period", keys=("anchor",)), keys=("anchor",))
-    return perf.metrics(pf.nav(n, keys=("anchor",)), keys=("anchor",))
-
-
 @query("t06_excursions", f"WITH {TRADE}, g AS (SELECT code, trade::BIGINT AS trade, max(high) / arg_min(open, trade_date) - 1 AS mfe FROM q WHERE o GROUP BY code, trade) SELECT code, trade, mfe, mfe / 0.1 AS mfe_r FROM g", "mfe mfe_r")
 def t06(spark, d):
     return ex.excursions(pf.with_trades(weighted(spark, d)), 0.1)
@@ -260,16 +250,6 @@ def e13(spark, d):
     return c.select("trade_date", sig.tiered("composite", [F.lit(0.8), F.lit(0.95)], [1.0, 0.6, 0.3]).alias("cap"))
 
 
-@query("x13_correlation_gate")
-def x13(spark, d):
-    from panelforge.operators import cross_section as xs
-
-    b = ind.with_returns(brand_bars(spark, d)).withColumn("mom", xs.trailing_return(20))
-    days = cal.period_ends(cal.sessions(b), "M").select(F.col("decision_date").alias("trade_date"))
-    c = xs.picks(b.join(days.hint("merge"), "trade_date"), "mom", 12).select(F.lit("s").alias("strategy"), "trade_date", "code", "place")
-    return ex.correlation_gate(c, xs.correlations(b), 0.05, 4)
-
-
 @query("l09_attribution", f"""WITH {RET}, x AS (SELECT code, trade_date, coalesce(r, 0) / 1000 AS r, 0.12 AS w, 1.0 / count(*) OVER (PARTITION BY trade_date) AS wb FROM r), b AS (SELECT *, sum(wb * r) OVER (PARTITION BY trade_date) AS b, sum(w * r) OVER (PARTITION BY trade_date) - 0.0001 AS total FROM x),
   g AS (SELECT trade_date, sum((w - wb) * (r - b)) AS selection, any_value(b) AS position, -sum(0.00001) AS cost, (sum(w) - 1) * any_value(b) AS cash_drag, any_value(total) AS total FROM b GROUP BY trade_date) SELECT *, total - selection - position - cost - cash_drag AS timing FROM g""", "selection position cost cash_drag total timing", 9)
 def l09(spark, d):

@@ -177,12 +177,6 @@ def k22(spark, d):
     return pf.contributions(m, "c", "r", ("code",)).select("code", "trade_date", "account", "invested", "twr")
 
 
-@query("k23_slots")
-def k23(spark, d):
-    x = donchian(spark, d).where("pos > 0").select(F.lit("s").alias("strategy"), "trade_date", "code", F.col("close").alias("score"))
-    return pf.admitted(x, 0.3, 3)
-
-
 @query("k24_calendar_timing", f"""WITH {BARS}, s AS (SELECT DISTINCT trade_date FROM bars), t AS (SELECT DISTINCT date_trunc('month', trade_date)::DATE + 9 AS td FROM s), e AS (SELECT DISTINCT min(s.trade_date) AS entry_date FROM t JOIN s ON s.trade_date >= td GROUP BY td),
   n AS (SELECT code, trade_date, close, lead(trade_date, 5) OVER w AS exit_date, lead(close, 5) OVER w AS exit_close FROM bars {W}) SELECT code, entry_date, exit_date, exit_close / close - 1 AS ret FROM e JOIN n ON entry_date = trade_date""", "ret")
 def k24(spark, d):

@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None, doubles: str = "", places: int = 6)
     return add
 
 
-for _part in ("sources", "panel", "indicators", "cross_section", "signals", "portfolio", "performance", "ledger", "studies", "extras"):
+for _part in ("sources", "panel", "indicators", "cross_section", "signals", "portfolio", "performance", "ledger", "studies", "extras", "chains"):
     import_module(f"panelforge.plans.{_part}_queries")

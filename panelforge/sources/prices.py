@@ -31,21 +31,36 @@ def load(prices: DataFrame, fields: list[str], codes: list[str] | None = None, s
     return df.groupBy("code", "trade_date").agg(*[F.max_by(f, "ingested_at").alias(f) for f in fields])
 
 
-def resolved(df: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
-    """A vendor's frame under our names: columns found by keyword, values cast where they can be, rows without a date dropped."""
+def resolved(df: DataFrame, keywords: dict[str, list[str]] = KEYWORDS, text: set[str] = frozenset()) -> DataFrame:
+    """A vendor's frame under our names: columns found by keyword, values cast where they can be (but for those of `text`), rows without a date dropped."""
     out: list[Column] = []
     for field, words in keywords.items():
         found = next((c for w in words for c in df.columns if w in c.lower()), None)
         if found is None:
             continue
         x = F.col(f"`{found}`").cast("string")
-        if field == "trade_date":
+        if field in text:
+            out.append(F.col(f"`{found}`").alias(field))
+        elif field == "trade_date":
             out.append(F.coalesce(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")), F.try_to_timestamp(x, F.lit("yyyyMMdd"))).cast("date").alias(field))
         else:
             out.append(x.try_cast("double").alias(field))
     return df.select(*out).where(F.col("trade_date").isNotNull())
 
 
+def from_arrays(df: DataFrame, body: str, arrays: dict[str, str], keys: list[str], keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """Rows of array-shaped JSON (one array a column, name -> element type) beside keys, under our names.
+
+    Arrays of unlike length leave nulls; a body that is no JSON gives no row.
+    """
+    schema = T.StructType([T.StructField(n, T.ArrayType(T.StringType() if t == "string" else T.DoubleType())) for n, t in arrays.items()])
+    zipped = F.arrays_zip(*[F.col(f"_j.`{n}`") for n in arrays])
+    fields = [f"_{k}" for k in range(len(arrays))]
+    rows = df.withColumn("_j", F.from_json(body, schema)).select(*keys, F.explode(F.transform(zipped, lambda x: F.struct(*[x[n].alias(f) for n, f in zip(arrays, fields, strict=True)]))).alias("_r"))
+    flat = rows.select(*keys, *[F.col(f"_r.{f}").alias(n) for n, f in zip(arrays, fields, strict=True)])
+    return resolved(flat, {k: [k] for k in keys} | keywords, text=set(keys))
+
+
 def first_source(df: DataFrame, rank: str = "source_rank") -> DataFrame:
     """Rows of each code's first source that has any."""
     best = df.groupBy("code").agg(F.min(rank).alias("_best"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import clean, series
 from panelforge.operators import calendar as cal
+from panelforge.operators import chains
 from panelforge.operators import cross_section as xs
 from panelforge.operators import indicators as ind
 from panelforge.operators import ledger, performance, quality, scan, signals, studies
@@ -222,12 +223,167 @@ def test_timing(spark):
 def test_fifo(spark):
     rows = [("X", day(0), "09", 1, "BUY", 10.0, 5.0, 1.0), ("X", day(1), "09", 2, "BUY", 10.0, 6.0, 1.0), ("X", day(2), "09", 3, "SELL", 15.0, 8.0, 3.0)]
     t = spark.createDataFrame(rows, "code string, trade_date date, trade_time string, id long, side string, quantity double, price double, fee double")
-    got = sorted((r["buy_id"], r["sell_id"], r["matched"], r["pnl"], r["fee"]) for r in ledger.fifo(t).collect())
+    got = sorted((r["buy_id"], r["sell_id"], r["matched"], r["pnl"], r["fee"]) for r in ledger.fifo(t, ("code",)).collect())
     assert got == [(1, 3, 10.0, 30.0, pytest.approx(3.0)), (2, 3, 5.0, 10.0, pytest.approx(1.5))]
-    assert ledger.oversold(t).count() == 0
+    assert ledger.oversold(t, ("code",)).count() == 0
     assert [r["closed"] for r in ledger.rounds(t).collect()] == [False]
 
 
+TRADE = "account_id long, code string, trade_date date, trade_time string, id long, side string, quantity double, price double, fee double"
+
+
+def test_fifo_never_matches_a_later_buy(spark):
+    rows = [(1, "X", day(0), "09", 1, "SELL", 10.0, 8.0, 0.0), (1, "X", day(1), "09", 2, "BUY", 10.0, 7.0, 0.0), (1, "X", day(2), "09", 3, "SELL", 4.0, 9.0, 0.0), (1, "X", day(3), "09", 4, "SELL", 20.0, 9.0, 0.0), (1, "X", day(4), "09", 5, "BUY", 5.0, 1.0, 0.0), (1, "X", day(5), "09", 6, "SELL", 5.0, 2.0, 0.0)]
+    rows += [(2, "X", day(0), "09", 7, "BUY", 3.0, 5.0, 0.0), (2, "X", day(1), "09", 8, "SELL", 3.0, 6.0, 0.0)]  # another holder's stock is not touched
+    t = spark.createDataFrame(rows, TRADE)
+    got = sorted((r["account_id"], r["buy_id"], r["sell_id"], r["matched"]) for r in ledger.fifo(t).collect())
+    assert got == [(1, 2, 3, 4.0), (1, 2, 4, 6.0), (1, 5, 6, 5.0), (2, 7, 8, 3.0)]
+    assert sorted(r["id"] for r in ledger.oversold(t).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_fifo_equals_a_queue_of_lots(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), "AB"[rng.randrange(2)], day(rng.randrange(30)), f"{rng.randrange(9, 15):02d}", k, rng.choice(["BUY", "SELL"]), float(rng.randrange(1, 9)) / 4, 5.0, 0.0) for k in range(200)]
+    want = []
+    lots = {}
+    for a, c, _, _, k, side, q, _, _ in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        own = lots.setdefault((a, c), [])
+        if side == "BUY":
+            own.append([k, q])
+        while side == "SELL" and q > 0 and own:
+            n = min(q, own[0][1])
+            want.append((a, c, own[0][0], k, n))
+            q, own[0][1] = q - n, own[0][1] - n
+            if not own[0][1]:
+                own.pop(0)
+    got = [(r["account_id"], r["code"], r["buy_id"], r["sell_id"], r["matched"]) for r in ledger.fifo(spark.createDataFrame(rows, TRADE)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40
+
+
+def test_holdings_leave_flat_days_out(spark):
+    rows = [(1, "X", day(0), "09", 1, "BUY", 10.0, 8.0, 0.0), (1, "X", day(3), "09", 2, "SELL", 10.0, 9.0, 0.0), (1, "X", day(5), "09", 3, "BUY", 2.0, 9.0, 0.0)]
+    days = spark.createDataFrame([(day(k),) for k in range(8)], "trade_date date")
+    px = spark.createDataFrame([("X", day(0), 8.0), ("X", day(6), 9.0)], "code string, trade_date date, close double")
+    got = [(r["trade_date"], r["quantity"], r["close"], r["stale_days"]) for r in ledger.holdings(spark.createDataFrame(rows, TRADE), days, px).orderBy("trade_date").collect()]
+    assert got == [(day(0), 10.0, 8.0, 0), (day(1), 10.0, 8.0, 1), (day(2), 10.0, 8.0, 2), (day(5), 2.0, 8.0, 5), (day(6), 2.0, 9.0, 0), (day(7), 2.0, 9.0, 1)]
+
+
+def test_overlapping_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: [("AB"[rng.randrange(2)], k, day(s := rng.randrange(200)), day(s + rng.randrange(90))) for k in range(n)]
+    left, right = make(60), make(60)
+    schema = "code string, id long, start date, end date"
+    got = sorted((r["id"], r["right_id"]) for r in cal.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["code"]).collect())
+    assert got == sorted((a[1], b[1]) for a in left for b in right if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_event_study_draws_as_many_dates_as_there_are_events(spark):
+    pool = spark.createDataFrame([("A", day(k), 1.0) for k in range(12)], "code string, trade_date date, fwd double")
+    few = studies.event_study(pool.where(f"trade_date <= '{day(2)}'"), pool.withColumn("fwd", F.lit(1.0)), 30)
+    (r,) = few.collect()
+    assert (r["n"], r["mean"], r["p"]) == (3, 1.0, 1.0)
+
+
+def bootstrap_paths(values, key, sims, block, seed=9):
+    """The same resamples as a plain loop: totals, deviations, drawdowns."""
+    import hashlib
+
+    n, out = len(values), {}
+    for sim in range(1, sims + 1):
+        path = []
+        for b in range((n - 1) // block + 1):
+            u = int(hashlib.md5(f"{seed}:{key}:{sim}:{b}".encode()).hexdigest()[:13], 16) / 2**52
+            path += [values[(int(u * n) + o) % n] for o in range(block)]
+        path, nav, peak, worst = path[:n], 1.0, 1.0, 0.0
+        for x in path:
+            nav *= 1 + x
+            peak = max(peak, nav)
+            worst = min(worst, nav / peak - 1)
+        out[sim] = nav - 1, pd.Series(path).std() * math.sqrt(252), worst
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 20, 47])
+def test_block_bootstrap_equals_loop_and_shares_draws(spark, n):
+    values = [math.sin(7 * k) / 20 for k in range(n)]
+    rows = [("A", v, day(k), x * v) for v in (1, 2) for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "code string, variant int, trade_date date, r double")
+    got = studies.block_bootstrap(df, "r", 5, 20, keys=("code", "variant"), draw=("code",)).collect()
+    for v in (1, 2):
+        want = bootstrap_paths([x * v for x in values], "A", 5, 20)
+        assert {r["sim"]: (r["total"], r["vol"], r["max_drawdown"]) for r in got if r["variant"] == v} == {k: pytest.approx(x, abs=1e-12) for k, x in want.items()}
+
+
+def test_quantiles_of_yesterday_equal_sorting(spark):
+    x = [None if k % 11 == 5 else math.sin(k * 3) for k in range(80)]
+    got = column(ind.with_quantiles(panel(spark, [1] * 80).withColumn("x", F.when(F.dayofyear("trade_date") % 11 == 6, None).otherwise(F.sin(3.0 * (F.dayofyear("trade_date") - 1)))), {"q": ("x", 0.8, 20, 5), "a": ("x", 0.3, None, 1)}), "q")
+    for k in range(80):
+        seen = sorted(v for v in x[max(0, k - 20) : k] if v is not None)
+        want = None if len(seen) < 5 else float(pd.Series(seen).quantile(0.8))
+        assert got[k] == (None if want is None else pytest.approx(want))
+
+
+def test_style_exposure_against_a_grid(spark):
+    import random
+
+    rng = random.Random(5)
+    f = [[rng.gauss(0, 1) for _ in range(2)] for _ in range(40)]
+    rows = [("A", day(k), 0.6 * a - 0.3 * b + rng.gauss(0, 0.1), a, b) for k, (a, b) in enumerate(f)]
+    (r,) = studies.style_exposure(spark.createDataFrame(rows, "code string, trade_date date, y double, a double, b double"), "y", ["a", "b"], 40).collect()
+    y, a, b = (pd.Series([row[k] for row in rows]) for k in (2, 3, 4))
+    best = min(((y - u / 200 * a - v / 200 * b).var(ddof=0), u / 200, v / 200) for u in range(201) for v in range(201 - u))
+    assert r["exposure"] == pytest.approx(best[1:], abs=0.006) and r["r2"] == pytest.approx(1 - best[0] / y.var(ddof=0), abs=1e-4)
+
+
+def test_normal_p(spark):
+    got = [r[0] for r in spark.createDataFrame([(0.0,), (1.959963985,), (-2.575829304,), (None,)], "z double").select(studies.normal_p("z")).collect()]
+    assert got[:3] == pytest.approx([1.0, 0.05, 0.01], rel=1e-6) and got[3] is None
+
+
+def test_long_chain_is_one_group(spark):
+    names = [f"c{k:02d}" for k in range(64)]
+    pairs = spark.createDataFrame([(a, b, 9, 0.9) for a, b in zip(names, names[1:], strict=False)], "a string, b string, n long, corr double")
+    codes = spark.createDataFrame([(c,) for c in names], "code string")
+    assert {r[1] for r in xs.groups(pairs, codes, 0.7).collect()} == {"c00"}
+
+
+def test_equity_budget_stop(spark):
+    b = panel(spark, [10, 9.6, 9.4], open=[10, 9.8, 9.45], high=[10, 9.8, 9.5], low=[9.9, 9.55, 9.3]).withColumn("pos", F.lit(1)).withColumn("w", F.lit(0.5))
+    out = signals.equity_budget_stop(signals.with_positions(b), 0.02).orderBy("trade_date").collect()
+    assert [r["stop"] for r in out] == pytest.approx([9.6] * 3) and [r["exit_price"] for r in out] == [None, pytest.approx(9.6), None] and [r["active"] for r in out] == [True, True, False]
+
+
+def test_categories(spark):
+    names = {"30年国债": "BOND", "可转债ETF": "CONVERTIBLE_BOND", "国债ETF 可转债": "BOND", "美债": "BOND", "gold": "GOLD", "nasdaq us etf": "US_EQ", "日本": "JP_EQ", None: "CN_EQ", "沪深300": "CN_EQ"}
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("c", chains.category(F.lit("1"), F.col("name")))
+    assert {r["name"]: r["c"] for r in df.collect()} == names
+
+
+def test_fund_events(spark):
+    rows = [("A", "dividend", "2024-01-05", "0.5"), ("A", "dividend", "20240105", "0.5"), ("A", "split", "2024-02-01", "1:2"), ("A", "split", "bad", "1:2"), ("B", "dividend", "2024-01-05", "x"), ("B", "other", "2024-01-05", "1")]
+    got = sorted(tuple(r) for r in chains.fund_events(spark.createDataFrame(rows, "code string, kind string, date string, amount string")).select("code", "event_key", "cash_dividend", "split_ratio").collect())
+    assert got == [("A", "div:2024-01-05:0.5", 0.5, None), ("A", "split:2024-02-01:2.0", None, 2.0), ("B", "div:2024-01-05:-", None, None)]
+
+
+def test_index_signal_earns_nothing_of_the_day_before(spark):
+    n = 60
+    rows = [("A", day(k), 100.0 + (k % 2) * 0.1 + (20.0 if k == 40 else 0.0), 0.01) for k in range(n)]
+    out = chains.index_signal(spark.createDataFrame(rows, "code string, trade_date date, idx_close double, x double"), "x", cost_bps=0.0).orderBy("trade_date").collect()
+    assert out[40]["pos"] == 0 and out[39]["pos"] == 1 and out[41]["pos"] == 1
+    assert out[41]["nav_strategy"] == pytest.approx(out[40]["nav_strategy"]) and out[40]["nav_strategy"] == pytest.approx(1.01**40)
+    assert out[-1]["turnover"] == 0 and out[-1]["nav_buy_hold"] == pytest.approx(1.01 ** (n - 1))
+
+
+def test_arrays_of_unlike_length(spark):
+    df = spark.createDataFrame([("A", '{"date": ["2024-01-02", "2024-01-03"], "close": [1.5]}'), ("B", "no json")], "code string, body string")
+    got = prices.from_arrays(df, "body", {"date": "string", "close": "double"}, ["code"]).orderBy("trade_date").collect()
+    assert [tuple(r) for r in got] == [("A", dt.date(2024, 1, 2), 1.5), ("A", dt.date(2024, 1, 3), None)]
+
+
 def test_dominant_and_continuous(spark):
     rows = []
     for k, (a, b) in enumerate([(100, 50), (100, 105), (90, 120), (130, 120)]):
