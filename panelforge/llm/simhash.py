@@ -242,8 +242,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, group_rows:
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = components(links(distinct.select("fp"), most, group_rows))
     labelled = distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    tops = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    member = written(labelled.join(tops.hint("merge"), "label").select("fp", "label", "component_id"), "simhash-members")
+    labelled = written(labelled.select("fp", "label", "first"), "simhash-labelled")
+    alone = F.col("label") == F.col("fp")  # a label of one fingerprint needs no sum
+    many = labelled.where(~alone).select("label").distinct()
+    tops = written(labelled.join(many.hint("merge"), "label", "left_semi").groupBy("label").agg(F.min("first").alias("top")), "simhash-tops")
+    member = checked_join(labelled, tops, ["label"], "left", tops.count()).select("fp", "label", F.coalesce("top", "first").alias("component_id"))
+    member = written(member, "simhash-members")
     # a hot fingerprint is one row on this side; AQE splits its rows on the other
     return checked_join(prints, member, ["fp"], "inner", member.count()).select("doc_id", "hash", "fp", "label", "component_id")
 
@@ -258,8 +262,8 @@ def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     texts = written((near_duplicates(docs) if groups is None else groups).groupBy("label", "doc_id", "hash").count(), "simhash-texts")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
     first = texts.groupBy("label").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("count").alias("most"))
-    first = first.where("first <> last OR most > 1").select("label", "first")
-    gone = texts.join(first.hint("merge"), "label").withColumn("stays", key == F.col("first")).where("NOT stays OR count > 1")
+    first = written(first.where("first <> last OR most > 1").select("label", "first"), "simhash-first")
+    gone = checked_join(texts, first, ["label"], "inner", first.count()).withColumn("stays", key == F.col("first")).where("NOT stays OR count > 1")
     gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays"), "simhash-gone")
     rows = gone.count()
     side = F.broadcast(gone) if rows <= BROADCAST_ROWS else gone.hint("merge")
