@@ -7,7 +7,8 @@ gives the turns back exactly. A task holds one message at a time.
 
 Edge cases: null text and null role count as empty; rows with a null conv_id
 form one conversation with a null id; repeated rows are turns of their own;
-an empty table gives no conversation.
+an empty table gives no conversation. A very long conversation passes a message
+at a time through one task; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -121,25 +122,33 @@ def digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
 
         for conv, messages in _groups(_by_conversation(batches)):
             turns, loss = hashlib.sha256(), hashlib.sha256()
-            n = loss_chars = chars = 0
+            n = loss_chars = chars = at = 0
             pending: list[str] = []
+            mask: list[tuple[int, int]] = []  # places in the output that is pending
+
+            def read_back() -> None:
+                nonlocal n, loss_chars, at
+                whole = "".join(pending)
+                for role, said in read_turns(whole):
+                    turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                    n += 1
+                for s, e in mask:
+                    own = unescape(whole[s:e])
+                    loss_chars += len(own)
+                    loss.update(own.encode("utf-8", "surrogatepass"))
+                pending.clear()
+                mask.clear()
+                at = 0
+
             for text, learned in render(messages):
                 chars += len(text)
                 pending.append(text)
                 if learned:
-                    own = unescape(text)
-                    loss_chars += len(own)
-                    loss.update(own.encode("utf-8", "surrogatepass"))
-                if text.endswith("</turn>\n"):  # a turn may end here
-                    whole = "".join(pending)
-                    if _TURN.fullmatch(whole):
-                        for role, said in read_turns(whole):
-                            turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                            n += 1
-                        pending = []
-            for role, said in read_turns("".join(pending)):
-                turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                n += 1
+                    mask.append((at, at + len(text)))
+                at += len(text)
+                if text.endswith("</turn>\n") and _TURN.fullmatch("".join(pending)):  # a turn may end here
+                    read_back()
+            read_back()
             for c, x in zip(schema.names, (conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars), strict=True):
                 found[c].append(x)
             if len(found["conv_id"]) >= 1000:
@@ -151,6 +160,7 @@ def digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back, of every formatted conversation and of conversation -7."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
