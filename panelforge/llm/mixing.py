@@ -8,7 +8,9 @@ fraction, by a draw hashed from a seed and its id.
 Edge cases: null text has size 0; a null source is a source of its own, after
 all others; sources of size 0 get target 0, and their documents, like all of
 size 0, are taken at the source's rate (0). Rows that repeat a doc_id draw
-alike; null doc_id draws as if it were empty.
+alike; null doc_id draws as if it were empty. Very long texts count by their
+words; other columns pass through whole, whatever their names; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -31,6 +33,30 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return parts.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_inside") + F.col("_before")).drop("_null", "_range", "_inside", "_before")
 
 
+def _level(sources: DataFrame, total: float) -> float:
+    """The level at which min(level * weight, most) sums up to the total, or the highest cap's.
+
+    Caps are sorted once, in ranges: with all lower caps full, a source's level is
+    what is left over the weights from it on; the first that stays under its own
+    cap is the level. Sums are running ones inside ranges, plus those of the
+    ranges before (one row a range).
+    """
+    at = F.col("most") / F.col("weight")
+    parts = written(sources.withColumn("_at", at).repartitionByRange("_at", "place").withColumn("_range", F.spark_partition_id()), "mix-caps")
+    sums = parts.groupBy("_range").agg(F.sum("most").alias("m"), F.sum("weight").alias("w"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("m").over(earlier), F.lit(0.0)).alias("_m"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("_w"))
+    inside = W.partitionBy("_range").orderBy("_at", "place").rowsBetween(W.unboundedPreceding, -1)
+    full = F.col("_m") + F.coalesce(F.sum("most").over(inside), F.lit(0.0))
+    weights = parts.agg(F.sum("weight")).first()[0] or 0
+    left = F.lit(weights) - F.col("_w") - F.coalesce(F.sum("weight").over(inside), F.lit(0))
+    rows = parts.join(F.broadcast(sums), "_range").withColumn("level", (F.lit(total) - full) / left)
+    found = rows.where(F.col("level") <= F.col("_at")).agg(F.min_by("level", F.struct("_at", "place"))).first()[0]
+    if found is not None:
+        return float(found)
+    return float(parts.agg(F.max("_at")).first()[0] or 0.0)  # every source is full
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, share: float = 1.0) -> DataFrame:
     """(source, source_size, target, rate) from rows (source, size)."""
     sources = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -39,14 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
     ranked = written(ranked.withColumn("weight", weight), "mix-sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     most = F.lit(cap) * F.col("source_size")
-    level = 0.0
-    while True:  # a source once capped stays so: the level only rises
-        at = F.lit(level) * F.col("weight") >= most
-        full, left = ranked.agg(F.sum(F.when(at, most)), F.sum(F.when(~at, F.col("weight")))).first()
-        new = (share * total - (full or 0.0)) / left if left else level
-        if new <= level:
-            break
-        level = new
+    level = _level(ranked.select("place", "weight", most.alias("most")), share * total)
     target = F.least(F.lit(level) * F.col("weight"), most)
     return ranked.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
@@ -76,6 +95,7 @@ def mixed(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, its source's size and target, and the words that the mix takes of it."""
     docs = table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
     out = with_copies(sized, sized)
