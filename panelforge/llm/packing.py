@@ -338,5 +338,6 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences."""
     out = packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -120,6 +120,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
 
 
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, learned from labels of those that are not held out."""
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2, F.lit(True))
     out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), learn)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

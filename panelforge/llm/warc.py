@@ -15,8 +15,9 @@ decoded; a task holds one page.
 
 Edge cases: null html is an empty payload; null url an empty one; rows that
 repeat the smallest page_id are responses all; a null page_id is a response
-only where no row with that payload has an id; an empty table gives an empty
-archive; a missing segment or a wrong length gives complete = false and no
+only where no row with that payload has an id; other columns are not read, whatever
+their names; a very long page is a value of one task; an empty table gives an
+empty archive; a missing segment or a wrong length gives complete = false and no
 payload.
 """
 
@@ -191,6 +192,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written as archives and read back."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")

@@ -224,6 +224,58 @@ def test_near_dedup_stage_against_all_pairs(spark, docs):
     assert {r["doc_id"] for r in got.collect()} == want and pairs
 
 
+def near_labels(texts, least=0.8):
+    """Smallest place of each group of texts linked by five-word Jaccard similarity."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(words, texts)]
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
+    for _ in texts:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    return label, pairs
+
+
+def edited_copies(n, seed=2):
+    """Copies of two texts with words changed, cut off or added: similarities on both sides of 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [[f"{b}{k}" for k in range(90)] for b in "pq"]
+    texts = []
+    for k in range(n):
+        w = list(base[k % 2])
+        for at in rng.choice(len(w), rng.integers(0, 5), replace=False):
+            w[at] = f"x{rng.integers(0, 4)}" if rng.random() < 0.5 else f"y{k}.{at}"
+        w = w[rng.integers(0, 6) : len(w) - rng.integers(0, 6)] + [f"z{rng.integers(0, 3)}"] * rng.integers(0, 5)
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_groups_of_edited_copies_against_all_pairs(spark):
+    texts = edited_copies(160)
+    want, pairs = near_labels(texts)
+    rows = near_texts.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        first.setdefault(r["label"], r["doc_id"])
+    assert [first[r["label"]] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+    assert 5 < len(set(want)) < 120 and len(pairs) > 300
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    from pyspark.sql import functions as F
+
+    texts = edited_copies(80, seed=5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_texts.shingle_sets(df)
+    name = {r[1]: r[0] for r in df.select("doc_id", F.xxhash64("text")).collect()}
+    alone = sets.select("hash", F.col("hash").alias("label")).distinct()
+    got = near_texts.confirmed(near_texts.prefix_pairs(alone, sets.dropDuplicates(["hash"]), 0.8), sets.dropDuplicates(["hash"]), 0.8)
+    links = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in got.collect()}
+    assert links == {(j, i) for i, j in near_labels(texts)[1]} and len(links) > 100
+
+
 def test_near_groups_edges(spark, edge, empty):
     rows = near_texts.near_groups(edge).collect()
     assert len(rows) == edge.count() and near_texts.near_groups(empty).count() == 0
@@ -241,6 +293,18 @@ def test_nearest_edges(spark):
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_reads_no_other_columns(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0], 7, b"x", "y") for k in range(12)], "vec_id long, embedding array<double>, dim int, ids binary, score string")
+    got = [(r["query_id"], r["vec_id"]) for r in nearest.nearest(df, df.where("vec_id = 3"), 2).collect()]
+    assert sorted(got) == [(3, 2), (3, 4)]
+
+
+def test_int8_products_are_exact():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-127, 128, (5, 2500)).astype(np.int8) for _ in range(2))
+    assert (nearest.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all() and nearest.quantised(rng.normal(size=(4, 9)))[0].dtype == np.int8
+
+
 def test_nearest_in_many_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8)).round(1)
@@ -284,6 +348,14 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation_and_clashing_columns(spark):
+    n = 20_000
+    rows = [(5, k, "user" if k % 2 else "assistant", f"said {k}", "x", 1) for k in range(n)]
+    (r,) = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, learned string, n_turns int")).collect()
+    assert (r["n_turns"], r["loss_chars"]) == (n, sum(len(t) for _, _, o, t, _, _ in rows if o == "assistant"))
+    assert r["loss_sha256"] == hashlib.sha256("".join(t for _, _, o, t, _, _ in rows if o == "assistant").encode()).hexdigest()
+
+
 def test_mixing(spark, edge, empty):
     out = QUERIES["op5_mixing"](spark, DATA).toPandas()
     src = pd.read_parquet(f"{DATA}/documents.parquet")[["doc_id", "source"]].merge(out, on="doc_id").groupby("source")
@@ -296,6 +368,19 @@ def test_mixing(spark, edge, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_levels_equal_filling_up(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 40):
+        size = {f"s{k:03d}": int(x) for k, x in enumerate(rng.integers(0, 1000, n) ** 2)}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+        low, high = 0.0, 3.0 * max(size.values()) + 1
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(mid * weight[s], 3.0 * size[s]) for s in size) < sum(size.values()) else (low, mid)
+        got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, size long")).collect()}
+        assert got == {s: pytest.approx(min(high * weight[s], 3.0 * size[s]), rel=1e-9, abs=1e-6) for s in size}
+
+
 def test_mixing_levels(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 100), ("d", 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
@@ -365,6 +450,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"{path}-none").count() == 0
 
 
+def test_warc_reads_no_other_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a", "x", 9), (2, "u", "a", "x", 9)], "page_id long, url string, html string, hash string, first long")
+    warc.write_archives(df, str(tmp_path / "warc"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "warc")).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1)}
+
+
 def test_warc_missing_segment(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x" * 20_000)], "page_id long, url string, html string")
     path = str(tmp_path / "warc")
@@ -614,6 +706,17 @@ def test_quality_trees(spark, edge, empty):
     assert quality_trees.scored(empty, none, F.lit(True)).count() == 0
 
 
+def test_trees_with_repeated_labels_and_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(docs[["doc_id", "text"]])
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    learn = F.lit(True)
+    plain = quality_trees.scored(df, labels, learn)
+    again = quality_trees.scored(df.withColumn("score", F.lit("x")).withColumn("y", F.lit(1)), labels.union(labels).withColumn("text", F.lit("z")), learn)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_forest_equals_a_walk():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))
