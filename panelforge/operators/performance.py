@@ -40,6 +40,14 @@ def metrics(df: DataFrame, x: str = "nav", keys: tuple[str, ...] = ("strategy",)
     return g.drop("_a", "_b", "_m", "_s", "_d")
 
 
+def excess_bundle(df: DataFrame, r: str, rf: float, keys: tuple[str, ...]) -> DataFrame:
+    """Bundle of daily returns over a yearly risk-free rate: it is taken off each day's return in Sharpe and Sortino ratios, off the yearly return in `excess`."""
+    x = F.col(r) - rf / YEAR
+    g = df.groupBy(*keys).agg(F.count(r).alias("n"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"), F.sqrt(F.avg(F.pow(F.when(x.isNotNull(), F.least(x, F.lit(0.0))), 2))).alias("_d"), F.exp(F.avg(F.log1p(r)) * YEAR).alias("_g"))
+    g = g.withColumn("annual", F.col("_g") - 1).withColumn("excess", F.col("_g") - 1 - rf).withColumn("vol", F.col("_s") * math.sqrt(YEAR))
+    return g.withColumn("sharpe", safe(F.col("_m"), F.col("_s")) * math.sqrt(YEAR)).withColumn("sortino", safe(F.col("_m"), F.col("_d")) * math.sqrt(YEAR)).drop("_m", "_s", "_d", "_g")
+
+
 def information_ratio(df: DataFrame, r: str, b: str, keys: tuple[str, ...]) -> DataFrame:
     e = F.col(r) - F.col(b)
     return df.groupBy(*keys).agg((safe(F.avg(e), F.stddev_samp(e)) * math.sqrt(YEAR)).alias("information_ratio"))

@@ -20,7 +20,7 @@ from panelforge.plans.indicators_queries import RET, W, frame
 from panelforge.plans.portfolio_queries import DAMP, WEEK
 from panelforge.plans.registry import query
 from panelforge.plans.signals_queries import DON, UPTO, donchian
-from panelforge.plans.studies_queries import MKT, with_market
+from panelforge.plans.studies_queries import MKT, bootstrap_sql, with_market
 from panelforge.plans.views import BARS, BRANDS, CONTRACTS, TRADES, bars, brand_bars, contracts, table, trades
 from panelforge.sources import prices
 
@@ -488,3 +488,50 @@ def z04(spark, d):
     """Metrics that a caller passes as functions of a column, beside the built-in ones."""
     more = {"spread": lambda x: F.percentile(x, 0.95) - F.percentile(x, 0.05), "best": F.max}
     return chains.day_scores(ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / DAMP), "r", ("code",), more).drop("total")
+
+
+@query("m06_excess_bundle", f"""WITH {RET}, x AS (SELECT code, r / {DAMP} AS r, r / {DAMP} - 0.02 / 252 AS x FROM r), g AS (SELECT code, count(r) AS n, avg(x) AS m, stddev_samp(x) AS s, sqrt(avg(pow(CASE WHEN x IS NOT NULL THEN least(x, 0) END, 2))) AS d, exp(avg(ln(1 + r)) * 252) AS g FROM x GROUP BY code)
+  SELECT code, n, g - 1 AS annual, g - 1 - 0.02 AS excess, s * sqrt(252) AS vol, m / s * sqrt(252) AS sharpe, m / d * sqrt(252) AS sortino FROM g""", "annual excess vol sharpe sortino")
+def m06(spark, d):
+    return perf.excess_bundle(ind.with_returns(bars(spark, d)).withColumn("r", F.col("r") / DAMP), "r", 0.02, ("code",))
+
+
+@query("c01_period_labels", f"WITH {BARS}, s AS (SELECT DISTINCT trade_date AS d FROM bars) SELECT d AS trade_date, d AS daily, d + ((3 - isodow(d) + 7) % 7)::INT AS to_wednesday, date_trunc('month', d)::DATE AS monthly, date_trunc('quarter', d)::DATE AS quarterly, date_trunc('year', d)::DATE AS yearly FROM s")
+def c01(spark, d):
+    labels = {"daily": ("D", "FRI"), "to_wednesday": ("W", "WED"), "monthly": ("M", "FRI"), "quarterly": ("Q", "FRI"), "yearly": ("Y", "FRI")}
+    return cal.sessions(bars(spark, d)).select("trade_date", *[cal.label("trade_date", p, a).alias(name) for name, (p, a) in labels.items()])
+
+
+@query("m21_buy_sell_grid", f"""WITH {BARS}, n AS (SELECT code, isodow(trade_date) AS anchor, open, close, lead(open) OVER w AS no, lead(close) OVER w AS nc FROM bars {W}), u AS (SELECT anchor, unnest(['open', 'open', 'close', 'close']) AS buy, unnest(['open', 'close', 'open', 'close']) AS sell, unnest([no / open - 1, nc / open - 1, no / close - 1, nc / close - 1]) / {DAMP} AS r FROM n WHERE anchor <= 5)
+  SELECT anchor::INT AS anchor, buy, sell, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg((r > 0)::INT) AS win_rate, quantile_cont(r, 0.05) AS p05 FROM u WHERE r IS NOT NULL GROUP BY ALL""", "mean sd win_rate p05", 9)
+def m21g(spark, d):
+    """Bought on an anchor weekday and sold on the next session, at open or close each: all cells in one job."""
+    w = series()
+    prices_of = [(b, s, F.try_divide(F.lead(s).over(w), F.col(b)) - 1) for b in ("open", "close") for s in ("open", "close")]
+    cells = F.array(*[F.struct(F.lit(b).alias("buy"), F.lit(s).alias("sell"), (r / DAMP).alias("r")) for b, s, r in prices_of])
+    g = bars(spark, d).withColumn("c", cells).select((F.weekday("trade_date") + 1).alias("anchor"), F.explode("c").alias("c")).select("anchor", "c.*").where("anchor <= 5 AND r IS NOT NULL")
+    return g.groupBy("anchor", "buy", "sell").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.avg((F.col("r") > 0).cast("int")).alias("win_rate"), F.percentile("r", 0.05).alias("p05"))
+
+
+LOOKBACKS = f"""{RET}, lb AS (SELECT code, trade_date, r, n AS lookback, coalesce((close > lag(close, n) OVER (PARTITION BY n, code ORDER BY trade_date))::INT, 0) AS p FROM r, (SELECT unnest([5, 20, 60]) AS n)), xs AS (SELECT code, lookback, trade_date, coalesce(lag(p) OVER (PARTITION BY lookback, code ORDER BY trade_date), 0) * r / {DAMP} AS x FROM lb),
+  nb AS (SELECT *, row_number() OVER (PARTITION BY code, lookback ORDER BY trade_date) AS k, count(*) OVER (PARTITION BY code, lookback) AS n FROM xs WHERE x IS NOT NULL), sr AS (SELECT code, lookback, trade_date, x FROM nb WHERE k <= floor(n * 0.7))"""
+
+
+@query("r07_out_of_sample", f"""WITH {LOOKBACKS}, {bootstrap_sql('sr', 100, 'code, lookback')}, si AS (SELECT code, lookback, sim, product(1 + x) - 1 AS total FROM path GROUP BY ALL), be AS (SELECT code, sim, lookback FROM si QUALIFY row_number() OVER (PARTITION BY code, sim ORDER BY round(total, 12) DESC, lookback) = 1),
+  ct AS (SELECT code, lookback, count(*) AS c FROM be GROUP BY ALL), ch AS (SELECT code, lookback FROM ct QUALIFY row_number() OVER (PARTITION BY code ORDER BY c DESC, lookback) = 1) SELECT nb.code, nb.lookback, count(x) AS n, avg(x) AS mean, product(1 + x) - 1 AS total, avg(x) / stddev_samp(x) * sqrt(252) AS sharpe FROM nb JOIN ch ON nb.code = ch.code AND nb.lookback = ch.lookback WHERE k > floor(n * 0.7) GROUP BY nb.code, nb.lookback""", "mean total sharpe")
+def r07o(spark, d):
+    """The lookback that most resamples of the first 70 % choose, and what it earns on the rest."""
+    from panelforge.operators.extras import mode_or_median
+
+    b = ind.with_returns(bars(spark, d))
+    moves = F.array(*[F.struct(F.lit(n).alias("lookback"), F.coalesce((F.col("close") > F.lag("close", n).over(series())).cast("int"), F.lit(0)).alias("p")) for n in (5, 20, 60)])
+    x = b.withColumn("_m", moves).select("code", "trade_date", "r", F.explode("_m").alias("m")).select("code", "trade_date", "r", "m.*")
+    keys = ("code", "lookback")
+    w = Window.partitionBy(*keys).orderBy("trade_date")
+    x = x.withColumn("x", F.coalesce(F.lag("p").over(w), F.lit(0)) * F.col("r") / DAMP).where("x IS NOT NULL")
+    x = x.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    first = F.col("k") <= F.floor(F.col("n") * 0.7)
+    sims = st.block_bootstrap(x.where(first).select(*keys, "trade_date", "x"), "x", 100, 20, keys=keys, draw=("code",))
+    best = sims.groupBy("code", "sim").agg(F.max_by("lookback", F.struct(F.round("total", 12), -F.col("lookback"))).alias("lookback"))
+    chosen = mode_or_median(best, "lookback", "mode", ("code",))
+    return chains.day_scores(x.where(~first).join(chosen.hint("merge"), list(keys), "left_semi"), "x", keys)
