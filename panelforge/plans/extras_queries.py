@@ -237,7 +237,7 @@ def e10(spark, d):
 
 @query("e12_own_return_sizing", f"""WITH RECURSIVE {RET}, q AS MATERIALIZED (SELECT code, trade_date, r / 1000 AS r, row_number() OVER w AS rn FROM r WHERE r IS NOT NULL {W}), s AS (SELECT DISTINCT code, 0::BIGINT AS rn, [1.0::DOUBLE] AS navs, 0.0::DOUBLE AS e FROM q
   UNION ALL SELECT code, rn, list_append(navs, navs[-1] * (1 + e * x))[-21:], e FROM (SELECT q.code, q.rn, q.r AS x, navs, CASE WHEN navs[-1] / navs[1] - 1 > 0.01 THEN 1.0 WHEN navs[-1] / navs[1] - 1 > 0.0 THEN 0.7 ELSE 0.3 END::DOUBLE AS e FROM s JOIN q ON q.code = s.code AND q.rn = s.rn + 1))
-  SELECT q.code AS strategy, trade_date, r, e AS exposure, navs[-1] AS nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav")
+  SELECT q.code AS strategy, trade_date, r, e AS exposure, navs[-1] AS nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav", 4)
 def e12(spark, d):
     """Each instrument held alone, as a strategy of its own."""
     r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").select(F.col("code").alias("strategy"), "trade_date", (F.col("r") / 1000).alias("r"))

@@ -57,14 +57,15 @@ def l05(spark, d):
     return ledger.initial_capital(ledger.cash(trades(spark, d)))
 
 
-@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT last_day(trade_date) AS d FROM trades), dq AS (SELECT account_id, code, trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q FROM trades GROUP BY ALL),
+@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT make_date(year(trade_date), 12, 31) AS d FROM trades), dq AS (SELECT account_id, code, trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q FROM trades GROUP BY ALL),
   h AS (SELECT account_id, code, trade_date AS a, sum(q) OVER w AS quantity, lead(trade_date) OVER w AS b FROM dq WINDOW w AS (PARTITION BY account_id, code ORDER BY trade_date)), k AS (SELECT account_id, code, d AS trade_date, quantity FROM h JOIN m ON d >= a AND d < coalesce(b, DATE '9999-12-31') WHERE abs(quantity) > 1e-9),
   p AS (SELECT code, trade_date, last(price ORDER BY id, price) AS close FROM trades GROUP BY code, trade_date)
   SELECT k.account_id, k.code, k.trade_date, k.quantity, p.close, k.quantity * p.close AS value, datediff('day', p.trade_date, k.trade_date)::INT AS stale_days FROM k ASOF JOIN p ON k.code = p.code AND k.trade_date >= p.trade_date""", "quantity close value")
 def l07(spark, d):
+    """What every account holds at each year's end."""
     t = trades(spark, d)
     px = t.groupBy("code", "trade_date").agg(F.max_by("price", F.struct("id", "price")).alias("close"))
-    return ledger.holdings(t, t.select(F.last_day("trade_date").alias("trade_date")).distinct(), px)
+    return ledger.holdings(t, t.select(F.make_date(F.year("trade_date"), F.lit(12), F.lit(31)).alias("trade_date")).distinct(), px)
 
 
 @query("l08_period_returns", f"""WITH {FLOWS}, e AS (SELECT account_id, date_trunc('year', flow_date)::DATE AS trade_date, sum(amount) AS flow FROM flows GROUP BY ALL), q AS (SELECT *, sum(flow) OVER w * (1 + 0.01 * (account_id % 5)) AS equity FROM e WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)), g AS (SELECT *, lag(equity) OVER w AS b FROM q WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)),

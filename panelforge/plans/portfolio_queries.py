@@ -169,7 +169,7 @@ def k21(spark, d):
 
 
 @query("k22_contributions", f"""WITH {RET}, m AS (SELECT code, trade_date, r, CASE WHEN date_trunc('month', trade_date) IS DISTINCT FROM date_trunc('month', lag(trade_date) OVER w) THEN 1000.0 ELSE 0 END AS c FROM r WHERE r IS NOT NULL {W}), g AS (SELECT *, product(1 + r / 1000) OVER w AS g FROM m {W}), h AS (SELECT *, coalesce(lag(g) OVER w, 1) AS g0 FROM g {W})
-  SELECT code, trade_date, g * sum(c / g0) OVER w AS account, sum(c) OVER w AS invested, g - 1 AS twr FROM h {W}""", "account invested twr")
+  SELECT code, trade_date, g * sum(c / g0) OVER w AS account, sum(c) OVER w AS invested, g - 1 AS twr FROM h {W}""", "account invested twr", 3)
 def k22(spark, d):
     m = ind.with_returns(bars(spark, d)).where("r IS NOT NULL")
     new = ~F.trunc("trade_date", "month").eqNullSafe(F.lag(F.trunc("trade_date", "month")).over(series()))

@@ -220,14 +220,14 @@ def e09(spark, d):
     return sig.budget_gate(entries)
 
 
-@query("e11_drawdown_sleep", f"""WITH RECURSIVE {RET}, q AS MATERIALIZED (SELECT code, trade_date, r / 200 AS r, row_number() OVER w AS rn FROM r WHERE r IS NOT NULL {W}), s AS (SELECT DISTINCT code, 0::BIGINT AS rn, 1.0::DOUBLE AS nav, 1.0::DOUBLE AS peak, 0 AS lft, 1.0::DOUBLE AS ex FROM q
-  UNION ALL SELECT code, rn, nav, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.01 THEN nav ELSE peak END, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.01 THEN 10 ELSE lft END, ex FROM (SELECT code, rn, nav, lft, ex, CASE WHEN ex < 1 AND lft = 0 THEN nav ELSE greatest(peak, nav) END AS peak
+@query("e11_drawdown_sleep", f"""WITH RECURSIVE {RET}, q AS MATERIALIZED (SELECT code, trade_date, r / 1000 AS r, row_number() OVER w AS rn FROM r WHERE r IS NOT NULL {W}), s AS (SELECT DISTINCT code, 0::BIGINT AS rn, 1.0::DOUBLE AS nav, 1.0::DOUBLE AS peak, 0 AS lft, 1.0::DOUBLE AS ex FROM q
+  UNION ALL SELECT code, rn, nav, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.002 THEN nav ELSE peak END, CASE WHEN lft = 0 AND nav / peak - 1 <= -0.002 THEN 10 ELSE lft END, ex FROM (SELECT code, rn, nav, lft, ex, CASE WHEN ex < 1 AND lft = 0 THEN nav ELSE greatest(peak, nav) END AS peak
     FROM (SELECT q.code, q.rn, nav * (1 + CASE WHEN lft > 0 THEN 0 ELSE 1 END * q.r) AS nav, peak, greatest(0, lft - 1) AS lft, CASE WHEN lft > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS ex FROM s JOIN q ON q.code = s.code AND q.rn = s.rn + 1)))
-  SELECT q.code AS strategy, trade_date, r, ex AS exposure, nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav")
+  SELECT q.code AS strategy, trade_date, r, ex AS exposure, nav FROM q JOIN s ON q.code = s.code AND q.rn = s.rn""", "r exposure nav", 4)
 def e11(spark, d):
     """Each instrument held alone, as a strategy of its own."""
-    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").select(F.col("code").alias("strategy"), "trade_date", (F.col("r") / 200).alias("r"))
-    return sig.drawdown_sleep(r, "r", 0.01, 10)
+    r = ind.with_returns(bars(spark, d)).where("r IS NOT NULL").select(F.col("code").alias("strategy"), "trade_date", (F.col("r") / 1000).alias("r"))
+    return sig.drawdown_sleep(r, "r", 0.002, 10)
 
 
 @query("e14_hit_counts", f"WITH {HOLD} SELECT code, hold::BIGINT AS hold, count(*) AS days, sum((high > entry * 1.1)::INT)::BIGINT AS hits FROM hd WHERE hold IS NOT NULL GROUP BY code, hold")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import studies as st
-from panelforge.operators.draws import uniform_sql
+from panelforge.operators.draws import many_bits_sql, many_draws_sql, uniform_sql
 from panelforge.plans.indicators_queries import RET, W, eliminated, frame
 from panelforge.plans.registry import query
 from panelforge.plans.views import BARS, bars, table
@@ -61,11 +61,11 @@ def r04(spark, d):
     return events(spark, d).select("code", "trade_date", "fwd")
 
 
-TRIALS, SIMS = 1000, 2000
+TRIALS, FLIPS, SIMS = 500, 1000, 2000
 
 
 @query("r04_event_study", f"""WITH {BARS}, e AS (SELECT *, close > 1.3 * avg(close) OVER {frame(20)} AS up, lead(close, 5) OVER w / close - 1 AS fwd FROM bars {W}), po AS (SELECT code, trade_date, fwd FROM e WHERE fwd IS NOT NULL), re AS (SELECT code, count(*) AS n, avg(fwd) AS mean, avg((fwd > 0)::INT) AS win_rate FROM e WHERE up AND fwd IS NOT NULL GROUP BY code),
-  dr AS (SELECT po.code, trial, fwd, n, mean, row_number() OVER (PARTITION BY po.code, trial ORDER BY {uniform_sql(5, 'po.code', 'trial', 'trade_date')}, trade_date) AS k FROM po JOIN re ON po.code = re.code, range(1, {TRIALS + 1}) t(trial)), me AS (SELECT code, trial, avg(fwd) AS m, any_value(mean) AS mean FROM dr WHERE k <= n GROUP BY code, trial),
+  dr AS (SELECT po.code, trial, fwd, n, mean, row_number() OVER (PARTITION BY po.code, trial ORDER BY {many_draws_sql('trial', 5, 'po.code', 'trade_date')}, trade_date) AS k FROM po JOIN re ON po.code = re.code, range(0, {TRIALS}) t(trial)), me AS (SELECT code, trial, avg(fwd) AS m, any_value(mean) AS mean FROM dr WHERE k <= n GROUP BY code, trial),
   pv AS (SELECT code, (sum((m >= mean)::INT) + 1) / (count(*) + 1) AS p FROM me GROUP BY code) SELECT re.code, n, mean, win_rate, p FROM re JOIN pv ON re.code = pv.code""", "mean win_rate p")
 def r04s(spark, d):
     pool = bars(spark, d).withColumn("fwd", F.lead("close", 5).over(series()) / F.col("close") - 1).where("fwd IS NOT NULL")
@@ -99,11 +99,11 @@ def r06(spark, d):
     return st.normal_fit(ind.with_returns(bars(spark, d)), "lr")
 
 
-@query("r08_sign_flip", f"""WITH {MKT}, df AS (SELECT code, trade_date, round(r - m, 12) AS d FROM mk), re AS (SELECT code, count(*) AS n, avg(d) AS mean FROM df GROUP BY code), fl AS (SELECT code, trial, avg(CASE WHEN {uniform_sql(3, 'trial', 'trade_date')} < 0.5 THEN -d ELSE d END) AS m FROM df, range(1, {TRIALS + 1}) t(trial) GROUP BY code, trial),
+@query("r08_sign_flip", f"""WITH {MKT}, df AS (SELECT code, trade_date, round(r - m, 12) AS d FROM mk), re AS (SELECT code, count(*) AS n, avg(d) AS mean FROM df GROUP BY code), fl AS (SELECT code, trial, avg(CASE WHEN {many_bits_sql('trial', 3, 'trade_date')} = 1 THEN -d ELSE d END) AS m FROM df, range(0, {FLIPS}) t(trial) GROUP BY code, trial),
   pv AS (SELECT re.code, (sum((abs(m) >= abs(mean))::INT) + 1) / (count(*) + 1) AS p FROM fl JOIN re ON fl.code = re.code GROUP BY re.code), rk AS (SELECT code, d, rank() OVER (PARTITION BY code ORDER BY abs(d)) + (count(*) OVER (PARTITION BY code, abs(d)) - 1) / 2 AS rk FROM df WHERE d <> 0),
   pl AS (SELECT code, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rank_sum FROM rk GROUP BY code) SELECT re.code, n, mean, p, rank_sum FROM re JOIN pv ON re.code = pv.code JOIN pl ON re.code = pl.code""", "mean p rank_sum")
 def r08(spark, d):
-    return st.sign_flip(with_market(spark, d).withColumn("diff", F.round(F.col("r") - F.col("m"), 12)), "diff", "trade_date", TRIALS)
+    return st.sign_flip(with_market(spark, d).withColumn("diff", F.round(F.col("r") - F.col("m"), 12)), "diff", "trade_date", FLIPS)
 
 
 @query("r09_conditions", f"""WITH {MKT}, x AS (SELECT *, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS y FROM mk {W}), g AS (SELECT code, count(y) FILTER (f) AS n_in, count(y) FILTER (NOT f) AS n_out, avg((y > 0)::INT) FILTER (f) AS win_in, avg((y > 0)::INT) FILTER (NOT f) AS win_out, avg(y) FILTER (f) AS mean_in, avg(y) FILTER (NOT f) AS mean_out, var_samp(y) FILTER (f) AS vi, var_samp(y) FILTER (NOT f) AS vo FROM x WHERE y IS NOT NULL GROUP BY code),
