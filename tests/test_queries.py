@@ -43,5 +43,5 @@ def test_what_has_no_sql(spark):
     assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["r10_style_exposure", "t07_q_values"]
     q = QUERIES["t07_q_values"](spark, DATA).collect()
     assert all(r["p"] <= r["q"] <= 1 for r in q if r["p"] is not None) and len(q) == 3
-    e = QUERIES["r10_style_exposure"](spark, DATA).collect()
+    e = QUERIES["r10_style_exposure"](spark, "/root/testdata/sf0.01").collect()
     assert e and all(min(r["af"], r["no"], r["ro"]) >= -1e-9 and r["af"] + r["no"] + r["ro"] <= 1 + 1e-6 and r["r2"] <= 1 for r in e)
