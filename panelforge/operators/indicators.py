@@ -188,7 +188,7 @@ def moving_average(df: DataFrame, out: str, kind: str, n: int, x: str = "close",
 
 
 def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    df = scan.ema(scan.ema(df, "_fast", x, scan.span(fast), keys), "_slow", x, scan.span(slow), keys)
+    df = scan.emas(df, {"_fast": (x, scan.span(fast)), "_slow": (x, scan.span(slow))}, keys)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
     df = scan.ema(df, "macd_signal", "macd", scan.span(signal), keys)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
@@ -210,7 +210,7 @@ def rsi(df: DataFrame, out: str = "rsi", x: str = "close", n: int = 14, flat: fl
     w = series(keys)
     rows = df.withColumn("_d", F.col(x) - F.lag(x).over(w))
     moved = rows.where(F.col("_d").isNotNull()).withColumn("_up", F.greatest("_d", F.lit(0.0))).withColumn("_down", F.greatest(-F.col("_d"), F.lit(0.0)))
-    moved = scan.ema(scan.ema(moved, "_u", "_up", 1.0 / n, keys, least=n), "_l", "_down", 1.0 / n, keys, least=n)
+    moved = scan.emas(moved, {"_u": ("_up", 1.0 / n), "_l": ("_down", 1.0 / n)}, keys, least=n)
     value = F.when((F.col("_u") == 0) & (F.col("_l") == 0), flat).when(F.col("_l") == 0, 100.0).when(F.col("_u") == 0, 0.0).otherwise(100 - 100 / (1 + F.col("_u") / F.col("_l")))
     got = moved.select(*keys, "trade_date", F.when(F.col("_u").isNotNull(), value).alias(out))
     return df.join(got.hint("merge"), [*keys, "trade_date"], "left")
@@ -221,14 +221,13 @@ def adx(df: DataFrame, n: int = 14, keys: tuple[str, ...] = KEYS) -> DataFrame:
     w = series(keys)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     rows = with_true_range(df, keys).withColumn("_p", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    for c in ("tr", "_p", "_m"):
-        rows = scan.ema(rows, f"_s{c}", c, 1.0 / n, keys)
-    rows = rows.withColumn("plus_di", F.when(F.col("_str") > 0, 100 * F.col("_s_p") / F.col("_str"))).withColumn("minus_di", F.when(F.col("_str") > 0, 100 * F.col("_s_m") / F.col("_str")))
+    rows = scan.emas(rows, {"_mean": ("tr", 1.0 / n), "_plus": ("_p", 1.0 / n), "_minus": ("_m", 1.0 / n)}, keys)
+    rows = rows.withColumn("plus_di", F.when(F.col("_mean") > 0, 100 * F.col("_plus") / F.col("_mean"))).withColumn("minus_di", F.when(F.col("_mean") > 0, 100 * F.col("_minus") / F.col("_mean")))
     total = F.col("plus_di") + F.col("minus_di")
     rows = rows.withColumn("_dx", F.coalesce(F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total), F.lit(0.0)))
     rows = scan.ema(rows, "adx", "_dx", 1.0 / n, keys, least=n)
     rows = rows.withColumn("adxr", (F.col("adx") + F.lag("adx", n).over(w)) / 2)
-    return rows.drop("tr", "_p", "_m", "_str", "_s_p", "_s_m", "_dx")
+    return rows.drop("tr", "_p", "_m", "_mean", "_plus", "_minus", "_dx")
 
 
 def range_volatility(n: int = 20, keys: tuple[str, ...] = KEYS) -> dict[str, Column]:

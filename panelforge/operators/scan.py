@@ -14,28 +14,40 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import KEYS, series, upto
 
 
-def linear(df: DataFrame, out: str, decay: Column, add: Column, keys: tuple[str, ...] = KEYS, order: str = "trade_date", block: int = 64) -> DataFrame:
-    """df plus `out`, the scan; decay must be above 0, null add counts as 0."""
+def linears(df: DataFrame, recursions: dict[str, tuple[Column, Column]], keys: tuple[str, ...] = KEYS, order: str = "trade_date", block: int = 64) -> DataFrame:
+    """df plus a scan for each name -> (decay, add), all in one pass; decay must be above 0, null add counts as 0."""
+    n = range(len(recursions))
     w = series(keys, order)
-    df = df.withColumn("_decay", decay.cast("double")).withColumn("_add", F.coalesce(add, F.lit(0.0)).cast("double"))
-    df = df.withColumn("_block", F.floor((F.row_number().over(w) - 1) / block))
-    inner = Window.partitionBy(*keys, "_block").orderBy(order)
-    df = df.withColumn("_prod", F.product("_decay").over(upto(inner)))
-    df = df.withColumn("_part", F.sum(F.col("_add") / F.col("_prod")).over(upto(inner)) * F.col("_prod"))
-    ends = df.groupBy(*keys, "_block").agg(F.max_by(F.struct("_prod", "_part"), order).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = F.aggregate(F.collect_list("_end").over(before), F.lit(0.0), lambda acc, e: acc * e["_prod"] + e["_part"])
-    ends = ends.withColumn("_carry", carry).drop("_end")
-    joined = df.join(ends.hint("merge"), [*keys, "_block"])
-    return joined.withColumn(out, F.col("_prod") * F.col("_carry") + F.col("_part")).drop("_decay", "_add", "_block", "_prod", "_part", "_carry")
+    cells = {f"_d{k}": d.cast("double") for k, (d, _) in enumerate(recursions.values())} | {f"_a{k}": F.coalesce(a, F.lit(0.0)).cast("double") for k, (_, a) in enumerate(recursions.values())}
+    df = df.withColumns(cells | {"_block": F.floor((F.row_number().over(w) - 1) / block)})
+    inner = upto(Window.partitionBy(*keys, "_block").orderBy(order))
+    df = df.withColumns({f"_p{k}": F.product(f"_d{k}").over(inner) for k in n})
+    df = df.withColumns({f"_s{k}": F.sum(F.col(f"_a{k}") / F.col(f"_p{k}")).over(inner) * F.col(f"_p{k}") for k in n})
+    ends = df.groupBy(*keys, "_block").agg(F.max_by(F.struct(*[f"_{c}{k}" for k in n for c in "ps"]), order).alias("_end"))
+    before = F.collect_list("_end").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.struct(*[F.lit(0.0).alias(f"y{k}") for k in n])
+    carry = F.aggregate(before, start, lambda acc, e: F.struct(*[(acc[f"y{k}"] * e[f"_p{k}"] + e[f"_s{k}"]).alias(f"y{k}") for k in n]))
+    joined = df.join(ends.withColumn("_carry", carry).drop("_end").hint("merge"), [*keys, "_block"])
+    joined = joined.withColumns({out: F.col(f"_p{k}") * F.col(f"_carry.y{k}") + F.col(f"_s{k}") for k, out in enumerate(recursions)})
+    return joined.drop("_block", "_carry", *[f"_{c}{k}" for k in n for c in "daps"])
 
 
-def ema(df: DataFrame, out: str, x: str, alpha: float, keys: tuple[str, ...] = KEYS, order: str = "trade_date", least: int = 1) -> DataFrame:
-    """Exponential mean seeded by the first value; rows with null x must be filled or dropped before."""
+def linear(df: DataFrame, out: str, decay: Column, add: Column, keys: tuple[str, ...] = KEYS, order: str = "trade_date", block: int = 64) -> DataFrame:
+    """df plus `out`, the scan of one recursion."""
+    return linears(df, {out: (decay, add)}, keys, order, block)
+
+
+def emas(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: tuple[str, ...] = KEYS, order: str = "trade_date", least: int = 1) -> DataFrame:
+    """Exponential means (name -> (x, alpha)) seeded by the first value, in one pass; rows with null x must be filled or dropped before."""
     w = series(keys, order)
     first = F.row_number().over(w) == 1
-    df = linear(df, out, F.lit(1 - alpha), F.when(first, F.col(x)).otherwise(alpha * F.col(x)), keys, order)
-    return df.withColumn(out, F.when(F.count(x).over(upto(w)) >= least, F.col(out))) if least > 1 else df
+    df = linears(df, {out: (F.lit(1 - alpha), F.when(first, F.col(x)).otherwise(alpha * F.col(x))) for out, (x, alpha) in wanted.items()}, keys, order)
+    return df.withColumns({out: F.when(F.count(x).over(upto(w)) >= least, F.col(out)) for out, (x, _) in wanted.items()}) if least > 1 else df
+
+
+def ema(df: DataFrame, out: str, x: str, alpha: float, keys: tuple[str, ...] = KEYS, order: str = "trade_date", least: int = 1) -> DataFrame:
+    """One exponential mean."""
+    return emas(df, {out: (x, alpha)}, keys, order, least)
 
 
 def span(n: float) -> float:

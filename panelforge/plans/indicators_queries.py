@@ -99,8 +99,7 @@ NUMBERED = f"{BARS}, x AS MATERIALIZED (SELECT *, row_number() OVER w AS rn FROM
 
 @query("w11_ema", f"WITH RECURSIVE {NUMBERED}, {ema_sql('e', 'x', 'close', '(2.0 / 21)')}, {ema_sql('v', 'x', 'close', '(1.0 / 14)')} SELECT x.code, trade_date, e.y AS ema20, v.y AS wilder14 FROM x JOIN e ON x.code = e.code AND x.rn = e.rn JOIN v ON x.code = v.code AND x.rn = v.rn", "ema20 wilder14")
 def w11(spark, d):
-    df = scan.ema(bars(spark, d), "ema20", "close", scan.span(20))
-    return scan.ema(df, "wilder14", "close", 1 / 14).select("code", "trade_date", "ema20", "wilder14")
+    return scan.emas(bars(spark, d), {"ema20": ("close", scan.span(20)), "wilder14": ("close", 1 / 14)}).select("code", "trade_date", "ema20", "wilder14")
 
 
 @query("w12_kama", f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT *, abs(close - lag(close) OVER w) AS step FROM x {W}),
