@@ -1,16 +1,8 @@
 """Packing of token pieces into sequences by a configuration linear program.
 
 Documents are tokenised and cut into pieces. The lengths of all pieces form a
-histogram (at most `capacity` counts, whatever the input). A covering linear
-program over configurations (multisets of lengths that fit a sequence) is
-covered by multiplicative weights: prices are the lengths' shares of a sequence
-(the dual solution behind the bound tokens / capacity), a little more for long
-ones, times weights; a knapsack dynamic program finds the configuration worth
-most, which is taken as often as the histogram allows, and lengths that it
-covers lose weight. That uses up a length each round and ends when all are
-covered, in whole numbers; where a configuration holds more of a length than
-there are, best fit fills its room. Best fit alone is the plan where it takes
-fewer sequences.
+histogram (at most `capacity` counts, whatever the input), whose configuration
+linear program is solved and rounded in configurations.py.
 Pieces get their place by their rank within their length, counted in buckets
 so that a common length is no hot group.
 
@@ -24,7 +16,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelforge.llm import configurations
 from panelforge.llm.common import slices, table, written
 
 CAPACITY = 1024
@@ -189,104 +181,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, fields)
 
 
-@dataclass(frozen=True)
-class Plan:
-    """Configurations (length -> pieces of it) and how many sequences take each."""
-
-    configs: list[dict[int, int]]
-    times: list[int]
-    dealt: int  # pieces below capacity that stand in configurations as priced
-
-
-def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the largest price, lengths used as often as they fit: dynamic program over capacities."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        fits = int(np.searchsorted(lengths, c, "right"))
-        worth = best[c - lengths[:fits]] + price[:fits]
-        k = int(worth.argmax())
-        best[c], last[c] = best[c - 1], -1
-        if worth[k] > best[c]:
-            best[c], last[c] = worth[k], k
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-            continue
-        n = int(lengths[last[c]])
-        out[n] = out.get(n, 0) + 1
-        c -= n
-    return out
-
-
-def best_fit(left: dict[int, int], capacity: int) -> dict[int, int]:
-    """One sequence: the longest piece, then again and again the longest that fits; the last one fills best."""
-    out: dict[int, int] = {}
-    room = capacity
-    for n in sorted(left, reverse=True):
-        k = min(left[n], room // n)
-        if k:
-            out[n] = k
-            room -= k * n
-    return out
-
-
-def greedy(counts: dict[int, int], capacity: int) -> Plan:
-    """Best-fit configurations alone."""
-    left = dict(counts)
-    configs, times = [], []
-    while left:
-        config = best_fit(left, capacity)
-        m = min(left[n] // k for n, k in config.items())
-        configs.append(config)
-        times.append(m)
-        left = {n: r for n in left if (r := left[n] - m * config.get(n, 0))}
-    return Plan(configs, times, 0)
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Whole configurations that hold exactly the counted pieces: those by prices, or best fit where it takes fewer sequences."""
-    return min(by_prices(counts, capacity), greedy(counts, capacity), key=lambda p: sum(p.times))
-
-
-def by_prices(counts: dict[int, int], capacity: int, rate: float = 0.02, long: float = 0.05) -> Plan:
-    """Configurations by weights and prices until all lengths are covered; every round uses one up, so there are few."""
-    left = dict(counts)
-    configs, times = [], []
-    dealt = 0
-
-    def use(config: dict[int, int], m: int) -> None:
-        configs.append(config)
-        times.append(m)
-        for n, k in config.items():
-            left[n] -= m * k
-            if not left[n]:
-                del left[n]
-
-    if capacity in left:
-        use({capacity: 1}, left[capacity])
-    while left:
-        lengths = np.array(sorted(left))
-        rest = np.array([left[int(n)] / counts[int(n)] for n in lengths])
-        price = lengths / capacity * (1 + long * lengths / capacity) * np.exp(rate * (rest - 1))
-        config = knapsack(price, lengths, capacity)
-        m = min(left[n] // k for n, k in config.items())
-        if m:
-            dealt += m * sum(config.values())
-        else:  # it holds more of a length than there are: what there is, and best fit for the room
-            config = {n: min(k, left[n]) for n, k in config.items()}
-            more = best_fit({n: m for n in left if (m := left[n] - config.get(n, 0))}, capacity - sum(n * k for n, k in config.items()))
-            config = {n: config.get(n, 0) + more.get(n, 0) for n in config | more}
-            m = min(left[n] // k for n, k in config.items())
-        use(config, m)
-    return Plan(configs, times, dealt)
-
-
 def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces."""
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
-    made = plan(counts, capacity)
+    made = configurations.plan(counts, capacity)
     buckets = max(8, -(-sum(counts.values()) // 1_000_000))
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: dict[int, int] = {}
