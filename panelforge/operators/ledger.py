@@ -23,8 +23,8 @@ def _net(book: tuple[str, ...]) -> Column:
     return F.sum(F.when(F.col("side") == "BUY", q).otherwise(-q)).over(w).cast(EXACT)
 
 
-def fifo(trades: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
-    """(book, buy_id, sell_id, matched, pnl, fee): each sell's quantity against the oldest stock held at its time.
+def _pieces(trades: DataFrame, book: tuple[str, ...]) -> DataFrame:
+    """(book, buy, sell, _matched): each sell's quantity against the oldest stock held at its time, exact.
 
     What a sell asks beyond the stock held then is matched with nothing (see
     oversold()), so no sell meets a later buy: the oversold part so far is how
@@ -47,7 +47,12 @@ def fifo(trades: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
     cut = Window.partitionBy(*book).orderBy("_end")
     ahead = cut.rowsBetween(0, Window.unboundedFollowing)
     pieces = pieces.withColumn("_from", F.coalesce(F.lag("_end").over(cut), F.lit(0).cast(EXACT))).withColumn("buy", F.first("_b", True).over(ahead)).withColumn("sell", F.first("_s", True).over(ahead))
-    p = pieces.where("buy IS NOT NULL AND sell IS NOT NULL").withColumn("matched", (F.col("_end") - F.col("_from")).cast("double"))
+    return pieces.where("buy IS NOT NULL AND sell IS NOT NULL").select(*book, "buy", "sell", (F.col("_end") - F.col("_from")).cast(EXACT).alias("_matched"))
+
+
+def fifo(trades: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
+    """(book, buy_id, sell_id, buy_date, sell_date, matched, pnl, fee) of the first-in-first-out pieces."""
+    p = _pieces(trades, book).withColumn("matched", F.col("_matched").cast("double"))
     fee = F.col("matched") / F.col("buy.quantity") * F.col("buy.fee") + F.col("matched") / F.col("sell.quantity") * F.col("sell.fee")
     return p.select(*book, F.col("buy.id").alias("buy_id"), F.col("sell.id").alias("sell_id"), F.col("buy.trade_date").alias("buy_date"), F.col("sell.trade_date").alias("sell_date"), "matched", ((F.col("sell.price") - F.col("buy.price")) * F.col("matched")).alias("pnl"), fee.alias("fee"))
 
@@ -96,6 +101,55 @@ def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
     return both.withColumn("quantity", F.col("quantity") * F.col("_f")).withColumn("price", F.col("price") / F.col("_f")).drop("_f", "_side", "ratio")
 
 
+#: Prices and amounts are exact too: an account's value is a running sum of changes.
+PRICE = "decimal(14,4)"
+
+
+def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
+    """(book, from_date, to_date, quantity, cost, close, close_date, missing): what each book holds, every day of it.
+
+    A row holds from from_date until the day before to_date (null: still). It
+    ends with a trade of the book or a new price (code, trade_date, close) of the
+    code; flat times have no row. cost is what the first-in-first-out lots held
+    were bought for (nothing, where more was sold than bought); close is the last
+    price on or before, missing where there is none yet. Spreading a row over
+    days is left to the reader: a book and day would be hundreds of times as many.
+    """
+    q, px = F.col("quantity").cast(EXACT), F.col("price").cast(PRICE)
+    buy = F.col("side") == "BUY"
+    none = F.lit(0).cast(EXACT)
+    moves = trades.select(*book, F.col("trade_date").alias("_from"), F.when(buy, q).otherwise(-q).alias("_q"), F.when(buy, (q * px).cast(EXACT)).otherwise(none).alias("_c"))
+    sold = _pieces(trades, book).select(*book, F.col("sell.trade_date").alias("_from"), none.alias("_q"), (-F.col("_matched") * F.col("buy.price").cast(PRICE)).cast(EXACT).alias("_c"))
+    w = Window.partitionBy(*book).orderBy("_from")
+    held = moves.unionByName(sold).groupBy(*book, "_from").agg(F.sum("_q").cast(EXACT).alias("_q"), F.sum("_c").cast(EXACT).alias("_c"))
+    held = held.select(*book, "_from", F.lead("_from").over(w).alias("_to"), F.sum("_q").over(upto(w)).cast(EXACT).alias("quantity"), F.sum("_c").over(upto(w)).cast(EXACT).alias("cost")).where("quantity <> 0")
+    p = Window.partitionBy("code").orderBy("trade_date")
+    known = prices.select("code", F.col("trade_date").alias("_p_from"), F.lead("trade_date").over(p).alias("_p_to"), F.col("close").cast(PRICE).alias("close"), F.col("trade_date").alias("close_date"))
+    before = prices.groupBy("code").agg(F.min("trade_date").alias("_p_to")).select("code", F.to_date(F.lit("0001-01-01")).alias("_p_from"), "_p_to", F.lit(None).cast(PRICE).alias("close"), F.lit(None).cast("date").alias("close_date"))
+    spans = known.unionByName(before).withColumnRenamed("code", "_code")
+    meets = (F.col("code") == F.col("_code")) & (F.col("_p_to").isNull() | (F.col("_p_to") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("_to") > F.col("_p_from")))
+    met = held.join(spans.hint("merge"), meets, "left")
+    return met.select(*book, F.greatest("_from", "_p_from").alias("from_date"), F.least("_to", "_p_to").alias("to_date"), "quantity", "cost", "close", "close_date", F.col("close").isNull().alias("missing"))
+
+
+def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:
+    """(account, trade_date, value, cost, n_held, n_missing) of every calendar day from the account's first holding to last_day.
+
+    Intervals become changes at their two ends; one running sum an account gives
+    each day's figures, so no row a book and day is made. Days without a change
+    repeat those of the day before.
+    """
+    value = F.coalesce((F.col("quantity").cast("decimal(18,4)") * F.col("close")).cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
+    begin = intervals.select(account, F.col("from_date").alias("_day"), value.alias("value"), F.col("cost").alias("cost"), F.lit(1).alias("n_held"), F.col("missing").cast("int").alias("n_missing"))
+    names = ("value", "cost", "n_held", "n_missing")
+    end = intervals.where("to_date IS NOT NULL").select(account, F.col("to_date").alias("_day"), (-value).alias("value"), (-F.col("cost")).alias("cost"), F.lit(-1).alias("n_held"), (-F.col("missing").cast("int")).alias("n_missing"))
+    days = begin.unionByName(end).groupBy(account, "_day").agg(*[F.sum(c).alias(c) for c in names])
+    w = Window.partitionBy(account).orderBy("_day")
+    runs = days.select(account, "_day", *[F.sum(c).over(upto(w)).alias(c) for c in names], F.least(F.date_sub(F.lead("_day").over(w), 1), F.to_date(F.lit(last_day))).alias("_until"))
+    spread = runs.where(F.col("_until") >= F.col("_day")).withColumn("trade_date", F.explode(F.sequence("_day", "_until")))
+    return spread.select(account, "trade_date", F.col("value").cast("double"), F.col("cost").cast("double"), F.col("n_held").cast("long"), F.col("n_missing").cast("long"))
+
+
 def holdings(trades: DataFrame, days: DataFrame, prices: DataFrame, book: tuple[str, ...] = ("account_id", "code")) -> DataFrame:
     """Quantity of each book on each of `days` from its first trade on, with the last price on or before and its age; flat days left out.
 

@@ -57,15 +57,32 @@ def l05(spark, d):
     return ledger.initial_capital(ledger.cash(trades(spark, d)))
 
 
-@query("l07_holdings", f"""WITH {TRADES}, m AS (SELECT DISTINCT make_date(year(trade_date), 12, 31) AS d FROM trades), dq AS (SELECT account_id, code, trade_date, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS q FROM trades GROUP BY ALL),
-  h AS (SELECT account_id, code, trade_date AS a, sum(q) OVER w AS quantity, lead(trade_date) OVER w AS b FROM dq WINDOW w AS (PARTITION BY account_id, code ORDER BY trade_date)), k AS (SELECT account_id, code, d AS trade_date, quantity FROM h JOIN m ON d >= a AND d < coalesce(b, DATE '9999-12-31') WHERE abs(quantity) > 1e-9),
-  p AS (SELECT code, trade_date, last(price ORDER BY id, price) AS close FROM trades GROUP BY code, trade_date)
-  SELECT k.account_id, k.code, k.trade_date, k.quantity, p.close, k.quantity * p.close AS value, datediff('day', p.trade_date, k.trade_date)::INT AS stale_days FROM k ASOF JOIN p ON k.code = p.code AND k.trade_date >= p.trade_date""", "quantity close value")
-def l07(spark, d):
-    """What every account holds at each year's end."""
+#: Intervals of constant quantity, cost and price, from FIFO's pieces and the last trade price of a day.
+INTERVALS = f"""{FIFO}, mv AS (SELECT account_id, code, trade_date AS a, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END::DECIMAL(18,4) AS q, CASE WHEN side = 'BUY' THEN quantity * price ELSE 0 END::DECIMAL(18,4) AS c FROM trades
+    UNION ALL SELECT p.account_id, p.code, x.trade_date, 0, (-p.p.matched * b.price)::DECIMAL(18,4) FROM p JOIN t b ON b.account_id = p.account_id AND b.code = p.code AND b.rn = p.p.rn JOIN t x ON x.account_id = p.account_id AND x.code = p.code AND x.rn = p.rn),
+  hd AS (SELECT account_id, code, a, lead(a) OVER w AS b, sum(sum(q)) OVER w AS quantity, sum(sum(c)) OVER w AS cost FROM mv GROUP BY account_id, code, a WINDOW w AS (PARTITION BY account_id, code ORDER BY a)),
+  px AS (SELECT code, trade_date AS d, last(price ORDER BY id, price)::DECIMAL(14,4) AS close FROM trades GROUP BY code, trade_date), pn AS (SELECT *, lead(d) OVER (PARTITION BY code ORDER BY d) AS e FROM px),
+  iv AS (SELECT account_id, hd.code, greatest(a, d) AS from_date, least(b, e) AS to_date, quantity, cost, close, d AS close_date, close IS NULL AS missing FROM hd JOIN pn ON hd.code = pn.code AND (b IS NULL OR b > d) AND (e IS NULL OR e > a) WHERE quantity <> 0)"""
+
+
+def intervals(spark, d):
     t = trades(spark, d)
-    px = t.groupBy("code", "trade_date").agg(F.max_by("price", F.struct("id", "price")).alias("close"))
-    return ledger.holdings(t, t.select(F.make_date(F.year("trade_date"), F.lit(12), F.lit(31)).alias("trade_date")).distinct(), px)
+    return ledger.holding_intervals(t, t.groupBy("code", "trade_date").agg(F.max_by("price", F.struct("id", "price")).alias("close")))
+
+
+@query("l07_holdings", f"{INTERVALS} SELECT account_id, code, from_date, to_date, quantity, cost, close, close_date, missing FROM iv", "quantity cost close")
+def l07(spark, d):
+    """What every book holds, day by day, as intervals of constant quantity and price."""
+    return intervals(spark, d).withColumns({c: F.col(c).cast("double") for c in ("quantity", "cost", "close")})
+
+
+@query("l07_daily_value", f"""{INTERVALS}, ev AS (SELECT account_id, from_date AS d, quantity * close AS v, cost AS c, 1 AS h FROM iv UNION ALL SELECT account_id, to_date, -quantity * close, -cost, -1 FROM iv WHERE to_date IS NOT NULL),
+  dy AS (SELECT account_id, d, sum(v) AS v, sum(c) AS c, sum(h) AS h FROM ev GROUP BY account_id, d), rn AS (SELECT account_id, d, sum(v) OVER w AS value, sum(c) OVER w AS cost, sum(h) OVER w AS n_held FROM dy WINDOW w AS (PARTITION BY account_id ORDER BY d)),
+  cal AS (SELECT account_id, unnest(generate_series(min(d), DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS trade_date FROM dy GROUP BY account_id)
+  SELECT cal.account_id, trade_date, value, cost, n_held::BIGINT AS n_held, 0::BIGINT AS n_missing FROM cal ASOF JOIN rn ON cal.account_id = rn.account_id AND trade_date >= d""", "value cost")
+def l07v(spark, d):
+    """Value and cost of every account on every day up to the end of 2001."""
+    return ledger.daily_value(intervals(spark, d), "2001-12-31")
 
 
 @query("l08_period_returns", f"""WITH {FLOWS}, e AS (SELECT account_id, date_trunc('year', flow_date)::DATE AS trade_date, sum(amount) AS flow FROM flows GROUP BY ALL), q AS (SELECT *, sum(flow) OVER w * (1 + 0.01 * (account_id % 5)) AS equity FROM e WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)), g AS (SELECT *, lag(equity) OVER w AS b FROM q WINDOW w AS (PARTITION BY account_id ORDER BY trade_date)),
