@@ -109,9 +109,9 @@ def roll_metadata(contracts: DataFrame, switches: DataFrame) -> DataFrame:
 
 
 def over_cap(df: DataFrame, policy: str, cap: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Weights above the cap in sum: scale them all, or skip those that come later in order of score.
+    """Weights above the cap in sum: scale them all, or skip, in order of score, each that no longer fits beside those kept.
 
-    Skipping keeps the longest prefix by score whose sum stays within the cap.
+    For rules that carry positions from date to date see admission.admitted().
     """
     xs = Window.partitionBy(*keys, "trade_date")
     if policy == "scale":
@@ -119,8 +119,16 @@ def over_cap(df: DataFrame, policy: str, cap: float = 1.0, keys: tuple[str, ...]
         return df.withColumn("w", F.col("w") / F.greatest(F.lit(1.0), total / cap))
     if policy != "skip":
         raise ValueError(f"unknown policy {policy!r}")
-    run = F.sum("w").over(xs.orderBy(F.desc("score"), "code").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_run", run).withColumn("w", F.when(F.col("_run") <= cap + 1e-12, F.col("w")).otherwise(0.0)).drop("_run")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "code", "w")))  # a date's universe
+
+    def admit(acc, x):
+        fits = acc["total"] + x["w"] <= cap + 1e-12
+        return F.struct(F.when(fits, acc["total"] + x["w"]).otherwise(acc["total"]).alias("total"), F.when(fits, F.concat(acc["kept"], F.array(x["code"]))).otherwise(acc["kept"]).alias("kept"))
+
+    code = df.schema["code"].dataType.simpleString()
+    start = F.struct(F.lit(0.0).alias("total"), F.array().cast(f"array<{code}>").alias("kept"))
+    kept = df.groupBy(*keys, "trade_date").agg(F.aggregate(rows, start, admit)["kept"].alias("_kept"))
+    return df.join(kept.hint("merge"), [*keys, "trade_date"]).withColumn("w", F.when(F.array_contains("_kept", F.col("code")), F.col("w")).otherwise(0.0)).drop("_kept").select(*df.columns)
 
 
 def dynamic_equal(df: DataFrame, least: int, keys: tuple[str, ...] = ()) -> DataFrame:

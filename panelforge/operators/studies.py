@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions.frames import series
-from panelforge.functions.storage import cut
-from panelforge.operators.draws import hex_of, many_bits, many_draws, uniform
+from panelforge.operators.draws import uniform
+from panelforge.operators.permutation import flip_sums, subset_sums
+
 
 def lead_lag(df: DataFrame, x: str, y: str, lags: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, lag, n, corr): correlation of x with y `lag` rows later, for lags -L..L."""
@@ -65,34 +66,12 @@ def event_returns(df: DataFrame, event: Column, horizon: int, keys: tuple[str, .
 def event_study(events: DataFrame, pool: DataFrame, trials: int, seed: int = 5, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """Mean and win rate of events' fwd, and p: the share of draws of exactly as many dates of the pool with a mean as large.
 
-    A draw is the n dates with the smallest hashes. Hashes well below n / pool
-    are in and well above it are out; only those between, some square root of
-    the pool, are sorted. A trial in which that is not so is drawn again from
-    the sorted pool, so the two cuts change no result.
+    A draw is the n dates with the smallest hashes (see permutation.subset_sums).
     """
     real = events.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.avg((F.col("fwd") > 0).cast("int")).alias("win_rate"))
-    size = pool.groupBy(*keys).agg(F.count("*").alias("_pool"))
-    share, slack = F.col("n") / F.col("_pool"), 4 * F.sqrt(F.col("n") * (F.col("_pool") - F.col("n"))) / F.pow(F.col("_pool"), 1.5) + 2 / F.col("_pool")
-    asked = real.join(size.hint("merge"), list(keys)).select(*keys, "n", "mean", hex_of(share - slack).alias("_low"), hex_of(share + slack).alias("_high"))
-    rows = pool.select(*keys, "trade_date", "fwd").join(asked.hint("merge"), list(keys))
-    draws = rows.select(*keys, "trade_date", "fwd", "n", "mean", "_low", "_high", F.posexplode(many_draws(seed, *keys, "trade_date", n=trials)).alias("trial", "_u"))
-    near = draws.where(F.col("_u") <= F.col("_high"))
-    sure = F.col("_u") <= F.col("_low")
-    sums = near.where(sure).groupBy(*keys, "trial").agg(F.count("*").alias("_in"), F.sum("fwd").alias("_sum"))
-    between = near.where(~sure).groupBy(*keys, "trial").agg(F.array_sort(F.collect_list(F.struct("_u", "trade_date", "fwd"))).alias("_between"))
-    every = asked.select(*keys, "n", "mean", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    g = every.join(sums.hint("merge"), [*keys, "trial"], "left").join(between.hint("merge"), [*keys, "trial"], "left").withColumn("_in", F.coalesce("_in", F.lit(0))).withColumn("_between", F.coalesce("_between", F.array().cast("array<struct<_u: string, trade_date: date, fwd: double>>")))
-    wanted = F.col("n") - F.col("_in")
-    fits = (wanted >= 0) & (wanted <= F.size("_between"))
-    more = F.aggregate(F.slice("_between", 1, F.greatest(F.lit(0), wanted).cast("int")), F.lit(0.0), lambda acc, x: acc + x["fwd"])
-    g = cut(g.select(*keys, "trial", fits.alias("_fits"), (F.coalesce("_sum", F.lit(0.0)) + more).alias("_s"), "n", "mean"))  # one row a trial
-    full = g.where("_fits").select(*keys, "trial", "_s", "n", "mean")
-    short = asked.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).join(full.select(*keys, "trial").hint("merge"), [*keys, "trial"], "left_anti")
-    if short.limit(1).count():
-        w = Window.partitionBy(*keys, "trial").orderBy("_u", "trade_date")
-        again = draws.join(short.hint("merge"), [*keys, "trial"]).withColumn("_k", F.row_number().over(w)).where("_k <= n")
-        full = full.unionByName(again.groupBy(*keys, "trial").agg(F.sum("fwd").alias("_s"), F.first("n").alias("n"), F.first("mean").alias("mean")))
-    p = full.groupBy(*keys).agg(((F.sum((F.col("_s") / F.col("n") >= F.col("mean")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    drawn = subset_sums(pool, real.select(*keys, F.col("n").alias("k")), "fwd", "trade_date", trials, seed, keys)
+    met = drawn.join(real.hint("merge"), list(keys))
+    p = met.groupBy(*keys).agg(((F.sum((F.col("total") / F.col("n") >= F.col("mean")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
     return real.join(p.hint("merge"), list(keys))
 
 
@@ -156,9 +135,8 @@ def sign_flip(df: DataFrame, d: str, unit: str, trials: int, seed: int = 3, keys
     """Paired differences: mean, sign-flip permutation p, signed-rank sum."""
     rows = df.where(F.col(d).isNotNull())
     real = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("mean"))
-    flips = rows.select(*keys, F.posexplode(F.transform(many_bits(seed, unit, n=trials), lambda bit: F.when(bit == 1, -F.col(d)).otherwise(F.col(d)))).alias("trial", "_v"))
-    means = flips.groupBy(*keys, "trial").agg(F.avg("_v").alias("_m"))
-    p = means.join(real.hint("merge"), list(keys)).groupBy(*keys).agg(((F.sum((F.abs("_m") >= F.abs("mean")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    met = flip_sums(rows, d, unit, trials, seed, keys).join(real.hint("merge"), list(keys)).withColumn("_m", F.col("total") / F.col("n"))
+    p = met.groupBy(*keys).agg(((F.sum((F.abs("_m") >= F.abs("mean")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
     w = Window.partitionBy(*keys).orderBy("_abs")
     nz = rows.where(F.col(d) != 0).withColumn("_abs", F.abs(F.col(d)))
     ranked = nz.withColumn("_rank", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, "_abs")) - 1) / 2)

@@ -14,6 +14,9 @@ from panelforge.operators import ledger
 from panelforge.operators import performance as perf
 from panelforge.operators import portfolio as pf
 from panelforge.operators import signals as sig
+from panelforge.operators.admission import POLICIES, admission_summary, admitted
+from panelforge.operators.draws import many_draws_sql
+from panelforge.operators.permutation import stratified_p
 from panelforge.plans.indicators_queries import COMPOSITE, RET, W, frame
 from panelforge.plans.ledger_queries import LEAD, SWITCH
 from panelforge.plans.portfolio_queries import TRADE, TRADES_OF, all_trades, weighted
@@ -120,13 +123,51 @@ def e01(spark, d):
     return p.select("code", "trade_date", "hold", sig.stop_fill(stop).alias("intraday"), sig.stop_fill(stop, "close").alias("at_close"), sig.stop_fill(stop, "next").alias("next_open")).where("hold IS NOT NULL").drop("hold")
 
 
-@query("k04_over_cap", f"WITH {BRANDS}, w AS (SELECT code, trade_date, 0.15 AS w, amount AS score FROM bars) SELECT code, trade_date, w / greatest(1, sum(w) OVER (PARTITION BY trade_date)) AS scaled, CASE WHEN sum(w) OVER (PARTITION BY trade_date ORDER BY score DESC, code ROWS UNBOUNDED PRECEDING) <= 1 + 1e-12 THEN w ELSE 0 END AS kept FROM w", "scaled kept")
+@query("k04_over_cap", f"""WITH RECURSIVE {BRANDS}, w AS (SELECT code, trade_date, 0.1 + 0.1 * (volume % 5)::INT AS w, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, code) AS rk FROM bars), a AS (SELECT trade_date, 0::BIGINT AS rk, NULL::VARCHAR AS code, 0.0::DOUBLE AS w, 0.0::DOUBLE AS total, 0.0::DOUBLE AS kept FROM (SELECT DISTINCT trade_date FROM w)
+    UNION ALL SELECT w.trade_date, w.rk, w.code, w.w, CASE WHEN total + w.w <= 1 + 1e-12 THEN total + w.w ELSE total END, CASE WHEN total + w.w <= 1 + 1e-12 THEN w.w ELSE 0 END FROM a JOIN w ON w.trade_date = a.trade_date AND w.rk = a.rk + 1)
+  SELECT code, trade_date, w / greatest(1, sum(w) OVER (PARTITION BY trade_date)) AS scaled, kept FROM a WHERE rk > 0""", "scaled kept")
 def k04(spark, d):
-    w = brand_bars(spark, d).select("code", "trade_date", F.lit(0.15).alias("w"), F.col("amount").alias("score"))
+    w = brand_bars(spark, d).select("code", "trade_date", (0.1 + 0.1 * (F.col("volume") % 5).cast("int")).alias("w"), F.col("amount").alias("score"))
     a = ex.over_cap(w, "scale").select("code", "trade_date", F.col("w").alias("scaled"))
     return a.join(ex.over_cap(w, "skip").select("code", "trade_date", F.col("w").alias("kept")).hint("merge"), ["code", "trade_date"])
 
 
+#: The state after each row of a date, by score: positions as a list. Prices of a date and the codes to leave come as lists beside it.
+ADMISSION = f"""WITH RECURSIVE {BRANDS}, g AS (SELECT code, trade_date, close AS px, amount AS score, close > avg(close) OVER {frame(20)} AS active, 0.1 + 0.1 * (volume % 4)::INT AS target FROM bars), me AS (SELECT * FROM g WHERE trade_date IN (SELECT max(trade_date) FROM g GROUP BY date_trunc('month', trade_date))),
+  r AS MATERIALIZED (SELECT policy, me.*, row_number() OVER (PARTITION BY policy ORDER BY trade_date, score DESC, code) AS rn, row_number() OVER (PARTITION BY policy, trade_date ORDER BY score DESC, code) AS k FROM me, (SELECT unnest(['scale', 'skip', 'replace', 'leverage']) AS policy)),
+  dd AS MATERIALIZED (SELECT trade_date, list(code) FILTER (NOT active) AS gone, map(list(code), list(px)) AS pxs, row_number() OVER (ORDER BY trade_date) AS day FROM me GROUP BY trade_date),
+  s AS (SELECT DISTINCT policy, 0::BIGINT AS rn, NULL::DATE AS trade_date, NULL::VARCHAR AS code, []::STRUCT(code VARCHAR, w DOUBLE, px DOUBLE, day BIGINT)[] AS held, NULL::VARCHAR AS event, NULL::VARCHAR AS victim FROM r
+    UNION ALL SELECT policy, rn, trade_date, code, CASE WHEN over AND lsum > lim + 1e-12 THEN list_transform(h2, lambda x: {{'code': x.code, 'w': x.w * (lim / lsum), 'px': x.px, 'day': x.day}}) ELSE h2 END,
+      CASE WHEN NOT asks THEN NULL WHEN over AND policy = 'skip' THEN 'skip' WHEN over THEN 'enter_' || policy ELSE 'enter' END, victim
+    FROM (SELECT *, list_sum(list_transform(h2, lambda x: x.w)) AS lsum, CASE WHEN policy = 'leverage' THEN 2.0 ELSE 1.0 END AS lim FROM
+     (SELECT *, CASE WHEN NOT asks OR (over AND policy = 'skip') THEN h0 ELSE list_filter(h0, lambda x: victim IS NULL OR x.code <> victim) || [{{'code': code, 'w': target, 'px': px, 'day': day}}] END AS h2 FROM
+      (SELECT *, CASE WHEN over AND policy = 'replace' AND len(h0) > 0 THEN list_sort(list_transform(h0, lambda x: {{'ret': coalesce(pxs[x.code] / x.px - 1, 'inf'::DOUBLE), 'day': x.day, 'code': x.code}}))[1].code END AS victim FROM
+       (SELECT *, asks AND coalesce(list_sum(list_transform(h0, lambda x: x.w)), 0) + target > 1 + 1e-12 AS over FROM
+        (SELECT *, coalesce(active, false) AND NOT list_contains(list_transform(h0, lambda x: x.code), code) AS asks FROM
+         (SELECT r.policy, r.rn, r.trade_date, r.code, r.active, r.target, r.px, dd.day, dd.pxs, CASE WHEN r.k = 1 THEN list_filter(s.held, lambda x: NOT list_contains(coalesce(dd.gone, []), x.code)) ELSE s.held END AS h0
+          FROM s JOIN r ON r.policy = s.policy AND r.rn = s.rn + 1 JOIN dd ON dd.trade_date = r.trade_date)))))))"""
+
+
+@query("k04_admission", f"""{ADMISSION}, e AS (SELECT policy, trade_date, last(held ORDER BY rn) AS held FROM s WHERE rn > 0 GROUP BY policy, trade_date), m AS (SELECT policy, trade_date, coalesce(list_sum(list_transform(held, lambda x: x.w)), 0) AS multiple, unnest(held, recursive := false) AS h FROM e)
+  SELECT r.policy, r.trade_date, r.code, coalesce(m.h.w, 0) AS weight FROM r LEFT JOIN m ON m.policy = r.policy AND m.trade_date = r.trade_date AND m.h.code = r.code""", "weight")
+def k04a(spark, d):
+    """Positions admitted at month ends under each policy."""
+    return admissions(spark, d).select("policy", "trade_date", "code", "weight")
+
+
+@query("k04_admission_counts", f"""{ADMISSION}, e AS (SELECT policy, trade_date, list_sum(list_transform(last(held ORDER BY rn), lambda x: x.w)) AS multiple FROM s WHERE rn > 0 GROUP BY policy, trade_date)
+  SELECT policy, count(*) FILTER (event LIKE 'enter%') AS entries, count(*) FILTER (event = 'skip') AS skipped, count(victim) AS replaced, count(*) FILTER (starts_with(event, 'enter_')) AS over_cap, (SELECT coalesce(max(multiple), 0) FROM e WHERE e.policy = s.policy) AS largest FROM s WHERE rn > 0 GROUP BY policy""", "largest")
+def k04c(spark, d):
+    return admission_summary(admissions(spark, d), ("policy",))
+
+
+def admissions(spark, d):
+    g = brand_bars(spark, d).withColumn("active", F.col("close") > F.avg("close").over(series().rowsBetween(-19, 0)))
+    last = g.groupBy(F.trunc("trade_date", "month").alias("_m")).agg(F.max("trade_date").alias("trade_date")).select("trade_date")
+    g = g.join(last.hint("merge"), "trade_date", "left_semi").select("trade_date", "code", "active", (0.1 + 0.1 * (F.col("volume") % 4).cast("int")).alias("target"), F.col("close").alias("price"), F.col("amount").alias("score"))
+    return admitted(g.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))), ("policy",))
+
+
 @query("k07_dynamic_universe", f"WITH {BRANDS}, r AS (SELECT code, trade_date, close / lag(close) OVER w - 1 AS r FROM bars {W}) SELECT code, trade_date, CASE WHEN r IS NOT NULL AND count(r) OVER (PARTITION BY trade_date) >= 12 THEN 1.0 / count(r) OVER (PARTITION BY trade_date) ELSE 0 END AS w FROM r", "w")
 def k07(spark, d):
     return ex.dynamic_equal(ind.with_returns(brand_bars(spark, d)), 12).select("code", "trade_date", "w")
@@ -298,15 +339,34 @@ def t07q(spark, d):
     return st.benjamini_hochberg(entry_conditions(spark, d).withColumn("p", st.normal_p("t")), "p")
 
 
+@query("t07_stratified", f"""WITH {TRADE}, {TRADES_OF}, j AS (SELECT tr.code, entry_date, ret, b.volume > 60 AS heavy, b.high > 2 * b.low AS wide, b.close > 1000 AS dear FROM tr JOIN bars b ON tr.code = b.code AND entry_date = b.trade_date),
+  u AS (SELECT code, entry_date, ret, unnest(['heavy', 'wide', 'dear']) AS condition, unnest([heavy, wide, dear]) AS f FROM j), v AS (SELECT condition, 'return' AS measure, code, entry_date, f, ret AS v FROM u UNION ALL SELECT condition, 'win', code, entry_date, f, (ret > 0)::INT FROM u WHERE ret <> 0),
+  k AS (SELECT condition, measure, code, count(*) AS n, count(*) FILTER (f) AS k, sum(v) AS a FROM v GROUP BY ALL), re AS (SELECT condition, measure, count(*) FILTER (f) AS n_in, count(*) FILTER (NOT f) AS n_out, sum(v) AS a, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS diff FROM v GROUP BY ALL),
+  dr AS (SELECT v.*, trial, row_number() OVER (PARTITION BY v.condition, v.measure, v.code, trial ORDER BY {many_draws_sql('trial', 7, 'v.condition', 'v.measure', 'v.code', 'entry_date')}, entry_date) AS rn FROM v, range(0, 1000) t(trial)),
+  su AS (SELECT dr.condition, dr.measure, trial, coalesce(sum(v) FILTER (rn <= k), 0) AS s FROM dr JOIN k USING (condition, measure, code) GROUP BY ALL),
+  pv AS (SELECT condition, measure, any_value(n_in) AS n_in, any_value(n_out) AS n_out, any_value(diff) AS diff, CASE WHEN any_value(n_in) > 0 AND any_value(n_out) > 0 THEN (sum((abs(s / n_in - (a - s) / n_out) >= abs(diff) - 1e-12)::INT) + 1) / 1001 END AS p FROM su JOIN re USING (condition, measure) GROUP BY ALL),
+  bh AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY p) AS i, count(*) OVER (PARTITION BY measure) AS n FROM pv) SELECT condition, measure, n_in, n_out, diff, p, least(1, min(p * n / i) OVER (PARTITION BY measure ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM bh""", "diff p q")
+def t07s(spark, d):
+    """Conditions at entry against returns and wins: labels shuffled within codes, q over the conditions."""
+    from panelforge.operators import studies as st
+
+    rows = condition_rows(spark, d)
+    both = rows.select("condition", F.lit("return").alias("measure"), "code", "entry_date", "inside", F.col("ret").alias("v")).unionByName(rows.where("ret <> 0").select("condition", F.lit("win").alias("measure"), "code", "entry_date", "inside", (F.col("ret") > 0).cast("double").alias("v")))
+    return st.benjamini_hochberg(stratified_p(both, "v", "inside", "code", "entry_date", 1000, keys=("condition", "measure")), "p", ("measure",))
+
+
 def entry_conditions(spark, d):
     from panelforge.operators import studies as st
 
+    return st.two_samples(condition_rows(spark, d), "ret", F.col("inside"), ("condition",))
+
+
+def condition_rows(spark, d):
     b = bars(spark, d).select("code", F.col("trade_date").alias("entry_date"), F.col("close").alias("px"), "volume", "high", "low")
     t = all_trades(spark, d).join(b.hint("merge"), ["code", "entry_date"])
     conds = {"heavy": F.col("volume") > 60, "wide": F.col("high") > 2 * F.col("low"), "dear": F.col("px") > 1000}
     cells = F.array(*[F.struct(F.lit(k).alias("condition"), c.alias("inside")) for k, c in conds.items()])
-    rows = t.withColumn("c", F.explode(cells)).select("ret", "c.*")
-    return st.two_samples(rows, "ret", F.col("inside"), ("condition",))
+    return t.withColumn("c", F.explode(cells)).select("code", "entry_date", "ret", "c.*")
 
 
 @query("r07_grid_under_bootstrap", f"""WITH {RET}, lb AS (SELECT code, trade_date, r, n AS lookback, coalesce((close > lag(close, n) OVER (PARTITION BY n, code ORDER BY trade_date))::INT, 0) AS p FROM r, (SELECT unnest([5, 20, 60]) AS n)), sr AS (SELECT code, lookback, trade_date, coalesce(lag(p) OVER (PARTITION BY lookback, code ORDER BY trade_date), 0) * r / 1000 AS x FROM lb), {bootstrap_sql('sr', 100, 'code, lookback')},

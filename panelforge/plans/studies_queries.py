@@ -9,6 +9,7 @@ from panelforge.functions.frames import roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import studies as st
 from panelforge.operators.draws import many_bits_sql, many_draws_sql, uniform_sql
+from panelforge.operators.permutation import stratified_p
 from panelforge.plans.indicators_queries import RET, W, eliminated, frame
 from panelforge.plans.registry import query
 from panelforge.plans.views import BARS, bars, table
@@ -61,7 +62,7 @@ def r04(spark, d):
     return events(spark, d).select("code", "trade_date", "fwd")
 
 
-TRIALS, FLIPS, SIMS = 500, 1000, 2000
+TRIALS, FLIPS, SIMS = 1000, 1000, 2000
 
 
 @query("r04_event_study", f"""WITH {BARS}, e AS (SELECT *, close > 1.3 * avg(close) OVER {frame(20)} AS up, lead(close, 5) OVER w / close - 1 AS fwd FROM bars {W}), po AS (SELECT code, trade_date, fwd FROM e WHERE fwd IS NOT NULL), re AS (SELECT code, count(*) AS n, avg(fwd) AS mean, avg((fwd > 0)::INT) AS win_rate FROM e WHERE up AND fwd IS NOT NULL GROUP BY code),
@@ -106,13 +107,24 @@ def r08(spark, d):
     return st.sign_flip(with_market(spark, d).withColumn("diff", F.round(F.col("r") - F.col("m"), 12)), "diff", "trade_date", FLIPS)
 
 
-@query("r09_conditions", f"""WITH {MKT}, x AS (SELECT *, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS y FROM mk {W}), g AS (SELECT code, count(y) FILTER (f) AS n_in, count(y) FILTER (NOT f) AS n_out, avg((y > 0)::INT) FILTER (f) AS win_in, avg((y > 0)::INT) FILTER (NOT f) AS win_out, avg(y) FILTER (f) AS mean_in, avg(y) FILTER (NOT f) AS mean_out, var_samp(y) FILTER (f) AS vi, var_samp(y) FILTER (NOT f) AS vo FROM x WHERE y IS NOT NULL GROUP BY code),
+@query("t07_market_conditions", f"""WITH {MKT}, x AS (SELECT *, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS y FROM mk {W}), g AS (SELECT code, count(y) FILTER (f) AS n_in, count(y) FILTER (NOT f) AS n_out, avg((y > 0)::INT) FILTER (f) AS win_in, avg((y > 0)::INT) FILTER (NOT f) AS win_out, avg(y) FILTER (f) AS mean_in, avg(y) FILTER (NOT f) AS mean_out, var_samp(y) FILTER (f) AS vi, var_samp(y) FILTER (NOT f) AS vo FROM x WHERE y IS NOT NULL GROUP BY code),
   p AS (SELECT *, (win_in * n_in + win_out * n_out) / (n_in + n_out) AS pl FROM g) SELECT code, n_in, n_out, win_in, win_out, mean_in, mean_out, (win_in - win_out) / sqrt(pl * (1 - pl) * (1.0 / n_in + 1.0 / n_out)) AS z, (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) AS t FROM p""", "win_in win_out mean_in mean_out z t")
-def r09(spark, d):
+def t07m(spark, d):
     x = with_market(spark, d).withColumn("f", F.col("close") > F.avg("close").over(roll(series(), 20))).withColumn("y", F.lead("r").over(series()))
     return st.two_samples(x, "y", F.col("f"), ("code",))
 
 
+@query("r09_stratified_permutation", f"""WITH {MKT}, x AS (SELECT *, year(trade_date) AS y, close > avg(close) OVER {frame(20)} AS f, lead(r) OVER w AS v FROM mk {W}), o AS (SELECT * FROM x WHERE v IS NOT NULL), k AS (SELECT code, y, count(*) FILTER (f) AS k FROM o GROUP BY code, y),
+  re AS (SELECT code, count(*) FILTER (f) AS n_in, count(*) FILTER (NOT f) AS n_out, sum(v) AS a, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS diff FROM o GROUP BY code),
+  dr AS (SELECT o.code, o.y, trial, v, row_number() OVER (PARTITION BY o.code, o.y, trial ORDER BY {many_draws_sql('trial', 7, 'o.code', 'o.y', 'trade_date')}, trade_date) AS rn FROM o, range(0, {FLIPS}) t(trial)),
+  su AS (SELECT dr.code, trial, sum(v) AS s FROM dr JOIN k ON dr.code = k.code AND dr.y = k.y WHERE rn <= k GROUP BY dr.code, trial)
+  SELECT re.code, any_value(n_in) AS n_in, any_value(n_out) AS n_out, any_value(diff) AS diff, (sum((abs(s / n_in - (a - s) / n_out) >= abs(diff) - 1e-12)::INT) + 1) / ({FLIPS} + 1) AS p FROM su JOIN re ON su.code = re.code GROUP BY re.code""", "diff p")
+def r09(spark, d):
+    """Next day's return above and below the moving average, labels shuffled within years."""
+    x = with_market(spark, d).withColumn("f", F.col("close") > F.avg("close").over(roll(series(), 20))).withColumn("v", F.lead("r").over(series())).withColumn("y", F.year("trade_date"))
+    return stratified_p(x, "v", "f", "y", "trade_date", FLIPS)
+
+
 @query("r10_style_exposure")
 def r10(spark, d):
     r = with_market(spark, d)
