@@ -16,8 +16,11 @@ meet in a last ranking.
 Edge cases: vectors that are null, empty, zero, or hold nulls or non-finite
 components take no part, as query or candidate; so do rows with a null id.
 Vectors of other lengths than a query's are no candidates of it. Repeated
-vectors tie by id; the same id twice counts twice. Other columns are not read,
-whatever their names. An empty table gives none.
+vectors tie by id. Rows are rows of their own, whatever their ids: a query leaves
+out one row of its own id and vector, and rows that repeat the id of a query are
+candidates of it and queries with results of their own. Distances beyond the
+range of squares (components above 1e154 or below 1e-162) are computed scaled.
+Other columns are not read, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -45,8 +48,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 BLOCK = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary()), ("low", pa.binary()), ("scale", pa.binary()), ("off", pa.binary())])
 
 
-def packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks (dim, ids, vals, low, scale, off) of up to `rows` vectors of equal length."""
+#: Bytes of float and int8 values in a block.
+BLOCK_BYTES = 2_400_000
+
+
+def packed(vectors: DataFrame, rows: int, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks (dim, ids, vals, low, scale, off) of up to `rows` vectors of equal length and `most_bytes` of values (or one vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,8 +62,9 @@ def packed(vectors: DataFrame, rows: int) -> DataFrame:
             flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                for k in range(0, len(at), rows):
-                    own = at[k : k + rows]
+                step = max(1, min(rows, most_bytes // (9 * int(dim))))
+                for k in range(0, len(at), step):
+                    own = at[k : k + step]
                     values = flat[starts[own][:, None] + np.arange(dim)]
                     parts = ids[own].astype("<i8"), values.astype("<f8"), *quantised(values)
                     yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], schema=BLOCK)
@@ -67,8 +75,21 @@ def packed(vectors: DataFrame, rows: int) -> DataFrame:
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 values, scale and length of the rounding error of each vector."""
     scale = np.abs(x).max(axis=1) / 127
+    scale[scale < 1e-300] = 1.0  # too small to divide by: all error
     low = np.rint(x / scale[:, None]).astype(np.int8)
-    return low, scale, np.sqrt(((x - low * scale[:, None]) ** 2).sum(axis=1))
+    return low, scale, lengths(x - low * scale[:, None])
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; where squares leave the range of doubles, of scaled rows."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt((x**2).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-150))
+    if len(odd):
+        most = np.abs(x[odd]).max(axis=1)
+        with np.errstate(over="ignore"):
+            out[odd] = np.where(most > 0, most * np.sqrt(((x[odd] / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1)), 0.0)
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,18 +121,21 @@ class Heaps:
 
     def tile(self, c: Block) -> None:
         q, k = self.asked, self.k
-        norm = self.norms[:, None] + c.norms()[None, :]
-        dist = np.sqrt(np.maximum(norm - 2 * products(q.low, c.low) * q.scale[:, None] * c.scale[None, :], 0))
-        slack = q.off[:, None] + c.off[None, :] + 1e-7 * np.sqrt(norm)
-        other = c.ids[None, :] != q.ids[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = self.norms[:, None] + c.norms()[None, :]
+            dist = np.sqrt(np.maximum(norm - 2 * products(q.low, c.low) * q.scale[:, None] * c.scale[None, :], 0))
+            slack = q.off[:, None] + c.off[None, :] + 1e-7 * np.sqrt(norm)
+            low, high = dist - slack, dist + slack
+        unsure = ~np.isfinite(low)  # out of range: no bound
+        low[unsure], high[unsure] = -np.inf, np.inf
         most = self.most
         if len(c.ids) >= k:
-            most = np.minimum(most, np.partition(np.where(other, dist + slack, np.inf), k - 1, axis=1)[:, k - 1])
-        at, near = np.nonzero((dist - slack <= most[:, None]) & other)
+            most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
+        at, near = np.nonzero(low <= most[:, None])
         exact = np.empty(len(at))
         for j in range(0, len(at), 100_000):
             s = slice(j, j + 100_000)
-            exact[s] = np.sqrt(((q.values[at[s]] - c.values[near[s]]) ** 2).sum(axis=1))
+            exact[s] = lengths(q.values[at[s]] - c.values[near[s]])
         order = np.lexsort((c.ids[near], exact, at))
         at, score, ids = at[order], exact[order], c.ids[near][order]
         first = np.searchsorted(at, np.arange(len(q.ids) + 1))
@@ -121,14 +145,18 @@ class Heaps:
             if len(own) == k:
                 self.most[i] = own[-1][0]
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, block: int) -> pa.RecordBatch:
         sizes = [len(x) for x in self.best]
         flat = [x for own in self.best for x in own]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.asked.ids, sizes)), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[0] for x in flat], pa.float64())], ["query_id", "vec_id", "score"])
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        cols = [pa.array(np.full(len(place), block)), pa.array(place), pa.array(self.asked.ids[place]), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[0] for x in flat], pa.float64())]
+        return pa.RecordBatch.from_arrays(cols, ["asked", "place", "query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 1024, block_rows: int = 4096, part_blocks: int = 64, spread: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest candidates by Euclidean distance.
+    """(query_id, rank, vec_id, score): each query's k nearest candidates by Euclidean distance, its own row left out.
+
+    Tasks look for k + 1; the first of a query's own id at distance zero is its own row.
 
     A part holds up to `part_blocks` candidate blocks, fewer while there are
     fewer parts than `spread` (by default the number of shuffle partitions).
@@ -156,15 +184,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int
                 key, dim = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
                 if key != now:
                     if heaps:
-                        yield heaps.rows()
-                    now, heaps = key, Heaps(Block(dim, *(b.column(c)[i].as_py() for c in range(3, 8))), k)
+                        yield heaps.rows(now[0])
+                    now, heaps = key, Heaps(Block(dim, *(b.column(c)[i].as_py() for c in range(3, 8))), k + 1)
                 heaps.tile(Block(dim, *(b.column(c)[i].as_buffer() for c in range(8, 13))))
         if heaps:
-            yield heaps.rows()
-
-    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
-    w = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield heaps.rows(now[0])
+
+    found = tiles.mapInArrow(run, "asked long, place long, query_id long, vec_id long, score double")
+    w = W.partitionBy("asked", "place").orderBy("score", "vec_id")
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    found = found.withColumn("_own", F.min(F.when(own, F.col("rank"))).over(W.partitionBy("asked", "place"))).where(F.col("_own").isNull() | (F.col("rank") != F.col("_own")))
+    return found.withColumn("rank", F.col("rank") - F.when(F.col("rank") > F.col("_own"), 1).otherwise(0)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelforge.llm import alignment, hyperminhash, lexical
+from panelforge.llm import alignment, hyperminhash, lexical, nearest
 from panelforge.llm.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -234,3 +234,32 @@ def test_registers_are_floats():
     for x, r in zip(low.tolist(), hyperminhash.compressed(low).tolist(), strict=True):
         zeros = 64 - x.bit_length()
         assert r == zeros << 10 | ((x << (zeros + 1)) & (2**64 - 1)) >> 54
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one id are candidates of each other, and each is a query of its own."""
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [0.0, 3.0]), (1, [0.0, 1.5]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest.nearest(df, df.where("vec_id = 0"), 3, block_rows=2).collect()
+    near = sorted((r["rank"], r["vec_id"], r["score"]) for r in out)
+    first = [(1, 0, 0.0), (2, 2, 0.0), (3, 1, 0.5)]  # of each of the two equal rows
+    assert near == sorted([*first, *first, (1, 1, 1.5), (2, 0, 2.0), (3, 0, 2.0)])
+
+
+@pytest.mark.parametrize("size", [1e160, 1e300, 1e-170, 1e-310, 1.0])
+def test_nearest_of_any_magnitude(spark, size):
+    x = np.random.default_rng(4).normal(size=(60, 5)) * size
+    df = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest.nearest(df, df.where("vec_id % 20 = 0"), 4, block_rows=7).collect()}
+    for q in (0, 20, 40):
+        d = [math.dist(x[q], y) for y in x]
+        order = [int(k) for k in np.argsort(d, kind="stable") if k != q][:4]
+        assert [got[q, k + 1][0] for k in range(4)] == order
+        assert [got[q, k + 1][1] for k in range(4)] == pytest.approx([d[k] for k in order], rel=1e-9 if size > 1e-300 else 1e-3)
+
+
+def test_blocks_have_bounded_bytes(spark):
+    df = spark.createDataFrame([(k, [float(k + 1)] * 100) for k in range(50)], "vec_id long, embedding array<double>").coalesce(1)
+    blocks = nearest.packed(nearest.usable(df), 4096, 9_000).collect()
+    assert len(blocks) == 5 and all(len(b["vals"]) + len(b["low"]) <= 9_000 for b in blocks)
+    assert len(nearest.packed(nearest.usable(df), 4096, 10).collect()) == 50
