@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import ledger
+from panelforge.operators import actions, ledger
 from panelforge.plans.registry import query
 from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, contracts, flows, trades
 
@@ -147,3 +147,38 @@ def f05b(spark, d):
     c = contracts(spark, d)
     w = Window.partitionBy("root", "trade_date").orderBy(F.desc("hold"), "contract")
     return ledger.continuous(c, c.withColumn("k", F.row_number().over(w)).where("k = 1").select("root", "trade_date", "contract"))
+
+
+def corporate(spark, d):
+    """(changes, splits, dividends) of the parts: codes ending in 1 become the next one in 1996, those ending in 2 (the former among them) the next one in 1998; parts divisible by 7 split in mid 1997 and, where they end in 3, in 1999; dividends for all at the end of 1996 and 1998."""
+    c = trades(spark, d).select("code").distinct()
+    on = lambda s: F.to_date(F.lit(s))
+    changes = c.where("code % 10 IN (1, 2)").select("code", (F.col("code") + 1).alias("new_code"), F.when(F.col("code") % 10 == 1, on("1996-07-01")).otherwise(on("1998-07-01")).alias("effective_date"))
+    every = c.unionByName(changes.select(F.col("new_code").alias("code"))).distinct()
+    splits = every.where("code % 7 = 0").select("code", on("1997-06-02").alias("effective_date"), F.lit(2.0).alias("ratio")).unionByName(every.where("code % 10 = 3").select("code", on("1999-06-01").alias("effective_date"), F.lit(4.0).alias("ratio")))
+    cash = every.select("code", F.explode(F.array(on("1996-12-31"), on("1998-12-31"))).alias("effective_date")).withColumn("cash_per_share", F.lit(0.5) + F.col("code") % 4)
+    return changes, splits, cash
+
+
+CORPORATE = f"""{TRADES}, c AS (SELECT DISTINCT code FROM trades), cg AS (SELECT code, code + 1 AS new_code, CASE WHEN code % 10 = 1 THEN DATE '1996-07-01' ELSE DATE '1998-07-01' END AS day FROM c WHERE code % 10 IN (1, 2)), ev AS (SELECT code FROM c UNION SELECT new_code FROM cg),
+  sp AS (SELECT code, DATE '1997-06-02' AS day, 2.0::DOUBLE AS ratio FROM ev WHERE code % 7 = 0 UNION ALL SELECT code, DATE '1999-06-01', 4.0 FROM ev WHERE code % 10 = 3), dv AS (SELECT code, unnest([DATE '1996-12-31', DATE '1998-12-31']) AS day, 0.5 + code % 4 AS cps FROM ev),
+  pa AS (SELECT code, code AS name, DATE '0001-01-01' AS a FROM c UNION ALL SELECT pa.code, cg.new_code, cg.day FROM pa JOIN cg ON cg.code = pa.name AND cg.day > pa.a), pp AS (SELECT code, name, a, coalesce(lead(a) OVER (PARTITION BY code ORDER BY a), DATE '9999-12-31') AS b FROM pa),
+  sc AS (SELECT pp.code, day, ratio FROM sp JOIN pp ON sp.code = pp.name AND day > a AND day <= b)"""
+
+
+@query("l04_restated_fifo", FIFO.replace("WITH RECURSIVE " + TRADES, f"""WITH RECURSIVE {CORPORATE.replace('trades AS (', 'raw AS (', 1).replace('FROM trades)', 'FROM raw)')},
+  fc AS (SELECT raw.*, coalesce((SELECT product(ratio) FROM sc WHERE sc.code = raw.code AND sc.day > raw.trade_date), 1) AS f, (SELECT name FROM pp WHERE pp.code = raw.code AND b = DATE '9999-12-31') AS terminal FROM raw),
+  trades AS (SELECT * EXCLUDE (f, terminal) REPLACE (terminal AS code, quantity * f AS quantity, price / f AS price) FROM fc)""") + """ SELECT p.account_id, p.code, b.id AS buy_id, x.id AS sell_id, b.trade_date AS buy_date, x.trade_date AS sell_date, p.p.matched AS matched, (x.price - b.price) * p.p.matched AS pnl, p.p.matched / b.quantity * b.fee + p.p.matched / x.quantity * x.fee AS fee
+  FROM p JOIN t b ON b.account_id = p.account_id AND b.code = p.code AND b.rn = p.p.rn JOIN t x ON x.account_id = p.account_id AND x.code = p.code AND x.rn = p.rn""", "matched pnl fee", 9)
+def l04f(spark, d):
+    """First-in-first-out across code changes and splits."""
+    changes, splits, _ = corporate(spark, d)
+    return ledger.fifo(actions.restated(trades(spark, d), changes, splits))
+
+
+@query("l04_dividends", f"""WITH RECURSIVE {CORPORATE}, dc AS (SELECT pp.code, day, cps FROM dv JOIN pp ON dv.code = pp.name AND day > a AND day <= b),
+  h AS (SELECT t.account_id, dc.code, dc.day, any_value(cps) AS cps, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END * coalesce((SELECT product(ratio) FROM sc WHERE sc.code = t.code AND sc.day > t.trade_date AND sc.day <= dc.day), 1)) AS q FROM trades t JOIN dc ON t.code = dc.code AND t.trade_date < dc.day GROUP BY t.account_id, dc.code, dc.day)
+  SELECT account_id, code, day AS effective_date, q AS quantity, q * cps AS cash FROM h WHERE q > 0""", "quantity cash")
+def l04d(spark, d):
+    """Dividends on what each book held."""
+    return actions.dividends(trades(spark, d), *corporate(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import roll, series
 from panelforge.operators import indicators as ind
 from panelforge.operators import signals as sig
+from panelforge.operators.reentry import MODES, AtrStop, RTakeProfit, with_exits
 from panelforge.operators.draws import uniform_sql
 from panelforge.plans.indicators_queries import ADX, NUMBERED, RET, W, ema_sql, frame
 from panelforge.plans.registry import query
@@ -175,6 +176,48 @@ def e02g(spark, d):
     return sig.atr_stops(positions(spark, d), "tightening", 3.0, tighten=0.5).where("hold IS NOT NULL").select("code", "trade_date", "stop", "exit_price", "active")
 
 
+BASE = f"""{BARS}, sg AS (SELECT code, trade_date, open, high, low, close, avg(high - low) OVER {frame(14)} AS atr, CASE WHEN close > 1.1 * avg(close) OVER {frame(20)} THEN 1 WHEN close < 0.9 * avg(close) OVER {frame(20)} THEN -1 ELSE 0 END AS b FROM bars),
+  r AS MATERIALIZED (SELECT mode, sg.*, coalesce(lag(b) OVER (PARTITION BY mode, code ORDER BY trade_date), 0) AS pb, row_number() OVER (PARTITION BY mode, code ORDER BY trade_date) AS rn FROM sg, (SELECT unnest(['reenter', 'wait_next_entry']) AS mode))"""
+
+#: One row after the other: side held, entry, the line set so far, and whether a new turn is awaited.
+REENTRY = f"""WITH RECURSIVE {BASE}, s AS (SELECT DISTINCT mode, code, 0::BIGINT AS rn, NULL::DATE AS trade_date, 0 AS side, NULL::DOUBLE AS line, false AS locked, NULL::DOUBLE AS force, NULL::DOUBLE AS fill, NULL::VARCHAR AS event FROM r
+  UNION ALL SELECT mode, code, rn, trade_date, CASE WHEN hit THEN 0 WHEN keeps THEN side WHEN b <> 0 AND NOT (locked AND b = pb) THEN b ELSE 0 END AS side,
+    CASE WHEN keeps AND side > 0 THEN greatest(line, close - atr) WHEN keeps THEN least(line, close + atr) ELSE close - b * atr END AS line,
+    CASE WHEN hit THEN mode = 'wait_next_entry' WHEN keeps THEN locked WHEN b <> 0 AND NOT (locked AND b = pb) THEN false ELSE locked END AS locked,
+    CASE WHEN hit OR keeps THEN line END AS force, CASE WHEN hit AND side > 0 THEN least(line, open) WHEN hit THEN greatest(line, open) END AS fill,
+    CASE WHEN hit THEN 'exit' WHEN keeps THEN NULL WHEN b <> 0 AND NOT (locked AND b = pb) THEN CASE WHEN side <> 0 THEN 'turn' WHEN b <> pb THEN 'entry' ELSE 'reentry' END WHEN side <> 0 THEN 'signal' END AS event
+  FROM (SELECT r.*, s.side, s.line, s.locked, s.side <> 0 AND r.b = s.side AND CASE WHEN s.side > 0 THEN r.low < s.line ELSE r.high > s.line END AS hit, s.side <> 0 AND r.b = s.side AS keeps FROM s JOIN r ON r.mode = s.mode AND r.code = s.code AND r.rn = s.rn + 1))"""
+
+
+def based(spark, d):
+    m = F.avg("close").over(roll(series(), 20))
+    b = bars(spark, d).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(roll(series(), 14)))
+    b = b.withColumn("base", F.when(F.col("close") > 1.1 * m, 1).when(F.col("close") < 0.9 * m, -1).otherwise(0))
+    return b.withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
+
+
+@query("e02_stop_reentry", f"{REENTRY} SELECT mode, code, trade_date, side::DOUBLE AS position, force AS line, fill, event FROM s WHERE rn > 0", "position line fill")
+def e02r(spark, d):
+    """Trailing stops, long and short, with and without entry again while the signal stands."""
+    return with_exits(based(spark, d), "base", AtrStop("trailing", 1.0), "mode", keys=("mode", "code")).select("mode", "code", "trade_date", "position", "line", "fill", "event")
+
+
+#: The same for a profit taker: peak is the best profit so far, in R of one ATR at entry.
+TAKER = f"""WITH RECURSIVE {BASE}, s AS (SELECT DISTINCT mode, code, 0::BIGINT AS rn, NULL::DATE AS trade_date, 0 AS side, NULL::DOUBLE AS entry, NULL::DOUBLE AS risk, 0.0::DOUBLE AS peak, 0 AS nb, false AS locked, NULL::DOUBLE AS fill, NULL::VARCHAR AS event FROM r
+  UNION ALL SELECT mode, code, rn, trade_date, CASE WHEN hit THEN 0 WHEN keeps THEN side WHEN goes THEN b ELSE 0 END AS side, CASE WHEN keeps THEN entry ELSE close END AS entry, CASE WHEN keeps THEN risk ELSE atr / close END AS risk, CASE WHEN keeps THEN top ELSE 0 END AS peak, CASE WHEN keeps THEN nb + 1 ELSE 0 END AS nb,
+    CASE WHEN hit THEN mode = 'wait_next_entry' WHEN keeps THEN locked WHEN goes THEN false ELSE locked END AS locked, CASE WHEN hit AND side > 0 THEN least(line, open) WHEN hit THEN greatest(line, open) END AS fill,
+    CASE WHEN hit THEN 'exit' WHEN keeps THEN NULL WHEN goes THEN CASE WHEN side <> 0 THEN 'turn' WHEN b <> pb THEN 'entry' ELSE 'reentry' END WHEN side <> 0 THEN 'signal' END AS event
+  FROM (SELECT *, keeps AND share IS NOT NULL AND nb + 1 >= 2 AND side * (CASE WHEN side > 0 THEN low ELSE high END / entry - 1) <= top * (1 - share) AS hit, entry * (1 + side * top * (1 - share)) AS line, b <> 0 AND NOT (locked AND b = pb) AS goes FROM
+    (SELECT *, CASE WHEN risk > 0 AND top / risk >= 2 THEN 0.3 WHEN risk > 0 AND top / risk >= 1 THEN 0.5 END AS share FROM
+      (SELECT r.*, s.side, s.entry, s.risk, s.nb, s.locked, s.side <> 0 AND r.b = s.side AS keeps, greatest(s.peak, s.side * (CASE WHEN s.side > 0 THEN r.high ELSE r.low END / s.entry - 1)) AS top FROM s JOIN r ON r.mode = s.mode AND r.code = s.code AND r.rn = s.rn + 1))))"""
+
+
+@query("e04_take_profit_reentry", f"{TAKER} SELECT mode, code, trade_date, side::DOUBLE AS position, fill, event FROM s WHERE rn > 0", "position fill")
+def e04r(spark, d):
+    """Profit takers in R, long and short, with and without entry again while the signal stands."""
+    return with_exits(based(spark, d), "base", RTakeProfit(1.0, [(1.0, 0.5), (2.0, 0.3)]), "mode", keys=("mode", "code")).select("mode", "code", "trade_date", "position", "fill", "event")
+
+
 @query("e04_r_take_profit", f"""WITH {ATR}, p AS (SELECT *, max(high / entry - 1) OVER {BEFORE} AS peak FROM a WHERE hold IS NOT NULL), b AS (SELECT *, CASE WHEN peak >= 2 * atr / entry THEN 0.3 WHEN peak >= atr / entry THEN 0.5 END AS back FROM p), l AS (SELECT *, entry * (1 + peak * (1 - back)) AS line FROM b),
   f AS (SELECT *, CASE WHEN k > 2 AND back IS NOT NULL AND low <= line THEN least(line, open) END AS fill FROM l), g AS (SELECT *, count(fill) OVER {BEFORE} AS bef FROM f) SELECT code, trade_date, CASE WHEN bef = 0 THEN fill END AS exit_price, bef = 0 AS active FROM g""", "exit_price")
 def e04(spark, d):
