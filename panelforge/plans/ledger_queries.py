@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import actions, ledger
+from panelforge.operators import actions, ledger, repo_lots
 from panelforge.plans.registry import query
-from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, contracts, flows, trades
+from panelforge.plans.views import CONTRACTS, FLOWS, TRADES, contracts, flows, table, trades
 
 ORD = "trade_date, trade_time, id, price, quantity"
 
@@ -182,3 +182,35 @@ def l04f(spark, d):
 def l04d(spark, d):
     """Dividends on what each book held."""
     return actions.dividends(trades(spark, d), *corporate(spark, d))
+
+
+def repos(spark, d):
+    """(lots, closes) of accounts (customers): every third order is a close; the even ones name the lot lent last before."""
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("account_id"), (F.col("o_orderkey") % 2).alias("code"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("trade_date"), F.floor("o_totalprice").cast("double").alias("principal"), (F.col("o_orderkey") % 3 == 0).alias("closes"))
+    w = Window.partitionBy("account_id", "code").orderBy("trade_date", "id").rowsBetween(Window.unboundedPreceding, -1)
+    o = o.withColumn("last_lot", F.last(F.when(~F.col("closes"), F.col("id")), True).over(w))
+    lots = o.where("NOT closes").select("account_id", "code", "id", "trade_date", "principal", (F.lit(1.5) + F.col("id") % 3).alias("rate_pct"), F.when(F.col("id") % 5 == 0, 0).otherwise(F.col("id") % 14).alias("interest_days"), F.lit(365).alias("basis"), (F.col("principal") / 1000).alias("fee"))
+    return lots, o.where("closes").select("account_id", "code", "id", "trade_date", "principal", F.when(F.floor(F.col("id") / 3) % 2 == 0, F.col("last_lot")).alias("open_id"))
+
+
+REPOS = f"""o AS (SELECT o_custkey AS account_id, o_orderkey % 2 AS code, o_orderkey AS id, o_orderdate::DATE AS trade_date, floor(o_totalprice)::DOUBLE AS principal, o_orderkey % 3 = 0 AS closes FROM orders),
+  ol AS (SELECT *, last_value(CASE WHEN NOT closes THEN id END IGNORE NULLS) OVER (PARTITION BY account_id, code ORDER BY trade_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_lot FROM o),
+  lots AS (SELECT *, 1.5 + id % 3 AS rate, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 14 END AS n_days, principal / 1000 AS fee0 FROM ol WHERE NOT closes), cl AS (SELECT *, CASE WHEN (id // 3) % 2 = 0 THEN last_lot END AS open_id FROM ol WHERE closes),
+  nm AS (SELECT l.account_id, l.code, l.id AS open_id, c.id AS close_id, greatest(0, least(c.principal, l.principal - coalesce(sum(c.principal) OVER (PARTITION BY l.id ORDER BY c.trade_date, c.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS matched FROM cl c JOIN lots l ON c.open_id = l.id AND c.account_id = l.account_id AND c.code = l.code),
+  trades AS (SELECT account_id, code, id, trade_date, '' AS trade_time, 'BUY' AS side, principal - coalesce((SELECT sum(matched) FROM nm WHERE nm.open_id = lots.id), 0) AS quantity, 0.0 AS price, 0.0 AS fee FROM lots
+    UNION ALL SELECT account_id, code, id, trade_date, '', 'SELL', principal, 0.0, 0.0 FROM cl WHERE open_id IS NULL)"""
+REPO_PIECES = FIFO.replace(TRADES, REPOS) + """, al AS (SELECT account_id, code, open_id, close_id, true AS named, matched FROM nm WHERE matched > 0 UNION ALL SELECT p.account_id, p.code, b.id, x.id, false, p.p.matched FROM p JOIN t b ON b.account_id = p.account_id AND b.code = p.code AND b.rn = p.p.rn JOIN t x ON x.account_id = p.account_id AND x.code = p.code AND x.rn = p.rn)"""
+
+
+@query("l06_repo_matches", f"""{REPO_PIECES} SELECT al.account_id, al.code, al.open_id, close_id, l.trade_date AS open_date, c.trade_date AS close_date, named, matched, matched * rate / 100 * CASE WHEN n_days > 0 THEN n_days ELSE greatest(1, datediff('day', l.trade_date, c.trade_date) + 1) END / 365 AS interest, matched * fee0 / l.principal AS fee FROM al JOIN lots l ON l.id = al.open_id JOIN cl c ON c.id = close_id""", "matched interest fee", 7)
+def l06m(spark, d):
+    """Which lot each close of a loan ends, with its interest."""
+    return repo_lots.matched(*repos(spark, d))
+
+
+@query("l06_repo_unmatched", f"""{REPO_PIECES} SELECT cl.account_id, cl.code, cl.id, cl.open_id, cl.principal - coalesce(m, 0) AS missing FROM cl LEFT JOIN (SELECT close_id, sum(matched) AS m FROM al GROUP BY close_id) ON close_id = cl.id WHERE cl.principal - coalesce(m, 0) > 0""", "missing")
+def l06u(spark, d):
+    lots, closes = repos(spark, d)
+    return repo_lots.unmatched(closes, repo_lots.matched(lots, closes))
