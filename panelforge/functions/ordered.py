@@ -81,4 +81,5 @@ def dated_scan(df: DataFrame, inputs: list[str], outputs: dict[str, str], begin:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` {t}" for n, t in outputs.items())
     by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
-    return df.repartition(*keys).sortWithinPartitions(*keys, date, *by).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if keys else df.repartition(1)  # without keys it is one series of dates
+    return dealt.sortWithinPartitions(*keys, date, *by).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from panelforge.operators import signals as sig
 from panelforge.operators.admission import POLICIES, admission_summary, admitted
 from panelforge.operators.draws import many_draws_sql
 from panelforge.operators.permutation import stratified_p
+from panelforge.operators.universe import dynamic_weights
 from panelforge.plans.indicators_queries import COMPOSITE, RET, W, frame
 from panelforge.plans.ledger_queries import LEAD, SWITCH
 from panelforge.plans.portfolio_queries import TRADE, TRADES_OF, all_trades, weighted
@@ -168,6 +169,22 @@ def admissions(spark, d):
     return admitted(g.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))), ("policy",))
 
 
+@query("k07_period_universe", f"""WITH RECURSIVE {BRANDS}, r AS (SELECT code, trade_date, volume AS t, close / lag(close) OVER w - 1 AS r FROM bars {W}), st AS (SELECT unnest([2, 18]) AS least),
+  d AS MATERIALIZED (SELECT least, trade_date, row_number() OVER (PARTITION BY least ORDER BY trade_date) AS i, date_trunc('month', trade_date)::DATE AS label, coalesce(list({{'code': code, 'r': r, 't': t}} ORDER BY code) FILTER (r IS NOT NULL), []) AS act FROM r, st GROUP BY least, trade_date),
+  s AS (SELECT least, 0::BIGINT AS i, NULL::DATE AS trade_date, NULL::DATE AS label, map([]::VARCHAR[], []::DOUBLE[]) AS prev, map([]::VARCHAR[], []::DOUBLE[]) AS w, false AS reset FROM st
+    UNION ALL SELECT least, i, trade_date, label, map(list_transform(g, lambda x: x.code), list_transform(g, lambda x: CASE WHEN gs > 1e-12 THEN x.w / gs ELSE 1.0 / len(g) END)), map(list_transform(g, lambda x: x.code), list_transform(wd, lambda x: x.w)), reset FROM
+     (SELECT *, list_transform(wd, lambda x: {{'code': x.code, 'w': x.w * (1 + x.r)}}) AS g, list_sum(list_transform(wd, lambda x: x.w * (1 + x.r))) AS gs FROM
+      (SELECT *, CASE WHEN len(act) < least THEN [] ELSE list_transform(raw, lambda x: {{'code': x.code, 'r': x.r, 'w': CASE WHEN rs > 1e-12 THEN x.w / rs ELSE 1.0 / len(raw) END}}) END AS wd FROM
+       (SELECT *, list_sum(list_transform(raw, lambda x: x.w)) AS rs FROM
+        (SELECT d.*, d.label IS DISTINCT FROM s.label AS reset, list_transform(d.act, lambda x: {{'code': x.code, 'r': x.r, 'w': CASE WHEN d.label IS DISTINCT FROM s.label THEN x.t::DOUBLE ELSE coalesce(s.prev[x.code], 0) END}}) AS raw FROM s JOIN d ON d.least = s.least AND d.i = s.i + 1)))))
+  SELECT r.code, r.trade_date, s.least, coalesce(s.w[r.code], 0) AS w, s.reset FROM r JOIN s ON r.trade_date = s.trade_date""", "w", 9)
+def k07p(spark, d):
+    """Weights by volume at the month's first day, drifting, over the brands that trade on the day; cash below 2 or 18 of them."""
+    r = ind.with_returns(brand_bars(spark, d)).withColumn("month", F.trunc("trade_date", "month"))
+    parts = [dynamic_weights(r.withColumn("least", F.lit(n)), "month", target="volume", least=n, keys=("least",)) for n in (2, 18)]
+    return parts[0].unionByName(parts[1]).select("code", "trade_date", "least", "w", "reset")
+
+
 @query("k07_dynamic_universe", f"WITH {BRANDS}, r AS (SELECT code, trade_date, close / lag(close) OVER w - 1 AS r FROM bars {W}) SELECT code, trade_date, CASE WHEN r IS NOT NULL AND count(r) OVER (PARTITION BY trade_date) >= 12 THEN 1.0 / count(r) OVER (PARTITION BY trade_date) ELSE 0 END AS w FROM r", "w")
 def k07(spark, d):
     return ex.dynamic_equal(ind.with_returns(brand_bars(spark, d)), 12).select("code", "trade_date", "w")
