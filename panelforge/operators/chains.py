@@ -235,9 +235,8 @@ def trend(panel: DataFrame, entry_gate: Column, budget: float, stop_atr: float,
 
     p = sig.gated_entry(panel, "base", entry_gate).drop("attempted", "blocked")
     p = sig.with_positions(p)
-    stop = sig.atr_stops(p, "trailing", stop_atr).select("code", "trade_date", F.col("active").alias("_a"))
-    take = sig.r_take_profit(p, "atr", tiers).select("code", "trade_date", F.col("active").alias("_b"))
-    rows = p.join(stop.hint("merge"), ["code", "trade_date"]).join(take.hint("merge"), ["code", "trade_date"])
+    rows = sig.atr_stops(p, "trailing", stop_atr).withColumnRenamed("active", "_a").drop("stop", "exit_price")
+    rows = sig.r_take_profit(rows, "atr", tiers).withColumnRenamed("active", "_b").drop("exit_price")
     first = Window.partitionBy("code", "hold").orderBy("trade_date")
     atr0 = F.first("atr").over(first.rowsBetween(Window.unboundedPreceding, 0))
     size = F.when(F.col("hold").isNotNull() & F.col("_a") & F.col("_b"), F.when(atr0 > 0, F.least(F.lit(cap), budget * F.col("entry") / atr0)).otherwise(0.0)).otherwise(0.0)

@@ -311,15 +311,11 @@ def impulse(df: DataFrame, n: int = 13, keys: tuple[str, ...] = KEYS) -> DataFra
 
 def autocorrelation(df: DataFrame, x: str, lags: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, lag, acf, bound, q): autocorrelation, white-noise bound and Ljung-Box statistic up to each lag."""
-    w = series(keys)
-    rows = df.where(F.col(x).isNotNull()).withColumn("_rn", F.row_number().over(w))
-    mean = rows.groupBy(*keys).agg(F.avg(x).alias("_m"), F.count("*").alias("_n"))
-    rows = rows.join(mean.hint("merge"), list(keys)).withColumn("_y", F.col(x) - F.col("_m")).select(*keys, "_rn", "_y", "_n")
-    a = rows.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_at", F.col("_rn") + F.col("lag"))
-    b = rows.select(*keys, F.col("_rn").alias("_at"), F.col("_y").alias("_z"))
-    top = a.join(b.hint("merge"), [*keys, "_at"]).groupBy(*keys, "lag").agg(F.sum(F.col("_y") * F.col("_z")).alias("_c"))
-    var = rows.groupBy(*keys).agg(F.sum(F.col("_y") * F.col("_y")).alias("_v"), F.max("_n").alias("_n"))
-    out = top.join(var.hint("merge"), list(keys)).withColumn("acf", F.try_divide(F.col("_c"), F.col("_v")))
+    w, steps = series(keys), range(1, lags + 1)
+    rows = df.where(F.col(x).isNotNull()).select(*keys, "trade_date", (F.col(x) - F.avg(x).over(Window.partitionBy(*keys))).alias("_y"))
+    rows = rows.select(*keys, "_y", *[F.lead("_y", k).over(w).alias(f"_z{k}") for k in steps])
+    g = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.col("_y") * F.col("_y")).alias("_v"), F.array(*[F.struct(F.lit(k).alias("lag"), F.sum(F.col("_y") * F.col(f"_z{k}")).alias("_c")) for k in steps]).alias("_l"))
+    out = g.select(*keys, "_n", "_v", F.explode("_l").alias("_l")).select(*keys, "_n", "_v", "_l.*").where("_c IS NOT NULL").withColumn("acf", F.try_divide(F.col("_c"), F.col("_v")))
     q = F.sum(F.col("acf") * F.col("acf") / (F.col("_n") - F.col("lag"))).over(upto(Window.partitionBy(*keys).orderBy("lag")))
     return out.select(*keys, "lag", "acf", (1.96 / F.sqrt(F.col("_n"))).alias("bound"), (F.col("_n") * (F.col("_n") + 2) * q).alias("q"))
 

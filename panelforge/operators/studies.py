@@ -16,11 +16,13 @@ from panelforge.operators.permutation import flip_sums, subset_sums
 
 
 def lead_lag(df: DataFrame, x: str, y: str, lags: int, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, lag, n, corr): correlation of x with y `lag` rows later, for lags -L..L."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_rn", F.row_number().over(series(keys)))
-    a = rows.select(*keys, F.col(x).alias("_x"), "_rn", F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag")).withColumn("_at", F.col("_rn") + F.col("lag"))
-    b = rows.select(*keys, F.col("_rn").alias("_at"), F.col(y).alias("_y"))
-    return a.join(b.hint("merge"), [*keys, "_at"]).groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("corr"))
+    """(keys, lag, n, corr): correlation of x with y `lag` rows later, for lags -L..L, over one sort of each series."""
+    w = series(keys)
+    steps = range(-lags, lags + 1)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), *[F.lead(y, k).over(w).alias(f"_y{k + lags}") for k in steps])
+    g = rows.groupBy(*keys).agg(*[f(k) for k in range(2 * lags + 1) for f in (lambda k: F.count(f"_y{k}").alias(f"_n{k}"), lambda k: F.corr("_x", f"_y{k}").alias(f"_c{k}"))])
+    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_n{k + lags}").alias("n"), F.col(f"_c{k + lags}").alias("corr")) for k in steps])
+    return g.select(*keys, F.explode(cells).alias("_l")).select(*keys, "_l.*").where("n > 0")
 
 
 def best_lag(table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
