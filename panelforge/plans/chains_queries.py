@@ -475,7 +475,7 @@ def z01(spark, d):
     rows = bars(spark, d).select("code", "trade_date", F.lit("none").alias("adjust"), *[px.alias(c) for c in ("open", "high", "low", "close")], "volume", "amount")
     rows.write.parquet(f"{root}/in")
     price_feed(spark, f"{root}/in", prices.PRICE_SCHEMA, f"{root}/table", f"{root}/checkpoint", max_return=0.1).awaitTermination()
-    return spark.read.schema(prices.PRICE_SCHEMA).parquet(f"{root}/table") if _exists(spark, f"{root}/table") else rows.limit(0)
+    return spark.read.schema(prices.PRICE_SCHEMA).parquet(f"{root}/table").select(*rows.columns) if _exists(spark, f"{root}/table") else rows.limit(0)
 
 
 def _exists(spark, path):
