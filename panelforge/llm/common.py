@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -71,11 +72,19 @@ def n_words_of(text: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of so many rows; Arrow's free memory goes back to the system at the end."""
+    """Arrow batches in pieces of so many rows; free memory goes back to the system at the end."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of a worker, which lives on for later tasks, goes back to the system: Arrow's, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
