@@ -4,13 +4,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelforge.functions.frames import series
+from panelforge.functions.tails import normal_cdf, normal_two_sided
 from panelforge.operators.draws import uniform
 from panelforge.operators.permutation import flip_sums, subset_sums
 
@@ -133,6 +132,22 @@ def normal_fit(df: DataFrame, x: str, keys: tuple[str, ...] = ("code",)) -> Data
     return g.withColumn("log_likelihood", ll).withColumn("bic", 2 * F.ln("n") - 2 * F.col("log_likelihood"))
 
 
+def normality(df: DataFrame, x: str, keys: tuple[str, ...] = ("code",)) -> DataFrame:
+    """(keys, n, ks, ad): distance of a series from the normal law with its own mean and deviation.
+
+    ks is the largest gap between both distribution functions (Kolmogorov and
+    Smirnov), ad weighs the tails (Anderson and Darling). One sort a series.
+    """
+    own, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_z")
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.try_divide(F.col(x) - F.avg(x).over(own), F.stddev_samp(x).over(own)).alias("_z")).where("_z IS NOT NULL")
+    rows = rows.select(*keys, F.row_number().over(up).alias("_i"), F.count("*").over(own).alias("_n"), normal_cdf(F.col("_z")).alias("_f"), normal_cdf(-F.col("_z")).alias("_u"))
+    gap = F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))
+    # the i-th value from below has weight 2 i - 1 below and 2 (n - i) + 1 above
+    term = (2 * F.col("_i") - 1) * F.ln("_f") + (2 * (F.col("_n") - F.col("_i")) + 1) * F.ln("_u")
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(gap).alias("ks"), F.sum(term).alias("_s"))
+    return g.select(*keys, "n", "ks", (-F.col("n") - F.col("_s") / F.col("n")).alias("ad"))
+
+
 def sign_flip(df: DataFrame, d: str, unit: str, trials: int, seed: int = 3, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """Paired differences: mean, sign-flip permutation p, signed-rank sum."""
     rows = df.where(F.col(d).isNotNull())
@@ -159,10 +174,9 @@ def two_samples(df: DataFrame, x: str, flag: Column, keys: tuple[str, ...]) -> D
     return g.withColumn("z", z).withColumn("t", t).drop("_vi", "_vo")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided tail of the normal law; Spark has no error function."""
-    return z.map(lambda x: None if x != x else math.erfc(abs(x) / math.sqrt(2)))
+def normal_p(z: str) -> Column:
+    """Two-sided tail of the normal law."""
+    return normal_two_sided(F.col(z))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:

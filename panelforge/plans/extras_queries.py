@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import clean, series
 from panelforge.functions.storage import shared_dir
+from panelforge.functions.tails import erfc_sql
 from panelforge.operators import calendar as cal
 from panelforge.operators import extras as ex
 from panelforge.operators import indicators as ind
@@ -340,17 +341,21 @@ def t03(spark, d):
     return ex.r_multiples(all_trades(spark, d), b, 2.0, 0.001).select("code", "trade", "risk", "r_multiple")
 
 
-@query("t07_entry_conditions", f"""WITH {TRADE}, {TRADES_OF}, j AS (SELECT ret, b.volume > 60 AS heavy, b.high > 2 * b.low AS wide, b.close > 1000 AS dear FROM tr JOIN bars b ON tr.code = b.code AND entry_date = b.trade_date), u AS (SELECT ret, unnest(['heavy', 'wide', 'dear']) AS condition, unnest([heavy, wide, dear]) AS i FROM j),
+CONDITIONS = f"""WITH {TRADE}, {TRADES_OF}, j AS (SELECT ret, b.volume > 60 AS heavy, b.high > 2 * b.low AS wide, b.close > 1000 AS dear FROM tr JOIN bars b ON tr.code = b.code AND entry_date = b.trade_date), u AS (SELECT ret, unnest(['heavy', 'wide', 'dear']) AS condition, unnest([heavy, wide, dear]) AS i FROM j),
   g AS (SELECT condition, count(*) FILTER (i) AS n_in, count(*) FILTER (NOT i) AS n_out, avg((ret > 0)::INT) FILTER (i) AS win_in, avg((ret > 0)::INT) FILTER (NOT i) AS win_out, avg(ret) FILTER (i) AS mean_in, avg(ret) FILTER (NOT i) AS mean_out, var_samp(ret) FILTER (i) AS vi, var_samp(ret) FILTER (NOT i) AS vo FROM u GROUP BY condition),
-  p AS (SELECT *, (coalesce(win_in, 0) * n_in + coalesce(win_out, 0) * n_out) / (n_in + n_out) AS pl FROM g) SELECT condition, n_in, n_out, win_in, win_out, mean_in, mean_out, CASE WHEN n_in > 0 AND n_out > 0 AND pl > 0 AND pl < 1 THEN (win_in - win_out) / sqrt(pl * (1 - pl) * (1.0 / n_in + 1.0 / n_out)) END AS z, CASE WHEN n_in > 1 AND n_out > 1 THEN (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) END AS t FROM p""", "win_in win_out mean_in mean_out z t")
+  p AS (SELECT *, (coalesce(win_in, 0) * n_in + coalesce(win_out, 0) * n_out) / (n_in + n_out) AS pl FROM g) SELECT condition, n_in, n_out, win_in, win_out, mean_in, mean_out, CASE WHEN n_in > 0 AND n_out > 0 AND pl > 0 AND pl < 1 THEN (win_in - win_out) / sqrt(pl * (1 - pl) * (1.0 / n_in + 1.0 / n_out)) END AS z, CASE WHEN n_in > 1 AND n_out > 1 THEN (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) END AS t FROM p"""
+
+
+@query("t07_entry_conditions", CONDITIONS, "win_in win_out mean_in mean_out z t")
 def t07(spark, d):
     """Trades whose entry meets a condition against those whose does not."""
     return entry_conditions(spark, d)
 
 
-@query("t07_q_values")
+@query("t07_q_values", f"""WITH ec AS ({CONDITIONS}), pv AS (SELECT *, {erfc_sql('abs(t) * sqrt(0.5)')} AS p FROM ec), rk AS (SELECT *, row_number() OVER (ORDER BY p NULLS FIRST) AS i, count(*) OVER () AS m FROM pv)
+  SELECT * EXCLUDE (i, m), least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM rk""", "win_in win_out mean_in mean_out z t p q")
 def t07q(spark, d):
-    """The same with normal p and q-values over the family of conditions; SQL has no error function."""
+    """The same with normal p and q-values over the family of conditions."""
     from panelforge.operators import studies as st
 
     return st.benjamini_hochberg(entry_conditions(spark, d).withColumn("p", st.normal_p("t")), "p")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import ret, roll, series
+from panelforge.functions.tails import chi_square_tail, erfc_sql
 from panelforge.operators import indicators as ind
 from panelforge.operators import scan
 from panelforge.plans.registry import query
@@ -244,14 +245,25 @@ def w26(spark, d):
     return bars(spark, d).select("code", "trade_date", (mid + 2 * sd).alias("upper"), (mid - 2 * sd).alias("lower"))
 
 
-@query("w27_autocorrelation", f"""WITH {RET}, x AS (SELECT code, lr - avg(lr) OVER (PARTITION BY code) AS y, row_number() OVER w AS rn, count(*) OVER (PARTITION BY code) AS n FROM r WHERE lr IS NOT NULL {W}),
+ACF = f"""WITH {RET}, x AS (SELECT code, lr - avg(lr) OVER (PARTITION BY code) AS y, row_number() OVER w AS rn, count(*) OVER (PARTITION BY code) AS n FROM r WHERE lr IS NOT NULL {W}),
   v AS (SELECT code, sum(y * y) AS v, max(n) AS n FROM x GROUP BY code),
   c AS (SELECT a.code, k AS lag, sum(a.y * b.y) AS c FROM x a CROSS JOIN range(1, 21) t(k) JOIN x b ON a.code = b.code AND b.rn = a.rn + k GROUP BY a.code, k)
-  SELECT c.code, lag::INT AS lag, c / v AS acf, 1.96 / sqrt(n) AS bound, n * (n + 2) * sum((c / v) * (c / v) / (n - lag)) OVER (PARTITION BY c.code ORDER BY lag) AS q FROM c JOIN v ON c.code = v.code""", "acf bound q")
+  SELECT c.code, lag::INT AS lag, c / v AS acf, 1.96 / sqrt(n) AS bound, n * (n + 2) * sum((c / v) * (c / v) / (n - lag)) OVER (PARTITION BY c.code ORDER BY lag) AS q FROM c JOIN v ON c.code = v.code"""
+
+
+@query("w27_autocorrelation", ACF, "acf bound q")
 def w27(spark, d):
     return ind.autocorrelation(ind.with_returns(bars(spark, d)), "lr")
 
 
+@query("w27_ljung_box", f"""WITH ac AS ({ACF}), h AS (SELECT code, lag, q, q / 2 AS h FROM ac)
+  SELECT code, lag, q, least(1, CASE WHEN lag % 2 = 1 THEN {erfc_sql('sqrt(h)')} + coalesce(list_sum(list_transform(range(1, lag // 2 + 1), lambda j: exp(-h + (j - 0.5) * ln(h) - lgamma(j + 0.5)))), 0) ELSE list_sum(list_transform(range(0, lag // 2), lambda j: exp(-h + j * ln(h) - lgamma(j + 1.0)))) END) AS p FROM h""", "q p")
+def w27p(spark, d):
+    """Ljung-Box statistic up to each lag with its chi-square tail."""
+    a = ind.autocorrelation(ind.with_returns(bars(spark, d)), "lr")
+    return a.select("code", "lag", "q", chi_square_tail(F.col("q"), F.col("lag")).alias("p"))
+
+
 @query("w28_spectrum", f"""WITH {RET}, b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS back FROM r WHERE lr IS NOT NULL),
   y AS (SELECT code, count(*) OVER (PARTITION BY code) AS n, count(*) OVER (PARTITION BY code) - back AS t, lr - avg(lr) OVER (PARTITION BY code) AS y FROM b WHERE back <= 126),
   h AS (SELECT code, n, t, y * (0.5 - 0.5 * cos(2 * pi() * t / (n - 1))) AS y FROM y),

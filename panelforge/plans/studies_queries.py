@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import roll, series
+from panelforge.functions.tails import erfc_sql
 from panelforge.operators import indicators as ind
 from panelforge.operators import studies as st
 from panelforge.operators.draws import many_bits_sql, many_draws_sql, uniform_sql
@@ -100,6 +101,16 @@ def r06(spark, d):
     return st.normal_fit(ind.with_returns(bars(spark, d)), "lr")
 
 
+CDF = lambda z: f"(CASE WHEN {z} > 0 THEN 1 - {erfc_sql(f'abs({z}) * sqrt(0.5)')} / 2 ELSE {erfc_sql(f'abs({z}) * sqrt(0.5)')} / 2 END)"
+
+
+@query("r06_normality", f"""WITH {RET}, z AS (SELECT code, (lr - avg(lr) OVER (PARTITION BY code)) / stddev_samp(lr) OVER (PARTITION BY code) AS z FROM r WHERE lr IS NOT NULL), f AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY z) AS i, count(*) OVER (PARTITION BY code) AS n, {CDF('z')} AS f, {CDF('-z')} AS u FROM z)
+  SELECT code, count(*) AS n, max(greatest(i / n - f, f - (i - 1) / n)) AS ks, -count(*) - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(u)) / count(*) AS ad FROM f GROUP BY code""", "ks ad")
+def r06n(spark, d):
+    """Kolmogorov-Smirnov and Anderson-Darling statistics of log returns."""
+    return st.normality(ind.with_returns(bars(spark, d)), "lr")
+
+
 @query("r08_sign_flip", f"""WITH {MKT}, df AS (SELECT code, trade_date, round(r - m, 12) AS d FROM mk), re AS (SELECT code, count(*) AS n, avg(d) AS mean FROM df GROUP BY code), fl AS (SELECT code, trial, avg(CASE WHEN {many_bits_sql('trial', 3, 'trade_date')} = 1 THEN -d ELSE d END) AS m FROM df, range(0, {FLIPS}) t(trial) GROUP BY code, trial),
   pv AS (SELECT re.code, (sum((abs(m) >= abs(mean))::INT) + 1) / (count(*) + 1) AS p FROM fl JOIN re ON fl.code = re.code GROUP BY re.code), rk AS (SELECT code, d, rank() OVER (PARTITION BY code ORDER BY abs(d)) + (count(*) OVER (PARTITION BY code, abs(d)) - 1) / 2 AS rk FROM df WHERE d <> 0),
   pl AS (SELECT code, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rank_sum FROM rk GROUP BY code) SELECT re.code, n, mean, p, rank_sum FROM re JOIN pv ON re.code = pv.code JOIN pl ON re.code = pl.code""", "mean p rank_sum")
