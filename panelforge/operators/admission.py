@@ -53,11 +53,12 @@ class Book:
             if over and policy == "skip":
                 events[code].append("skip")
                 continue
-            if over and policy == "replace" and (gone := self.worst(prices)):
+            gone = self.worst(prices) if over and policy == "replace" else None
+            if gone:
                 del self.held[gone]
                 events[gone].append("replaced")
             self.held[code] = [target, price, self.day]
-            events[code].append(f"enter_{policy}" if over else "enter")
+            events[code] += [f"enter_{policy}" if over else "enter", *(["evicts"] if gone else [])]
             if over:
                 self.scaled(self.most if policy == "leverage" else self.cap)
         multiple = self.total()
@@ -75,7 +76,8 @@ def admitted(df: DataFrame, keys: tuple[str, ...], cap: float = 1.0, most: float
     may still fit); replace the position with the lowest return since its entry
     (then scale if need be); or leverage up to `most`. event is what happened to the
     code on the date, joined by plus signs: enter, enter_<policy> (above the cap),
-    skip, replaced, exit; null if nothing did. multiple is the sum after the date.
+    evicts (another one, which may have no row on the date), skip, replaced, exit;
+    null if nothing did. multiple is the sum after the date.
     """
     return dated_scan(df, ["code", "active", "target", "price", "policy"], {"weight": "double", "event": "string", "multiple": "double"}, lambda: Book(cap, most).step, keys, ("-score", "code"))
 
@@ -83,4 +85,4 @@ def admitted(df: DataFrame, keys: tuple[str, ...], cap: float = 1.0, most: float
 def admission_summary(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, entries, skipped, replaced, over_cap, largest): counts of events and the largest multiple."""
     count = lambda what: F.coalesce(F.sum(F.regexp_count("event", F.lit(what))), F.lit(0)).cast("long")
-    return rows.groupBy(*keys).agg(count("enter").alias("entries"), count("skip").alias("skipped"), count("replaced").alias("replaced"), count("enter_").alias("over_cap"), F.max("multiple").alias("largest"))
+    return rows.groupBy(*keys).agg(count("enter").alias("entries"), count("skip").alias("skipped"), count("evicts").alias("replaced"), count("enter_").alias("over_cap"), F.max("multiple").alias("largest"))

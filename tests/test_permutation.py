@@ -103,7 +103,7 @@ def test_admission_of_entries_over_the_cap(spark):
     rows = [(p, 1, *r) for p in admission.POLICIES for r in day1]
     got, frame = by_date(spark, rows, most=1.3)
     assert [got[("skip", 1, c)] for c in "abcd"] == [(0.7, "enter"), (0.0, "skip"), (0.2, "enter"), (0.0, None)]
-    assert got[("replace", 1, "a")] == (0.0, "enter+replaced") and got[("replace", 1, "b")] == (0.5, "enter_replace") and got[("replace", 1, "c")] == (0.2, "enter")
+    assert got[("replace", 1, "a")] == (0.0, "enter+replaced") and got[("replace", 1, "b")] == (0.5, "enter_replace+evicts") and got[("replace", 1, "c")] == (0.2, "enter")
     assert sum(got[("scale", 1, c)][0] for c in "abc") == pytest.approx(1.0)
     assert sum(got[("leverage", 1, c)][0] for c in "abc") == pytest.approx(1.3)
     counts = {r["policy"]: tuple(r)[1:] for r in admission.admission_summary(frame, ("policy",)).collect()}
@@ -119,7 +119,7 @@ def test_admission_carries_positions(spark):
         ("replace", 4, "d", True, 0.4, 1.0, 1.0), ("replace", 4, "c", True, 0.5, 1.0, 1.0),
     ]
     got, _ = by_date(spark, rows)
-    assert got[("replace", 2, "a")] == (0.0, "replaced") and got[("replace", 2, "c")] == (0.5, "enter_replace")  # a has lost most
+    assert got[("replace", 2, "a")] == (0.0, "replaced") and got[("replace", 2, "c")] == (0.5, "enter_replace+evicts")  # a has lost most
     assert got[("replace", 3, "b")] == (0.0, "exit")
     assert got[("replace", 4, "c")] == (0.5, None) and got[("replace", 4, "d")] == (0.4, "enter")  # c had no row on day 3 and stayed
 
