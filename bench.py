@@ -20,7 +20,7 @@ os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
 HEADLINE = [
     "k20_rotation", "k20_rotation_chain", "k21_trend_portfolio", "k21_trend_chain", "k25_index_backtest", "m22_baseline_report", "k13_net_value", "w01_sma", "w05_quantile", "w08_rolling_corr", "w11_ema", "w12_kama", "w15_macd", "w17_rsi",
     "x08_top_k", "x18_correlations", "g02_donchian", "g08_entry_gate", "e02_trailing_stop", "m01_metrics", "m08_rolling_packs", "t01_trades",
-    "l01_fifo", "l03_cash", "l07_holdings", "f05_continuous", "r01_lead_lag", "r05_block_bootstrap", "r08_sign_flip", "r13_stitched", "r14_parameter_sweep", "z02_event_bars", "j01_union_calendar", "s17_fingerprint",
+    "l01_fifo", "l03_cash", "l07_holdings", "l07_daily_value", "f05_continuous", "r01_lead_lag", "r04_event_study", "r05_block_bootstrap", "r08_sign_flip", "r09_stratified_permutation", "r13_stitched", "r14_parameter_sweep", "z02_event_bars", "j01_union_calendar", "s17_fingerprint",
 ]
 
 
