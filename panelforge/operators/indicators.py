@@ -335,6 +335,12 @@ def spectrum(df: DataFrame, x: str, n: int = 126, keys: tuple[str, ...] = KEYS)
     return got.select(*keys, "k", (F.col("_n") / F.col("k")).alias("period"), "power", F.when(total > 0, F.col("power") / total).alias("share"))
 
 
+def top_periods(spec: DataFrame, most: int = 3, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, rank, period, share) of a spectrum: its strongest periods, equal powers by the longer one."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("power"), F.desc("period"))
+    return spec.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*keys, "rank", "period", "share")
+
+
 def deviations(df: DataFrame, n: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Log return, log volatility and log activity minus their n-day means; volume relative to its mean."""
     w = series(keys)

@@ -264,15 +264,24 @@ def w27p(spark, d):
     return a.select("code", "lag", "q", chi_square_tail(F.col("q"), F.col("lag")).alias("p"))
 
 
-@query("w28_spectrum", f"""WITH {RET}, b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS back FROM r WHERE lr IS NOT NULL),
+SPECTRUM = f"""WITH {RET}, b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS back FROM r WHERE lr IS NOT NULL),
   y AS (SELECT code, count(*) OVER (PARTITION BY code) AS n, count(*) OVER (PARTITION BY code) - back AS t, lr - avg(lr) OVER (PARTITION BY code) AS y FROM b WHERE back <= 126),
   h AS (SELECT code, n, t, y * (0.5 - 0.5 * cos(2 * pi() * t / (n - 1))) AS y FROM y),
   s AS (SELECT code, k, n, sum(y * cos(2 * pi() * k * t / n)) AS re, sum(y * sin(2 * pi() * k * t / n)) AS im FROM h CROSS JOIN range(1, 64) q(k) WHERE k <= n / 2.0 GROUP BY code, k, n)
-  SELECT code, k::INT AS k, n / k AS period, re * re + im * im AS power, (re * re + im * im) / sum(re * re + im * im) OVER (PARTITION BY code) AS share FROM s""", "period power share")
+  SELECT code, k::INT AS k, n / k AS period, re * re + im * im AS power, (re * re + im * im) / sum(re * re + im * im) OVER (PARTITION BY code) AS share FROM s"""
+
+
+@query("w28_spectrum", SPECTRUM, "period power share")
 def w28(spark, d):
     return ind.spectrum(ind.with_returns(bars(spark, d)), "lr")
 
 
+@query("w28_top_periods", f"WITH sp AS ({SPECTRUM}) SELECT code, row_number() OVER (PARTITION BY code ORDER BY power DESC, period DESC)::INT AS rank, period, share FROM sp QUALIFY rank <= 3", "period share")
+def w28t(spark, d):
+    """The three strongest periods of the last 126 days."""
+    return ind.top_periods(ind.spectrum(ind.with_returns(bars(spark, d)), "lr"))
+
+
 @query("w29_deviations", f"""WITH {RET}, l AS (SELECT *, ln(greatest(high / low - 1, 1e-9)) AS lv, ln(amount) AS la FROM r)
   SELECT code, trade_date, CASE WHEN count(lr) OVER {frame(20)} >= 20 THEN lr - avg(lr) OVER {frame(20)} END AS ret_dev, CASE WHEN count(lv) OVER {frame(20)} >= 20 THEN lv - avg(lv) OVER {frame(20)} END AS vol_dev,
   CASE WHEN count(la) OVER {frame(20)} >= 20 THEN la - avg(la) OVER {frame(20)} END AS act_dev, CASE WHEN count(volume) OVER {frame(20)} >= 20 THEN volume / avg(volume) OVER {frame(20)} END AS rel_volume FROM l""", "ret_dev vol_dev act_dev rel_volume")
