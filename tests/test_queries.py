@@ -39,8 +39,8 @@ def test_matches_sql(spark, con, name):
 
 
 def test_what_has_no_sql(spark):
-    """A pandas function and an enumeration of supports; test_operators holds both against plain code."""
-    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["r10_style_exposure", "t07_q_values"]
+    """An enumeration of supports; test_operators holds it against plain code."""
+    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["r10_style_exposure"]
     q = QUERIES["t07_q_values"](spark, DATA).collect()
     assert all(r["p"] <= r["q"] <= 1 for r in q if r["p"] is not None) and len(q) == 3
     e = QUERIES["r10_style_exposure"](spark, "/root/testdata/sf0.01").collect()
