@@ -23,30 +23,37 @@ def _net(book: tuple[str, ...]) -> Column:
     return F.sum(F.when(F.col("side") == "BUY", q).otherwise(-q)).over(w).cast(EXACT)
 
 
-def _pieces(trades: DataFrame, book: tuple[str, ...]) -> DataFrame:
-    """(book, buy, sell, _matched): each sell's quantity against the oldest stock held at its time, exact.
+def _lots(trades: DataFrame, book: tuple[str, ...]) -> DataFrame:
+    """Trades with _net, _q (what a buy adds as a lot, what a sell finds in stock; none: null) and _end, the running sum of _q on the trade's own side.
 
     What a sell asks beyond the stock held then is matched with nothing (see
     oversold()), so no sell meets a later buy: the oversold part so far is how
-    far the running quantity has been below zero. Buys and the rest of the sells
-    become intervals of running quantity; two intervals match where they
-    overlap. A merge of the interval ends of both sides (one union, one window)
-    finds each overlap, so that a book of n trades gives at most n pieces and is
-    never joined with itself.
+    far the running quantity has been below zero. All is one sort of the books.
     """
-    w = Window.partitionBy(*book).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.col("quantity").cast(EXACT)
-    t = trades.withColumn("_net", _net(book)).withColumn("_over", F.greatest(F.lit(0).cast(EXACT), -F.min("_net").over(w)))
-    t = t.withColumn("_new_over", F.col("_over") - F.coalesce(F.lag("_over").over(Window.partitionBy(*book).orderBy(*ORDER)), F.lit(0).cast(EXACT)))
-    t = t.withColumn("_q", F.when(F.col("side") == "BUY", q).otherwise(q - F.col("_new_over")).cast(EXACT)).where("_q > 0")
-    own = Window.partitionBy(*book, "side").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_end", F.sum("_q").over(own).cast(EXACT))
+    w = Window.partitionBy(*book).orderBy(*ORDER)
+    q, none = F.col("quantity").cast(EXACT), F.lit(0).cast(EXACT)
+    buy = F.col("side") == "BUY"
+    t = trades.withColumn("_net", _net(book)).withColumn("_over", F.greatest(none, -F.min("_net").over(upto(w))))
+    t = t.withColumn("_q", F.when(buy, q).otherwise(q - F.col("_over") + F.coalesce(F.lag("_over").over(w), none)).cast(EXACT))
+    t = t.withColumn("_q", F.when(F.col("_q") > 0, F.col("_q"))).drop("_over")
+    run = lambda mine: F.coalesce(F.sum(F.when(mine, F.col("_q"))).over(upto(w)), none).cast(EXACT)
+    return t.withColumns({"_bought": run(buy), "_sold": run(~buy)}).withColumn("_end", F.when(buy, F.col("_bought")).otherwise(F.col("_sold"))).drop("_bought")
+
+
+def _pieces(trades: DataFrame, book: tuple[str, ...]) -> DataFrame:
+    """(book, buy, sell, _matched): each sell's quantity against the oldest stock held at its time, exact.
+
+    Buys and what sells find in stock (see _lots()) become intervals of running
+    quantity; two intervals match where they overlap. A merge of the interval
+    ends of both sides (one window) finds each overlap, so that a book of n
+    trades gives at most n pieces and is never joined with itself.
+    """
+    t = _lots(trades, book).where("_q IS NOT NULL")
     info = F.struct("id", "price", "fee", "quantity", "trade_date", "_end")
     # every interval end cuts the line of quantities; the piece before it belongs to the next end of either side
     pieces = t.groupBy(*book, "_end").agg(F.first(F.when(F.col("side") == "BUY", info), True).alias("_b"), F.first(F.when(F.col("side") != "BUY", info), True).alias("_s"))
-    cut = Window.partitionBy(*book).orderBy("_end")
-    ahead = cut.rowsBetween(0, Window.unboundedFollowing)
-    pieces = pieces.withColumn("_from", F.coalesce(F.lag("_end").over(cut), F.lit(0).cast(EXACT))).withColumn("buy", F.first("_b", True).over(ahead)).withColumn("sell", F.first("_s", True).over(ahead))
+    back = Window.partitionBy(*book).orderBy(F.desc("_end"))
+    pieces = pieces.withColumn("_from", F.coalesce(F.lead("_end").over(back), F.lit(0).cast(EXACT))).withColumn("buy", F.last("_b", True).over(upto(back))).withColumn("sell", F.last("_s", True).over(upto(back)))
     return pieces.where("buy IS NOT NULL AND sell IS NOT NULL").select(*book, "buy", "sell", (F.col("_end") - F.col("_from")).cast(EXACT).alias("_matched"))
 
 
@@ -105,6 +112,42 @@ def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
 PRICE = "decimal(14,4)"
 
 
+def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...]) -> DataFrame:
+    """(book, _from, _to, quantity, cost, _p): constant holdings, once for each price (begin, end, close, day, before) that holds in them.
+
+    Trades are dealt by code once; all that follows stays in place. The stock
+    sold so far, read on the line of bought quantities, tells what it cost: a
+    book's cost is what it spent less that. A code's prices, one a day, meet its
+    books as an array.
+    """
+    by = ("code", *[c for c in book if c != "code"])
+    zero = F.lit(0).cast(EXACT)
+    buy, real = F.col("_buy"), F.col("_x") > 0
+    w = Window.partitionBy(*by).orderBy(*ORDER)
+    so_far = lambda x: F.coalesce(F.sum(x).over(upto(w)), zero).cast(EXACT)
+    t = trades.select(*book, *ORDER, (F.col("side") == "BUY").alias("_buy")).repartition("code")
+    t = t.withColumns({"_x": F.col("quantity").cast(EXACT), "_px": F.col("price").cast(PRICE)}).withColumn("_paid", F.when(buy, (F.col("_x") * F.col("_px")).cast(EXACT)))
+    sums = {"_net": F.when(buy, F.col("_x")).otherwise(-F.col("_x")), "_bought": F.when(buy & real, F.col("_x")), "_sold": F.when(~buy & real, F.col("_x")), "_spent": F.col("_paid"), "_before": F.when(real, F.col("_paid"))}
+    t = t.select(*book, *ORDER, "_buy", "_x", "_px", "_paid", *[so_far(x).alias(c) for c, x in sums.items()])
+    over = F.greatest(zero, -F.min("_net").over(upto(w)))  # see _lots(): what sells lacked so far
+    t = t.withColumn("_sold", (F.col("_sold") - over).cast(EXACT))
+    lot = F.when(buy & real, F.struct((F.col("_bought") - F.col("_x")).cast(EXACT).alias("start"), (F.col("_before") - F.col("_paid")).cast(EXACT).alias("before"), F.col("_px").alias("price")))
+    t = t.select(*book, *ORDER, "_buy", "_net", "_sold", "_spent", F.when(buy, F.col("_bought")).otherwise(F.col("_sold")).alias("_end"), lot.alias("_lot"))
+    down = upto(Window.partitionBy(*by).orderBy(F.desc("_end"), F.desc("_buy")))
+    t = t.withColumn("_lot", F.last("_lot", True).over(down))  # the lot in which a sell ends
+    gone = F.when(~buy, F.col("_lot.before") + ((F.col("_sold") - F.col("_lot.start")) * F.col("_lot.price")).cast(EXACT))
+    t = t.select(*book, *ORDER, "_net", "_spent", gone.cast(EXACT).alias("_gone"))
+    t = t.select(*book, "trade_date", "_net", "_spent", F.lead("trade_date").over(w).alias("_to"), F.lead(F.lit(True)).over(w).isNull().alias("_last"), F.coalesce(F.last("_gone", True).over(upto(w)), zero).alias("_gone"))
+    held = t.where("(_last OR NOT _to <=> trade_date) AND _net <> 0").select(*book, F.col("trade_date").alias("_from"), "_to", F.col("_net").alias("quantity"), (F.col("_spent") - F.col("_gone")).cast(EXACT).alias("cost"))
+    days = Window.partitionBy("code").orderBy("trade_date")
+    close = F.col("close").cast(PRICE)
+    span = F.struct(F.col("trade_date").alias("begin"), F.lead("trade_date").over(days).alias("end"), close.alias("close"), F.col("trade_date").alias("day"), F.lag(close).over(days).alias("before"))
+    spans = prices.where("trade_date IS NOT NULL").select("code", span.alias("_p")).groupBy("code").agg(F.collect_list("_p").alias("_p"), F.min("_p.begin").alias("_first"))
+    unknown = F.struct(F.to_date(F.lit("0001-01-01")).alias("begin"), F.col("_first").alias("end"), F.lit(None).cast(PRICE).alias("close"), F.lit(None).cast("date").alias("day"), F.lit(None).cast(PRICE).alias("before"))
+    met = held.join(spans.select("code", F.concat(F.array(unknown), "_p").alias("_p")).hint("merge"), "code", "left").select(*book, "_from", "_to", "quantity", "cost", F.explode_outer("_p").alias("_p"))
+    return met.where("_p IS NULL OR ((_p.end IS NULL OR _p.end > _from) AND (_to IS NULL OR _to > _p.begin))")
+
+
 def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
     """(book, from_date, to_date, quantity, cost, close, close_date, missing): what each book holds, every day of it.
 
@@ -115,21 +158,34 @@ def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...
     price on or before, missing where there is none yet. Spreading a row over
     days is left to the reader: a book and day would be hundreds of times as many.
     """
-    q, px = F.col("quantity").cast(EXACT), F.col("price").cast(PRICE)
-    buy = F.col("side") == "BUY"
-    none = F.lit(0).cast(EXACT)
-    moves = trades.select(*book, F.col("trade_date").alias("_from"), F.when(buy, q).otherwise(-q).alias("_q"), F.when(buy, (q * px).cast(EXACT)).otherwise(none).alias("_c"))
-    sold = _pieces(trades, book).select(*book, F.col("sell.trade_date").alias("_from"), none.alias("_q"), (-F.col("_matched") * F.col("buy.price").cast(PRICE)).cast(EXACT).alias("_c"))
-    w = Window.partitionBy(*book).orderBy("_from")
-    held = moves.unionByName(sold).groupBy(*book, "_from").agg(F.sum("_q").cast(EXACT).alias("_q"), F.sum("_c").cast(EXACT).alias("_c"))
-    held = held.select(*book, "_from", F.lead("_from").over(w).alias("_to"), F.sum("_q").over(upto(w)).cast(EXACT).alias("quantity"), F.sum("_c").over(upto(w)).cast(EXACT).alias("cost")).where("quantity <> 0")
-    p = Window.partitionBy("code").orderBy("trade_date")
-    known = prices.select("code", F.col("trade_date").alias("_p_from"), F.lead("trade_date").over(p).alias("_p_to"), F.col("close").cast(PRICE).alias("close"), F.col("trade_date").alias("close_date"))
-    before = prices.groupBy("code").agg(F.min("trade_date").alias("_p_to")).select("code", F.to_date(F.lit("0001-01-01")).alias("_p_from"), "_p_to", F.lit(None).cast(PRICE).alias("close"), F.lit(None).cast("date").alias("close_date"))
-    spans = known.unionByName(before).withColumnRenamed("code", "_code")
-    meets = (F.col("code") == F.col("_code")) & (F.col("_p_to").isNull() | (F.col("_p_to") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("_to") > F.col("_p_from")))
-    met = held.join(spans.hint("merge"), meets, "left")
-    return met.select(*book, F.greatest("_from", "_p_from").alias("from_date"), F.least("_to", "_p_to").alias("to_date"), "quantity", "cost", "close", "close_date", F.col("close").isNull().alias("missing"))
+    met = _held_at_prices(trades, prices, book)
+    return met.select(*book, F.greatest("_from", "_p.begin").alias("from_date"), F.least("_to", "_p.end").alias("to_date"), "quantity", "cost", F.col("_p.close").alias("close"), F.col("_p.day").alias("close_date"), F.col("_p.close").isNull().alias("missing"))
+
+
+_WIDE, _SLIM = "decimal(38,6)", "decimal(18,6)"
+
+
+def _worth(close: Column) -> Column:
+    return F.coalesce((F.col("quantity").cast("decimal(18,4)") * close).cast(_WIDE), F.lit(0).cast(_WIDE))
+
+
+def _change(day: Column, value: Column, cost: Column, n_held: Column, n_missing: Column) -> Column:
+    """(day, value, rest) of a change. Most are of the value alone and of few digits: what is more than that is in rest, as changes are shuffled."""
+    slim = F.abs(value) < 10**11
+    rest = F.struct(F.when(~slim, value).alias("value"), cost.cast(EXACT).alias("cost"), n_held.cast("int").alias("n_held"), n_missing.cast("int").alias("n_missing"))
+    return F.struct(day.alias("day"), F.when(slim, value.cast(_SLIM)).alias("value"), F.when(~slim | (cost != 0) | (n_held != 0) | (n_missing != 0), rest).alias("rest"))
+
+
+def holding_changes(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
+    """(book, day, value, rest): the changes of daily_value() straight from the holdings, where an interval that another one follows has no end of its own."""
+    met = _held_at_prices(trades, prices, book)
+    known = lambda c: F.when(F.col(c).isNull(), 1).otherwise(0)
+    first = F.col("_p").isNull() | (F.col("_p.begin") <= F.col("_from"))
+    last = F.col("_to").isNotNull() & (F.col("_p.end").isNull() | (F.col("_p.end") >= F.col("_to")))
+    value, missing, none = _worth(F.col("_p.close")), known("_p.close"), F.lit(0)
+    begin = _change(F.greatest("_from", "_p.begin"), value - F.when(first, F.lit(0).cast(_WIDE)).otherwise(_worth(F.col("_p.before"))), F.when(first, F.col("cost")).otherwise(F.lit(0).cast(EXACT)), first.cast("int"), missing - F.when(first, 0).otherwise(known("_p.before")))
+    end = F.when(last, _change(F.col("_to"), -value, -F.col("cost"), F.lit(-1), none - missing))
+    return met.select(*book, F.explode(F.array(begin, end)).alias("_c")).where("_c IS NOT NULL").select(*book, "_c.*").where("value IS NULL OR value <> 0 OR rest IS NOT NULL")
 
 
 def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:
@@ -139,15 +195,21 @@ def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id"
     each day's figures, so no row a book and day is made. Days without a change
     repeat those of the day before.
     """
-    value = F.coalesce((F.col("quantity").cast("decimal(18,4)") * F.col("close")).cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
-    begin = intervals.select(account, F.col("from_date").alias("_day"), value.alias("value"), F.col("cost").alias("cost"), F.lit(1).alias("n_held"), F.col("missing").cast("int").alias("n_missing"))
+    value, missing = _worth(F.col("close")), F.col("missing").cast("int")
+    begin = _change(F.col("from_date"), value, F.col("cost"), F.lit(1), missing)
+    end = F.when(F.col("to_date").isNotNull(), _change(F.col("to_date"), -value, -F.col("cost"), F.lit(-1), -missing))
+    return summed_changes(intervals.select(account, F.explode(F.array(begin, end)).alias("_c")).where("_c IS NOT NULL").select(account, "_c.*"), last_day, account)
+
+
+def summed_changes(changes: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:
+    """daily_value() of changes (account, day, value, rest): they are shuffled once, by account."""
     names = ("value", "cost", "n_held", "n_missing")
-    end = intervals.where("to_date IS NOT NULL").select(account, F.col("to_date").alias("_day"), (-value).alias("value"), (-F.col("cost")).alias("cost"), F.lit(-1).alias("n_held"), (-F.col("missing").cast("int")).alias("n_missing"))
-    days = begin.unionByName(end).groupBy(account, "_day").agg(*[F.sum(c).alias(c) for c in names])
-    w = Window.partitionBy(account).orderBy("_day")
-    runs = days.select(account, "_day", *[F.sum(c).over(upto(w)).alias(c) for c in names], F.least(F.date_sub(F.lead("_day").over(w), 1), F.to_date(F.lit(last_day))).alias("_until"))
-    spread = runs.where(F.col("_until") >= F.col("_day")).withColumn("trade_date", F.explode(F.sequence("_day", "_until")))
-    return spread.select(account, "trade_date", F.col("value").cast("double"), F.col("cost").cast("double"), F.col("n_held").cast("long"), F.col("n_missing").cast("long"))
+    of = {"value": F.coalesce(F.col("value").cast(_WIDE), F.col("rest.value")), **{c: F.coalesce(F.col(f"rest.{c}"), F.lit(0)) for c in names[1:]}}
+    w = Window.partitionBy(account).orderBy("day")
+    runs = changes.select(account, "day", "value", "rest").withColumns({f"_{c}": F.sum(x).over(upto(w)) for c, x in of.items()} | {"_next": F.lead("day").over(w)})
+    runs = runs.withColumn("_until", F.least(F.date_sub("_next", 1), F.to_date(F.lit(last_day)))).where(F.col("_until") >= F.col("day"))
+    spread = runs.withColumn("trade_date", F.explode(F.sequence("day", "_until")))
+    return spread.select(account, "trade_date", F.col("_value").cast("double").alias("value"), F.col("_cost").cast("double").alias("cost"), F.col("_n_held").cast("long").alias("n_held"), F.col("_n_missing").cast("long").alias("n_missing"))
 
 
 def holdings(trades: DataFrame, days: DataFrame, prices: DataFrame, book: tuple[str, ...] = ("account_id", "code")) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import deque
 import numpy as np
 
 from panelforge.operators import ledger
+from panelforge.plans.registry import QUERIES
 
 TRADE = "account_id int, code string, trade_date date, trade_time string, id long, side string, quantity double, price double, fee double"
 DAY0 = dt.date(2020, 1, 1)
@@ -89,3 +90,24 @@ def test_no_trades(spark):
     none = spark.createDataFrame([], TRADE)
     frame = ledger.holding_intervals(none, spark.createDataFrame([], "code string, trade_date date, close double"))
     assert frame.count() == 0 and ledger.daily_value(frame, "2020-01-01").count() == 0
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changes_straight_from_holdings(spark):
+    """The same days as from intervals; trades, prices and changes are shuffled once each."""
+    trades, prices = ledger_rows()
+    t, p = spark.createDataFrame(trades, TRADE), spark.createDataFrame(prices, "code string, trade_date date, close double")
+    got = ledger.summed_changes(ledger.holding_changes(t, p), "2020-03-31")
+    want = ledger.daily_value(ledger.holding_intervals(t, p), "2020-03-31")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    assert plan_of(QUERIES["l07_daily_value"](spark, "/root/testdata/sf0.001")).count("Exchange ") == 3
+
+
+def test_changes_of_any_magnitude(spark):
+    t = spark.createDataFrame([(1, "a", day(0), "09", 1, "BUY", 9e8, 9e8, 0.0), (1, "a", day(1), "09", 2, "BUY", 1.0, 1.0, 0.0)], TRADE)
+    p = spark.createDataFrame([("a", day(0), 9e8), ("a", day(2), 9e8), ("a", day(3), 1.0)], "code string, trade_date date, close double")
+    got = {r["trade_date"]: r["value"] for r in ledger.summed_changes(ledger.holding_changes(t, p), "2020-01-05").collect()}
+    assert got == {day(0): 81e16, day(1): 81e16 + 9e8, day(2): 81e16 + 9e8, day(3): 9e8 + 1, day(4): 9e8 + 1}
