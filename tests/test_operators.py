@@ -409,6 +409,11 @@ def test_benjamini_hochberg(spark):
     assert column(studies.benjamini_hochberg(df, "p"), "q", "p") == pytest.approx([0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5])
 
 
+def test_benjamini_hochberg_counts_what_was_tested(spark):
+    df = spark.createDataFrame([(k, p) for k, p in enumerate((0.01, None, 0.04, None))], "k int, p double")
+    assert column(studies.benjamini_hochberg(df, "p"), "q", "k") == [0.02, None, 0.04, None]
+
+
 def test_groups(spark):
     pairs = spark.createDataFrame([("A", "B", 9, 0.9), ("B", "C", 9, -0.8), ("C", "D", 9, 0.1)], "a string, b string, n long, corr double")
     codes = spark.createDataFrame([(c,) for c in "ABCD"], "code string")
