@@ -6,7 +6,9 @@ similarity s share a key with probability 1 - (1 - s^rows)^bands, at the
 defaults and s = 0.8 all but 3 in a million. Every proposed pair is then
 confirmed by its exact similarity, so that no pair below `least` links.
 
-First each text of a key meets the key's pivot, the text whose keys are the
+First the fingerprints of the texts' shingles go through the Gray-order index of
+simhash.py: whatever it links at three bits is proposed. Close copies often lie
+further apart than that, so keys propose too. Each text of a key meets the key's pivot, the text whose keys are the
 most common ones: in a group of edited copies that is one close to what was
 copied, to which most link. Texts of a key that are still in different groups
 meet by prefixes: with a text's shingles in order of rarity among those texts,
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import checked_join, forget, slices, written
 from panelforge.llm.components import components
-from panelforge.llm.simhash import shingle_hashes
+from panelforge.llm.simhash import fingerprint, links, shingle_hashes
 
 
 def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -47,22 +49,24 @@ def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nd
 
 
 def with_keys(docs: DataFrame, width: int = 5, bands: int = 32, rows: int = 5) -> DataFrame:
-    """(doc_id, hash, n, keys) of each row: a hash of the text, its distinct shingles and its keys; whole texts are read."""
+    """(doc_id, hash, fp, n, keys) of each row: a hash of the text, its SimHash, its distinct shingles and its keys; whole texts are read."""
     rng = np.random.default_rng(7)
     factors, shifts = (rng.integers(0, 2**32, bands * rows, dtype=np.uint32) for _ in range(2))
     factors |= np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, keys = [], []
+            fps, n, keys = [], [], []
             for text in b.column(2).to_pylist():
-                own = np.unique(shingle_hashes(text or "", width))
+                own = shingle_hashes(text or "", width)
+                fps.append(fingerprint(own))
+                own = np.unique(own)
                 n.append(len(own))
                 low = minima(own, factors, shifts).reshape(bands, rows)
                 keys.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "hash", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "hash", "fp", "n", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, n long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, fp long, n long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -93,6 +97,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def index_pairs(texts: DataFrame, most: int = 3) -> DataFrame:
+    """Pairs (a, b), a > b, of texts (hash, fp) that the Gray-order index of their fingerprints links; equal fingerprints by their smallest hash."""
+    first = written(texts.groupBy("fp").agg(F.min("hash").alias("p")), "near-prints")
+    same = texts.join(first.hint("merge"), "fp").where("hash <> p").select(F.col("hash").alias("a"), F.col("p").alias("b"))
+    ends = lambda c: first.select(F.col("fp").alias(c), F.col("p").alias(f"h{c}"))
+    near = links(first.select("fp"), most).join(ends("a").hint("merge"), "a").join(ends("b").hint("merge"), "b")
+    return same.unionByName(near.select(F.greatest("ha", "hb").alias("a"), F.least("ha", "hb").alias("b"))).distinct()
+
+
 def prefix_pairs(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a > b, of texts (hash, label) of different labels that share a shingle of both prefixes."""
     held = open_.join(sets.hint("merge"), "hash").select("hash", "label", F.size("shingles").alias("n"), "shingles")
@@ -123,6 +136,8 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int
     """(doc_id, hash, label) of each row of docs; label: the smallest text hash of the group."""
     spark = docs.sparkSession
     texts = written(with_keys(docs, width, bands, rows), "near-keys")
+    worded = texts.where("n > 0").select("hash", "fp").distinct()
+    indexed = written(index_pairs(worded), "near-indexed")
     keyed = written(texts.dropDuplicates(["hash"]).select("hash", "n", F.explode(F.array_distinct("keys")).alias("key")), "near-keyed")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-common")
     members = written(checked_join(keyed, shared, ["key"], "inner", shared.count()), "near-members")
@@ -133,8 +148,10 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int
     pivots = written(pivots, "near-pivots")
     stars = checked_join(members, pivots, ["key"], "inner", pivots.count()).where(F.col("hash") != F.col("p")).where(_close(F.col("n"), F.col("pn"), least))
     stars = written(stars.select(F.greatest("hash", "p").alias("a"), F.least("hash", "p").alias("b")).distinct(), "near-stars")
-    held = checked_join(docs.select("text").withColumn("hash", F.xxhash64("text")), central.select("hash"), ["hash"], "left_semi", n_central).select("text")
+    asked = written(central.select("hash").union(indexed.select("a")).union(indexed.select("b")).distinct(), "near-asked")
+    held = checked_join(docs.select("text").withColumn("hash", F.xxhash64("text")), asked, ["hash"], "left_semi", asked.count()).select("text")
     sets = written(shingle_sets(held, width).groupBy("hash").agg(F.first("shingles").alias("shingles")), "near-sets")
+    stars = written(indexed.union(stars).distinct(), "near-proposed")
     found = written(confirmed(stars, sets, least), "near-found")
     labels = components(found)
     own = written(members.select("key", "hash").join(labels.hint("merge"), F.col("hash") == F.col("node"), "left").select("key", "hash", F.coalesce("label", "hash").alias("label")), "near-own")

@@ -808,3 +808,13 @@ def test_pipeline(spark, edge, empty):
             now = spark.createDataFrame(now.collect(), now.schema)
     rows = now.collect()
     assert rows and sum(r["length"] for r in rows) > 1000
+
+
+def test_near_pairs_of_the_gray_index(spark):
+    """What the index of five-word fingerprints links at three bits is proposed; equal fingerprints are."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{k}" for k in range(400)), "  ".join(base)]
+    rows = near_texts.with_keys(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "hash", "fp")
+    name = {r["hash"]: r["doc_id"] for r in rows.collect()}
+    pairs = [{name[p["a"]], name[p["b"]]} for p in near_texts.index_pairs(rows.select("hash", "fp")).collect()]
+    assert {0, 3} in pairs and set.union(*pairs) == {0, 1, 3} and len(pairs) == 2
