@@ -111,3 +111,10 @@ def test_changes_of_any_magnitude(spark):
     p = spark.createDataFrame([("a", day(0), 9e8), ("a", day(2), 9e8), ("a", day(3), 1.0)], "code string, trade_date date, close double")
     got = {r["trade_date"]: r["value"] for r in ledger.summed_changes(ledger.holding_changes(t, p), "2020-01-05").collect()}
     assert got == {day(0): 81e16, day(1): 81e16 + 9e8, day(2): 81e16 + 9e8, day(3): 9e8 + 1, day(4): 9e8 + 1}
+
+
+def test_holdings_meet_prices_by_code_alone(spark):
+    """Trades and prices are shuffled once each, and no pair of a range join is made."""
+    plan = plan_of(QUERIES["l07_holdings"](spark, "/root/testdata/sf0.001"))
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert plan.count("Exchange ") == 2 and join.rstrip().endswith("LeftOuter")
