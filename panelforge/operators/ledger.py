@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
 PRICE = "decimal(14,4)"
 
 
-def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...]) -> DataFrame:
+def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...], shown: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """(book, _from, _to, quantity, cost, _p): constant holdings, once for each price (begin, end, close, day, before) that holds in them.
 
     Trades are dealt by code once; all that follows stays in place. The stock
@@ -122,33 +124,38 @@ def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...])
     """
     by = ("code", *[c for c in book if c != "code"])
     zero = F.lit(0).cast(EXACT)
-    buy, real = F.col("_buy"), F.col("_x") > 0
+    buy = F.col("_buy")
     w = Window.partitionBy(*by).orderBy(*ORDER)
-    so_far = lambda x: F.coalesce(F.sum(x).over(upto(w)), zero).cast(EXACT)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = trades.select(*book, *ORDER, (F.col("side") == "BUY").alias("_buy")).repartition("code")
-    t = t.withColumns({"_x": F.col("quantity").cast(EXACT), "_px": F.col("price").cast(PRICE)}).withColumn("_paid", F.when(buy, (F.col("_x") * F.col("_px")).cast(EXACT)))
-    sums = {"_net": F.when(buy, F.col("_x")).otherwise(-F.col("_x")), "_bought": F.when(buy & real, F.col("_x")), "_sold": F.when(~buy & real, F.col("_x")), "_spent": F.col("_paid"), "_before": F.when(real, F.col("_paid"))}
-    t = t.select(*book, *ORDER, "_buy", "_x", "_px", "_paid", *[so_far(x).alias(c) for c, x in sums.items()])
-    over = F.greatest(zero, -F.min("_net").over(upto(w)))  # see _lots(): what sells lacked so far
-    t = t.withColumn("_sold", (F.col("_sold") - over).cast(EXACT))
-    lot = F.when(buy & real, F.struct((F.col("_bought") - F.col("_x")).cast(EXACT).alias("start"), (F.col("_before") - F.col("_paid")).cast(EXACT).alias("before"), F.col("_px").alias("price")))
-    t = t.select(*book, *ORDER, "_buy", "_net", "_sold", "_spent", F.when(buy, F.col("_bought")).otherwise(F.col("_sold")).alias("_end"), lot.alias("_lot"))
+    place = {"_k": F.row_number().over(w), "_to": F.lead("trade_date").over(w), "_last": F.lead(F.lit(True)).over(w).isNull()}
+    t = t.withColumns(place | {"_many": F.count("*").over(whole) > 1, "_mixed": F.min("_buy").over(whole) != F.max("_buy").over(whole)})
+    # exact sums are dear, and so are wide columns that sorts and windows copy: a book of one trade has none, and only one that both buys and sells has those of its lots
+    x, px = F.col("quantity").cast(EXACT), F.col("price").cast(PRICE)
+    paid, signed, real = F.when(buy, (x * px).cast(EXACT)), F.when(buy, x).otherwise(-x), x > 0
+    so_far = lambda when, y: F.sum(F.when(when, y)).over(upto(w))
+    t = t.withColumns({"_net": so_far(F.col("_many"), signed).cast(EXACT), "_spent": so_far(F.col("_many"), paid).cast(EXACT)} | {c: F.when(F.col("_mixed"), F.coalesce(so_far(F.col("_mixed") & when, y), zero).cast(EXACT)) for c, when, y in (("_bought", buy & real, x), ("_sold", ~buy & real, x), ("_before", real, paid))})
+    over = F.greatest(zero, -F.min(F.when(F.col("_mixed"), F.coalesce("_net", zero))).over(upto(w)))  # see _lots(): what sells lacked so far
+    t = t.withColumn("_sold", F.when(F.col("_mixed"), (F.col("_sold") - over).cast(EXACT)))
+    lot = F.when(F.col("_mixed") & buy & real, F.struct((F.col("_bought") - x).cast(EXACT).alias("start"), (F.col("_before") - paid).cast(EXACT).alias("before"), px.alias("price")))
+    t = t.select(*book, "trade_date", "quantity", "price", "_buy", "_k", "_to", "_last", "_many", "_net", "_spent", "_sold", F.when(buy, F.col("_bought")).otherwise(F.col("_sold")).alias("_end"), lot.alias("_lot"))
     down = upto(Window.partitionBy(*by).orderBy(F.desc("_end"), F.desc("_buy")))
     t = t.withColumn("_lot", F.last("_lot", True).over(down))  # the lot in which a sell ends
     gone = F.when(~buy, F.col("_lot.before") + ((F.col("_sold") - F.col("_lot.start")) * F.col("_lot.price")).cast(EXACT))
-    t = t.select(*book, *ORDER, "_net", "_spent", gone.cast(EXACT).alias("_gone"))
-    t = t.select(*book, "trade_date", "_net", "_spent", F.lead("trade_date").over(w).alias("_to"), F.lead(F.lit(True)).over(w).isNull().alias("_last"), F.coalesce(F.last("_gone", True).over(upto(w)), zero).alias("_gone"))
-    held = t.where("(_last OR NOT _to <=> trade_date) AND _net <> 0").select(*book, F.col("trade_date").alias("_from"), "_to", F.col("_net").alias("quantity"), (F.col("_spent") - F.col("_gone")).cast(EXACT).alias("cost"))
+    t = t.withColumn("_gone", gone.cast(EXACT)).drop("_sold", "_end", "_lot")
+    t = t.withColumn("_gone", F.last("_gone", True).over(upto(Window.partitionBy(*by).orderBy("_k"))))
+    net, spent = (F.coalesce(F.when(F.col("_many"), F.col(c)).otherwise(y), zero) for c, y in (("_net", signed), ("_spent", paid)))
+    held = t.where("_last OR NOT _to <=> trade_date").where(net != 0).select(*book, F.col("trade_date").alias("_from"), "_to", shown(net).alias("quantity"), shown((spent - F.coalesce("_gone", zero)).cast(EXACT)).alias("cost"))
     days = Window.partitionBy("code").orderBy("trade_date")
-    close = F.col("close").cast(PRICE)
+    close = shown(F.col("close").cast(PRICE))
     span = F.struct(F.col("trade_date").alias("begin"), F.lead("trade_date").over(days).alias("end"), close.alias("close"), F.col("trade_date").alias("day"), F.lag(close).over(days).alias("before"))
     spans = prices.where("trade_date IS NOT NULL").select("code", span.alias("_p")).groupBy("code").agg(F.collect_list("_p").alias("_p"), F.min("_p.begin").alias("_first"))
-    unknown = F.struct(F.to_date(F.lit("0001-01-01")).alias("begin"), F.col("_first").alias("end"), F.lit(None).cast(PRICE).alias("close"), F.lit(None).cast("date").alias("day"), F.lit(None).cast(PRICE).alias("before"))
+    unknown = F.struct(F.to_date(F.lit("0001-01-01")).alias("begin"), F.col("_first").alias("end"), shown(F.lit(None).cast(PRICE)).alias("close"), F.lit(None).cast("date").alias("day"), shown(F.lit(None).cast(PRICE)).alias("before"))
     met = held.join(spans.select("code", F.concat(F.array(unknown), "_p").alias("_p")).hint("merge"), "code", "left").select(*book, "_from", "_to", "quantity", "cost", F.explode_outer("_p").alias("_p"))
     return met.where("_p IS NULL OR ((_p.end IS NULL OR _p.end > _from) AND (_to IS NULL OR _to > _p.begin))")
 
 
-def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
+def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK, shown: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """(book, from_date, to_date, quantity, cost, close, close_date, missing): what each book holds, every day of it.
 
     A row holds from from_date until the day before to_date (null: still). It
@@ -157,8 +164,10 @@ def holding_intervals(trades: DataFrame, prices: DataFrame, book: tuple[str, ...
     were bought for (nothing, where more was sold than bought); close is the last
     price on or before, missing where there is none yet. Spreading a row over
     days is left to the reader: a book and day would be hundreds of times as many.
+    Quantity, cost and close are exact; what `shown` makes of them is made once a
+    holding and once a price, not once a row.
     """
-    met = _held_at_prices(trades, prices, book)
+    met = _held_at_prices(trades, prices, book, shown)
     return met.select(*book, F.greatest("_from", "_p.begin").alias("from_date"), F.least("_to", "_p.end").alias("to_date"), "quantity", "cost", F.col("_p.close").alias("close"), F.col("_p.day").alias("close_date"), F.col("_p.close").isNull().alias("missing"))
 
 

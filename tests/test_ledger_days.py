@@ -118,3 +118,23 @@ def test_holdings_meet_prices_by_code_alone(spark):
     plan = plan_of(QUERIES["l07_holdings"](spark, "/root/testdata/sf0.001"))
     join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
     assert plan.count("Exchange ") == 2 and join.rstrip().endswith("LeftOuter")
+
+
+def test_books_of_one_trade_or_one_side(spark):
+    """Books that need no lots, beside one that does."""
+    sides = {0: "B", 1: "S", 2: "BBB", 3: "SSS", 4: "BBSBSSSB", 5: "SB", 6: "BS"}
+    trades = [(a, "c0", day(3 * k), "09", 10 * a + k, "BUY" if side == "B" else "SELL", float(2 + (a + k) % 3), 10.25 + a + k, 1.0) for a, s in sides.items() for k, side in enumerate(s)]
+    trades.append((7, "c0", day(1), "09", 99, "BUY", 0.0, 5.0, 1.0))
+    prices = [("c0", day(k), 20.0 + k) for k in (2, 5, 9, 30)]
+    got = {}
+    for r in ledger.holding_intervals(spark.createDataFrame(trades, TRADE), spark.createDataFrame(prices, "code string, trade_date date, close double")).collect():
+        for k in range(((r["to_date"] or day(41)) - r["from_date"]).days):
+            got[(r["account_id"], r["code"], r["from_date"] + dt.timedelta(days=k))] = (float(r["quantity"]), float(r["cost"]), None if r["close"] is None else float(r["close"]), r["close_date"])
+    assert got == spread(trades, prices, day(40))
+
+
+def test_holdings_round_before_they_meet_prices(spark):
+    """Rounding is once a holding and once a price: rows made of them repeat what was rounded."""
+    plan = plan_of(QUERIES["l07_holdings"](spark, "/root/testdata/sf0.001"))
+    rows, rest = plan.split("Generate explode", 1)
+    assert "round(" not in rows and "round(" in rest
