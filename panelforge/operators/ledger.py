@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import upto
+from panelforge.operators.account_days import account_days
 from panelforge.operators.calendar import as_of, on_days
 
 ORDER = ("trade_date", "trade_time", "id", "price", "quantity")
@@ -114,22 +115,26 @@ def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
 PRICE = "decimal(14,4)"
 
 
-def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...], shown: Callable[[Column], Column] = lambda x: x) -> DataFrame:
-    """(book, _from, _to, quantity, cost, _p): constant holdings, once for each price (begin, end, close, day, before) that holds in them.
+def _held(trades: DataFrame, book: tuple[str, ...], shown: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(book, _from, _to, quantity, cost): constant holdings, dealt by code.
 
     Trades are dealt by code once; all that follows stays in place. The stock
     sold so far, read on the line of bought quantities, tells what it cost: a
-    book's cost is what it spent less that. A code's prices, one a day, meet its
-    books as an array.
+    book's cost is what it spent less that.
     """
-    by = ("code", *[c for c in book if c != "code"])
+    others = [c for c in book if c != "code"]
     zero = F.lit(0).cast(EXACT)
     buy = F.col("_buy")
-    w = Window.partitionBy(*by).orderBy(*ORDER)
+    t = trades.repartition("code").select(*book, *ORDER, (F.col("side") == "BUY").alias("_buy"))
+    line, own = Window.partitionBy("code").orderBy(*others, *ORDER), F.struct(F.lit(0), *others)  # the books of a code, one after the other
+    t = t.withColumns({"_k": F.row_number().over(line), "_last": ~F.lead(own).over(line).eqNullSafe(own), "_first": ~F.lag(own).over(line).eqNullSafe(own), "_to": F.lead("trade_date").over(line)})
+    t = t.withColumns({"_many": ~(F.col("_last") & F.col("_first")), "_to": F.when(~F.col("_last"), F.col("_to"))})
+    # windows are dear by the group, so a code's books of one trade, which need none, make one group
+    t = t.withColumns({f"_book{i}": F.when(F.col("_many"), F.col(c)) for i, c in enumerate(others)}).drop("trade_time", "id", "_first")
+    by = ("code", "_many", *[f"_book{i}" for i in range(len(others))])
+    w = Window.partitionBy(*by).orderBy("_k")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = trades.select(*book, *ORDER, (F.col("side") == "BUY").alias("_buy")).repartition("code")
-    place = {"_k": F.row_number().over(w), "_to": F.lead("trade_date").over(w), "_last": F.lead(F.lit(True)).over(w).isNull()}
-    t = t.withColumns(place | {"_many": F.count("*").over(whole) > 1, "_mixed": F.min("_buy").over(whole) != F.max("_buy").over(whole)})
+    t = t.withColumn("_mixed", F.col("_many") & (F.min("_buy").over(whole) != F.max("_buy").over(whole)))
     # exact sums are dear, and so are wide columns that sorts and windows copy: a book of one trade has none, and only one that both buys and sells has those of its lots
     x, px = F.col("quantity").cast(EXACT), F.col("price").cast(PRICE)
     paid, signed, real = F.when(buy, (x * px).cast(EXACT)), F.when(buy, x).otherwise(-x), x > 0
@@ -138,20 +143,24 @@ def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...],
     over = F.greatest(zero, -F.min(F.when(F.col("_mixed"), F.coalesce("_net", zero))).over(upto(w)))  # see _lots(): what sells lacked so far
     t = t.withColumn("_sold", F.when(F.col("_mixed"), (F.col("_sold") - over).cast(EXACT)))
     lot = F.when(F.col("_mixed") & buy & real, F.struct((F.col("_bought") - x).cast(EXACT).alias("start"), (F.col("_before") - paid).cast(EXACT).alias("before"), px.alias("price")))
-    t = t.select(*book, "trade_date", "quantity", "price", "_buy", "_k", "_to", "_last", "_many", "_net", "_spent", "_sold", F.when(buy, F.col("_bought")).otherwise(F.col("_sold")).alias("_end"), lot.alias("_lot"))
+    t = t.select(*book, *by[1:], "trade_date", "quantity", "price", "_buy", "_k", "_to", "_last", "_net", "_spent", "_sold", F.when(buy, F.col("_bought")).otherwise(F.col("_sold")).alias("_end"), lot.alias("_lot"))
     down = upto(Window.partitionBy(*by).orderBy(F.desc("_end"), F.desc("_buy")))
     t = t.withColumn("_lot", F.last("_lot", True).over(down))  # the lot in which a sell ends
     gone = F.when(~buy, F.col("_lot.before") + ((F.col("_sold") - F.col("_lot.start")) * F.col("_lot.price")).cast(EXACT))
     t = t.withColumn("_gone", gone.cast(EXACT)).drop("_sold", "_end", "_lot")
-    t = t.withColumn("_gone", F.last("_gone", True).over(upto(Window.partitionBy(*by).orderBy("_k"))))
+    t = t.withColumn("_gone", F.last("_gone", True).over(upto(w)))
     net, spent = (F.coalesce(F.when(F.col("_many"), F.col(c)).otherwise(y), zero) for c, y in (("_net", signed), ("_spent", paid)))
-    held = t.where("_last OR NOT _to <=> trade_date").where(net != 0).select(*book, F.col("trade_date").alias("_from"), "_to", shown(net).alias("quantity"), shown((spent - F.coalesce("_gone", zero)).cast(EXACT)).alias("cost"))
+    return t.where("_last OR NOT _to <=> trade_date").where(net != 0).select(*book, F.col("trade_date").alias("_from"), "_to", shown(net).alias("quantity"), shown((spent - F.coalesce("_gone", zero)).cast(EXACT)).alias("cost"))
+
+
+def _held_at_prices(trades: DataFrame, prices: DataFrame, book: tuple[str, ...], shown: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(book, _from, _to, quantity, cost, _p): constant holdings, once for each price (begin, end, close, day) that holds in them. A code's prices, one a day, meet its books as an array."""
     days = Window.partitionBy("code").orderBy("trade_date")
     close = shown(F.col("close").cast(PRICE))
-    span = F.struct(F.col("trade_date").alias("begin"), F.lead("trade_date").over(days).alias("end"), close.alias("close"), F.col("trade_date").alias("day"), F.lag(close).over(days).alias("before"))
-    spans = prices.where("trade_date IS NOT NULL").select("code", span.alias("_p")).groupBy("code").agg(F.collect_list("_p").alias("_p"), F.min("_p.begin").alias("_first"))
-    unknown = F.struct(F.to_date(F.lit("0001-01-01")).alias("begin"), F.col("_first").alias("end"), shown(F.lit(None).cast(PRICE)).alias("close"), F.lit(None).cast("date").alias("day"), shown(F.lit(None).cast(PRICE)).alias("before"))
-    met = held.join(spans.select("code", F.concat(F.array(unknown), "_p").alias("_p")).hint("merge"), "code", "left").select(*book, "_from", "_to", "quantity", "cost", F.explode_outer("_p").alias("_p"))
+    span = F.struct(F.col("trade_date").alias("begin"), F.lead("trade_date").over(days).alias("end"), close.alias("close"), F.col("trade_date").alias("day"))
+    spans = prices.select("code", F.when(F.col("trade_date").isNotNull(), span).alias("_p")).groupBy("code").agg(F.collect_list("_p").alias("_p"), F.min("_p.begin").alias("_first"))
+    unknown = F.struct(F.to_date(F.lit("0001-01-01")).alias("begin"), F.col("_first").alias("end"), shown(F.lit(None).cast(PRICE)).alias("close"), F.lit(None).cast("date").alias("day"))
+    met = _held(trades, book, shown).join(spans.select("code", F.concat(F.array(unknown), "_p").alias("_p")).hint("merge"), "code", "left").select(*book, "_from", "_to", "quantity", "cost", F.explode_outer("_p").alias("_p"))
     return met.where("_p IS NULL OR ((_p.end IS NULL OR _p.end > _from) AND (_to IS NULL OR _to > _p.begin))")
 
 
@@ -185,16 +194,52 @@ def _change(day: Column, value: Column, cost: Column, n_held: Column, n_missing:
     return F.struct(day.alias("day"), F.when(slim, value.cast(_SLIM)).alias("value"), F.when(~slim | (cost != 0) | (n_held != 0) | (n_missing != 0), rest).alias("rest"))
 
 
-def holding_changes(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK) -> DataFrame:
-    """(book, day, value, rest): the changes of daily_value() straight from the holdings, where an interval that another one follows has no end of its own."""
-    met = _held_at_prices(trades, prices, book)
-    known = lambda c: F.when(F.col(c).isNull(), 1).otherwise(0)
-    first = F.col("_p").isNull() | (F.col("_p.begin") <= F.col("_from"))
-    last = F.col("_to").isNotNull() & (F.col("_p.end").isNull() | (F.col("_p.end") >= F.col("_to")))
-    value, missing, none = _worth(F.col("_p.close")), known("_p.close"), F.lit(0)
-    begin = _change(F.greatest("_from", "_p.begin"), value - F.when(first, F.lit(0).cast(_WIDE)).otherwise(_worth(F.col("_p.before"))), F.when(first, F.col("cost")).otherwise(F.lit(0).cast(EXACT)), first.cast("int"), missing - F.when(first, 0).otherwise(known("_p.before")))
-    end = F.when(last, _change(F.col("_to"), -value, -F.col("cost"), F.lit(-1), none - missing))
-    return met.select(*book, F.explode(F.array(begin, end)).alias("_c")).where("_c IS NOT NULL").select(*book, "_c.*").where("value IS NULL OR value <> 0 OR rest IS NOT NULL")
+def account_groups(trades: DataFrame, account: str = "account_id", rows: int = 400_000) -> tuple[Column, int]:
+    """An account's group, and how many there are: accounts near each other in number, with about `rows` trades a group (fewer, where cores would idle).
+
+    What a group needs is sent to it once, so accounts that hold the same codes
+    do well to share one; numbers that lie together often do. Any grouping gives
+    the same results. A stretch of numbers with more trades than a group takes
+    is dealt by hash, and so is all where accounts have no whole numbers.
+    """
+    stretch = F.lit(0)
+    if trades.schema[account].dataType.typeName() in ("byte", "short", "integer", "long"):
+        low, high = (x or 0 for x in trades.agg(F.min(account), F.max(account)).first())
+        width = max(1, -(-(high - low) // 4095))
+        start = low // width if low >= 0 else -(-low // width)  # DIV rounds towards zero
+        stretch = (F.call_function("div", F.coalesce(F.col(account).cast("long"), F.lit(low)), F.lit(width)) - start).cast("int")
+    counts = {r["k"]: r["count"] for r in trades.groupBy(stretch.alias("k")).count().collect()}
+    rows = max(1, min(rows, sum(counts.values()) // (4 * trades.sparkSession.sparkContext.defaultParallelism)))
+    group, filled, first, parts = 0, 0, [], []
+    for n in (counts.get(k, 0) for k in range(max(counts, default=0) + 1)):
+        if filled and filled + n > rows:
+            group, filled = group + 1, 0
+        first.append(group)
+        parts.append(max(1, -(-n // rows)))
+        group, filled = (group, filled + n) if parts[-1] == 1 else (group + parts[-1], 0)
+    at = lambda values: F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), stretch)
+    return (at(first) + F.pmod(F.xxhash64(account), at(parts))).cast("int"), first[-1] + parts[-1]
+
+
+def holding_changes(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK, account: str = "account_id") -> DataFrame:
+    """(_group, book, _from, _to, _units, cost, _leads, _days, _closes): what changes accounts' daily values, for summed_changes().
+
+    A code's later prices change each of its books: many more changes than
+    trades. So no change is shuffled, but holdings and prices, to groups of
+    accounts: a code's prices go once to each group that holds it, with the first
+    of its holdings there, and from that one's begin on. Units and closes are
+    whole ten-thousandths.
+    """
+    whole = lambda x, kind: (x.cast(kind) * 10**4).cast("long")
+    group, n = account_groups(trades, account)
+    held = _held(trades, book).select(group.alias("_group"), *book, "_from", "_to", whole(F.col("quantity"), "decimal(18,4)").alias("_units"), "cost")
+    held = held.withColumn("_leads", F.row_number().over(Window.partitionBy("code", "_group").orderBy(F.asc_nulls_first("_from"))) == 1)
+    price = F.struct(F.col("trade_date").alias("day"), whole(F.col("close"), PRICE).alias("close"))
+    paths = prices.select("code", F.when(F.col("trade_date").isNotNull(), price).alias("_p")).groupBy("code").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    met = held.join(paths.select("code", F.col("_p.day").alias("_days"), F.col("_p.close").alias("_closes")).hint("merge"), "code", "left")
+    begin = F.greatest(F.lit(1), F.size(F.filter("_days", lambda day: day <= F.col("_from"))))
+    led = {c: F.when(F.col("_leads"), F.slice(c, begin, F.size(c))) for c in ("_days", "_closes")}
+    return met.withColumns(led).repartition(n, "_group")
 
 
 def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:
@@ -211,7 +256,9 @@ def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id"
 
 
 def summed_changes(changes: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:
-    """daily_value() of changes (account, day, value, rest): they are shuffled once, by account."""
+    """daily_value() of changes: those of holding_changes() where their groups are; others (account, day, value, rest) are shuffled once, by account."""
+    if "_group" in changes.columns:
+        return account_days(changes.sortWithinPartitions("_group", "code", F.desc("_leads")), last_day, account)
     names = ("value", "cost", "n_held", "n_missing")
     of = {"value": F.coalesce(F.col("value").cast(_WIDE), F.col("rest.value")), **{c: F.coalesce(F.col(f"rest.{c}"), F.lit(0)) for c in names[1:]}}
     w = Window.partitionBy(account).orderBy("day")
