@@ -9,6 +9,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: No holding's end, and how many changes are kept before they are summed up.
 _FAR, _KEPT = 2**31, 1_000_000
@@ -29,6 +30,19 @@ def _doubles(millionths: np.ndarray) -> np.ndarray:
     return np.array([x / 10**6 for x in millionths.tolist()], np.float64)
 
 
+def _prices(since: pa.Array, short: pa.ListArray, small: pa.ListArray, days: pa.ListArray, closes: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Prices a row, and the days, closes and whether they are known of all: from short and small numbers, or from days and closes."""
+    sizes = [np.diff(x.offsets.to_numpy()) for x in (short, days)]
+    origin = since.cast(pa.int32()).cast(pa.int64()).fill_null(0).to_numpy()
+    day = np.repeat(origin, sizes[0]) + short.flatten().to_numpy(), days.flatten().cast(pa.int32()).to_numpy().astype(np.int64)
+    close = [x.flatten().cast(pa.int64()) for x in (small, closes)]
+    found = [np.concatenate(c) for c in (day, [x.fill_null(0).to_numpy() for x in close], [x.is_valid().to_numpy(zero_copy_only=False) for x in close])]
+    if sizes[1].any():
+        order = np.argsort(np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes]), kind="stable")
+        found = [x[order] for x in found]
+    return sum(sizes), *found
+
+
 class _Sums:
     """Exact sums by account and day: 64 bits wide, unless an account's amounts could exceed them."""
 
@@ -71,15 +85,13 @@ class _Group:
         self.path = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
     def add(self, rows: pa.RecordBatch) -> None:
-        """Rows (account, _from, _to, _units, cost, _leads, _days, _closes): a row that leads brings the prices of those after it."""
+        """Rows (account, _from, _to, _units, cost, _leads, then the prices): a row that leads brings the prices of those after it."""
         names = rows.column(0).dictionary_encode("encode")
         account = np.array([self.accounts.setdefault(a, len(self.accounts)) for a in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
         begin, end = (rows.column(c).cast(pa.int32()).cast(pa.int64()).fill_null(_FAR).to_numpy() for c in (1, 2))
         units, cost, leads = rows.column(3).to_numpy(), _whole(rows.column(4)), rows.column(5).to_numpy(zero_copy_only=False)
-        days, closes = rows.column(6).flatten(), rows.column(7).flatten()
-        brought = days.cast(pa.int32()).cast(pa.int64()).to_numpy(), closes.fill_null(0).to_numpy(), closes.is_valid().to_numpy(zero_copy_only=False)
-        offsets = rows.column(6).offsets.to_numpy()
-        starts = np.append(0, len(self.path[0]) + (offsets[:-1] - offsets[0])[leads])
+        n, *brought = _prices(*rows.columns[6:])
+        starts = np.append(0, len(self.path[0]) + (np.cumsum(n) - n)[leads])
         day, close, known = (np.concatenate(c) for c in zip(self.path, brought, strict=True))
         ends = np.append(starts[1:], len(day))
         self.path = tuple(c[starts[-1] :].copy() for c in (day, close, known))
@@ -152,7 +164,7 @@ class _Group:
 def account_days(rows: DataFrame, last_day: str, account: str) -> DataFrame:
     """(account, trade_date, value, cost, n_held, n_missing) of every calendar day.
 
-    rows (_group, account, _from, _to, _units, cost, _leads, _days, _closes) come
+    rows (_group, account, _from, _to, _units, cost, _leads, _path, _wide) come
     group by group, prices before the holdings that have them. A task keeps the
     sums by account and day of one group and one code's prices.
     """
@@ -176,4 +188,5 @@ def account_days(rows: DataFrame, last_day: str, account: str) -> DataFrame:
                 group.add(pa.RecordBatch.from_arrays(b.slice(low, high - low).columns[1:], b.schema.names[1:]))
         yield from worked(group)
 
-    return rows.select("_group", account, "_from", "_to", "_units", "cost", "_leads", "_days", "_closes").mapInArrow(run, f"`{account}` {kind}, trade_date date, value double, cost double, n_held long, n_missing long")
+    lists = [F.coalesce(c, F.array().cast(item)).alias(c.partition(".")[2]) for c, item in (("_path.short", "array<short>"), ("_path.small", "array<int>"), ("_wide.days", "array<date>"), ("_wide.closes", "array<long>"))]  # Arrow's writer is slow on long runs of null lists
+    return rows.select("_group", account, "_from", "_to", "_units", "cost", "_leads", "_path._since", *lists).mapInArrow(run, f"`{account}` {kind}, trade_date date, value double, cost double, n_held long, n_missing long")

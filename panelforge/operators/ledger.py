@@ -222,13 +222,13 @@ def account_groups(trades: DataFrame, account: str = "account_id", rows: int = 4
 
 
 def holding_changes(trades: DataFrame, prices: DataFrame, book: tuple[str, ...] = BOOK, account: str = "account_id") -> DataFrame:
-    """(_group, book, _from, _to, _units, cost, _leads, _days, _closes): what changes accounts' daily values, for summed_changes().
+    """(_group, book, _from, _to, _units, cost, _leads, _path, _wide): what changes accounts' daily values, for summed_changes().
 
     A code's later prices change each of its books: many more changes than
     trades. So no change is shuffled, but holdings and prices, to groups of
     accounts: a code's prices go once to each group that holds it, with the first
     of its holdings there, and from that one's begin on. Units and closes are
-    whole ten-thousandths.
+    whole ten-thousandths; prices take six bytes each (_path) where that is enough.
     """
     whole = lambda x, kind: (x.cast(kind) * 10**4).cast("long")
     group, n = account_groups(trades, account)
@@ -236,10 +236,17 @@ def holding_changes(trades: DataFrame, prices: DataFrame, book: tuple[str, ...]
     held = held.withColumn("_leads", F.row_number().over(Window.partitionBy("code", "_group").orderBy(F.asc_nulls_first("_from"))) == 1)
     price = F.struct(F.col("trade_date").alias("day"), whole(F.col("close"), PRICE).alias("close"))
     paths = prices.select("code", F.when(F.col("trade_date").isNotNull(), price).alias("_p")).groupBy("code").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-    met = held.join(paths.select("code", F.col("_p.day").alias("_days"), F.col("_p.close").alias("_closes")).hint("merge"), "code", "left")
+    paths = paths.select("code", F.col("_p.day").alias("_days"), F.col("_p.close").alias("_closes"), F.get("_p.day", F.lit(0)).alias("_since"))
+    slim = (F.datediff(F.array_max("_days"), "_since") < 2**15) & (F.coalesce(F.greatest(F.array_max("_closes"), -F.array_min("_closes")), F.lit(0)) < 2**31)
+    short = F.when(slim, F.transform("_days", lambda day: F.datediff(day, F.col("_since")).cast("short")))
+    paths = paths.select("code", "_days", "_since", short.alias("_short"), F.when(slim, F.col("_closes").cast("array<int>")).alias("_small"), F.when(~slim, F.col("_closes")).alias("_closes"))
+    met = held.join(paths.hint("merge"), "code", "left")
     begin = F.greatest(F.lit(1), F.size(F.filter("_days", lambda day: day <= F.col("_from"))))
-    led = {c: F.when(F.col("_leads"), F.slice(c, begin, F.size(c))) for c in ("_days", "_closes")}
-    return met.withColumns(led).repartition(n, "_group")
+    left = lambda c: F.slice(c, begin, F.size("_days"))
+    path = F.struct("_since", left("_short").alias("short"), left("_small").alias("small"))
+    wide = F.struct(left("_days").alias("days"), left("_closes").alias("closes"))
+    here, slim = F.col("_leads"), F.col("_short").isNotNull()
+    return met.select(*held.columns, F.when(here & slim, path).alias("_path"), F.when(here & ~slim, wide).alias("_wide")).repartition(n, "_group")
 
 
 def daily_value(intervals: DataFrame, last_day: str, account: str = "account_id") -> DataFrame:

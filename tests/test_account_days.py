@@ -83,7 +83,7 @@ def test_no_change_is_shuffled(spark):
 
 
 def test_batches_and_sums_of_any_length(spark, monkeypatch):
-    """Rows cut anywhere, sums taken at any time: the same days."""
+    """Rows cut anywhere, sums taken at any time, prices short or wide: the same days."""
     rng = np.random.default_rng(3)
     lists = {"d": [], "c": []}
     begin, end, leads = [], [], []
@@ -99,17 +99,32 @@ def test_batches_and_sums_of_any_length(spark, monkeypatch):
     date = lambda x: pa.array(x, pa.int32()).cast(pa.date32())
     columns = [
         pa.array(rng.integers(0, 4, n)), date(begin), date(end), pa.array(rng.integers(-(10**6), 10**6, n)), pa.array(rng.integers(0, 10**6, n).tolist()).cast(pa.decimal128(28, 6)), pa.array(leads),
-        pa.array(lists["d"], pa.list_(pa.int32())).cast(pa.list_(pa.date32())), pa.array(lists["c"], pa.list_(pa.int64())),
     ]
-    rows = pa.RecordBatch.from_arrays(columns, ["a", "f", "t", "u", "cost", "leads", "days", "closes"])
+    of = lambda x, held, kind: pa.array([v if h else None for v, h in zip(x, held, strict=True)], pa.list_(kind))
 
-    def days_of(step, kept):
+    def rows_of(slim):
+        wide = [not x for x in slim]
+        prices = [date([3] * n), of([v and [x - 3 for x in v] for v in lists["d"]], slim, pa.int16()), of(lists["c"], slim, pa.int32()), of(lists["d"], wide, pa.int32()).cast(pa.list_(pa.date32())), of(lists["c"], wide, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *prices], list("abcdefghijk"))
+
+    def days_of(step, kept, slim):
         monkeypatch.setattr(account_days, "_KEPT", kept)
-        group = account_days._Group()
+        group, rows = account_days._Group(), rows_of(slim)
         for k in range(0, n, step):
             group.add(rows.slice(k, step))
         names, found = list(group.accounts), [np.concatenate(c) for c in zip(*group.days(250), strict=True)]
         return sorted(zip([names[a] for a in found[0]], *(c.tolist() for c in found[1:]), strict=True))
 
-    want = days_of(n, 10**6)
-    assert len(want) > 500 and all(days_of(step, kept) == want for step, kept in ((1, 10**6), (5, 7), (n, 40)))
+    mixed = [bool(x) for x in rng.integers(0, 2, n)]
+    want = days_of(n, 10**6, [True] * n)
+    assert len(want) > 500 and all(days_of(*how) == want for how in ((1, 10**6, mixed), (5, 7, [False] * n), (n, 40, mixed)))
+
+
+def test_prices_far_apart_or_large(spark):
+    """Where six bytes do not hold a price."""
+    trades = [(1, "c0", dt.date(1700, 1, 1), "09", 1, "BUY", 2.0, 3.0, 0.0), (2, "c1", day(1), "09", 2, "BUY", 3.0, 2.0, 0.0), (2, "c2", day(1), "09", 3, "BUY", 4.0, 2.0, 0.0)]
+    prices = [("c0", dt.date(1700, 1, 1), 5.0), ("c0", day(1), 6.0), ("c1", day(0), 1e9), ("c1", day(2), 1e9 + 0.0001), ("c2", day(0), 7.0), ("c2", day(2), 8.0)]
+    t, p = spark.createDataFrame(trades, TRADE.format("int")), spark.createDataFrame(prices, PRICES)
+    got = {(r["account_id"], r["trade_date"]): r["value"] for r in ledger.summed_changes(ledger.holding_changes(t, p), "2020-01-03").collect()}
+    assert got[(1, dt.date(2020, 1, 1))] == 10 and got[(1, day(1))] == 12 and got[(2, day(1))] == 3e9 + 28 and got[(2, day(2))] == 3e9 + 32.0003
+    assert len(got) == (dt.date(2020, 1, 4) - dt.date(1700, 1, 1)).days + 2
